@@ -168,3 +168,44 @@ def greedy_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], span
     heads_of = span_scan(marked, keys, ["row"], span_of("row", block_rows),
                          head=("upto", F.when(F.col("__head"), F.col("row")))).select(*keys, "row", "head")
     return x.drop("__block").join(heads_of, [*keys, "row"])
+
+
+def machine_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], span: Column, states: Sequence,
+                 step: Callable[[object, tuple], tuple], columns: Sequence[str], out: str) -> DataFrame:
+    """Append the outputs of a finite state machine; ``states[0]`` is the start state.
+
+    Every span is run once from each possible state, the spans of a key are chained on those small tables, and a second
+    pass replays each span from its real entry state. No task holds more than one span of a key.
+    """
+    keys, order, columns, states = list(keys), list(order), list(columns), list(states)
+    number = {s: i for i, s in enumerate(states)}
+    base = df.withColumn(SPAN, span)
+    key_schema = ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in keys)
+    names = [p.split()[0] for p in out.split(",")]
+
+    def tabulate(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = list(zip(*[pdf.sort_values(order, kind="stable")[c] for c in columns]))
+        ends = []
+        for s in states:
+            for values in rows:
+                s, _ = step(s, values)
+            ends.append(number[s])
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, SPAN: [pdf[SPAN].iloc[0]], "__ends": [ends]})
+
+    tables = base.select(*keys, SPAN, *dict.fromkeys([*order, *columns])).groupBy(*keys, SPAN).applyInPandas(
+        tabulate, f"{key_schema}, {SPAN} bigint, __ends array<bigint>")
+    entry = ordered_fold(tables, keys, [SPAN], lambda: 0, lambda s, v: (int(v[0][s]), (s,)), ["__ends"],
+                         "__entry bigint").select(*keys, SPAN, "__entry")
+    joined = base.join(entry, [*keys, SPAN])
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        s, outs = states[int(pdf["__entry"].iloc[0])], []
+        for values in zip(*[pdf[c] for c in columns]):
+            s, produced = step(s, values)
+            outs.append(produced)
+        extra = pd.DataFrame(outs, columns=names, index=pdf.index, dtype=object)
+        return pd.concat([pdf.drop(columns=[SPAN, "__entry"]), extra], axis=1)
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", " + out
+    return joined.groupBy(*keys, SPAN).applyInPandas(replay, schema)

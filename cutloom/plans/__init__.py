@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-AREAS = ["search", "chunks"]
+AREAS = ["search", "chunks", "reports"]
 
 
 def _load():
