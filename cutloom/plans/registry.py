@@ -54,6 +54,22 @@ VIEW_SQL = {
     "v_stages": """select user_id as variant, event_id//5 as media_key,
         case event_id%5 when 1 then 'submitted' when 2 then 'decoded' when 3 then 'output' else 'source' end as stage,
         cast(epoch_us(ts) as double)/1000 as at_ms, event_id from events""",
+    "v_tracks": """select distinct event_type as track_id, case when event_type='error' then 'audio' else 'visual' end as media_kind,
+        event_type='view' as locked, event_type='click' as muted, ascii(event_type) as ord from events""",
+    "v_media": """select p_partkey as asset_id, p_retailprice/10 as media_duration,
+        case when p_size%6=0 then 'image' when p_size%6 in (1,2) then 'audio' else 'video' end as media_kind,
+        cast(p_size*97 as double) as width, cast(p_size*53 as double) as height from part""",
+    "v_effects": """select l_orderkey as target_id, l_linenumber as ord,
+        l_partkey*10000000 + cast(round(l_extendedprice*10) as bigint)%10000000 as effect_id,
+        case l_returnflag when 'A' then 'blur' when 'N' then 'gain' else 'hue' end as effect_type, l_linestatus='O' as enabled,
+        l_quantity as amount from lineitem""",
+    "v_packed": f"""select event_id as clip_id, event_type as track_id,
+        coalesce(sum(value) over (partition by event_type order by ts, event_id rows between unbounded preceding and 1 preceding), 0) as start,
+        value as duration, cast(event_id%7 as double) as in_point,
+        case when event_id%3=0 then cast(2 as double) else cast(1 as double) end as playback_rate,
+        event_id%11<>0 as enabled, event_id%2000 as asset_id from events""",
+    "v_samples": """select event_type as buffer_id, user_id%2 as channel,
+        row_number() over (partition by event_type, user_id%2 order by event_id)-1 as i, (value-100)/400 as v from events""",
     "v_docs": "select doc_id as id, lang as kind, source as name, text from documents",
     "v_assets": """select doc_id as id, sha256(text) as hash, n_chars as size, source as owner, lang as mime
         from documents""",

@@ -104,3 +104,39 @@ def docs(t: Tables) -> DataFrame:
 def assets(t: Tables) -> DataFrame:
     return t.documents.selectExpr("doc_id as id", "sha2(text, 256) as hash", "n_chars as size", "source as owner",
                                   "lang as mime")
+
+
+def tracks(t: Tables) -> DataFrame:
+    return t.events.select(F.col("event_type").alias("track_id")).distinct().selectExpr(
+        "track_id", "case when track_id='error' then 'audio' else 'visual' end as media_kind", "track_id='view' as locked",
+        "track_id='click' as muted", "ascii(track_id) as ord")
+
+
+def media(t: Tables) -> DataFrame:
+    return t.part.selectExpr(
+        "p_partkey as asset_id", "p_retailprice/10 as media_duration",
+        "case when p_size%6=0 then 'image' when p_size%6 in (1,2) then 'audio' else 'video' end as media_kind",
+        "cast(p_size*97 as double) as width", "cast(p_size*53 as double) as height")
+
+
+def packed(t: Tables) -> DataFrame:
+    """The same clips laid end to end on their tracks, in time order."""
+    iv = intervals(t)
+    x = span_scan(iv.withColumnRenamed("start", "at"), ["track_id"], ["at", "clip_id"], span_of("at", 86400.0),
+                  start=("sum_before", F.col("duration")))
+    return x.select(*iv.columns)
+
+
+def effects(t: Tables) -> DataFrame:
+    return t.lineitem.selectExpr(
+        "l_orderkey as target_id", "l_linenumber as ord",
+        "cast(l_partkey as bigint) * 10000000 + cast(round(l_extendedprice*10) as bigint) % 10000000 as effect_id",
+        "case l_returnflag when 'A' then 'blur' when 'N' then 'gain' else 'hue' end as effect_type", "l_linestatus='O' as enabled",
+        "l_quantity as amount")
+
+
+def samples(t: Tables) -> DataFrame:
+    """Two-channel sample buffers: one per event type, channel by user parity, in event order."""
+    base = t.events.selectExpr("event_type as buffer_id", "user_id%2 as channel", "event_id", "(value-100)/400 as v")
+    x = span_scan(base, ["buffer_id", "channel"], ["event_id"], span_of("event_id", 1 << 20), i=("row_number",))
+    return x.select("buffer_id", "channel", (F.col("i") - 1).alias("i"), "v")
