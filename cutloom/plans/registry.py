@@ -70,6 +70,12 @@ VIEW_SQL = {
         event_id%11<>0 as enabled, event_id%2000 as asset_id from events""",
     "v_samples": """select event_type as buffer_id, user_id%2 as channel,
         row_number() over (partition by event_type, user_id%2 order by event_id)-1 as i, (value-100)/400 as v from events""",
+    "v_objects": """select 'B'||p_partkey as object_id, p_name as name, p_type as object_type,
+        case when p_partkey%3<>0 then p_brand||':'||(p_partkey%100) end as semantic_id, [p_brand, 'size'||(p_size%5)] as tags from part""",
+    "v_relations": """select concat_ws('-','E',l_orderkey,l_linenumber,l_partkey,l_suppkey) as edge_id, 'S'||l_suppkey as object_id,
+        case when l_linenumber%2=0 then 'P'||l_partkey else 'O'||l_orderkey end as target_id,
+        case l_returnflag when 'A' then 'appears-in' when 'N' then 'generated-representation' end as role from lineitem""",
+    "v_clip_assets": "select 'O'||o_orderkey as clip_id, 'P'||(o_orderkey%200) as asset_id from orders",
     "v_docs": "select doc_id as id, lang as kind, source as name, text from documents",
     "v_assets": """select doc_id as id, sha256(text) as hash, n_chars as size, source as owner, lang as mime
         from documents""",

@@ -140,3 +140,22 @@ def samples(t: Tables) -> DataFrame:
     base = t.events.selectExpr("event_type as buffer_id", "user_id%2 as channel", "event_id", "(value-100)/400 as v")
     x = span_scan(base, ["buffer_id", "channel"], ["event_id"], span_of("event_id", 1 << 20), i=("row_number",))
     return x.select("buffer_id", "channel", (F.col("i") - 1).alias("i"), "v")
+
+
+def objects(t: Tables) -> DataFrame:
+    return t.part.select(F.concat(F.lit("B"), "p_partkey").alias("object_id"), F.col("p_name").alias("name"), F.col("p_type").alias("object_type"),
+                         F.when(F.col("p_partkey") % 3 != 0, F.concat_ws(":", "p_brand", F.col("p_partkey") % 100)).alias("semantic_id"),
+                         F.array("p_brand", F.concat(F.lit("size"), F.col("p_size") % 5)).alias("tags"))
+
+
+def relations(t: Tables) -> DataFrame:
+    """Suppliers as objects that relate to parts (assets) and orders (clips)."""
+    return t.lineitem.select(
+        F.concat_ws("-", F.lit("E"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("edge_id"),
+        F.concat(F.lit("S"), "l_suppkey").alias("object_id"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("P"), "l_partkey")).otherwise(F.concat(F.lit("O"), "l_orderkey")).alias("target_id"),
+        F.when(F.col("l_returnflag") == "A", "appears-in").when(F.col("l_returnflag") == "N", "generated-representation").alias("role"))
+
+
+def clip_assets(t: Tables) -> DataFrame:
+    return t.orders.select(F.concat(F.lit("O"), "o_orderkey").alias("clip_id"), F.concat(F.lit("P"), F.col("o_orderkey") % 200).alias("asset_id"))
