@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-AREAS = ["search", "chunks", "reports", "timeline", "graph"]
+AREAS = ["search", "chunks", "reports", "timeline", "graph", "oplog"]
 
 
 def _load():
