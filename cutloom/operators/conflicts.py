@@ -136,7 +136,7 @@ def decision_groups(model: DataFrame) -> DataFrame:
 
 def decision_progress(groups: DataFrame, decisions: DataFrame, complete: DataFrame) -> DataFrame:
     """Per project: decided, total, remaining, ratio, ready. Decisions: project_id, r_seq, r_op_idx, choice."""
-    d = decisions.where(F.col("choice").isin("keep-local", "use-remote", "manual"))
+    d = decisions.where(F.col("choice").isin("keep-local", "reapply-remote", "manual"))
     x = groups.join(d.select("project_id", "r_seq", "r_op_idx", "choice"), ["project_id", "r_seq", "r_op_idx"], "left")
     p = x.groupBy("project_id").agg(F.count("choice").alias("decided"), F.count("*").alias("total")).join(complete, "project_id", "left")
     return p.select("project_id", "decided", "total", (F.col("total") - F.col("decided")).alias("remaining"),

@@ -22,11 +22,11 @@ EFFECT_TYPES = ("brightness", "contrast", "saturation", "blur", "hue", "gain", "
 
 def explode_range(df: DataFrame, first: Column, end: Column, name: str, block: int = 65_536) -> DataFrame:
     """One row per integer of [first, end), in two steps so that no row ever holds more than one block."""
-    x = df.withColumn("__f", first.cast("bigint")).withColumn("__e", end.cast("bigint")).where("__e > __f")
-    x = x.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__e") - F.col("__f") - 1) / block).cast("bigint"))))
-    lo = F.col("__f") + F.col("__b") * block
-    hi = F.least(F.col("__e"), lo + block) - 1
-    return x.withColumn(name, F.explode(F.sequence(lo, hi))).drop("__f", "__e", "__b")
+    x = df.withColumn("__xf", first.cast("bigint")).withColumn("__xe", end.cast("bigint")).where("__xe > __xf")
+    x = x.withColumn("__xb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__xe") - F.col("__xf") - 1) / block).cast("bigint"))))
+    lo = F.col("__xf") + F.col("__xb") * block
+    hi = F.least(F.col("__xe"), lo + block) - 1
+    return x.withColumn(name, F.explode(F.sequence(lo, hi))).drop("__xf", "__xe", "__xb")
 
 
 def frame_times(outputs: DataFrame) -> DataFrame:

@@ -58,6 +58,7 @@ def affine_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], span:
     for name, (a, b, _) in series.items():
         base = base.withColumn(f"__a_{name}", a.cast("double")).withColumn(f"__b_{name}", b.cast("double"))
     names = list(series)
+    initial = [float(series[n][2]) for n in names]
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
@@ -78,7 +79,7 @@ def affine_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], span:
         F.max_by(F.struct(F.col(f"__a_{n}").alias("p"), F.col(f"__b_{n}").alias("y")), pos).alias(n) for n in names])
 
     def step(state, values):
-        state = state or [float(series[n][2]) for n in names]
+        state = state or initial
         carried = tuple(state)
         return [v["p"] * s + v["y"] for v, s in zip(values, state)], carried
 

@@ -254,14 +254,14 @@ def cf06(t):
     return C.decision_groups(model_of(t, local, remote))
 
 
-_DEC = "dec as (select project_id, r_seq, case r_seq%4 when 0 then 'keep-local' when 1 then 'use-remote' when 2 then 'manual' end as choice from gr where project_id%2=0 or r_seq%4<>3)"
+_DEC = "dec as (select project_id, r_seq, case r_seq%4 when 0 then 'keep-local' when 1 then 'reapply-remote' when 2 then 'manual' end as choice from gr where project_id%2=0 or r_seq%4<>3)"
 
 
 def decided_of(t):
     local, remote = sides_of(t)
     g = C.decision_groups(model_of(t, local, remote))
     d = g.where("project_id%2=0 or r_seq%4<>3").select("project_id", "r_seq", "r_op_idx", F.expr(
-        "case r_seq%4 when 0 then 'keep-local' when 1 then 'use-remote' when 2 then 'manual' end as choice"))
+        "case r_seq%4 when 0 then 'keep-local' when 1 then 'reapply-remote' when 2 then 'manual' end as choice"))
     complete = g.select("project_id").distinct().withColumn("complete", F.col("project_id") % 9 != 0)
     return g, d, complete
 
