@@ -53,40 +53,35 @@ def affine_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], span:
     A span folds to one (product of a, end state from zero); spans are chained per key on those summaries and each row
     adds ``product so far * carried state``, which is stable for 0 <= a <= 1.
     """
-    keys, order = list(keys), list(order)
+    keys, order, names = list(keys), list(order), list(series)
     base = df.withColumn(SPAN, span)
+    inputs = []
     for name, (a, b, _) in series.items():
         base = base.withColumn(f"__a_{name}", a.cast("double")).withColumn(f"__b_{name}", b.cast("double"))
-    names = list(series)
-    initial = [float(series[n][2]) for n in names]
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        for n in names:
-            a, b = pdf[f"__a_{n}"].to_numpy(), pdf[f"__b_{n}"].to_numpy()
-            p, y, prod, acc = np.empty(len(a)), np.empty(len(a)), 1.0, 0.0
-            for i in range(len(a)):
-                prod *= a[i]
-                acc = a[i] * acc + b[i]
-                p[i], y[i] = prod, acc
-            pdf[f"__a_{n}"], pdf[f"__b_{n}"] = p, y
-        return pdf
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in base.dtypes)
-    folded = base.groupBy(*keys, SPAN).applyInPandas(fold, schema)  # a span is bounded by its width
-    pos = F.struct(*order)
-    ends = folded.groupBy(*keys, SPAN).agg(*[
-        F.max_by(F.struct(F.col(f"__a_{n}").alias("p"), F.col(f"__b_{n}").alias("y")), pos).alias(n) for n in names])
-
-    def step(state, values):
-        state = state or initial
-        carried = tuple(state)
-        return [v["p"] * s + v["y"] for v, s in zip(values, state)], carried
-
-    carry = ordered_fold(ends, keys, [SPAN], lambda: None, step, names, ", ".join(f"__c_{n} double" for n in names))
+        inputs += [f"__a_{name}", f"__b_{name}"]
+    initial = tuple(float(series[n][2]) for n in names)
+    zero = (1.0, 0.0) * len(names)
+
+    def local(state, values):
+        out = []
+        for i in range(0, len(values), 2):
+            a = values[i]
+            out += [state[i] * a, a * state[i + 1] + values[i + 1]]
+        return out, tuple(out)
+
+    columns = ", ".join(f"__p_{n} double, __y_{n} double" for n in names)
+    folded = ordered_fold(base, [*keys, SPAN], order, lambda: zero, local, inputs, columns).drop(*inputs)
+    ends = folded.groupBy(*keys, SPAN).agg(F.max_by(F.struct(*[f"__{x}_{n}" for n in names for x in "py"]), F.struct(*order)).alias("e"))
+    ends = ends.select(*keys, SPAN, "e.*")
+
+    def chain(state, values):
+        return tuple(values[2 * i] * s + values[2 * i + 1] for i, s in enumerate(state)), tuple(state)
+
+    carry = ordered_fold(ends, keys, [SPAN], lambda: initial, chain, [f"__{x}_{n}" for n in names for x in "py"],
+                         ", ".join(f"__c_{n} double" for n in names))
     out = folded.join(carry.select(*keys, SPAN, *[f"__c_{n}" for n in names]), [*keys, SPAN])
     return out.select(*df.columns, *[
-        (F.col(f"__a_{n}") * F.col(f"__c_{n}") + F.col(f"__b_{n}")).alias(n) for n in names])
+        (F.col(f"__p_{n}") * F.col(f"__c_{n}") + F.col(f"__y_{n}")).alias(n) for n in names])
 
 
 def greedy_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], span: Column, size: str, start: str,
@@ -176,37 +171,25 @@ def machine_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], span:
     """Append the outputs of a finite state machine; ``states[0]`` is the start state.
 
     Every span is run once from each possible state, the spans of a key are chained on those small tables, and a second
-    pass replays each span from its real entry state. No task holds more than one span of a key.
+    pass replays each span from its real entry state. No task holds more than one row and one table of states.
     """
     keys, order, columns, states = list(keys), list(order), list(columns), list(states)
     number = {s: i for i, s in enumerate(states)}
     base = df.withColumn(SPAN, span)
-    key_schema = ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in keys)
-    names = [p.split()[0] for p in out.split(",")]
+    everywhere = tuple(range(len(states)))
 
-    def tabulate(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(zip(*[pdf.sort_values(order, kind="stable")[c] for c in columns]))
-        ends = []
-        for s in states:
-            for values in rows:
-                s, _ = step(s, values)
-            ends.append(number[s])
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, SPAN: [pdf[SPAN].iloc[0]], "__ends": [ends]})
-
-    tables = base.select(*keys, SPAN, *dict.fromkeys([*order, *columns])).groupBy(*keys, SPAN).applyInPandas(
-        tabulate, f"{key_schema}, {SPAN} bigint, __ends array<bigint>")
+    def run_all(state, values):
+        nxt = tuple(number[step(states[s], values)[0]] for s in state)
+        return nxt, (list(nxt),)
+
+    tables = ordered_fold(base.select(*keys, SPAN, *dict.fromkeys([*order, *columns])), [*keys, SPAN], order,
+                          lambda: everywhere, run_all, columns, "__ends array<bigint>")
+    tables = tables.groupBy(*keys, SPAN).agg(F.max_by("__ends", F.struct(*order)).alias("__ends"))
     entry = ordered_fold(tables, keys, [SPAN], lambda: 0, lambda s, v: (int(v[0][s]), (s,)), ["__ends"],
                          "__entry bigint").select(*keys, SPAN, "__entry")
-    joined = base.join(entry, [*keys, SPAN])
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        s, outs = states[int(pdf["__entry"].iloc[0])], []
-        for values in zip(*[pdf[c] for c in columns]):
-            s, produced = step(s, values)
-            outs.append(produced)
-        extra = pd.DataFrame(outs, columns=names, index=pdf.index, dtype=object)
-        return pd.concat([pdf.drop(columns=[SPAN, "__entry"]), extra], axis=1)
+    def replay(state, values):
+        return step(states[int(values[0])] if state is None else state, values[1:])
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", " + out
-    return joined.groupBy(*keys, SPAN).applyInPandas(replay, schema)
+    return ordered_fold(base.join(entry, [*keys, SPAN]), [*keys, SPAN], order, lambda: None, replay,
+                        ["__entry", *columns], out).drop(SPAN, "__entry")
