@@ -55,11 +55,12 @@ def relationships(relations: DataFrame, role: str | None = None) -> DataFrame:
     return relations if role is None else relations.where(F.col("role") == role)
 
 
-def both_ways(edges: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """(here, there, ..): every edge seen from both of its ends."""
-    ends = F.array(F.struct(F.col("src").alias("here"), F.col("dst").alias("there")),
-                   F.struct(F.col("dst").alias("here"), F.col("src").alias("there")))
-    return edges.select(F.explode(ends).alias("x"), *extra).select("x.*", *extra)
+def _step(edges: DataFrame, front: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """(id, ..): other ends of the edges at the front; two equi joins, so a small front is broadcast by AQE."""
+    f = front.select(F.col("id").alias("__f"))
+    out = edges.join(f, F.col("src") == F.col("__f"), "left_semi").select(F.col("dst").alias("id"), *extra)
+    back = edges.join(f, F.col("dst") == F.col("__f"), "left_semi").select(F.col("src").alias("id"), *extra)
+    return out.unionByName(back)
 
 
 def neighbourhood(edges: DataFrame, focus: DataFrame, depth: int, visible: DataFrame | None = None, root: str | None = None) -> DataFrame:
@@ -67,11 +68,10 @@ def neighbourhood(edges: DataFrame, focus: DataFrame, depth: int, visible: DataF
     seen = durable(focus.select("id").distinct().withColumn("level", F.lit(0).cast("bigint")))
     if visible is not None:
         seen = seen.join(visible.select("id"), "id", "left_semi")
-    steps = both_ways(edges)
     front = seen
     for level in range(1, depth + 1):
         start = front if root is None else front.where(F.col("id") != root)
-        found = steps.join(start.select(F.col("id").alias("here")), "here").select(F.col("there").alias("id")).distinct()
+        found = _step(edges, start).distinct()
         found = found.join(seen, "id", "left_anti")
         if visible is not None:
             found = found.join(visible.select("id"), "id", "left_semi")
@@ -94,12 +94,12 @@ def capped_neighbourhood(edges: DataFrame, focus: DataFrame, depth: int, max_nod
     first = ids.orderBy(F.lit(1) if root is None else F.col("id") != root, "id").limit(max_nodes)
     seen = durable(first.withColumn("level", F.lit(0).cast("bigint")))
     room = max_nodes - seen.count()
-    front, steps = seen, both_ways(edges, ["edge_id"])
+    front = seen
     for level in range(1, depth + 1):
         if room <= 0:
             break
         start = front if root is None else front.where(F.col("id") != root)
-        found = steps.join(start.select(F.col("id").alias("here")), "here").select(F.col("there").alias("id"), "edge_id")
+        found = _step(edges, start, ["edge_id"])
         found = found.join(seen, "id", "left_anti")
         if visible is not None:
             found = found.join(visible.select("id"), "id", "left_semi")

@@ -198,11 +198,12 @@ def runnable(tasks: DataFrame, deps: DataFrame) -> DataFrame:
 
 def fail_cascade(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     """Tasks after failures have reached every pending dependent: adds ``error`` to the tasks that fell."""
-    pending = durable(tasks.where("status = 'pending'").select("task_id"))
-    front = durable(tasks.where("status = 'failed'").select("task_id"))
+    state = durable(tasks.select("task_id", "status"))
+    pending, front = state.where("status = 'pending'").select("task_id"), state.where("status = 'failed'").select("task_id")
+    deps = durable(deps.select("task_id", "depends_on").join(pending, "task_id", "left_semi"))
     fallen = None
     while True:
-        hit = deps.join(front.select(F.col("task_id").alias("depends_on")), "depends_on").select("task_id").distinct().join(pending, "task_id", "left_semi")
+        hit = deps.join(front.select(F.col("task_id").alias("depends_on")), "depends_on").select("task_id").distinct()
         if fallen is not None:
             hit = hit.join(fallen, "task_id", "left_anti")
         front = durable(hit)

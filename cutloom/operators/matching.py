@@ -66,19 +66,20 @@ def best_candidates(assets: DataFrame, candidates: DataFrame) -> DataFrame:
         "id", (-F.col("b.neg")).alias("candidate"), F.col("b.score").alias("score"))
 
 
-def match(assets: DataFrame, candidates: DataFrame, span_width: float = 1 << 20, max_rounds: int = 64) -> DataFrame:
+def match(assets: DataFrame, candidates: DataFrame, span_width: float = 1 << 20) -> DataFrame:
     """One-to-one assignment in asset order: (id, candidate_id, score).
 
     Every asset proposes to its best class of equal candidates; a class keeps the earliest assets it has members for and
     the others move to their next class. This is the outcome of serving assets one by one. Inside a class the n-th asset
     gets the n-th candidate. Between classes of equal score the class with the earlier first member is preferred.
+    Rounds are at most the classes that share a name, size or hash; copies are one class and settle in one round.
     """
     s = class_scores(assets, candidates)
     pref = durable(s.select("a_class", "c_class", "c_n", "score", F.row_number().over(
         W.partitionBy("a_class").orderBy(F.desc("score"), "c_first")).alias("turn")))
     state = durable(_with_class(assets).select("id", "position", F.col("class").alias("a_class"), F.lit(1).alias("turn")))
     done = None
-    for _ in range(max_rounds):
+    while True:
         p = state.join(pref, ["a_class", "turn"])
         ranked = durable(span_scan(p, ["c_class"], ["position"], span_of("position", span_width), place=("row_number",)))
         done = ranked.where(F.col("place") <= F.col("c_n"))
@@ -87,8 +88,6 @@ def match(assets: DataFrame, candidates: DataFrame, span_width: float = 1 << 20,
             break
         moved = refused.select("id", "position", "a_class", (F.col("turn") + 1).alias("turn"))
         state = durable(done.select("id", "position", "a_class", "turn").unionByName(moved))
-    else:
-        raise RuntimeError("matching did not settle; raise max_rounds")
     slots = span_scan(_with_class(candidates), ["class"], ["position"], span_of("position", span_width), place=("row_number",)).select(
         F.col("class").alias("c_class"), "place", F.col("id").alias("candidate_id"))
     return done.join(slots, ["c_class", "place"]).select("id", "candidate_id", "score")

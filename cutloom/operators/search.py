@@ -27,41 +27,48 @@ class Field:
     source: str
 
 
-def _emissions(docs: DataFrame, fields: Sequence[Field], max_terms: int | None, only: Sequence[str] | None) -> Column:
-    """Array of (term, weight, source bit) of one row, distinct per source; the cap counts repeats in field order."""
+def _field_terms(fields: Sequence[Field], max_terms: int | None, only: Sequence[str] | None) -> list[Column]:
+    """Distinct terms per field of one row; the cap counts repeats in field order."""
     parts, used = [], F.lit(0)
-    for bit, f in enumerate(fields):
-        col = F.col(f.column)
-        terms = tokens(col.cast("string"))
-        terms = F.coalesce(terms, F.array().cast("array<string>"))
+    for f in fields:
+        terms = F.coalesce(tokens(F.col(f.column).cast("string")), F.array().cast("array<string>"))
         if max_terms is not None:
-            kept = F.slice(terms, F.lit(1), F.greatest(F.lit(0), F.lit(max_terms) - used))
-            used = used + F.size(kept)
-            terms = kept
-        terms = F.array_distinct(terms) if only is None else F.array_intersect(
-            terms, F.lit(list(only)).cast("array<string>"))
-        parts.append(F.transform(terms, _tagged(f.weight, bit)))
-    return F.concat(*parts)
-
-
-def _tagged(weight: int, bit: int):
-    return lambda t: F.struct(t.alias("term"), F.lit(weight).cast("bigint").alias("weight"),
-                              F.lit(1 << bit).cast("bigint").alias("bit"))
+            terms = F.slice(terms, F.lit(1), F.greatest(F.lit(0), F.lit(max_terms) - used))
+            used = used + F.size(terms)
+        parts.append(F.array_distinct(terms) if only is None else F.array_intersect(terms, F.lit(list(only)).cast("array<string>")))
+    return parts
 
 
 def build_postings(docs: DataFrame, fields: Sequence[Field], max_terms: int | None = None,
                    only: Sequence[str] | None = None) -> DataFrame:
     """(id, kind, name, term, weight, sources): the largest weight and all evidence labels of each term of a document.
 
-    ``only`` keeps the given terms before anything is exploded or shuffled (search without a stored index).
+    One row is one document, so the merge over fields happens inside the row and nothing is shuffled. The last field is
+    taken to be the long one: its own terms need no lookup, the few terms of the other fields are checked against it.
+    ``only`` keeps the given terms before anything is exploded (search without a stored index).
     """
-    e = docs.select("id", "kind", "name", F.explode(_emissions(docs, fields, max_terms, only)).alias("e"))
-    agg = e.groupBy("id", "kind", "name", F.col("e.term").alias("term")).agg(
-        F.max("e.weight").alias("weight"), F.bit_or("e.bit").alias("bits"))
-    labels = sorted((f.source, bit) for bit, f in enumerate(fields))
-    sources = F.array_compact(F.array(*[
-        F.when(F.col("bits").bitwiseAND(F.lit(1 << bit)) != 0, F.lit(s)) for s, bit in labels]))
-    return agg.select("id", "kind", "name", "term", "weight", sources.alias("sources"))
+    parts = _field_terms(fields, max_terms, only)
+    names = [f"f{i}" for i in range(len(fields))]
+    # explode of a one-element array evaluates the tokens once per row; a plain projection could be inlined again below
+    cells = docs.select("id", "kind", "name", F.explode(F.array(F.struct(*[p.alias(n) for p, n in zip(parts, names)]))).alias("t"))
+    short = F.array_distinct(F.concat(*[F.col(f"t.{n}") for n in names[:-1]])) if len(names) > 1 else F.array().cast("array<string>")
+    # which short terms each field holds: small arrays, safe to use inside the lambda below
+    held = [F.array_intersect(F.col("s"), F.col(f"t.{n}")).alias(n) for n in names]
+    x = cells.select("id", "kind", "name", F.col("t"), F.explode(F.array(F.struct(short.alias("s")))).alias("b")).select(
+        "id", "kind", "name", "t", "b.s")
+    x = x.select("id", "kind", "name", F.explode(F.array(F.struct(
+        F.array_except(F.col(f"t.{names[-1]}"), "s").alias("rest"), "s", *held))).alias("h"))
+    order = sorted(range(len(fields)), key=lambda i: fields[i].source)
+
+    def merged(term):
+        has = [F.array_contains(F.col(f"h.{n}"), term) for n in names]
+        return F.struct(term.alias("term"), F.greatest(*[F.when(h, f.weight).otherwise(0) for h, f in zip(has, fields)], F.lit(0)).cast("bigint").alias("weight"),
+                        F.array_compact(F.array(*[F.when(has[i], F.lit(fields[i].source)) for i in order])).alias("sources"))
+
+    last = fields[-1]
+    own = lambda term: F.struct(term.alias("term"), F.lit(last.weight).cast("bigint").alias("weight"), F.array(F.lit(last.source)).alias("sources"))
+    e = x.select("id", "kind", "name", F.explode(F.concat(F.transform("h.rest", own), F.transform("h.s", merged))).alias("e"))
+    return e.select("id", "kind", "name", "e.term", "e.weight", "e.sources")
 
 
 def nested_emissions(docs: DataFrame, column: str, weight: int, source: str) -> DataFrame:

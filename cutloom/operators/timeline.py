@@ -15,12 +15,15 @@ from .scan import islands, span_of, span_scan
 
 EPS = 0.001            # fixed value: edit tolerance in seconds
 SNAP_TOLERANCE = 0.2   # fixed value
-END = F.col("start") + F.col("duration")
+
+
+def clip_end() -> Column:
+    return F.col("start") + F.col("duration")
 
 
 def duration(clips: DataFrame, minimum: float = 0.0) -> DataFrame:
     """End of the last clip per track."""
-    return clips.groupBy("track_id").agg(F.greatest(F.lit(minimum), F.max(END)).alias("duration"))
+    return clips.groupBy("track_id").agg(F.greatest(F.lit(minimum), F.max(clip_end())).alias("duration"))
 
 
 def clip_order(clips: DataFrame, width: float = 86400.0) -> DataFrame:
@@ -34,7 +37,7 @@ def active_at(clips: DataFrame, times: DataFrame, tracks: DataFrame | None = Non
 
     ``times`` is one column ``t``. The time bucket alone is the join key, so a busy track spreads over its buckets.
     """
-    c = clips.where(F.coalesce("enabled", F.lit(True))).withColumn("__end", END)
+    c = clips.where(F.coalesce("enabled", F.lit(True))).withColumn("__end", clip_end())
     if tracks is not None:
         kinds = tracks.select("track_id", F.col("media_kind").alias("track_kind"), "muted", "ord")
         c = c.join(kinds, "track_id", "left")
@@ -45,7 +48,7 @@ def active_at(clips: DataFrame, times: DataFrame, tracks: DataFrame | None = Non
 
 def overlaps(clips: DataFrame, width: float = 600.0) -> DataFrame:
     """Pairs (track_id, first, second) whose intervals overlap by more than the edit tolerance."""
-    a = clips.select("track_id", F.col("clip_id").alias("first"), F.col("start").alias("__s"), (END - EPS).alias("__e"))
+    a = clips.select("track_id", F.col("clip_id").alias("first"), F.col("start").alias("__s"), (clip_end() - EPS).alias("__e"))
     b = clips.select("track_id", F.col("clip_id").alias("second"), F.col("start").alias("__t"))
     before = (F.col("__s") < F.col("__t")) | ((F.col("__s") == F.col("__t")) & (F.col("first") < F.col("second")))
     hit = point_join(b, a.where("__e > __s"), ["track_id"], "__t", "__s", "__e", width,
@@ -57,7 +60,7 @@ def snap_points(clips: DataFrame, markers: DataFrame | None = None) -> DataFrame
     """Origin, clip starts, clip ends and markers per track: (track_id, time, kind, node_id)."""
     edges = clips.select("track_id", F.explode(F.array(
         F.struct(F.col("start").alias("time"), F.lit("clip-start").alias("kind"), F.col("clip_id").alias("node_id")),
-        F.struct(END.alias("time"), F.lit("clip-end").alias("kind"), F.col("clip_id").alias("node_id")))).alias("p")).select(
+        F.struct(clip_end().alias("time"), F.lit("clip-end").alias("kind"), F.col("clip_id").alias("node_id")))).alias("p")).select(
         "track_id", "p.*")
     origin = clips.select("track_id").distinct().select("track_id", F.lit(0.0).alias("time"), F.lit("origin").alias("kind"),
                                                         F.lit(None).cast(dict(clips.dtypes)["clip_id"]).alias("node_id"))
@@ -138,7 +141,7 @@ def _refusal_or(condition: Column, code: str) -> Column:
 def split(clips: DataFrame, edits: DataFrame, tracks: DataFrame, media: DataFrame) -> DataFrame:
     """Edits (clip_id, time) give two rows per clip (part 0 and 1) or one refused row."""
     x = _refs(clips.join(edits, "clip_id"), tracks, media)
-    t, s, e = F.col("time"), F.col("start"), END
+    t, s, e = F.col("time"), F.col("start"), clip_end()
     reason = _refusal_or((t <= s + EPS) | (t >= e - EPS), "outside-clip")
     x = x.withColumn("reason", reason)
     first = F.struct(F.lit(0).alias("part"), s.alias("start"), (t - s).alias("duration"), F.col("in_point").alias("in_point"))
@@ -154,14 +157,14 @@ def blade(clips: DataFrame, cuts: DataFrame, tracks: DataFrame, width: float = 6
     """Cut every clip of an unlocked track at each cut time (column ``t``) inside it: (clip_id, part, start, duration, in_point)."""
     open_tracks = clips.join(tracks.select("track_id", F.col("locked").alias("__locked")), "track_id", "left").where(
         ~F.coalesce("__locked", F.lit(False)))
-    c = open_tracks.select("clip_id", F.col("start").alias("__s"), END.alias("__e"))
+    c = open_tracks.select("clip_id", F.col("start").alias("__s"), clip_end().alias("__e"))
     inside = point_join(cuts.distinct(), c, [], "t", "__s", "__e", width,
                         (F.col("t") > F.col("__s") + EPS) & (F.col("t") < F.col("__e") - EPS)).select("clip_id", F.col("t").alias("__at"))
     heads = clips.select("clip_id", F.col("start").alias("__at")).unionByName(inside)
     pieces = span_scan(heads, ["clip_id"], ["__at"], span_of("__at", width * 64), __next=("lead", F.col("__at")), __n=("row_number",))
     x = pieces.join(clips, "clip_id")
     return x.select("clip_id", (F.col("__n") - 1).alias("part"), F.col("__at").alias("start"),
-                    (F.coalesce("__next", END) - F.col("__at")).alias("duration"),
+                    (F.coalesce("__next", clip_end()) - F.col("__at")).alias("duration"),
                     (F.col("in_point") + (F.col("__at") - F.col("start")) * F.col("playback_rate")).alias("in_point"))
 
 
@@ -170,7 +173,7 @@ def ripple_delete(clips: DataFrame, removed: Column, width: float = 86400.0) ->
 
     One running sum per track over clip starts and removed ends; a clip never moves before the last removed start.
     """
-    gone = clips.where(removed).select("track_id", (END - EPS).alias("__at"), F.lit(0).alias("__rank"), F.col("duration").alias("__cut"),
+    gone = clips.where(removed).select("track_id", (clip_end() - EPS).alias("__at"), F.lit(0).alias("__rank"), F.col("duration").alias("__cut"),
                                        F.col("start").alias("__floor"), F.col("clip_id").alias("__id"))
     rest = clips.where(~removed).select("track_id", F.col("start").alias("__at"), F.lit(1).alias("__rank"), F.lit(0.0).alias("__cut"),
                                         F.lit(None).cast("double").alias("__floor"), F.col("clip_id").alias("__id"))
@@ -207,7 +210,7 @@ def ripple_trim_end(clips: DataFrame, edits: DataFrame, tracks: DataFrame, media
     """
     x = _refs(clips.join(edits, "clip_id"), tracks, media).withColumn(
         "reason", _refusal_or(F.col("time") <= F.col("start") + EPS, "end-before-start"))
-    e = x.select("track_id", F.col("clip_id").alias("__clip"), F.col("time").alias("__t"), END.alias("__old"), "reason")
+    e = x.select("track_id", F.col("clip_id").alias("__clip"), F.col("time").alias("__t"), clip_end().alias("__old"), "reason")
     j = clips.join(e, "track_id")
     ok, own = F.col("reason").isNull(), F.col("clip_id") == F.col("__clip")
     later = ok & ~own & (F.col("start") >= F.col("__old") - EPS)
@@ -239,7 +242,7 @@ def adjacent(clips: DataFrame, width: float = 86400.0) -> DataFrame:
     nxt = F.struct(F.col("clip_id").alias("id"), F.col("start").alias("start"))
     x = span_scan(clips, ["track_id"], ["start", "clip_id"], span_of("start", width), __n=("lead", nxt))
     return x.where("__n is not null").select(F.col("clip_id").alias("left_id"), F.col("__n.id").alias("right_id"),
-                                             (F.col("__n.start") - END).alias("gap"))
+                                             (F.col("__n.start") - clip_end()).alias("gap"))
 
 
 def roll(clips: DataFrame, edits: DataFrame, tracks: DataFrame, media: DataFrame) -> DataFrame:
@@ -273,13 +276,13 @@ def duplicate(clips: DataFrame, edits: DataFrame, tracks: DataFrame, media: Data
     x = clips.join(edits, "clip_id").withColumn("__to", F.coalesce("to_track", "track_id"))
     x = _refs(x, tracks, media, "__to")
     return _finish(x, ["clip_id"], _refusal(), track_id=F.col("__to"),
-                   start=F.when(F.col("to_start").isNotNull(), F.greatest(F.lit(0.0), F.col("to_start"))).otherwise(END), duration=F.col("duration"),
+                   start=F.when(F.col("to_start").isNotNull(), F.greatest(F.lit(0.0), F.col("to_start"))).otherwise(clip_end()), duration=F.col("duration"),
                    in_point=F.col("in_point"), playback_rate=F.col("playback_rate"))
 
 
 def schedule(clips: DataFrame, cursor: Column) -> DataFrame:
     """What is left of each clip from ``cursor`` on: delay, source offset and durations; finished clips are dropped."""
-    x = clips.withColumn("__c", F.greatest(F.lit(0.0), cursor)).where(END > F.col("__c"))
+    x = clips.withColumn("__c", F.greatest(F.lit(0.0), cursor)).where(clip_end() > F.col("__c"))
     elapsed = F.greatest(F.lit(0.0), F.col("__c") - F.col("start"))
     out = F.greatest(F.lit(0.0), F.col("duration") - elapsed)
     rate = F.coalesce("playback_rate", F.lit(1.0))
@@ -326,7 +329,7 @@ def patch(rows: DataFrame, patches: DataFrame, key: str, limits: dict[str, tuple
 
 def next_start(clips: DataFrame, tracks: DataFrame) -> DataFrame:
     """First free time at the end of every track, 0 for an empty one."""
-    used = clips.groupBy("track_id").agg(F.max(END).alias("__e"))
+    used = clips.groupBy("track_id").agg(F.max(clip_end()).alias("__e"))
     return tracks.select("track_id").join(used, "track_id", "left").select(
         "track_id", F.greatest(F.lit(0.0), F.coalesce("__e", F.lit(0.0))).alias("next_start"))
 
@@ -341,7 +344,7 @@ def track_for_media(media: DataFrame, tracks: DataFrame) -> DataFrame:
 def render_dependencies(clips: DataFrame, ranges: DataFrame, width: float = 3600.0) -> DataFrame:
     """Distinct assets used per output range (output_id, range_start, range_end)."""
     from .intervals import overlap_join
-    c = clips.withColumn("__end", END)
+    c = clips.withColumn("__end", clip_end())
     hit = overlap_join(ranges, c, [], "range_start", "range_end", "start", "__end", width,
                        (F.col("start") < F.col("range_end")) & (F.col("__end") > F.col("range_start")))
     return hit.select("output_id", "asset_id").distinct()

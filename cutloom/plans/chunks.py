@@ -9,7 +9,11 @@ from ..operators.scan import span_of
 from .registry import query
 
 DAY = 86400e6
-T_SPAN = span_of("timestamp_us", DAY)
+
+
+def t_span():
+    return span_of("timestamp_us", DAY)
+
 PROBES = (86400.5, 900000.25, 2000000.75)
 
 
@@ -151,7 +155,7 @@ _CH09 = """s as (select track_id as plan, timestamp_us as t, timestamp_us+durati
 def ch09(t):
     s = t.v_chunks.selectExpr("track_id as plan", "timestamp_us", "sequence", "timestamp_us+duration_us as fin", "is_key")
     return C.segment_samples(s, "plan", ["timestamp_us", "sequence"], "timestamp_us", "fin", F.col("is_key"), 86400000000,
-                             T_SPAN).select("plan", "segment", "start", F.col("end").alias("fin"), "samples")
+                             t_span()).select("plan", "segment", "start", F.col("end").alias("fin"), "samples")
 
 
 @query("ch10_bytes", """select l_suppkey as track, ceil(sum(cast(l_quantity as bigint)*16)*(1+0.015::double))::bigint as bytes from lineitem group by 1""")
@@ -272,7 +276,7 @@ def ts02w(t):
   select track_id, sequence, case when d=0 and n is not null then greatest(0, n-timestamp_us) else d end as duration_us from b""")
 def ts03(t):
     c = t.v_chunks.withColumn("duration_us", F.expr("case when sequence%2=0 then 0 else duration_us end"))
-    return C.backfill_durations(c, "track_id", ["timestamp_us", "sequence"], "timestamp_us", "duration_us", T_SPAN).select(
+    return C.backfill_durations(c, "track_id", ["timestamp_us", "sequence"], "timestamp_us", "duration_us", t_span()).select(
         "track_id", "sequence", "duration_us")
 
 

@@ -10,7 +10,11 @@ from ..operators.scan import span_of
 from ..sources.tables import micros
 from .registry import query
 
-SEQ = span_of("seq", 1 << 20)
+
+
+def seq_span():
+    return span_of("seq", 1 << 20)
+
 
 
 def ops_of(t):
@@ -51,7 +55,7 @@ def lg03(t):
     ch = O.append_chain(ops_of(t).select("project_id", "seq", "tx_id", "payload"))
     bad = ch.withColumn("seq", F.expr("if(tx_id%89=0, seq+1, seq)")).withColumn("payload", F.expr("if(tx_id%31=0, concat(payload,'x'), payload)")).withColumn(
         "previous", F.expr("if(tx_id%47=0, 'bad', previous)"))
-    return O.chain_violations(bad, SEQ)
+    return O.chain_violations(bad, seq_span())
 
 
 @query("lg04_head", "select project_id, max(seq) as head_seq, arg_max(tx_id, seq) as head_tx from v_ops group by 1")
@@ -113,13 +117,13 @@ def lg10(t):
   b as (select project_id, seq, case when op_type='node.add' and coalesce(there,false) then 'already-exists' when op_type in ('node.update','node.remove','edge.add') and not coalesce(there,false) then 'unknown-node' end as code from x)
   select project_id, min(seq) as seq, 'apply' as phase, arg_min(code, seq) as code from b where code is not null group by 1""")
 def lg11(t):
-    return O.first_failures(ops_of(t), SEQ)
+    return O.first_failures(ops_of(t), seq_span())
 
 
 @query("lg12_review", """with x as (select *, sum(case when op_type in ('node.add','node.remove') then 1 else 0 end) over (partition by project_id, entity_id order by seq) as life from v_ops),
   y as (select *, lag(value) over (partition by project_id, entity_id, prop, life order by seq) as before from x where op_type in ('node.add','node.update')) select project_id, seq, entity_id, prop, before, value as after from y where op_type='node.update'""")
 def lg12(t):
-    return O.review_changes(ops_of(t), SEQ)
+    return O.review_changes(ops_of(t), seq_span())
 
 
 @query("lg13_verdicts", """select o_orderkey as batch_id, case when o_custkey%5<>o_orderkey%5 and o_orderkey%3=0 then 'project-mismatch' when c.c_custkey is null then 'actor-not-allowed' when o_orderkey%50=0 then 'issued-at-required'

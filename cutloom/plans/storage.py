@@ -174,13 +174,13 @@ def matching_of(t):
     base = lambda name: M.basename(name)
     attrs = [F.lit("text").alias("media_kind")]
     a = d.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("position"), *attrs, F.when(F.col("doc_id") % 3 > 0, F.sha2("text", 256)).alias("hash"),
-                 F.col("n_chars").alias("size"), base(F.concat(F.lit("dir/"), "source", F.lit(".txt"))).alias("base"), F.col("lang").alias("mime"), F.lit(None).cast("double").alias("duration"))
+                 F.col("n_chars").alias("size"), base(F.concat(F.lit("dir/"), "source", F.lit("-"), F.expr("doc_id div 100"), F.lit(".txt"))).alias("base"), F.col("lang").alias("mime"), F.lit(None).cast("double").alias("duration"))
     c = d.select((F.col("doc_id") + 1_000_000).alias("id"), (-F.col("doc_id")).alias("position"), *attrs, F.when(F.col("doc_id") % 4 > 0, F.sha2("text", 256)).alias("hash"),
-                 F.col("n_chars").alias("size"), base(F.concat("source", F.lit(".TXT"))).alias("base"), F.col("lang").alias("mime"), F.lit(None).cast("double").alias("duration"))
+                 F.col("n_chars").alias("size"), base(F.concat("source", F.lit("-"), F.expr("doc_id div 100"), F.lit(".TXT"))).alias("base"), F.col("lang").alias("mime"), F.lit(None).cast("double").alias("duration"))
     return a, c
 
 
-_REL = """a as (select doc_id as id, case when doc_id%3>0 then sha256(text) end as h, n_chars as sz, source as b, lang as m from documents), c as (select doc_id+1000000 as id, -doc_id as pos, case when doc_id%4>0 then sha256(text) end as h, n_chars as sz, source as b, lang as m from documents),
+_REL = """a as (select doc_id as id, case when doc_id%3>0 then sha256(text) end as h, n_chars as sz, source||(doc_id//100) as b, lang as m from documents), c as (select doc_id+1000000 as id, -doc_id as pos, case when doc_id%4>0 then sha256(text) end as h, n_chars as sz, source||(doc_id//100) as b, lang as m from documents),
   sc as (select a.id, c.id as cid, c.pos, case when a.h is not null and c.h is not null then case when a.h=c.h then 1000 end else case when a.sz>0 and a.sz=c.sz then 120 else 0 end+case when a.b=c.b then 80 else 0 end+case when a.m=c.m then 20 else 0 end end as score from a, c)"""
 
 

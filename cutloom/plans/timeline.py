@@ -34,7 +34,7 @@ def tl01o(t):
 
 def grid_of(t, step=600):
     """Time grid over the whole stored timeline, one point every ``step`` seconds."""
-    end = t.v_intervals.agg(F.max(T.END).alias("range_end"))
+    end = t.v_intervals.agg(F.max(T.clip_end()).alias("range_end"))
     out = end.select(F.lit(1.0 / step).alias("fps"), F.lit(0.0).alias("range_start"), "range_end")
     return E.frame_times(out)
 
@@ -210,7 +210,7 @@ def tl18(t):
   i as (select *, sum(case when reach is null or start>reach+60 then 1 else 0 end) over (partition by track_id order by start, fin) as island from m)
   select track_id, round(min(start),6) as start, round(max(fin),6) as fin, count(*) as ranges from i group by track_id, island""")
 def tl19(t):
-    r = t.v_intervals.select("track_id", "start", T.END.alias("end"))
+    r = t.v_intervals.select("track_id", "start", T.clip_end().alias("end"))
     return r6(T.merge_time_ranges(r, ["track_id"], 60.0), "start", "end").select("track_id", "start", F.col("end").alias("fin"), "ranges")
 
 

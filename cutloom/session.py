@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +41,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder and cut its lineage (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` once into the shared checkpoint folder and read it back.
+
+    Cuts the lineage, survives the loss of executors, computes the input once (an eager checkpoint runs it twice) and
+    gives the optimizer true sizes for the next join.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
