@@ -7,20 +7,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-# Fixed value: characters that NFKC leaves alone whatever surrounds them. Text made of these skips the Python step.
-NFKC_STABLE = (r"\x00-\x7F¡§©«¬®°±¶·»¿-ÿ"
-               r"–—‘-”")
-
-
 @F.pandas_udf(T.StringType())
 def nfkc_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
 def nfkc(col: Column) -> Column:
-    """NFKC; only rows that hold a character outside the stable set cross to Python."""
-    risky = F.when(col.rlike(f"[^{NFKC_STABLE}]"), col)
-    return F.coalesce(nfkc_udf(risky), col)
+    """NFKC; only rows with a character outside ASCII (more bytes than characters) cross to Python."""
+    return F.coalesce(nfkc_udf(F.when(F.octet_length(col) > F.length(col), col)), col)
 
 
 def normalized(col: Column) -> Column:
