@@ -160,9 +160,8 @@ def representations(relations: DataFrame, nodes: DataFrame, clip_assets: DataFra
 
 def representation_summary(reps: DataFrame) -> DataFrame:
     """Per object and asset: counts of distinct relations and targets, and the sorted roles (roles are few)."""
-    pre = reps.groupBy("object_id", "asset_id", "edge_id", "target_id").agg(F.collect_set("role").alias("r"))
-    edges = pre.groupBy("object_id", "asset_id", "edge_id").count().groupBy("object_id", "asset_id").agg(F.count("*").alias("relations"))
-    targets = pre.groupBy("object_id", "asset_id", "target_id").count().groupBy("object_id", "asset_id").agg(F.count("*").alias("targets"))
+    edges = reps.select("object_id", "asset_id", "edge_id").distinct().groupBy("object_id", "asset_id").agg(F.count("*").alias("relations"))
+    targets = reps.select("object_id", "asset_id", "target_id").distinct().groupBy("object_id", "asset_id").agg(F.count("*").alias("targets"))
     roles = reps.select("object_id", "asset_id", "role").distinct().groupBy("object_id", "asset_id").agg(
         F.array_join(F.sort_array(F.collect_list("role")), ",").alias("roles"))
     return edges.join(targets, ["object_id", "asset_id"]).join(roles, ["object_id", "asset_id"])

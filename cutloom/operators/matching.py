@@ -58,12 +58,61 @@ def _with_class(rows: DataFrame) -> DataFrame:
     return rows.withColumn("class", F.sha2(text, 256))
 
 
+# Evidence sets that reach the minimum without a hash: (size, base, mime, duration) and their points.
+_COMBOS = [(c, sum(p for on, p in zip(c, (SAME_SIZE, SAME_NAME, SAME_MIME, SAME_DURATION)) if on))
+           for c in [(s, b, m, d) for s in (1, 0) for b in (1, 0) for m in (1, 0) for d in (1, 0)]]
+_COMBOS = [(c, p) for c, p in _COMBOS if p >= MINIMUM]
+
+
 def best_candidates(assets: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Best candidate of each asset on its own (no competition): (id, candidate position, score)."""
-    s = class_scores(assets, candidates)
-    best = s.groupBy("a_class").agg(F.max(F.struct("score", (-F.col("c_first")).alias("neg"))).alias("b"))
-    return _with_class(assets).join(best, F.col("class") == F.col("a_class")).select(
-        "id", (-F.col("b.neg")).alias("candidate"), F.col("b.score").alias("score"))
+    """Best candidate of each asset on its own (no competition): (id, candidate position, score), first position on ties.
+
+    No pairs are formed. Every row is keyed once per evidence set that can reach the minimum; candidates fold to their
+    first position per key (map-side), and an asset takes its best key that exists. A candidate that matches more evidence
+    also has the smaller keys, so the largest hit is its true score.
+    """
+    slot = F.floor(F.col("duration") / 0.05).cast("bigint")
+
+    def keyed(rows: DataFrame, near: bool) -> DataFrame:
+        """(row.., combo, key, kinds): ``near`` also keys the neighbouring duration slots."""
+        value = {"size": F.when(F.col("size") > 0, F.col("size").cast("string")), "base": F.when(F.col("base") != "", F.col("base")),
+                 "mime": F.when(F.col("mime") != "", F.col("mime"))}
+        items = []
+        for i, ((s, b, m, d), points) in enumerate(_COMBOS):
+            parts = [value[n] for n, on in (("size", s), ("base", b), ("mime", m)) if on]
+            known = F.lit(True)
+            for part in parts:
+                known = known & part.isNotNull()
+            slots = F.array(slot - 1, slot, slot + 1) if near and d else F.array(slot) if d else F.array(F.lit(0).cast("bigint"))
+            known = known & F.col("duration").isNotNull() if d else known
+            items.append(F.when(known, F.transform(slots, _combo_key(i, points, parts))))
+        return rows.withColumn("k", F.explode(F.flatten(F.array_compact(F.array(*items))))).select("*", "k.combo", "k.points", "k.key", F.col("k.slot").alias("slot"))
+
+    any_kind = F.lit("*")
+    c = keyed(candidates, False).withColumn("hashless", F.col("hash").isNull())
+    # a candidate is found under its own kind and under "any"; a candidate without kind is found by everyone
+    c = c.withColumn("kind", F.explode(F.when(F.col("media_kind").isNull(), F.array(any_kind, F.lit("?"))).otherwise(F.array(any_kind, F.col("media_kind")))))
+    # durations are compared exactly, so they stay part of the folded key where they count
+    exact = F.when(F.element_at(F.array(*[F.lit(bool(x[0][3])) for x in _COMBOS]), F.col("combo") + 1), F.col("duration"))
+    c = c.withColumn("c_duration", exact).groupBy("combo", "key", "slot", "kind", "hashless", "c_duration").agg(F.min("position").alias("candidate"))
+    a = keyed(assets, True)
+    wanted = F.when(F.col("media_kind").isNull(), F.array(any_kind)).when(F.col("media_kind") == "music", F.array(F.lit("music"), F.lit("audio"), F.lit("?"))).otherwise(
+        F.array(F.col("media_kind"), F.lit("?")))
+    a = a.withColumn("kind", F.explode(wanted)).select("id", "hash", "duration", "combo", "points", "key", "slot", "kind")
+    soft = a.join(c, ["combo", "key", "slot", "kind"]).where(
+        (F.col("hash").isNull() | F.col("hashless")) & (F.col("c_duration").isNull() | (F.abs(F.col("duration") - F.col("c_duration")) < 0.05)))
+    soft = soft.select("id", F.col("points").alias("score"), "candidate")
+    h = candidates.where("hash is not null").groupBy("hash", F.coalesce("media_kind", F.lit("?")).alias("ck")).agg(F.min("position").alias("candidate"))
+    hard = assets.where("hash is not null").join(h, "hash").where(
+        F.col("media_kind").isNull() | (F.col("ck") == "?") | (F.col("ck") == F.col("media_kind")) | ((F.col("media_kind") == "music") & (F.col("ck") == "audio")))
+    hard = hard.select("id", F.lit(SAME_HASH).alias("score"), "candidate")
+    best = soft.unionByName(hard).groupBy("id").agg(F.max(F.struct("score", (-F.col("candidate")).alias("neg"))).alias("b"))
+    return best.select("id", (-F.col("b.neg")).alias("candidate"), F.col("b.score").alias("score"))
+
+
+def _combo_key(i: int, points: int, parts: list):
+    key = F.concat_ws("|", *parts) if parts else F.lit("")
+    return lambda slot: F.struct(F.lit(i).alias("combo"), F.lit(points).alias("points"), key.alias("key"), slot.alias("slot"))
 
 
 def match(assets: DataFrame, candidates: DataFrame, span_width: float = 1 << 20) -> DataFrame:

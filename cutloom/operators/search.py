@@ -16,6 +16,7 @@ from .scan import union_all
 EXACT_NAME_BONUS, PART_NAME_BONUS, ALL_TERMS_BONUS = 20, 8, 4
 MAX_QUERY_TERMS, MAX_QUERY_CHARS, MAX_RESULTS = 128, 4096, 200
 RELATION_WEIGHT = 3
+MAX_QUERIES = 128
 
 
 @dataclass(frozen=True)
@@ -120,9 +121,13 @@ def score(spark: SparkSession, postings: DataFrame, docs: DataFrame, queries: Ma
           kinds: Sequence[str] | None = None, minimum: float = 1) -> DataFrame:
     """(query, id, kind, name, score, matched): one row per query and document at or above ``minimum``.
 
-    The query list is user input of bounded size, so its terms are broadcast and the name bonuses are a projection
-    over ``docs``; both meet in one aggregate keyed by (query, id).
+    A block of at most ``MAX_QUERIES`` queries has at most 128 terms each, so its terms are broadcast and the name bonuses
+    are a projection over ``docs``; both meet in one aggregate keyed by (query, id). Longer lists run block by block.
     """
+    if len(queries) > MAX_QUERIES:
+        names = list(queries)
+        blocks = [{q: queries[q] for q in names[i:i + MAX_QUERIES]} for i in range(0, len(names), MAX_QUERIES)]
+        return union_all([score(spark, postings, docs, b, kinds, minimum) for b in blocks])
     terms = {q: query_terms(text) for q, text in queries.items()}
     rows = [(q, t) for q, ts in terms.items() for t in ts]
     schema = T.StructType([T.StructField("query", T.StringType()), T.StructField("term", T.StringType())])

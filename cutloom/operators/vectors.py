@@ -10,6 +10,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .scan import union_all
+
 RRF_OFFSET = 60  # fixed value: rank fusion constant
 MAX_QUERY_VECTORS = 1024
 
@@ -35,7 +37,10 @@ def vector_top_k(index: DataFrame, queries: DataFrame, k: int = 20, minimum: flo
     held = queries.select("query", F.col("vector").cast("array<double>").alias("vector")).limit(
         MAX_QUERY_VECTORS + 1).collect()
     if len(held) > MAX_QUERY_VECTORS:
-        raise ValueError(f"at most {MAX_QUERY_VECTORS} query vectors per call; split the batch")
+        # more queries than one block may ship: run hash blocks of about half the limit, each checked again
+        blocks = -(-queries.count() // (MAX_QUERY_VECTORS // 2))
+        part = F.pmod(F.xxhash64("query"), F.lit(blocks))
+        return union_all([vector_top_k(index, queries.where(part == i), k, minimum, kinds) for i in range(blocks)])
     if kinds is not None:
         index = index.where(F.col("kind").isin(*kinds))
     names = [r["query"] for r in held]
