@@ -118,27 +118,23 @@ def mix(items: DataFrame, sources: DataFrame, lengths: DataFrame) -> DataFrame:
     Items: item_id, output_id, buffer_id, dest_start, source_start, frames, playback_rate, gain_db, pan, fade_in, fade_out (frames).
     Sources are two-channel sample tables; positions between samples are interpolated; ``lengths`` is (output_id, length).
     """
-    size = sources.groupBy("buffer_id").agg((F.max("i") + 1).alias("n"))
+    size = sources.groupBy("buffer_id").agg(*[(F.max(F.when(F.col("channel") == c, F.col("i"))) + 1).alias(f"n{c}") for c in (0, 1)])
     x = items.join(size, "buffer_id").join(lengths, "output_id")
-    available = F.floor((F.col("n") - F.col("source_start")) / F.col("playback_rate"))
+    available = F.floor((F.greatest("n0", "n1") - F.col("source_start")) / F.col("playback_rate"))
     frames = F.greatest(F.lit(0), F.least(F.col("length") - F.col("dest_start"), F.coalesce(F.col("frames"), available)))
     x = explode_range(x.withColumn("__frames", frames.cast("bigint")), F.lit(0), F.col("__frames"), "f")
+    # one row per output side; a mono source plays on both, a short channel holds its last sample
+    side = lambda c, n: F.struct(F.lit(c).alias("side"), (F.lit(c) if c == 0 else F.when(F.col("n1").isNull(), 0).otherwise(1)).cast("bigint").alias("channel"), n.alias("n"))
+    x = x.withColumn("__s", F.explode(F.array(side(0, F.col("n0")), side(1, F.coalesce("n1", "n0"))))).select("*", "__s.*")
     pos = F.greatest(F.lit(0.0), F.least(F.col("n") - 1, F.col("source_start") + F.col("f") * F.col("playback_rate")))
     x = x.withColumn("__pos", pos).withColumn("i", F.floor("__pos").cast("bigint"))
-    wide = with_next(sources).groupBy("buffer_id", "i").agg(*[
-        F.max(F.when(F.col("channel") == c, F.col(col))).alias(f"{name}{c}") for c in (0, 1) for name, col in (("v", "v"), ("w", "__next"))])
-    y = x.join(wide, ["buffer_id", "i"])
+    y = x.join(with_next(sources).withColumn("channel", F.col("channel").cast("bigint")), ["buffer_id", "channel", "i"])
     part = F.col("__pos") - F.col("i")
-
-    def value(c):
-        # a mono source plays on both sides
-        v, w = F.coalesce(f"v{c}", "v0"), F.coalesce(f"w{c}", F.when(F.col(f"v{c}").isNull(), F.col("w0")))
-        return F.when(part > 0, v * (1 - part) + F.coalesce(w, v) * part).otherwise(v)
-
+    value = F.when(part > 0, F.col("v") * (1 - part) + F.coalesce("__next", "v") * part).otherwise(F.col("v"))
     gain = fade(F.col("f").cast("double"), (F.col("__frames") - F.col("f")).cast("double"), F.col("fade_in"), F.col("fade_out")) * db_to_gain(F.col("gain_db"))
     lp, rp = pan_gains(F.col("pan"))
-    return y.groupBy("output_id", (F.col("dest_start") + F.col("f")).alias("i")).agg(
-        F.sum(value(0) * gain * lp).alias("left"), F.sum(value(1) * gain * rp).alias("right"))
+    total = lambda c, pan: F.coalesce(F.sum(F.when(F.col("side") == c, value * gain * pan)), F.lit(0.0))
+    return y.groupBy("output_id", (F.col("dest_start") + F.col("f")).alias("i")).agg(total(0, lp).alias("left"), total(1, rp).alias("right"))
 
 
 def mix_plan(clips: DataFrame, start: float, end: float, rate: int) -> DataFrame:

@@ -175,9 +175,10 @@ def estimates_of(t):
     return S.throughput(downloads_of(t), "user_id", ["at_us", "event_id"], span_of("at_us", 10 * 86400e6), initial=4e6)
 
 
-@query("abr01_throughput", f"with recursive {_EW}, k as (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as n from events) select event_id, round(fast,2) as fast_bps, round(slow,2) as slow_bps, round(least(fast,slow),2) as estimate from e join k using (user_id, n)")
+@query("abr01_throughput", f"with recursive {_EW}, k as (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as n from events) select event_id, round(fast/1e6::double,4) as fast_mbps, round(slow/1e6::double,4) as slow_mbps, round(least(fast,slow)/1e6::double,4) as estimate_mbps from e join k using (user_id, n)")
 def abr01(t):
-    return r6(estimates_of(t).select("event_id", "fast_bps", "slow_bps", "estimate"), "fast_bps", "slow_bps", "estimate", n=2)
+    mbps = lambda c, name: F.round(F.col(c) / 1e6, 4).alias(name)
+    return estimates_of(t).select("event_id", mbps("fast_bps", "fast_mbps"), mbps("slow_bps", "slow_mbps"), mbps("estimate", "estimate_mbps"))
 
 
 def variants_of(t):
@@ -282,10 +283,10 @@ def items_of(t):
                            F.when(e % 2 == 0, 1.0).otherwise(1.5).alias("playback_rate"), (e % 12 - 6).cast("double").alias("gain_db"), (e % 3 - 1).cast("double").alias("pan"), (e % 5).alias("fade_in"), (e % 4).alias("fade_out"))
 
 
-@query("aud07_mix", f"""with {_IT}, n as (select buffer_id, max(i)+1 as n from v_samples group by 1), x as (select it.*, n, greatest(0, least(120-dest_start, frames)) as fr from it join n using (buffer_id)), f as (select *, unnest(generate_series(0, fr-1)) as f from x where fr>0),
-  p as (select *, greatest(0, least(n-1, source_start+f*rate)) as pos from f), q as (select *, floor(pos)::bigint as l, pos-floor(pos) as mx, least(1, case when fi>0 then least(1, greatest(0, f/fi)) else 1 end, case when fo>0 then least(1, greatest(0, (fr-f)/fo)) else 1 end)*pow(10, gain_db/20) as g, (pan+1)*pi()/4 as an from p),
-  v as (select q.*, a.v as a0, b.v as b0, c.v as a1, d.v as b1 from q join v_samples a on a.buffer_id=q.buffer_id and a.channel=0 and a.i=l left join v_samples b on b.buffer_id=q.buffer_id and b.channel=0 and b.i=l+1 left join v_samples c on c.buffer_id=q.buffer_id and c.channel=1 and c.i=l left join v_samples d on d.buffer_id=q.buffer_id and d.channel=1 and d.i=l+1)
-  select output_id, dest_start+f as i, round(sum((case when mx>0 then a0*(1-mx)+coalesce(b0,a0)*mx else a0 end)*g*cos(an)),4) as "left", round(sum((case when mx>0 then a1*(1-mx)+coalesce(b1,a1)*mx else a1 end)*g*sin(an)),4) as "right" from v group by all""")
+@query("aud07_mix", f"""with {_IT}, n as (select buffer_id, channel, max(i)+1 as n from v_samples group by 1,2), x as (select it.*, greatest(0, least(120-dest_start, frames)) as fr from it), f as (select *, unnest(generate_series(0, fr-1)) as f from x where fr>0),
+  p as (select f.*, n.channel, greatest(0, least(n.n-1, source_start+f*rate)) as pos from f join n on n.buffer_id=f.buffer_id), q as (select *, floor(pos)::bigint as l, pos-floor(pos) as mx, least(1, case when fi>0 then least(1, greatest(0, f/fi)) else 1 end, case when fo>0 then least(1, greatest(0, (fr-f)/fo)) else 1 end)*pow(10, gain_db/20) as g, (pan+1)*pi()/4 as an from p),
+  v as (select q.*, case when mx>0 then a.v*(1-mx)+coalesce(b.v,a.v)*mx else a.v end as y from q join v_samples a on a.buffer_id=q.buffer_id and a.channel=q.channel and a.i=l left join v_samples b on b.buffer_id=q.buffer_id and b.channel=q.channel and b.i=l+1)
+  select output_id, dest_start+f as i, round(coalesce(sum(y*g*cos(an)) filter (channel=0),0),4) as "left", round(coalesce(sum(y*g*sin(an)) filter (channel=1),0),4) as "right" from v group by all""")
 def aud07(t):
     lengths = t.events.select(F.col("user_id").alias("output_id")).distinct().withColumn("length", F.lit(120))
     return r6(A.mix(items_of(t), t.v_samples, lengths), "left", "right", n=4)

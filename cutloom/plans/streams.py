@@ -48,11 +48,11 @@ _DL = "d as (select user_id, event_id, row_number() over (partition by user_id o
 
 @query("str04_throughput", f"""with recursive {_DL}, e as (select user_id, event_id, n, 4e6::double+(bps-4e6)*(1-pow(0.5::double,1/3.0::double)) as fast, 4e6::double+(bps-4e6)*(1-pow(0.5::double,1/10.0::double)) as slow from d where n=1
   union all select d.user_id, d.event_id, d.n, e.fast+(d.bps-e.fast)*(1-pow(0.5::double,1/3.0::double)), e.slow+(d.bps-e.slow)*(1-pow(0.5::double,1/10.0::double)) from e join d on d.user_id=e.user_id and d.n=e.n+1)
-  select event_id, round(least(fast,slow),2) as estimate, false as late from e""")
+  select event_id, round(least(fast,slow)/1e6::double,4) as estimate_mbps, false as late from e""")
 def str04(t):
     d = events_of(t).select("user_id", "event_id", F.expr(f"{_US} as at_us"), (F.col("value") * 100000).alias("bytes"), (F.col("event_id") % 7 * 0.25).alias("seconds"))
     out = K.run_to_table(S.throughput(d, "user_id", ["at_us", "event_id"], ["event_id"], initial=4e6), "str04")
-    return out.select("event_id", F.round("estimate", 2).alias("estimate"), "late")
+    return out.select("event_id", F.round(F.col("estimate") / 1e6, 4).alias("estimate_mbps"), "late")
 
 
 @query("str05_quarantine", """with att as (select user_id as backend_id, event_id, epoch_us(ts)//1000 as at_, case when event_id%7<4 then 'failure' when event_type='view' then 'success' else 'unsupported' end as result from events),
