@@ -16,8 +16,7 @@ from .scan import asof, span_of, span_scan
 def iso_seconds(text: Column) -> Column:
     """Seconds of an ISO-8601 duration PnDTnHnMnS; null when malformed."""
     pattern = r"^P(?:(\d+(?:\.\d+)?)D)?(?:T(?:(\d+(?:\.\d+)?)H)?(?:(\d+(?:\.\d+)?)M)?(?:(\d+(?:\.\d+)?)S)?)?$"
-    part = lambda i, k: F.coalesce(F.try_to_number(F.lit(None).cast("string"), F.lit("9")).cast("double"),
-                                   F.nullif(F.regexp_extract(text, pattern, i), F.lit("")).cast("double"), F.lit(0.0)) * k
+    part = lambda i, k: F.coalesce(F.nullif(F.regexp_extract(text, pattern, i), F.lit("")).cast("double"), F.lit(0.0)) * k
     return F.when(text.rlike(pattern), part(1, 86400) + part(2, 3600) + part(3, 60) + part(4, 1))
 
 
