@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACES = " \t\n\x0b\f\r"
@@ -45,3 +46,8 @@ def fresh(df: DataFrame, *stems: str) -> list[str]:
 def field(name: str) -> Column:
     """A column by its literal name, dots included."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def with_fields(df: DataFrame, names: list[str], ddl: str) -> T.StructType:
+    """The schema of the named columns of ``df`` followed by the fields of ``ddl``."""
+    return T.StructType(df.select(*map(field, names)).schema.fields + T.StructType.fromDDL(ddl).fields)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_runs
+from . import decontaminate, exact_dedup, line_runs
 
 QUERIES = {
     "op3_line_runs": line_runs.op3_line_runs,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op10_suffix_decontamination": decontaminate.op10_suffix_decontamination,
 }
 
 ORACLES = {
     "op3_line_runs": line_runs.OP3_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
+    "op10_suffix_decontamination": decontaminate.OP10_SQL,
 }
