@@ -7,28 +7,14 @@ set. A slot shared by chance costs one needless hash and changes no result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
 from .columns import field, fresh, one_space, whole
+from .slots import bit_table, mark
 
 PREFIX = 256
-TABLE_WORDS = 1 << 16  # 64-bit words: a table of 512 KB whatever the input
-
-
-def _slot(*keys: Column) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(TABLE_WORDS * 64))
-
-
-def _bit_table(groups: DataFrame, keys: list[str]) -> DataFrame:
-    """One row ``bits``: an array of TABLE_WORDS longs with the slots of ``groups`` set."""
-    slot = _slot(*[field(k) for k in keys])
-    words = groups.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 64).alias("w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("v"))
-    zeros = groups.sparkSession.range(TABLE_WORDS).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("v"))
-    every = zeros.unionByName(words).groupBy("w").agg(F.bit_or("v").alias("v"))
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "v"))), lambda x: x["v"]).alias("bits"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX) -> DataFrame:
@@ -40,21 +26,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     together. Columns of ``docs`` named like a result are replaced; all others pass through. An empty table gives no rows.
     """
     docs = docs.drop("keep_id", "group_size", "kept")
-    size, head, full, sure = fresh(docs, "size", "head", "full", "sure")
+    size, head, full, shared_ = fresh(docs, "size", "head", "full", "shared")
     norm = one_space(whole(field(text_col)))
     levels = {size: F.length(norm), head: F.xxhash64(F.substring(norm, 1, prefix))}
 
     narrow = durable(docs.select(*[c.alias(n) for n, c in levels.items()]))
-    lengths = narrow.groupBy(size).count().where("count > 1").select(size)
-    heads = narrow.join(lengths, size, "left_semi").groupBy(size, head).count().where("count > 1").select(size, head)
-    table = durable(_bit_table(heads, [size, head]))
-
-    marked = docs.withColumns(levels).crossJoin(F.broadcast(table)).withColumn(
-        sure, F.expr("shiftright(element_at(bits, cast({0} div 64 as int) + 1), cast({0} % 64 as int)) & 1 = 0".format(
-            f"pmod(xxhash64(`{size}`, `{head}`), {TABLE_WORDS * 64})"))).drop("bits")
-    alone = marked.where(field(sure)).withColumns(
+    counts = narrow.groupBy(size, head).count()
+    lengths = counts.groupBy(size).agg(F.sum("count").alias("n")).where("n > 1").select(size)
+    heads = counts.where("count > 1").join(lengths, size, "left_semi").select(size, head)
+    marked = mark(docs.withColumns(levels), bit_table(heads, [size, head]), [size, head], shared_)
+    alone = marked.where(~field(shared_)).withColumns(
         {"keep_id": field(id_col), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
-    shared = marked.where(~field(sure)).withColumn(full, F.sha2(norm, 256))
+    shared = marked.where(field(shared_)).withColumn(full, F.sha2(norm, 256))
     key = [size, head, full]
     groups = shared.groupBy(*key).agg(F.min(field(id_col)).alias("keep_id"), F.count("*").alias("group_size"))
     joined = shared.join(groups, key).withColumn("kept", field(id_col).eqNullSafe(F.col("keep_id")))

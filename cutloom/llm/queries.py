@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, line_runs
+from . import decontaminate, exact_dedup, jaccard_join, line_runs
 
 QUERIES = {
     "op3_line_runs": line_runs.op3_line_runs,
+    "op7_universe_partition": jaccard_join.op7_universe_partition,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_suffix_decontamination": decontaminate.op10_suffix_decontamination,
 }
