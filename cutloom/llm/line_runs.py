@@ -12,23 +12,27 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, durable
 from .columns import SPACES, ascii_lower, field, fresh, hash_pair, whole
 
 FAN_IN = 4
 MIN_DOCUMENTS = 10
 MIN_CHARS = 1
 BATCHES = 4
+RESULTS = ("kept_text", "n_lines", "n_dropped")
 
 
 def lines_of(text: Column) -> Column:
     return F.split(whole(text), "\n", -1)
 
 
-def key_of(line: Column) -> Column:
-    """Two 64-bit hashes of the line without outer white space, A-Z lower-cased; null for keys below the least length."""
-    bare = ascii_lower(F.btrim(line, F.lit(SPACES)))
-    return F.when(F.length(bare) >= MIN_CHARS, hash_pair(bare))
+def keys_of(text: Column) -> Column:
+    """Per line two 64-bit hashes of it without outer white space, A-Z lower-cased; null for keys below the least length.
+
+    One ``transform`` for each step: inside a lambda nothing that is used twice would be computed once.
+    """
+    bare = F.transform(F.transform(lines_of(text), lambda x: F.btrim(x, F.lit(SPACES))), ascii_lower)
+    return F.transform(bare, lambda x: F.when(F.length(x) >= MIN_CHARS, hash_pair(x)))
 
 
 class LineRuns:
@@ -49,11 +53,10 @@ class LineRuns:
     def _merged(self, paths: list[str]) -> DataFrame:
         return self.spark.read.schema("a long, b long, n long").parquet(*paths).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
-    def add(self, batch: DataFrame, text_col: str = "text") -> None:
-        """Counts the documents of ``batch`` that hold each key, as a new run; merges levels that are full."""
-        keys = F.array_distinct(F.filter(F.transform(lines_of(field(text_col)), key_of), lambda k: k.isNotNull()))
-        counts = batch.select(F.explode(keys).alias("k")).groupBy("k.a", "k.b").agg(F.count("*").alias("n"))
-        self._write(counts, 0)
+    def add(self, keyed: DataFrame) -> None:
+        """Counts the documents of a batch (one array ``keys`` each) that hold each key, as a new run; merges full levels."""
+        held = F.array_distinct(F.filter("keys", lambda k: k.isNotNull()))
+        self._write(keyed.select(F.explode(held).alias("k")).groupBy("k.a", "k.b").agg(F.count("*").alias("n")), 0)
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fan_in:
             full, self.levels[level] = self.levels[level], []
@@ -66,23 +69,28 @@ class LineRuns:
         return self._merged(paths) if paths else self.spark.createDataFrame([], "a long, b long, n long")
 
 
-def _minus(docs: DataFrame, text_col: str, common: DataFrame, out: dict[str, str]) -> DataFrame:
+def _row(docs: DataFrame) -> Column:
+    """A row by its content: equal rows are one row here, and lose the same lines."""
+    return hash_pair(*map(field, docs.columns))
+
+
+def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
+    """(row, keys) per document, written once: the texts are cut into lines and hashed in one pass."""
+    return durable(docs.select(_row(docs).alias("row"), keys_of(field(text_col)).alias("keys")))
+
+
+def _minus(docs: DataFrame, text_col: str, keyed: DataFrame, common: DataFrame) -> DataFrame:
     """``docs`` without the lines whose key is in ``common``: adds the text that stays, the lines and the dropped lines."""
     row, part, at = fresh(docs, "row", "part", "at")
-    ident = [F.xxhash64(*map(field, docs.columns)), F.xxhash64(F.lit(5), *map(field, docs.columns))]
-    named = docs.withColumn(row, F.struct(ident[0].alias("x"), ident[1].alias("y")))
-    lines = F.filter(F.transform(lines_of(field(text_col)), lambda x, i: F.struct(i.alias("i"), key_of(x).alias("k"))),
-                     lambda x: x["k"].isNotNull())
-    each = named.select(field(row).alias("row"), F.explode(lines).alias("l")).select("row", "l.i", "l.k.a", "l.k.b")
-    hits = each.join(common.select("a", "b"), ["a", "b"], "left_semi").groupBy("row").agg(F.collect_set("i").alias("gone"))
-    both = named.join(hits.withColumnRenamed("row", row).withColumnRenamed("gone", at), row, "left").withColumn(
+    each = keyed.select("row", F.posexplode("keys").alias("i", "k")).where("k is not null").select("row", "i", "k.a", "k.b")
+    hits = each.join(common, ["a", "b"], "left_semi").groupBy("row").agg(F.collect_set("i").alias(at))
+    both = docs.withColumn(row, _row(docs)).join(hits.withColumnRenamed("row", row), row, "left").withColumn(
         part, lines_of(field(text_col)))
     gone = F.coalesce(field(at), F.array().cast("array<int>"))
-    stay = F.when(F.size(gone) == 0, field(part)).otherwise(
-        F.filter(field(part), lambda x, i: ~F.array_contains(gone, i)))
+    stay = F.when(F.size(gone) == 0, field(part)).otherwise(F.filter(field(part), lambda x, i: ~F.array_contains(gone, i)))
     return both.select(
-        *map(field, docs.columns), F.array_join(stay, "\n").alias(out["kept"]), F.size(field(part)).cast("long").alias(out["lines"]),
-        F.size(gone).cast("long").alias(out["dropped"]))
+        *map(field, docs.columns), F.array_join(stay, "\n").alias("kept_text"), F.size(field(part)).cast("long").alias("n_lines"),
+        F.size(gone).cast("long").alias("n_dropped"))
 
 
 def _batches(docs: DataFrame, batches: int) -> list[DataFrame]:
@@ -103,12 +111,14 @@ def drop_common_lines(docs: DataFrame, text_col: str = "text", min_documents: in
     one empty line. Keys without a character are never counted. Each row counts as a document, repeated rows too. Columns of
     ``docs`` named like a result are replaced, all others pass through. An empty table gives no rows.
     """
-    docs = docs.drop("kept_text", "n_lines", "n_dropped")
-    runs = LineRuns(docs.sparkSession, fan_in)
+    docs = docs.drop(*RESULTS)
+    runs, keyed = LineRuns(docs.sparkSession, fan_in), None
     for batch in batches or [docs]:
-        runs.add(batch, text_col)
-    return _minus(docs, text_col, runs.counts().where(F.col("n") >= min_documents),
-                  {"kept": "kept_text", "lines": "n_lines", "dropped": "n_dropped"})
+        one = _keyed(batch.select(*map(field, docs.columns)), text_col)
+        runs.add(one)
+        keyed = one if keyed is None else keyed.unionByName(one)
+    common = durable(runs.counts().where(F.col("n") >= min_documents).select("a", "b"))
+    return _minus(docs, text_col, keyed, common)
 
 
 def drop_seen_lines(batch: DataFrame, runs: LineRuns, text_col: str = "text") -> DataFrame:
@@ -116,11 +126,10 @@ def drop_seen_lines(batch: DataFrame, runs: LineRuns, text_col: str = "text") ->
 
     The runs are read as they were before the call. Null texts, repeated rows and extra columns are treated as above.
     """
-    before = [p for level in runs.levels for p in level]
-    seen = runs._merged(before) if before else runs.counts()
-    runs.add(batch, text_col)
-    return _minus(batch.drop("kept_text", "n_lines", "n_dropped"), text_col, seen,
-                  {"kept": "kept_text", "lines": "n_lines", "dropped": "n_dropped"})
+    batch = batch.drop(*RESULTS)
+    keyed, seen = _keyed(batch, text_col), durable(runs.counts().select("a", "b"))
+    runs.add(keyed)
+    return _minus(batch, text_col, keyed, seen)
 
 
 def op3_line_runs(spark, sf_dir: str) -> DataFrame:
