@@ -28,7 +28,8 @@ LONG = 48  # symbols; longer words use the heap
 SPACE = "▁"
 SHIFT = np.uint64(22)
 NONE = np.int64(1) << 40
-CELLS = 1 << 21
+CELLS = 1 << 20  # symbols encoded side by side
+SHARD = 12 << 20  # bytes of text whose distinct words are encoded together
 
 
 @dataclass
@@ -279,7 +280,7 @@ def encode_pieces(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(variant)
-            for part, texts in words.shards(batch, text_col, 4 * words.SHARD_BYTES):
+            for part, texts in words.shards(batch, text_col, SHARD):
                 ids, offsets = encode_texts(vocabulary, texts, part.column(at).to_numpy(zero_copy_only=False), drop)
                 kept = [part.column(part.schema.get_field_index(c)) for c in carry]
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
