@@ -7,9 +7,10 @@ Which segments get deletions is chosen per band by the number of keys, as long a
 the SLACK(band) segments that tell least about it (empty ones, then the smallest); twice that many are added to the sum, so the
 guarantee holds whatever two sets leave out.
 
-Only one of several equal sets takes part. In a bucket of equal keys all members are first paired with the least one; what is
-then connected needs no pair any more, so a group of n copies costs about n pairs. Pairs of different components that share a
-bucket are compared in a second round, after an exact bound from parity sketches. All pairs are verified on whole texts.
+Only one of several equal sets takes part. In a bucket of equal keys all members are first paired with the least one, then with
+the next one where that did not connect them; what is connected needs no pair any more, so a group of n copies costs about n
+pairs. What is left, pairs of different components in one bucket, is compared last. Pairs that parity sketches prove to be too
+different are left out; all others are verified on whole texts.
 """
 
 from __future__ import annotations
@@ -232,6 +233,41 @@ def _buckets(keys: DataFrame) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(scan, "key long, leader long, node long")
 
 
+def _near(size_x: np.ndarray, size_y: np.ndarray, sketch_x: np.ndarray, sketch_y: np.ndarray, percent: int) -> np.ndarray:
+    """False only for pairs that sizes or parity sketches prove to be too different."""
+    small, large = np.minimum(size_x, size_y), np.maximum(size_x, size_y)
+    bits = np.bitwise_count(sketch_x ^ sketch_y).sum(1)
+    return (small * 100 >= large * percent) & (bits <= (small + large) * (100 - percent) // (100 + percent))
+
+
+def _pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "y"])
+
+
+def _sketches(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH_BITS // 8)
+
+
+def _beside(members: DataFrame, percent: int) -> DataFrame:
+    """(x, y): in each key, members that follow each other in the order of nodes, if their components differ; one pass."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch] if last is None else [last, batch])
+            last = batch.slice(batch.num_rows - 1)
+            key, comp, node, size = (rows[c].to_numpy() for c in ("key", "comp", "node", "size"))
+            at = np.flatnonzero((key[1:] == key[:-1]) & (comp[1:] != comp[:-1]))
+            sketch = _sketches(rows["sketch"])
+            at = at[_near(size[at], size[at + 1], sketch[at], sketch[at + 1], percent)]
+            yield _pairs(node[at], node[at + 1])
+
+    return members.repartition("key").sortWithinPartitions("key", "node").select(
+        "key", "comp", "node", "size", "sketch").mapInArrow(scan, "x long, y long")
+
+
 def _across(members: DataFrame, percent: int) -> DataFrame:
     """(x, y): pairs of a key whose components differ and whose sketches do not rule them out."""
 
@@ -240,15 +276,12 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
             one = slice(start, start + 256)
             for other in range(start, len(node), 4096):
                 two = slice(other, other + 4096)
-                small = np.minimum(size[one, None], size[None, two])
-                large = np.maximum(size[one, None], size[None, two])
-                ok = (comp[one, None] != comp[None, two]) & (small * 100 >= large * percent)
+                ok = comp[one, None] != comp[None, two]
                 ok &= np.arange(start, start + ok.shape[0])[:, None] < np.arange(other, other + ok.shape[1])[None]
                 i, j = np.nonzero(ok)
-                bits = np.bitwise_count(sketch[start + i] ^ sketch[other + j]).sum(1)
-                near = bits <= (small[i, j] + large[i, j]) * (100 - percent) // (100 + percent)
-                x, y = node[start + i[near]], node[other + j[near]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "y"])
+                i, j = i + start, j + other
+                near = _near(size[i], size[j], sketch[i], sketch[j], percent)
+                yield _pairs(node[i[near]], node[j[near]])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -264,7 +297,7 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
 
     def groups(table: pa.Table) -> Iterator[pa.RecordBatch]:
         key, comp, node, size = (table[c].to_numpy() for c in ("key", "comp", "node", "size"))
-        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(key), SKETCH_BITS // 8)
+        sketch = _sketches(table["sketch"])
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else []
         for a, b in zip(starts, [*starts[1:], len(key)]):
             yield from pairs(comp[a:b], node[a:b], size[a:b], sketch[a:b])
@@ -297,6 +330,20 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str
     return durable(pairs.join(x, "x").join(y, "y").select("x", "y", "tx", "ty").mapInArrow(test, "x long, y long"))
 
 
+def _split_members(buckets: DataFrame, linked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, node, comp, size, sketch) of the keys whose members are not all in one component."""
+
+    def named(side: str) -> DataFrame:
+        return linked.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+
+    split = buckets.join(named("leader"), "leader", "left").join(named("node"), "node", "left").where(
+        "coalesce(leader_root, leader) <> coalesce(node_root, node)").select("key").distinct()
+    rows = durable(buckets.join(split, "key", "left_semi"))
+    members = rows.select("key", "node").unionByName(rows.select("key", F.col("leader").alias("node"))).distinct()
+    return members.join(linked, "node", "left").withColumn("comp", F.coalesce("root", "node")).join(
+        nodes.select("node", "size", "sketch"), "node")
+
+
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE,
                     percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id) of each row: texts link when 100 * |A and B| >= percent * |A or B| for their shingle sets.
@@ -313,22 +360,15 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = durable(nodes.groupBy("node").agg(F.min("doc").alias("doc"), F.min("size").alias("size"), F.min("sketch").alias("sketch")))
     buckets = durable(_buckets(_keys(narrow, "text", width, percent)))
     stars = durable(buckets.select(F.col("leader").alias("x"), F.col("node").alias("y")).distinct())
+    tested = stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     links = _verified(stars, nodes, narrow, "text", "id", width, percent)
     linked = components(links)
-
-    def named(side: str) -> DataFrame:
-        return linked.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-
-    split = buckets.join(named("leader"), "leader", "left").join(named("node"), "node", "left").where(
-        "coalesce(leader_root, leader) <> coalesce(node_root, node)").select("key").distinct()
-    rows = durable(buckets.join(split, "key", "left_semi"))
-    members = rows.select("key", "node").unionByName(rows.select("key", F.col("leader").alias("node"))).distinct()
-    members = members.join(linked, "node", "left").withColumn("comp", F.coalesce("root", "node")).join(
-        nodes.select("node", "size", "sketch"), "node")
-    rest = _across(members, percent).distinct().join(stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")),
-                                                     ["x", "y"], "left_anti")
-    more = _verified(durable(rest), nodes, narrow, "text", "id", width, percent)
-    linked = components(links.unionByName(more))
+    for further in (_beside, _across):  # the first joins most of what is similar in one pass, the second misses nothing
+        members = _split_members(buckets, linked, nodes)
+        rest = durable(further(members, percent).distinct().join(tested, ["x", "y"], "left_anti"))
+        links = links.unionByName(_verified(rest, nodes, narrow, "text", "id", width, percent))
+        tested = tested.unionByName(rest)
+        linked = components(links)
     roots = durable(nodes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "root", "doc"))
     least = roots.groupBy("root").agg(F.min("doc").alias("component"))
     of_node = roots.join(least, "root").select(F.col("node").alias("a"), "component")
