@@ -118,7 +118,7 @@ def find(texts: pa.Array, items: Items, window: int) -> tuple:
     hit = [covered[a:b] - s for a, b, s in zip(cut, np.append(cut[1:], len(covered)), start)]
     lists: list[list[str]] = [[] for _ in range(n)]
     longest = [(None, None, None)] * n
-    if hit_rows:
+    if any(map(len, hit_rows)):
         pairs = np.unique(np.stack([np.concatenate(hit_rows), np.concatenate(hit_items)]), axis=1)
         for r, i in pairs.T:
             lists[r].append(items.ids[i])
