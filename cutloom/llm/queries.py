@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import byte_cnn, decontaminate, exact_dedup, jaccard_join, line_runs, page_text, toxicity
+from . import (byte_cnn, decontaminate, exact_dedup, jaccard_join, line_runs, page_text, personal_data, pieces, repeats,
+               toxicity)
 
 QUERIES = {
     "op1_classifier_chain": toxicity.op1_classifier_chain,
+    "op2_sparse_suffixes": repeats.op2_sparse_suffixes,
     "op3_line_runs": line_runs.op3_line_runs,
     "op4_page_differencing": page_text.op4_page_differencing,
+    "op5_weak_supervision": personal_data.op5_weak_supervision,
     "op6_byte_cnn": byte_cnn.op6_byte_cnn,
     "op7_universe_partition": jaccard_join.op7_universe_partition,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_merge_dropout": pieces.op9_merge_dropout,
     "op10_suffix_decontamination": decontaminate.op10_suffix_decontamination,
 }
 
