@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .fold import greedy_groups, ordered_fold
-from .intervals import overlap_join
+from .intervals import explode_range, overlap_join
 from .scan import asof, span_of, span_scan
 
 NULL_PID = 0x1FFF  # fixed value: filler packets
@@ -184,8 +184,8 @@ def expand_runs(runs: DataFrame, key: str, order: Sequence[str], count: str, spa
     """One row per element of run-length rows, numbered from 1 per key; empty runs give none."""
     x = span_scan(runs, [key], order, span, __before=("sum_before", F.col(count)))
     x = x.where(F.col(count) > 0)
-    return x.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col(count).cast("int")))).withColumn(
-        "number", (F.col("__before") + F.col("__i")).cast("bigint")).drop("__before", "__i")
+    x = explode_range(x, F.lit(1).cast("bigint"), F.col(count).cast("bigint") + 1, "__i")
+    return x.withColumn("number", (F.col("__before") + F.col("__i")).cast("bigint")).drop("__before", "__i")
 
 
 def sample_index(samples: DataFrame, track: str, chunk: str, slot: Sequence[str], duration: str, size: str,

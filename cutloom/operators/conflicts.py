@@ -7,24 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 
-def resources(ops: DataFrame) -> DataFrame:
-    """Ops (project_id, seq, op_idx, op_type, entity_id, other_id, prop, tx_id) to the things they touch: scope, id, path."""
+def resources(ops: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
+    """Ops (keys.., seq, op_idx, op_type, entity_id, other_id, prop, edge_id) to the things they touch: scope, id, path."""
     r = lambda scope, i, path: F.struct(F.lit(scope).alias("scope"), i.cast("string").alias("id"), path.alias("path"))
     star, links = F.lit("*"), F.lit("@links")
     node, update = r("node", F.col("entity_id"), star), r("node", F.col("entity_id"), F.concat(F.lit("props:"), "prop"))
-    edge = F.array(r("edge", F.col("tx_id"), star), r("node", F.col("entity_id"), links), r("node", F.col("other_id"), links))
+    edge = F.array(r("edge", F.col("edge_id"), star), r("node", F.col("entity_id"), links), r("node", F.col("other_id"), links))
     touch = r("node", F.col("entity_id"), F.lit("@touch"))
     t = F.col("op_type")
     items = (F.when(t.isin("node.add", "node.remove"), F.array(node))
              .when(t == "node.update", F.array(F.when(F.col("prop").isNull(), touch).otherwise(update)))
-             .when(t == "edge.add", edge).when(t == "edge.remove", F.array(r("edge", F.col("tx_id"), star)))
+             .when(t == "edge.add", edge).when(t == "edge.remove", F.array(r("edge", F.col("edge_id"), star)))
              .otherwise(F.array(r("global", star, star))))
-    return ops.select("project_id", "seq", "op_idx", F.explode(items).alias("r")).select("project_id", "seq", "op_idx", "r.*")
+    return ops.select(*keys, "seq", "op_idx", F.explode(items).alias("r")).select(*keys, "seq", "op_idx", "r.*")
 
 
 def _sides(local: DataFrame, remote: DataFrame, keep: Sequence[str]):
-    l = resources(local).select("project_id", *[F.col(c).alias(f"l_{c}") for c in ("seq", "op_idx")], "scope", "id", F.col("path").alias("l_path"))
-    r = resources(remote).select("project_id", *[F.col(c).alias(f"r_{c}") for c in ("seq", "op_idx")], "scope", "id", F.col("path").alias("r_path"))
+    l = resources(local, keep).select(*keep, *[F.col(c).alias(f"l_{c}") for c in ("seq", "op_idx")], "scope", "id", F.col("path").alias("l_path"))
+    r = resources(remote, keep).select(*keep, *[F.col(c).alias(f"r_{c}") for c in ("seq", "op_idx")], "scope", "id", F.col("path").alias("r_path"))
     return l, r
 
 
@@ -34,7 +34,7 @@ def conflict_pairs(local: DataFrame, remote: DataFrame) -> DataFrame:
     Equi joins on (project, scope, id, path) for equal paths and on (project, scope, id) for whole-entity rows only;
     global operations meet everything of their project. For verdicts use ``conflict_counts``, which forms no pairs.
     """
-    l, r = _sides(local, remote, ())
+    l, r = _sides(local, remote, ("project_id",))
     coords = ["project_id", "l_seq", "l_op_idx", "r_seq", "r_op_idx"]
     named, star = F.col("l_path") != "*", F.col("r_path") != "*"
     same = l.where(named & (F.col("scope") != "global")).withColumn("path", F.col("l_path")).join(
@@ -51,36 +51,36 @@ def conflict_pairs(local: DataFrame, remote: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def conflict_counts(local: DataFrame, remote: DataFrame) -> DataFrame:
-    """(project_id, r_seq, r_op_idx, hits): resource hits of each remote operation, from counts alone.
+def conflict_counts(local: DataFrame, remote: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
+    """(keys.., r_seq, r_op_idx, hits): resource hits of each remote operation, from counts alone.
 
     Local resources are folded to counts per path before the join, so a hot entity costs one row per path.
     """
-    l, r = _sides(local, remote, ())
-    paths = l.groupBy("project_id", "scope", "id", F.col("l_path").alias("path")).agg(F.count("*").alias("n"))
-    whole = paths.groupBy("project_id", "scope", "id").agg(F.sum("n").alias("n_all"), F.sum(F.when(F.col("path") == "*", F.col("n")).otherwise(0)).alias("n_star"))
-    glob = l.where("scope = 'global'").groupBy("project_id").agg(F.count("*").alias("n_global"))
-    size = l.groupBy("project_id").agg(F.count("*").alias("n_local"))
-    x = r.withColumn("path", F.col("r_path")).join(paths.withColumnRenamed("n", "n_path"), ["project_id", "scope", "id", "path"], "left")
-    x = x.join(whole, ["project_id", "scope", "id"], "left").join(glob, "project_id", "left").join(size, "project_id", "left")
+    l, r = _sides(local, remote, keys)
+    paths = l.groupBy(*keys, "scope", "id", F.col("l_path").alias("path")).agg(F.count("*").alias("n"))
+    whole = paths.groupBy(*keys, "scope", "id").agg(F.sum("n").alias("n_all"), F.sum(F.when(F.col("path") == "*", F.col("n")).otherwise(0)).alias("n_star"))
+    glob = l.where("scope = 'global'").groupBy(*keys).agg(F.count("*").alias("n_global"))
+    size = l.groupBy(*keys).agg(F.count("*").alias("n_local"))
+    x = r.withColumn("path", F.col("r_path")).join(paths.withColumnRenamed("n", "n_path"), [*keys, "scope", "id", "path"], "left")
+    x = x.join(whole, [*keys, "scope", "id"], "left").join(glob, [*keys], "left").join(size, [*keys], "left")
     z = lambda c: F.coalesce(c, F.lit(0))
     hits = F.when(F.col("scope") == "global", z("n_local")).when(F.col("path") == "*", z("n_all") + z("n_global")).otherwise(
         z("n_path") + z("n_star") + z("n_global"))
-    return x.groupBy("project_id", "r_seq", "r_op_idx").agg(F.sum(hits).cast("bigint").alias("hits"))
+    return x.groupBy(*keys, "r_seq", "r_op_idx").agg(F.sum(hits).cast("bigint").alias("hits"))
 
 
 def rebase_status(batches: DataFrame, log: DataFrame, remote_ops: DataFrame) -> DataFrame:
     """Batches (batch_id, project_id, base_revision, log_revision, fork_seq, fork_tx) classified.
 
-    different-base, different-history, current, rebase-safe or conflict, in that order; only log entries after the fork
-    can conflict.
+    different-base, different-history, current, rebase-safe or conflict, in that order; only log entries after a batch's own
+    fork, and only its own operations (batch_id in ``remote_ops``), can conflict.
     """
     head = log.groupBy("project_id").agg(F.max("seq").alias("head_seq"))
     at = log.select("project_id", F.col("seq").alias("fork_seq"), F.col("tx_id").alias("__at_tx"))
     b = batches.join(head, "project_id", "left").join(at, ["project_id", "fork_seq"], "left")
-    after = log.join(batches.select("project_id", "fork_seq"), "project_id").where(F.col("seq") > F.col("fork_seq")).drop("fork_seq")
-    hits = conflict_counts(after, remote_ops).groupBy("project_id").agg(F.sum("hits").alias("hits"))
-    x = b.join(hits, "project_id", "left")
+    after = log.join(batches.select("batch_id", "project_id", "fork_seq"), "project_id").where(F.col("seq") > F.col("fork_seq")).drop("fork_seq")
+    hits = conflict_counts(after, remote_ops, ["batch_id"]).groupBy("batch_id").agg(F.sum("hits").alias("hits"))
+    x = b.join(hits, "batch_id", "left")
     known = F.when(F.col("fork_seq") == 0, F.col("fork_tx").isNull()).otherwise(F.col("__at_tx").eqNullSafe(F.col("fork_tx")) & F.col("__at_tx").isNotNull())
     status = (F.when(F.col("head_seq").isNull() | (F.col("base_revision") != F.col("log_revision")), "different-base")
               .when(~known, "different-history").when(F.col("fork_seq") == F.col("head_seq"), "current")
@@ -89,15 +89,15 @@ def rebase_status(batches: DataFrame, log: DataFrame, remote_ops: DataFrame) ->
 
 
 def plan_rebase(plans: DataFrame, plan_ops: DataFrame, log: DataFrame, current: DataFrame, rebuilt: DataFrame) -> DataFrame:
-    """Plans (plan_id, project_id, base_seq) against the log entries after their base.
+    """Plans (plan_id, project_id, base_seq) against the log entries after their base; ``plan_ops`` carry their plan_id.
 
     ``reconstruction-failed`` when replaying does not give the current fingerprint.
     """
-    after = log.join(plans.select("project_id", "base_seq"), "project_id").where(F.col("seq") > F.col("base_seq")).drop("base_seq")
-    hits = conflict_counts(after, plan_ops).groupBy("project_id").agg(F.sum("hits").alias("hits"))
+    after = log.join(plans.select("plan_id", "project_id", "base_seq"), "project_id").where(F.col("seq") > F.col("base_seq")).drop("base_seq")
+    hits = conflict_counts(after, plan_ops, ["plan_id"]).groupBy("plan_id").agg(F.sum("hits").alias("hits"))
     f = current.select("project_id", F.col("fingerprint").alias("__now")).join(
         rebuilt.select("project_id", F.col("fingerprint").alias("__again")), "project_id", "full")
-    x = plans.join(hits, "project_id", "left").join(f, "project_id", "left")
+    x = plans.join(hits, "plan_id", "left").join(f, "project_id", "left")
     status = F.when(~F.col("__now").eqNullSafe(F.col("__again")), "reconstruction-failed").when(
         F.coalesce("hits", F.lit(0)) > 0, "conflict").otherwise("rebase-safe")
     return x.select("plan_id", "project_id", status.alias("status"))
@@ -110,7 +110,8 @@ def conflict_model(pairs: DataFrame, local: DataFrame, remote: DataFrame, names:
         who = F.coalesce("__name", F.col("entity_id").cast("string"))
         verb = (F.when(F.col("op_type") == "node.add", F.concat(F.lit("Add node "), who)).when(F.col("op_type") == "node.remove", F.concat(F.lit("Remove node "), who))
                 .when(F.col("op_type") == "node.update", F.concat(F.lit("Update "), who, F.lit(" · props:"), "prop"))
-                .when(F.col("op_type") == "edge.add", F.concat(F.lit("Add edge "), F.col("tx_id").cast("string")))
+                .when(F.col("op_type") == "edge.add", F.concat(F.lit("Add edge "), F.col("edge_id").cast("string")))
+                .when(F.col("op_type") == "edge.remove", F.concat(F.lit("Remove edge "), F.col("edge_id").cast("string")))
                 .otherwise(F.concat(F.lit("Unknown operation "), "op_type")))
         return ops.join(n, "entity_id", "left").select("project_id", F.col("seq").alias(f"{p}_seq"), F.col("op_idx").alias(f"{p}_op_idx"), verb.alias(f"{p}_summary"))
 

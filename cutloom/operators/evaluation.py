@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.curves import clamp, ease
 from . import timeline
 from .curves import values_at
+from .intervals import explode_range
 from .scan import span_of, span_scan
 
 # Defaults and limits (low, default, high) of the animated properties.
@@ -20,15 +21,6 @@ TRANSFORM = {"x": (None, 0.0, None), "y": (None, 0.0, None), "scale_x": (None, 1
 EFFECT_TYPES = ("brightness", "contrast", "saturation", "blur", "hue", "gain", "pan")
 
 
-def explode_range(df: DataFrame, first: Column, end: Column, name: str, block: int = 65_536) -> DataFrame:
-    """One row per integer of [first, end), in two steps so that no row ever holds more than one block."""
-    x = df.withColumn("__xf", first.cast("bigint")).withColumn("__xe", end.cast("bigint")).where("__xe > __xf")
-    x = x.withColumn("__xb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__xe") - F.col("__xf") - 1) / block).cast("bigint"))))
-    lo = F.col("__xf") + F.col("__xb") * block
-    hi = F.least(F.col("__xe"), lo + block) - 1
-    return x.withColumn(name, F.explode(F.sequence(lo, hi))).drop("__xf", "__xe", "__xb")
-
-
 def frame_times(outputs: DataFrame) -> DataFrame:
     """Outputs (.., fps, range_start, range_end) times frames: ``frame`` and ``t``; the end frame is exclusive."""
     fps = F.col("fps")

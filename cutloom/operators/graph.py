@@ -7,6 +7,7 @@ that neither the plan nor a lost executor makes them start over.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -116,12 +117,12 @@ def induced_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(keep, F.col("src") == keep["id"], "left_semi").join(keep, F.col("dst") == keep["id"], "left_semi")
 
 
-def closure(edges: DataFrame, max_depth: int = 64) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """(src, dst, depth): all ancestors of every node along ``edges``, shortest depth; cycles end by themselves."""
     base = edges.select("src", "dst").distinct()
     reach = durable(base.withColumn("depth", F.lit(1).cast("bigint")))
     front = reach
-    for depth in range(2, max_depth + 1):
+    for depth in count(2):  # ends when a step finds nothing new
         step = front.select("src", F.col("dst").alias("mid")).join(
             base.select(F.col("src").alias("mid"), F.col("dst").alias("next")), "mid").select("src", F.col("next").alias("dst"))
         new = step.distinct().join(reach.select("src", "dst"), ["src", "dst"], "left_anti")
@@ -167,16 +168,20 @@ def representation_summary(reps: DataFrame) -> DataFrame:
     return edges.join(targets, ["object_id", "asset_id"]).join(roles, ["object_id", "asset_id"])
 
 
-def render_closure(edges: DataFrame, compositions: DataFrame, max_depth: int = 16) -> DataFrame:
-    """(composition_id, id): everything a render depends on: contained nodes, clips on contained tracks, effects that
-    target any of them, to a fixpoint."""
-    down = edges.where("type = 'contains'").select(F.col("src").alias("at"), F.col("dst").alias("id"))
+def render_closure(edges: DataFrame, compositions: DataFrame, clips: DataFrame) -> DataFrame:
+    """(composition_id, id): what a render depends on: the composition, its direct children, the clips (clip_id, track_id) on
+    those, and effects that target any of them or such effects, to a fixpoint. A composition inside another one counts as a
+    child only; its own content is not followed."""
+    down = edges.where("type = 'contains'").select(F.col("src").alias("composition_id"), F.col("dst").alias("id"))
     aimed = edges.where("type = 'targets'").select(F.col("dst").alias("at"), F.col("src").alias("id"))
-    steps = down.unionByName(aimed)
-    reach = durable(compositions.select(F.col("id").alias("composition_id"), "id").distinct())
+    roots = compositions.select(F.col("id").alias("composition_id"), "id")
+    held = roots.unionByName(down.join(compositions.select(F.col("id").alias("composition_id")), "composition_id", "left_semi"))
+    on = clips.select(F.col("track_id").alias("at"), F.col("clip_id").alias("id"))
+    placed = held.withColumnRenamed("id", "at").join(on, "at").select("composition_id", "id")
+    reach = durable(held.unionByName(placed).distinct())
     front = reach
-    for _ in range(max_depth):
-        new = front.withColumnRenamed("id", "at").join(steps, "at").select("composition_id", "id").distinct().join(
+    while True:
+        new = front.withColumnRenamed("id", "at").join(aimed, "at").select("composition_id", "id").distinct().join(
             reach, ["composition_id", "id"], "left_anti")
         front = durable(new)
         if front.isEmpty():

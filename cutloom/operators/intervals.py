@@ -7,17 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def pages_of(start: Column, end: Column, width: float) -> Column:
-    """Bucket numbers touched by the half-open range [start, end); an empty range touches its start bucket."""
-    first = F.floor(start / F.lit(float(width))).cast("bigint")
-    last = F.greatest(first, (F.ceil(end / F.lit(float(width))) - 1).cast("bigint"))
-    return F.sequence(first, last)
+def explode_range(df: DataFrame, first: Column, end: Column, name: str, block: int = 65_536) -> DataFrame:
+    """One row per integer of [first, end), in two steps so that no row ever holds more than one block."""
+    x = df.withColumn("__xf", first.cast("bigint")).withColumn("__xe", end.cast("bigint")).where("__xe > __xf")
+    x = x.withColumn("__xb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__xe") - F.col("__xf") - 1) / block).cast("bigint"))))
+    lo = F.col("__xf") + F.col("__xb") * block
+    hi = F.least(F.col("__xe"), lo + block) - 1
+    return x.withColumn(name, F.explode(F.sequence(lo, hi))).drop("__xf", "__xe", "__xb")
 
 
-def closed_pages_of(start: Column, end: Column, width: float) -> Column:
-    """Bucket numbers touched by the closed range [start, end]."""
+def explode_pages(df: DataFrame, start: Column, end: Column, width: float, name: str) -> DataFrame:
+    """One row per bucket that the closed range [start, end] touches, in blocks: no row holds all buckets of a long range."""
     first = F.floor(start / F.lit(float(width))).cast("bigint")
-    return F.sequence(first, F.greatest(first, F.floor(end / F.lit(float(width))).cast("bigint")))
+    return explode_range(df, first, F.greatest(first, F.floor(end / F.lit(float(width))).cast("bigint")) + 1, name)
 
 
 def point_join(points: DataFrame, ranges: DataFrame, keys: Sequence[str], time: str, start: str, end: str,
@@ -29,7 +31,7 @@ def point_join(points: DataFrame, ranges: DataFrame, keys: Sequence[str], time:
     """
     b = "__bucket"
     left = points.withColumn(b, F.floor(F.col(time) / F.lit(float(width))).cast("bigint"))
-    right = ranges.withColumn(b, F.explode(closed_pages_of(F.col(start), F.col(end), width)))
+    right = explode_pages(ranges, F.col(start), F.col(end), width, b)
     joined = left.join(right, [*keys, b], "inner").drop(b)
     return joined.where(condition if condition is not None
                         else (F.col(start) <= F.col(time)) & (F.col(time) < F.col(end)))
@@ -40,9 +42,7 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], l_start
     """Inner join of overlapping ranges; a pair is kept only in the first bucket both sides touch."""
     b = "__bucket"
     w = F.lit(float(width))
-    lf = left.withColumn("__lb", F.floor(F.col(l_start) / w).cast("bigint")).withColumn(
-        b, F.explode(closed_pages_of(F.col(l_start), F.col(l_end), width)))
-    rf = right.withColumn("__rb", F.floor(F.col(r_start) / w).cast("bigint")).withColumn(
-        b, F.explode(closed_pages_of(F.col(r_start), F.col(r_end), width)))
+    lf = explode_pages(left.withColumn("__lb", F.floor(F.col(l_start) / w).cast("bigint")), F.col(l_start), F.col(l_end), width, b)
+    rf = explode_pages(right.withColumn("__rb", F.floor(F.col(r_start) / w).cast("bigint")), F.col(r_start), F.col(r_end), width, b)
     joined = lf.join(rf, [*keys, b], "inner")
     return joined.where((F.col(b) == F.greatest("__lb", "__rb")) & condition).drop(b, "__lb", "__rb")

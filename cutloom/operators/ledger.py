@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import canonical_json, fnv32
@@ -169,7 +171,7 @@ def dependency_violations(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     return dup.unionByName(unknown).unionByName(stuck)
 
 
-def task_levels(tasks: DataFrame, deps: DataFrame, max_levels: int = 10_000) -> DataFrame:
+def task_levels(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     """(task_id, level): wave in which a task becomes ready; order by (level, task_id) is the execution order.
 
     One wave per iteration, materialised each time. Tasks in or behind a cycle never become ready and are left out.
@@ -179,7 +181,7 @@ def task_levels(tasks: DataFrame, deps: DataFrame, max_levels: int = 10_000) ->
     d = durable(deps.join(ids.select(F.col("task_id").alias("depends_on")), "depends_on", "left_semi").distinct())
     need = durable(ids.join(d.groupBy("task_id").agg(F.count("*").alias("open")), "task_id", "left").withColumn("open", F.coalesce("open", F.lit(0))))
     out = None
-    for level in range(max_levels):
+    for level in count():
         ready = durable(need.where("open = 0").select("task_id", F.lit(level).cast("bigint").alias("level")))
         if ready.isEmpty():
             break

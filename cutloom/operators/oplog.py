@@ -1,7 +1,7 @@
 """Operation logs: chains, replay, as-of state, checks and batches.
 
 Ops: project_id, seq (1-based), tx_id, op_type, entity_id, prop, value. An ``edge.add`` links ``entity_id`` to
-``other_id`` under the id ``tx_id``.
+``other_id`` under ``edge_id``; an ``edge.remove`` names that id.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from ..functions.hashing import fnv64_texts
 from .fold import ordered_fold
-from .scan import span_scan
+from .scan import asof, span_scan
 
 DIGESTS = {"sha256": lambda text: hashlib.sha256(text.encode()).hexdigest(), "fnv64": lambda text: fnv64_texts([text])[0]}
 
@@ -79,15 +79,17 @@ def replay_nodes(ops: DataFrame, keys: tuple = ("project_id",)) -> DataFrame:
 
 
 def replay_edges(ops: DataFrame, keys: tuple = ("project_id",)) -> DataFrame:
-    """(keys.., edge_id, src, dst): edges whose ends were not removed after the edge was added."""
+    """(keys.., edge_id, src, dst): edges whose last add or remove is an add, with neither end removed after it."""
+    k = [*keys, "edge_id"]
+    last = ops.where("op_type in ('edge.add', 'edge.remove')").groupBy(*k).agg(
+        F.max(F.struct("seq", "op_type", F.col("entity_id").alias("src"), F.col("other_id").alias("dst"))).alias("__l"))
+    e = last.where("__l.op_type = 'edge.add'").select(*k, "__l.seq", "__l.src", "__l.dst")
     gone = ops.where("op_type = 'node.remove'").groupBy(*keys, "entity_id").agg(F.max("seq").alias("__gone"))
-    e = ops.where("op_type = 'edge.add'").select(*keys, F.col("tx_id").alias("edge_id"), F.col("entity_id").alias("src"),
-                                                 F.col("other_id").alias("dst"), "seq")
     for end in ("src", "dst"):
         g = gone.select(*keys, F.col("entity_id").alias(end), F.col("__gone").alias(f"__g_{end}"))
         e = e.join(g, [*keys, end], "left")
     ok = lambda end: F.col(f"__g_{end}").isNull() | (F.col(f"__g_{end}") < F.col("seq"))
-    return e.where(ok("src") & ok("dst")).select(*keys, "edge_id", "src", "dst")
+    return e.where(ok("src") & ok("dst")).select(*k, "src", "dst")
 
 
 def states_at(ops: DataFrame, marks: DataFrame) -> DataFrame:
@@ -103,21 +105,47 @@ def state_difference(replayed: DataFrame, stored: DataFrame) -> DataFrame:
         s.exceptAll(replayed).withColumn("side", F.lit("stored")))
 
 
-def first_failures(ops: DataFrame, span: Column) -> DataFrame:
+def first_failures(ops: DataFrame, span: Column, span_width: float, roots: DataFrame | None = None) -> DataFrame:
     """First op of each project that cannot apply: (project_id, seq, phase, code).
 
-    Existence before an op is the last add / remove of its entity before it; all earlier ops are valid by definition of
-    the first failure, so the running existence is right exactly where it is used.
+    Unknown op types fail the whole log before anything is applied. An add of a node or edge that is there fails, an update
+    of a node that is not, an edge with an end that is not, and the removal of a root (project_id, entity_id). Removing what
+    is absent changes nothing. All ops before the first failure are valid, so what they leave is right where it is used.
     """
+    node = F.col("op_type").isin("node.add", "node.remove")
     exists = F.when(F.col("op_type") == "node.add", True).when(F.col("op_type") == "node.remove", False)
-    x = span_scan(ops, ["project_id", "entity_id"], ["seq"], span, __there=("prev", exists))
+    n = span_scan(ops.where(F.col("op_type").startswith("node.")), ["project_id", "entity_id"], ["seq"], span, __there=("prev", exists))
     there = F.coalesce("__there", F.lit(False))
+    if roots is not None:
+        n = n.join(roots.select("project_id", "entity_id", F.lit(True).alias("__root")), ["project_id", "entity_id"], "left")
+    root = F.coalesce("__root", F.lit(False)) if roots is not None else F.lit(False)
+    n_code = (F.when((F.col("op_type") == "node.add") & there, "already-exists")
+              .when((F.col("op_type") == "node.update") & ~there, "unknown-node")
+              .when((F.col("op_type") == "node.remove") & root, "project-root"))
+    last = F.struct(F.col("seq").alias("at"), "op_type", F.col("entity_id").alias("src"), F.col("other_id").alias("dst"))
+    e = span_scan(ops.where("op_type in ('edge.add', 'edge.remove')"), ["project_id", "edge_id"], ["seq"], span, __last=("prev", last))
+    e = e.where("op_type = 'edge.add'")
+    open_ = F.when(F.col("__last.op_type") == "edge.add", F.col("__last"))
+    ends = e.select("project_id", "seq", F.explode(F.array(
+        F.struct(F.col("entity_id").alias("entity_id"), F.lit(None).cast("bigint").alias("since")),
+        F.struct(F.col("other_id").alias("entity_id"), F.lit(None).cast("bigint").alias("since")),
+        F.struct(open_["src"].alias("entity_id"), open_["at"].cast("bigint").alias("since")),
+        F.struct(open_["dst"].alias("entity_id"), open_["at"].cast("bigint").alias("since")))).alias("p")).select(
+            "project_id", "p.*", F.col("seq").alias("at")).where("entity_id is not null")
+    life = ops.where(node).select("project_id", "entity_id", "seq", "op_type")
+    state = asof(life, ends, ["project_id", "entity_id"], "seq", "at", ["op_type"], "seq", span_width).withColumn(
+        "__now", F.col("left.op_type")).drop("left", "right")
+    state = asof(life.where("op_type = 'node.remove'"), state, ["project_id", "entity_id"], "seq", "at", ["op_type"], "seq", span_width)
+    flags = state.groupBy("project_id", F.col("at").alias("seq")).agg(
+        F.max(F.col("since").isNull() & ~F.col("__now").eqNullSafe("node.add")).alias("__lost"),
+        F.count("since").alias("__open"), F.max(F.col("since").isNotNull() & F.coalesce(F.col("left.time") > F.col("since"), F.lit(False))).alias("__cut"))
+    e_code = F.when((F.col("__open") > 0) & ~F.col("__cut"), "edge-exists").when(F.col("__lost"), "unknown-node")
     known = F.col("op_type").isin("node.add", "node.update", "node.remove", "edge.add", "edge.remove")
-    phase = F.when(~known, "schema").otherwise("apply")
-    code = (F.when(~known, "unsupported-operation").when((F.col("op_type") == "node.add") & there, "already-exists")
-            .when(F.col("op_type").isin("node.update", "node.remove", "edge.add") & ~there, "unknown-node"))
-    bad = x.withColumn("phase", phase).withColumn("code", code).where("code is not null")
-    return bad.groupBy("project_id").agg(F.min(F.struct("seq", "phase", "code")).alias("f")).select("project_id", "f.*")
+    bad = ops.where(~known).select("project_id", "seq", F.lit("schema").alias("phase"), F.lit("unsupported-operation").alias("code"))
+    for part, code in ((n, n_code), (flags, e_code)):
+        bad = bad.unionByName(part.select("project_id", "seq", F.lit("apply").alias("phase"), code.alias("code")).where("code is not null"))
+    first = F.min(F.struct((F.col("phase") == "apply").alias("late"), "seq", "phase", "code")).alias("f")
+    return bad.groupBy("project_id").agg(first).select("project_id", "f.seq", "f.phase", "f.code")
 
 
 def review_changes(ops: DataFrame, span: Column) -> DataFrame:
@@ -145,11 +173,16 @@ def batch_verdicts(batches: DataFrame, allowed: DataFrame, now_ms: int, max_age_
 
 
 def append_if_current(batches: DataFrame, log: DataFrame) -> DataFrame:
-    """Batches (batch_id, project_id, previous_seq, previous_tx): accepted when the head still is what they built on."""
-    h = heads(log)
-    x = batches.join(h, "project_id", "left")
+    """Batches (batch_id, project_id, previous_seq, previous_tx): accepted when the head still is what they built on.
+
+    The least batch_id of those that name the head is accepted; it moves the head, so all others are stale.
+    """
+    x = batches.join(heads(log), "project_id", "left")
     same = (F.coalesce("head_seq", F.lit(0)) == F.col("previous_seq")) & F.col("head_tx").eqNullSafe(F.col("previous_tx"))
-    return x.select("batch_id", "project_id", F.when(same, "accepted").otherwise("stale").alias("status"))
+    x = x.select("batch_id", "project_id", same.alias("__same"))
+    first = x.where("__same").groupBy("project_id").agg(F.min("batch_id").alias("__first"))
+    return x.join(first, "project_id", "left").select("batch_id", "project_id", F.when(
+        F.col("__same") & (F.col("batch_id") == F.col("__first")), "accepted").otherwise("stale").alias("status"))
 
 
 def stale_proposals(proposals: DataFrame, current: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .fold import ordered_fold
-from .intervals import overlap_join, pages_of
+from .intervals import explode_range, overlap_join
 from .scan import islands, span_of
 
 
@@ -57,8 +57,8 @@ def merge_ranges_bounded(ranges: DataFrame, gap: int, max_length: int, width: fl
 def page_slices(ranges: DataFrame, page_size: int) -> DataFrame:
     """One row per page a range touches, with the slice of the page it needs."""
     off, end = F.col("off"), F.col("off") + F.col("len")
-    x = ranges.where("len > 0").select("source_id", "idx", off.alias("__a"), end.alias("__b"),
-                                       F.explode(pages_of(off, end, page_size)).alias("page"))
+    x = ranges.where("len > 0").select("source_id", "idx", off.alias("__a"), end.alias("__b"))
+    x = explode_range(x, F.floor(F.col("__a") / page_size), F.ceil(F.col("__b") / page_size), "page")
     base = F.col("page") * page_size
     return x.select("source_id", "idx", "page", (F.greatest(F.col("__a"), base) - base).alias("local_start"),
                     (F.least(F.col("__b"), base + page_size) - base).alias("local_end"))

@@ -118,15 +118,15 @@ def asof(points: DataFrame, probes: DataFrame, keys: Sequence[str], point_time:
     """Two-sided as-of join: every probe row gets ``left_*`` (last point before) and ``right_*`` (first not before).
 
     ``strict`` puts a point that equals the probe time on the right side; otherwise it goes to the left side. One
-    union, one span scan: no inequality join. Equal point times are ordered by ``tie``.
+    union, one span scan: no inequality join. Equal point times are ordered by ``tie``, in its own type.
     """
     rank_point, rank_probe = (1, 0) if strict else (0, 1)
     box = F.struct(F.col(point_time).alias("time"), *[F.col(c) for c in payload])
     p = points.select(*keys, F.col(point_time).cast("double").alias("__t"), F.lit(rank_point).alias("__r"),
-                      F.col(tie).cast("string").alias("__o"), box.alias("__pt"), F.lit(None).alias("__probe"))
+                      F.col(tie).alias("__o"), box.alias("__pt"), F.lit(None).alias("__probe"))
     names = probes.columns
     q = probes.select(*keys, F.col(probe_time).cast("double").alias("__t"), F.lit(rank_probe).alias("__r"),
-                      F.lit("").alias("__o"), F.lit(None).cast(p.schema["__pt"].dataType).alias("__pt"),
+                      F.lit(None).cast(p.schema["__o"].dataType).alias("__o"), F.lit(None).cast(p.schema["__pt"].dataType).alias("__pt"),
                       F.struct(*names).alias("__probe"))
     p = p.withColumn("__probe", F.lit(None).cast(q.schema["__probe"].dataType))
     both = span_scan(p.unionByName(q), keys, ["__t", "__r", "__o"], span_of("__t", span_width),

@@ -128,14 +128,16 @@ def expand_timeline(runs: DataFrame, key: str, order: Sequence[str], span: Colum
     return x.select(key, (F.col("__rank") + F.col("__i")).alias("number"), (F.col("__first") + F.col("__i") * F.col("d")).alias("time"), F.col("d").alias("duration"))
 
 
-def template_segments(templates: DataFrame, presentation_now: Column | None = None, depth: float = 30.0) -> DataFrame:
+def template_segments(templates: DataFrame, presentation_now: Column | None = None, depth: float = 30.0,
+                      unknown_count: int = 12) -> DataFrame:
     """Fixed-length segments of (key, period_start, period_duration, units, timescale, start_number, media, bandwidth).
 
-    With a live clock only the window of ``depth`` seconds before it is listed.
+    With a live clock only the window of ``depth`` seconds before it is listed. A period of unknown duration lists
+    ``unknown_count`` segments.
     """
     dur = F.col("units") / F.greatest(F.lit(1.0), F.col("timescale"))
     x = templates.where("units > 0").withColumn("duration", dur)
-    count = F.when(F.col("period_duration").isNull(), 12).otherwise(F.ceil(F.col("period_duration") / F.col("duration")))
+    count = F.when(F.col("period_duration").isNull(), unknown_count).otherwise(F.ceil(F.col("period_duration") / F.col("duration")))
     first = F.lit(0)
     if presentation_now is not None:
         local = F.greatest(F.lit(0.0), presentation_now - F.col("period_start"))
@@ -204,25 +206,28 @@ def active_periods(periods: DataFrame, probes: DataFrame, width: float = 3600.0)
         *probes.columns, F.coalesce("__hit", "__last").alias("period_index"))
 
 
-def expand_references(refs: DataFrame, max_depth: int = 4) -> DataFrame:
+def expand_references(refs: DataFrame) -> DataFrame:
     """Media references (root_id, path, ..) of hierarchical indexes, in order.
 
-    Refs: index_id, ref_no, child_index (null for media), duration, size. One join per level; deeper trees are refused.
+    Refs: index_id, ref_no, child_index (null for media), duration, size. One join per level, to the last one. An index that
+    contains itself is never below a root without being met twice on one path: such a path raises.
     """
     from ..session import durable
     children = refs.select("index_id").distinct()
     roots = children.join(refs.where("child_index is not null").select(F.col("child_index").alias("index_id")).distinct(), "index_id", "left_anti")
     pad = lambda c: F.lpad(c.cast("string"), 9, "0")
-    at = roots.select(F.col("index_id").alias("root_id"), "index_id", F.lit("").alias("path"))
+    at = roots.select(F.col("index_id").alias("root_id"), "index_id", F.lit("").alias("path"), F.array("index_id").alias("seen"))
     media = None
-    for _ in range(max_depth + 1):
+    while True:
         x = durable(at.join(refs, "index_id").withColumn("path", F.concat("path", pad(F.col("ref_no")), F.lit("/"))))
         leaf = x.where("child_index is null").select("root_id", "path", "duration", "size")
         media = leaf if media is None else media.unionByName(leaf)
-        at = x.where("child_index is not null").select("root_id", F.col("child_index").alias("index_id"), "path")
+        at = x.where("child_index is not null")
         if at.isEmpty():
             return media
-    raise ValueError(f"index hierarchy exceeds depth {max_depth}")
+        if not at.where(F.array_contains("seen", F.col("child_index"))).isEmpty():
+            raise ValueError("an index contains itself")
+        at = at.select("root_id", F.col("child_index").alias("index_id"), "path", F.array_append("seen", F.col("child_index")).alias("seen"))
 
 
 # --- throughput and variants ----------------------------------------------------------------------------------------------

@@ -41,9 +41,14 @@ def freshness(messages: DataFrame, now: int, max_age: int | None, skew: int = 0)
     return messages.withColumn("reason", reason)
 
 
-def retain_nonces(nonces: DataFrame, now: int, retention: int = DAY_MS, max_entries: int = 10_000, scope: list[str] | None = None) -> DataFrame:
-    """Nonces inside the age window, then the latest ``max_entries`` of each registry (``scope``), ties by nonce."""
+def retain_nonces(nonces: DataFrame, now: int, retention: int = DAY_MS, max_entries: int | None = None, scope: list[str] | None = None) -> DataFrame:
+    """Nonces inside the age window; on request only the latest ``max_entries`` of each registry (``scope``), ties by nonce.
+
+    A nonce that is dropped can be replayed, so nothing is dropped unless asked for.
+    """
     fresh = nonces if not retention else nonces.where(F.col("consumed_at").isNull() | (F.lit(now) - F.col("consumed_at") <= retention))
+    if max_entries is None:
+        return fresh
     w = W.partitionBy(*(scope or [])).orderBy(F.coalesce("consumed_at", F.lit(0)).desc(), "nonce")
     if not scope:
         return fresh.orderBy(F.coalesce("consumed_at", F.lit(0)).desc(), "nonce").limit(max(1, max_entries))

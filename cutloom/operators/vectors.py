@@ -130,14 +130,13 @@ def hash_model(dimensions: int = 16) -> Callable[[list[str]], list[list[float]]]
     return model
 
 
-def document_text(docs: DataFrame, postings: DataFrame, max_terms: int = 256, max_chars: int = 4096) -> DataFrame:
-    """Stable text to embed: name, kind and the first sorted terms of a document."""
+def document_text(docs: DataFrame, postings: DataFrame) -> DataFrame:
+    """Stable text to embed: name, kind and all sorted terms of a document."""
     # one document's distinct terms: bounded by the document itself
     terms = postings.groupBy("id").agg(F.sort_array(F.collect_set("term")).alias("terms"))
     d = docs.select("id", "kind", "name").join(terms, "id", "left")
-    body = F.array_join(F.slice(F.coalesce("terms", F.array().cast("array<string>")), 1, max_terms), " ")
-    return d.select("id", "kind", "name",
-                    F.substring(F.concat_ws("\n", "name", "kind", body), 1, max_chars).alias("text"))
+    body = F.array_join(F.coalesce("terms", F.array().cast("array<string>")), " ")
+    return d.select("id", "kind", "name", F.concat_ws("\n", "name", "kind", body).alias("text"))
 
 
 def vector_violations(vectors: DataFrame, dimensions: int | None = None) -> DataFrame:

@@ -115,17 +115,27 @@ def gr11c(t):
 
 
 def scene_edges(t):
-    """Containment plus effects (customers' market segments stand in as effects that target the customer's orders)."""
-    fx = t.orders.select(F.concat(F.lit("X"), "o_orderkey").alias("src"), F.concat(F.lit("O"), "o_orderkey").alias("dst"), F.lit("targets").alias("type"))
-    return t.v_edges.where("type='contains'").unionByName(fx)
-
-
-@query("gr13_render_closure", """with recursive st as (select src as a, dst as b from v_edges where type='contains' union all select 'O'||o_orderkey, 'X'||o_orderkey from orders),
-  r as (select 'N'||n_nationkey as comp, 'N'||n_nationkey as id from nation union select r.comp, st.b from r join st on st.a=r.id),
+    """Containment, some compositions inside others, an effect on every clip and effects on effects in rows of up to four."""
+    targets = F.lit("targets").alias("type")
+    fx = t.orders.select(F.concat(F.lit("X"), "o_orderkey").alias("src"), F.concat(F.lit("O"), "o_orderkey").alias("dst"), targets)
+    key = F.col("o_orderkey")
+    for k in (1, 2, 3):
+        fx = fx.unionByName(t.orders.where(key % (k + 2) == 0).select(
+            F.concat(F.lit("X" * (k + 1)), key).alias("src"), F.concat(F.lit("X" * k), key).alias("dst"), targets))
+    nested = t.nation.where("n_nationkey%4=0").select(
+        F.concat(F.lit("N"), "n_nationkey").alias("src"), F.concat(F.lit("N"), F.col("n_nationkey") + 1).alias("dst"), F.lit("contains").alias("type"))
+    return t.v_edges.where("type='contains'").unionByName(nested).unionByName(fx)
+
+
+@query("gr13_render_closure", """with recursive fx as (select 'O'||o_orderkey as a, 'X'||o_orderkey as b from orders union all select 'X'||o_orderkey, 'XX'||o_orderkey from orders where o_orderkey%3=0
+   union all select 'XX'||o_orderkey, 'XXX'||o_orderkey from orders where o_orderkey%4=0 union all select 'XXX'||o_orderkey, 'XXXX'||o_orderkey from orders where o_orderkey%5=0),
+  held as (select 'N'||n_nationkey as comp, 'N'||n_nationkey as id from nation union select src, dst from v_edges where type='contains' and src like 'N%' union select 'N'||n_nationkey, 'N'||(n_nationkey+1) from nation where n_nationkey%4=0),
+  r as (select comp, id from held union select comp, 'O'||o_orderkey from held join orders on id='C'||o_custkey union select r.comp, fx.b from r join fx on fx.a=r.id),
   h as (select comp, sha256(id) as h from r) select comp as composition_id, lower(hex(bit_xor(('0x'||left(h,15))::bigint))) as fingerprint, count(*) as rows from h group by comp""")
 def gr13(t):
     comps = t.v_nodes.where("kind='composition'").select("id")
-    return G.fingerprint(G.render_closure(scene_edges(t), comps), ["composition_id"], ["id"])
+    clips = t.orders.select(F.concat(F.lit("O"), "o_orderkey").alias("clip_id"), F.concat(F.lit("C"), "o_custkey").alias("track_id"))
+    return G.fingerprint(G.render_closure(scene_edges(t), comps, clips), ["composition_id"], ["id"])
 
 
 _REQ14 = "req as (select 'P'||p_partkey as source_asset, 'P'||(p_partkey*7%200) as replacement_asset, p_type as sk from part)"

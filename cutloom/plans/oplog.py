@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..operators import conflicts as C, graph as G, oplog as O, trust as T
-from ..operators.scan import span_of
+from ..operators.scan import span_of, span_scan
 from ..sources.tables import micros
 from .registry import query
 
@@ -19,7 +19,20 @@ def seq_span():
 
 def ops_of(t):
     return t.v_ops.withColumn("other_id", (F.col("entity_id") + 7) % 20).withColumn("op_idx", F.lit(0)).withColumn(
-        "payload", F.concat_ws(":", "tx_id", "op_type", "entity_id", "prop"))
+        "payload", F.concat_ws(":", "tx_id", "op_type", "entity_id", "prop")).withColumn("edge_id", F.col("tx_id"))
+
+
+def edge_ops_of(t):
+    """The log with edges removed again, edges added twice under one id, and now and then an unknown kind of op."""
+    x = span_scan(ops_of(t), ["project_id"], ["seq"], seq_span(), __e=("prev", F.when(F.col("op_type") == "edge.add", F.col("tx_id"))))
+    kind = F.expr("case when op_type='node.update' and tx_id%3=0 and __e is not null then 'edge.remove' when tx_id%997=0 then 'node.paint' else op_type end")
+    old = F.expr("__e is not null and ((op_type='node.update' and tx_id%3=0) or (op_type='edge.add' and tx_id%5=0))")
+    return x.withColumn("edge_id", F.when(old, F.col("__e")).otherwise(F.col("tx_id"))).withColumn("op_type", kind).drop("__e")
+
+
+_EDGE_OPS = """eo0 as (select *, (entity_id+7)%20 as other_id, last_value(case when op_type='edge.add' then tx_id end ignore nulls) over (partition by project_id order by seq rows between unbounded preceding and 1 preceding) as e from v_ops),
+  eo as (select project_id, seq, tx_id, entity_id, other_id, case when op_type='node.update' and tx_id%3=0 and e is not null then 'edge.remove' when tx_id%997=0 then 'node.paint' else op_type end as op_type,
+    case when e is not null and ((op_type='node.update' and tx_id%3=0) or (op_type='edge.add' and tx_id%5=0)) then e else tx_id end as edge_id from eo0)"""
 
 
 _FNV = "list_reduce(list_prepend(14695981039346656037::uhugeint, flatten(list_transform(string_split(props,''), lambda c: [ascii(c)::uhugeint, 0::uhugeint]))), lambda h, b: (xor(h,b)*1099511628211::uhugeint) % 18446744073709551616::uhugeint)"
@@ -80,10 +93,10 @@ def lg06(t):
     return O.replay_nodes(ops_of(t))
 
 
-@query("lg06_replay_edges", """with g as (select project_id, entity_id, max(seq) as gone from v_ops where op_type='node.remove' group by all), e as (select project_id, tx_id as edge_id, entity_id as src, (entity_id+7)%20 as dst, seq from v_ops where op_type='edge.add')
-  select e.project_id, edge_id, src, dst from e left join g a on a.project_id=e.project_id and a.entity_id=src left join g b on b.project_id=e.project_id and b.entity_id=dst where coalesce(a.gone,0)<seq and coalesce(b.gone,0)<seq""")
+@query("lg06_replay_edges", f"""with {_EDGE_OPS}, l as (select project_id, edge_id, max(seq) as seq, arg_max(op_type, seq) as ty, arg_max(entity_id, seq) as src, arg_max(other_id, seq) as dst from eo where op_type in ('edge.add','edge.remove') group by all)
+  select project_id, edge_id, src, dst from l where ty='edge.add' and not exists (select 1 from eo r where r.project_id=l.project_id and r.op_type='node.remove' and r.entity_id in (l.src, l.dst) and r.seq>l.seq)""")
 def lg06e(t):
-    return O.replay_edges(ops_of(t))
+    return O.replay_edges(edge_ops_of(t))
 
 
 @query("lg07_as_of", f"""with m as (select o.*, mk.mark from v_ops o join (values (1,10),(2,25),(3,40)) mk(mark, upto) on o.seq<=mk.upto), {_state_sql('m', 'project_id, mark')} select project_id, mark, entity_id, prop, value from st""")
@@ -113,11 +126,20 @@ def lg10(t):
     return O.tail(t.v_ops, after, 5).select("project_id", "seq", "tx_id")
 
 
-@query("lg11_preflight", """with x as (select *, last_value(case op_type when 'node.add' then true when 'node.remove' then false end ignore nulls) over (partition by project_id, entity_id order by seq rows between unbounded preceding and 1 preceding) as there from v_ops),
-  b as (select project_id, seq, case when op_type='node.add' and coalesce(there,false) then 'already-exists' when op_type in ('node.update','node.remove','edge.add') and not coalesce(there,false) then 'unknown-node' end as code from x)
-  select project_id, min(seq) as seq, 'apply' as phase, arg_min(code, seq) as code from b where code is not null group by 1""")
+@query("lg11_preflight", f"""with {_EDGE_OPS},
+  ex as (select o.project_id, o.seq, w.ent, arg_max(n.op_type, n.seq) as ty from eo o, lateral (values (o.entity_id), (o.other_id)) w(ent) join eo n on n.project_id=o.project_id and n.entity_id=w.ent and n.seq<o.seq and n.op_type in ('node.add','node.remove') group by all),
+  pe as (select o.project_id, o.seq, arg_max(p.op_type, p.seq) as ty, max(p.seq) as at_, arg_max(p.entity_id, p.seq) as src, arg_max(p.other_id, p.seq) as dst from eo o join eo p on p.project_id=o.project_id and p.edge_id=o.edge_id and p.seq<o.seq and p.op_type in ('edge.add','edge.remove') where o.op_type='edge.add' group by all),
+  live as (select project_id, seq from pe where ty='edge.add' and not exists (select 1 from eo r where r.project_id=pe.project_id and r.op_type='node.remove' and r.entity_id in (pe.src, pe.dst) and r.seq>pe.at_ and r.seq<pe.seq)),
+  b as (select o.project_id, o.seq, case when o.op_type='node.paint' then 'schema' else 'apply' end as phase,
+    case when o.op_type='node.paint' then 'unsupported-operation' when o.op_type='node.add' and a.ty='node.add' then 'already-exists' when o.op_type='node.update' and a.ty is distinct from 'node.add' then 'unknown-node'
+      when o.op_type='node.remove' and o.entity_id=3 then 'project-root' when o.op_type='edge.add' and live.seq is not null then 'edge-exists'
+      when o.op_type='edge.add' and (a.ty is distinct from 'node.add' or z.ty is distinct from 'node.add') then 'unknown-node' end as code
+    from eo o left join ex a on a.project_id=o.project_id and a.seq=o.seq and a.ent=o.entity_id left join ex z on z.project_id=o.project_id and z.seq=o.seq and z.ent=o.other_id left join live on live.project_id=o.project_id and live.seq=o.seq)
+  select project_id, seq, phase, code from b where code is not null qualify row_number() over (partition by project_id order by phase desc, seq)=1""")
 def lg11(t):
-    return O.first_failures(ops_of(t), seq_span())
+    ops = edge_ops_of(t)
+    roots = ops.select("project_id").distinct().withColumn("entity_id", F.lit(3).cast("bigint"))
+    return O.first_failures(ops, seq_span(), 1 << 20, roots)
 
 
 @query("lg12_review", """with x as (select *, sum(case when op_type in ('node.add','node.remove') then 1 else 0 end) over (partition by project_id, entity_id order by seq) as life from v_ops),
@@ -135,19 +157,21 @@ def lg13(t):
     return O.batch_verdicts(b, allowed, 1_000_000, 500_000).select("batch_id", "verdict")
 
 
-@query("lg14_append_batch", """with h as (select project_id, max(seq) as s, arg_max(tx_id, seq) as tx from v_ops group by 1) select project_id*10+k as batch_id, project_id, case when k=0 then 'accepted' else 'stale' end as status from h, (values (0),(1)) v(k)""")
+@query("lg14_append_batch", """with h as (select project_id, max(seq) as s from v_ops group by 1) select project_id*10+k as batch_id, project_id, case when k=1 then 'accepted' else 'stale' end as status from h, (values (0),(1),(2)) v(k)""")
 def lg14(t):
+    """Three batches per project: one behind the head, two that both name it."""
     h = O.heads(t.v_ops)
-    b = h.select("project_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), "head_seq", "head_tx").select(
-        (F.col("project_id") * 10 + F.col("k")).alias("batch_id"), "project_id", (F.col("head_seq") - F.col("k")).alias("previous_seq"), F.col("head_tx").alias("previous_tx"))
+    b = h.select("project_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"), "head_seq", "head_tx").select(
+        (F.col("project_id") * 10 + F.col("k")).alias("batch_id"), "project_id", (F.col("head_seq") - F.expr("if(k = 0, 1, 0)")).alias("previous_seq"), F.col("head_tx").alias("previous_tx"))
     return O.append_if_current(b, t.v_ops)
 
 
 def fingerprints_of(t):
-    return G.fingerprint(O.replay_nodes(ops_of(t)), ["project_id"], ["entity_id", "prop"])
+    cells = O.replay_nodes(ops_of(t)).withColumn("cell", F.round(F.col("value") * 1e6).cast("bigint"))
+    return G.fingerprint(cells, ["project_id"], ["entity_id", "prop", "cell"])
 
 
-_FP = f"""{_state_sql('v_ops')}, h as (select project_id, sha256(entity_id||'|'||prop) as h from st), fp as (select project_id, lower(hex(bit_xor(('0x'||left(h,15))::bigint))) as fingerprint from h group by 1)"""
+_FP = f"""{_state_sql('v_ops')}, h as (select project_id, sha256(entity_id||'|'||prop||'|'||coalesce(round(value*1e6)::bigint::varchar, '\\N')) as h from st), fp as (select project_id, lower(hex(bit_xor(('0x'||left(h,15))::bigint))) as fingerprint from h group by 1)"""
 
 
 @query("lg15_stale", f"with {_FP}, p as (select distinct project_id from v_ops) select p.project_id*7 as plan_id, p.project_id, case when p.project_id%3=0 then true else fingerprint is null end as stale from p left join fp using (project_id)")
@@ -178,7 +202,7 @@ def sides_of(t):
     x = ops_of(t).join(O.heads(t.v_ops).select("project_id", half.alias("half")), "project_id")
     local = x.where("seq > half").drop("half")
     remote = x.where("seq <= half").drop("half").withColumn("entity_id", (F.col("entity_id") + 3) % 20).withColumn("tx_id", -F.col("tx_id") - 1).withColumn(
-        "op_type", F.expr("if(tx_id%200=-1, 'node.paint', op_type)"))
+        "edge_id", F.col("tx_id")).withColumn("op_type", F.expr("if(tx_id%200=-1, 'node.paint', op_type)"))
     return local, remote
 
 
@@ -211,24 +235,28 @@ def cf02c(t):
     return C.conflict_counts(*sides_of(t))
 
 
-@query("cf03_rebase", f"""with {_PAIRS}, m as (select project_id, max(seq) as head from v_ops group by 1), cf as (select distinct project_id from hits)
-  select project_id*3 as batch_id, project_id, case when project_id%11=0 then 'different-base' when project_id%7=0 then 'different-history' when project_id%5=0 then 'current' when project_id in (select project_id from cf) then 'conflict' else 'rebase-safe' end as status from m""")
+@query("cf03_rebase", f"""with {_PAIRS}, m as (select project_id, max(seq) as head from v_ops group by 1), cf as (select distinct project_id*3+r_seq%2 from hits)
+  select project_id*3+k as batch_id, project_id, case when project_id%11=0 then 'different-base' when project_id%7=0 then 'different-history' when project_id%5=0 then 'current' when project_id*3+k in (from cf) then 'conflict' else 'rebase-safe' end as status from m, (values (0),(1)) v(k)""")
 def cf03(t):
     local, remote = sides_of(t)
     h = O.heads(t.v_ops)
     fork = h.withColumn("fork_seq", F.expr("if(project_id%5=0, head_seq, head_seq div 2)")).join(
         t.v_ops.select("project_id", F.col("seq").alias("fork_seq"), F.col("tx_id").alias("fork_tx")), ["project_id", "fork_seq"])
-    b = fork.select((F.col("project_id") * 3).alias("batch_id"), "project_id", F.expr("if(project_id%11=0, 2, 1) as base_revision"), F.lit(1).alias("log_revision"),
+    fork = fork.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))  # two batches: even and odd operations
+    remote = remote.withColumn("batch_id", F.col("project_id") * 3 + F.col("seq") % 2)
+    b = fork.select((F.col("project_id") * 3 + F.col("k")).alias("batch_id"), "project_id", F.expr("if(project_id%11=0, 2, 1) as base_revision"), F.lit(1).alias("log_revision"),
                     "fork_seq", F.expr("if(project_id%7=0, -1, fork_tx) as fork_tx"))
     return C.rebase_status(b, ops_of(t), remote)
 
 
-@query("cf04_plan_rebase", f"""with {_PAIRS}, {_state_sql('v_ops')}, cf as (select distinct project_id from hits), p as (select distinct project_id from v_ops), sp as (select distinct project_id from st)
-  select project_id as plan_id, project_id, case when project_id%13=0 and project_id in (from sp) then 'reconstruction-failed' when project_id in (from cf) then 'conflict' else 'rebase-safe' end as status from p""")
+@query("cf04_plan_rebase", f"""with {_PAIRS}, {_state_sql('v_ops')}, cf as (select distinct project_id*2+r_seq%2 from hits), p as (select distinct project_id from v_ops), sp as (select distinct project_id from st)
+  select project_id*2+k as plan_id, project_id, case when project_id%13=0 and project_id in (from sp) then 'reconstruction-failed' when project_id*2+k in (from cf) then 'conflict' else 'rebase-safe' end as status from p, (values (0),(1)) v(k)""")
 def cf04(t):
     local, remote = sides_of(t)
     fp = fingerprints_of(t)
-    plans = O.heads(t.v_ops).select(F.col("project_id").alias("plan_id"), "project_id", F.expr("head_seq div 2 as base_seq"))
+    plans = O.heads(t.v_ops).select("project_id", F.expr("head_seq div 2 as base_seq"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).select(
+        (F.col("project_id") * 2 + F.col("k")).alias("plan_id"), "project_id", "base_seq")
+    remote = remote.withColumn("plan_id", F.col("project_id") * 2 + F.col("seq") % 2)
     rebuilt = fp.withColumn("fingerprint", F.expr("if(project_id%13=0, 'x', fingerprint)"))
     return C.plan_rebase(plans, remote, ops_of(t), fp, rebuilt)
 

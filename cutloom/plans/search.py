@@ -150,8 +150,8 @@ def vec03(t):
 
 
 @query("vec03_text", f"""with {_POSTINGS}, tt as (select id, string_agg(term, ' ' order by term) as body from
-  (select id, term, row_number() over (partition by id order by term) as rn from postings) where rn<=256 group by id)
-  select d.id, d.kind, d.name, left(d.name||chr(10)||d.kind||chr(10)||coalesce(body,''), 4096) as text from v_docs d left join tt using (id)""")
+  (select id, term from postings) group by id)
+  select d.id, d.kind, d.name, d.name||chr(10)||d.kind||chr(10)||coalesce(body,'') as text from v_docs d left join tt using (id)""")
 def vec03t(t):
     return V.document_text(t.v_docs, S.build_postings(t.v_docs, FIELDS))
 
@@ -206,8 +206,8 @@ def vec06(t):
 
 
 @query("vec07_source_fingerprint", f"""with {_POSTINGS}, tt as (select id, string_agg(term, ' ' order by term) as body from
-  (select id, term, row_number() over (partition by id order by term) as rn from postings) where rn<=256 group by id),
-  h as (select d.kind, d.id, sha256(d.id||':'||left(d.name||chr(10)||d.kind||chr(10)||coalesce(body,''), 4096)) as h
+  (select id, term from postings) group by id),
+  h as (select d.kind, d.id, sha256(d.id||':'||d.name||chr(10)||d.kind||chr(10)||coalesce(body,'')) as h
     from v_docs d left join tt using (id))
   select kind, lower(hex(bit_xor(('0x'||left(h,15))::bigint))) as fingerprint, count(*) as docs from h group by kind""")
 def vec07(t):

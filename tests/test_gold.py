@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from cutloom.functions import hashing as H
 from cutloom.functions.text import tokens
-from cutloom.operators import (chunks as C, conflicts as CF, curves as K, evaluation as E, latency as L, ledger as J, matching as M, oplog as O,
+from cutloom.operators import (chunks as C, conflicts as CF, curves as K, evaluation as E, graph as G, latency as L, ledger as J, matching as M, oplog as O,
                                privacy as P, quality as Q, ranges as RG, reports as R, retention as RT, search as S, segments as SG, signal as A,
                                timeline as T, trust as TR, vectors as V)
-from cutloom.operators.scan import span_of
+from cutloom.operators.intervals import point_join
+from cutloom.operators.scan import asof, span_of
 from cutloom.sources import graph_files as GF
 
 
@@ -273,7 +274,8 @@ def test_log_chain_and_replay(spark):
     assert (3, "chain-mismatch") in rows(O.chain_violations(log.withColumn("previous", F.expr("if(seq=3,'x',previous)")), span_of("seq", 2)), "seq", "code")
     assert (3, "sequence-gap") in rows(O.chain_violations(log.where("seq<>2"), span_of("seq", 2)), "seq", "code")
     ops = spark.createDataFrame([(1, 1, "node.add", 5, 6, "x", 1.0, 1), (1, 2, "node.update", 5, 6, "y", 2.0, 2), (1, 3, "edge.add", 5, 6, "", 0.0, 3), (1, 4, "node.remove", 6, 0, "", 0.0, 4),
-                                 (1, 5, "edge.add", 5, 7, "", 0.0, 5)], "project_id int, seq int, op_type string, entity_id int, other_id int, prop string, value double, tx_id int")
+                                 (1, 5, "edge.add", 5, 7, "", 0.0, 5), (1, 6, "edge.add", 5, 7, "", 0.0, 6), (1, 7, "edge.remove", 0, 0, "", 0.0, 6)],
+                                "project_id int, seq int, op_type string, entity_id int, other_id int, prop string, value double, edge_id int")
     assert rows(O.replay_nodes(ops), "prop", "value") == [("x", 1.0), ("y", 2.0)]
     assert rows(O.replay_edges(ops), "edge_id") == [(5,)]
 
@@ -289,7 +291,7 @@ def test_compaction_refuses_a_moved_head(spark, tmp_path):
 
 
 def test_conflicts(spark):
-    schema = "project_id int, seq int, op_idx int, op_type string, entity_id int, other_id int, prop string, tx_id int"
+    schema = "project_id int, seq int, op_idx int, op_type string, entity_id int, other_id int, prop string, edge_id int"
     op = lambda seq, kind, entity, prop="", tx=0: (1, seq, 0, kind, entity, 9, prop, tx)
     pair = lambda a, b: CF.conflict_pairs(spark.createDataFrame([a], schema), spark.createDataFrame([b], schema)).count()
     hits = lambda a, b: CF.conflict_counts(spark.createDataFrame([a], schema), spark.createDataFrame([b], schema)).first()["hits"]
@@ -340,3 +342,57 @@ def test_payload_shape(spark):
     got = {r["id"]: r for r in Q.payload_report(df, "id", "j", 100).collect()}
     assert (got[1]["depth"], got[1]["entries"], got[1]["broken"]) == (3, 4, "")
     assert got[2]["broken"] == "not-json" and got[3]["broken"] == "not-finite"
+
+
+def test_preflight_of_edges(spark):
+    rows_ = [(1, "node.add", 1, 0, 0), (2, "node.add", 2, 0, 0), (3, "edge.add", 1, 2, 9), (4, "node.remove", 2, 0, 0), (5, "node.add", 2, 0, 0),
+             (6, "edge.add", 1, 2, 9), (7, "node.remove", 8, 0, 0), (8, "edge.remove", 0, 0, 77), (9, "edge.add", 2, 1, 9)]
+    schema = "project_id long, seq long, op_type string, entity_id long, other_id long, edge_id long"
+
+    def first(ops, roots=None):
+        df = spark.createDataFrame([(1, *r) for r in ops], schema)
+        return rows(O.first_failures(df, span_of("seq", 4), 4, roots), "seq", "phase", "code")
+
+    assert first(rows_) == [(9, "apply", "edge-exists")]  # the end of edge 9 went in between, so op 6 may add it again
+    assert first(rows_[:8]) == []
+    assert first([*rows_[:2], (3, "edge.add", 1, 5, 9)]) == [(3, "apply", "unknown-node")]
+    assert first([*rows_, (10, "node.paint", 1, 0, 0)]) == [(10, "schema", "unsupported-operation")]
+    root = spark.createDataFrame([(1, 2)], "project_id long, entity_id long")
+    assert first(rows_, root) == [(4, "apply", "project-root")]
+
+
+def test_depth_has_no_limit(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(100)], "src long, dst long")
+    assert G.closure(chain).where("src = 0").agg(F.max("depth")).first()[0] == 100
+    edges = [("C", "T", "contains"), ("C", "D", "contains"), ("D", "U", "contains"), ("X0", "L", "targets")] + [(f"X{k + 1}", f"X{k}", "targets") for k in range(20)]
+    edges = spark.createDataFrame(edges, "src string, dst string, type string")
+    clips = spark.createDataFrame([("L", "T"), ("M", "U")], "clip_id string, track_id string")
+    got = {r.id for r in G.render_closure(edges, spark.createDataFrame([("C",)], "id string"), clips).collect()}
+    assert got == {"C", "T", "D", "L"} | {f"X{k}" for k in range(21)}  # D is a child, what is inside it is not
+    refs = [(f"i{k}", 0, f"i{k + 1}", 1.0, None) for k in range(6)] + [("i6", 0, None, 1.0, 5)]
+    refs = spark.createDataFrame(refs, "index_id string, ref_no int, child_index string, duration double, size long")
+    assert rows(SG.expand_references(refs), "root_id", "size") == [("i0", 5)]
+    with pytest.raises(ValueError):
+        loop = spark.createDataFrame([("r", 0, "a", 1.0, None), ("a", 0, "b", 1.0, None), ("b", 0, "a", 1.0, None)], refs.schema)
+        SG.expand_references(loop)
+
+
+def test_equal_times_keep_the_order_of_numbers(spark):
+    points = spark.createDataFrame([(1, 5.0, 9, "old"), (1, 5.0, 10, "new")], "k int, t double, n int, v string")
+    probes = spark.createDataFrame([(1, 6.0)], "k int, p double")
+    assert asof(points, probes, ["k"], "t", "p", ["v"], "n", 10).first()["left"]["v"] == "new"
+
+
+def test_long_ranges_and_runs_expand_in_blocks(spark):
+    point, wide = spark.createDataFrame([(1, 9e6)], "k int, t double"), spark.createDataFrame([(1, 0.0, 1e7)], "k int, a double, b double")
+    assert point_join(point, wide, ["k"], "t", "a", "b", 1.0).count() == 1
+    runs = spark.createDataFrame([(1, 0, 3_000_000)], "k int, o int, n long")
+    assert C.expand_runs(runs, "k", ["o"], "n", span_of("o", 10)).agg(F.max("number")).first()[0] == 3_000_000
+
+
+def test_batches_of_one_project_are_judged_apart(spark):
+    schema = "project_id int, seq int, op_idx int, op_type string, entity_id int, other_id int, prop string, edge_id int, tx_id int"
+    log = spark.createDataFrame([(1, 1, 0, "node.add", 1, 0, "", 0, 11), (1, 2, 0, "node.update", 1, 0, "x", 0, 12)], schema)
+    ops = spark.createDataFrame([(1, 1, 0, "node.update", 1, 0, "x", 0, 21, 7), (1, 1, 0, "node.update", 1, 0, "y", 0, 22, 8)], schema + ", batch_id int")
+    batches = spark.createDataFrame([(7, 1, 1, 1, 1, 11), (8, 1, 1, 1, 1, 11)], "batch_id int, project_id int, base_revision int, log_revision int, fork_seq int, fork_tx int")
+    assert rows(CF.rebase_status(batches, log, ops), "batch_id", "status") == [(7, "conflict"), (8, "rebase-safe")]
