@@ -20,9 +20,10 @@ from . import words
 from .columns import field, fresh, with_fields
 from .labelled import training_sample
 
-SAMPLE_ROWS = 6000  # labelled rows that the chain is fitted on
+SAMPLE_ROWS = 4000  # labelled rows that the chain is fitted on
 FEATURES = 2048  # per category, the most telling ones
 PARTS = 3
+LEAST_TEXTS = 3  # texts of the sample that hold a feature, words of one text by several endings counted
 PREFIXES = (4, 5, 6)
 LETTERS = words.ALNUM.copy()
 LETTERS[ord("0"):ord("9") + 1] = False
@@ -123,12 +124,20 @@ class Chain:
 
 def fit_chain(texts: list[str], targets: dict[str, np.ndarray]) -> Chain:
     """A chain over ``targets`` (0/1 per text) in their order. Without texts, or with one class only, it predicts the prior."""
-    array = words.text_array(pa.array(texts, pa.string()))
-    row, marks = features_of(array)
-    features, col = np.unique(marks, return_inverse=True)
-    width, n = len(features), len(texts)
-    pairs = np.unique(row * max(width, 1) + col)
+    n, rows, marks = len(texts), [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
+    for start in range(0, n, 256):  # only what is kept of a block outlives it
+        row, mark = features_of(words.text_array(pa.array(texts[start:start + 256], pa.string())))
+        rows.append((row + start).astype(np.int32))
+        marks.append(mark)
+    row, mark = np.concatenate(rows), np.concatenate(marks)
+    features, df = np.unique(mark, return_counts=True)
+    features = features[df >= LEAST_TEXTS]
+    width = len(features)
+    at = np.minimum(np.searchsorted(features, mark), max(width - 1, 0))
+    known = features[at] == mark if width else np.zeros(len(mark), bool)
+    pairs = np.unique(row[known].astype(np.int64) * max(width, 1) + at[known])
     row, col = pairs // max(width, 1), pairs % max(width, 1)
+    del rows, marks, mark, at, known, pairs
     part = np.arange(n) % PARTS
     logits = np.zeros((n, len(targets)))
     weights, before, bias = np.zeros((width, len(targets))), np.zeros((len(targets), len(targets))), np.zeros(len(targets))
