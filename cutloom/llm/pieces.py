@@ -16,20 +16,21 @@ from functools import cached_property
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .columns import field, fresh, whole, with_fields
+from .columns import field, fresh, with_fields
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RATE, SEED, VARIANTS = 0.1, 1, 4
 LONG = 48  # symbols; longer words use the heap
 SPACE = "▁"
 SHIFT = np.uint64(22)
-NONE = np.int64(1) << 40
+NONE = np.int32((1 << 31) - 1)
 CELLS = 1 << 20  # symbols encoded side by side
-SHARD = 12 << 20  # bytes of text whose distinct words are encoded together
+SHARD = 8 << 20  # bytes of text whose distinct words are encoded together
 
 
 @dataclass
@@ -62,11 +63,11 @@ class Vocabulary:
         return out
 
     @cached_property
-    def raw(self) -> tuple[np.ndarray, np.ndarray]:
-        """(bytes, offsets) of what each piece decodes to."""
+    def raw(self) -> pa.Array:
+        """The bytes that each piece decodes to."""
         out = [p.replace(SPACE, " ").encode() for p in self.pieces]
         out[self.byte:self.byte + 256] = [bytes([b]) for b in range(256)]
-        return np.frombuffer(b"".join(out), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in out])])
+        return pa.array(out, pa.large_binary())
 
 
 def load_vocabulary(path: str = MODEL) -> Vocabulary:
@@ -99,48 +100,50 @@ class Dropout:
 
 def _look_up(v: Vocabulary, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys, ranks, merged = v.merges
-    key = left << np.int64(SHIFT) | right
+    key = left.astype(np.int64) << np.int64(SHIFT) | right
     at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
     hit = keys[at] == key
-    return np.where(hit, ranks[at], NONE), np.where(hit, merged[at], -1)
+    return np.where(hit, ranks[at], NONE).astype(np.int32), np.where(hit, merged[at], -1).astype(np.int32)
 
 
 def _side_by_side(v: Vocabulary, symbols: np.ndarray, word: np.ndarray, drop: Dropout) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, lengths) after all merges; ``symbols`` has one word per row, -1 behind its end."""
+    """(symbols, lengths) after all merges; ``symbols`` has one word per row, -1 behind its end.
+
+    Each turn merges the best candidate of every word that has one and takes the right symbol's column out of its row.
+    """
     n, width = symbols.shape
-    size = (symbols >= 0).sum(1)
-    place = np.tile(np.arange(width), (n, 1))
+    ids, key, alive = symbols.astype(np.int32), word, np.arange(n)
+    at = np.tile(np.arange(width, dtype=np.int32), (n, 1))
+    size = (ids >= 0).sum(1)
 
     def ranked(rows: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         left, right = ids[rows, col], ids[rows, col + 1]
-        rank, made = _look_up(v, left, right)
-        ok = np.flatnonzero((rank < NONE) & (right >= 0) & (left >= 0))
+        rank, made_ = _look_up(v, left, right)
+        ok = np.flatnonzero(rank < NONE)
         gone = drop.skips(key[rows[ok]], at[rows[ok], col[ok]], left[ok], right[ok])
-        out = np.full(len(rows), NONE)
-        out[ok[~gone]] = rank[ok[~gone]]
-        return out, made
+        rank[ok[gone]] = NONE
+        return rank, made_
 
-    ids, at, key, alive = symbols, place, word, np.arange(n)
-    done, length = symbols.copy(), size.copy()
-    best, made = np.full((n, width), NONE), np.full((n, width), -1)
+    done, length = ids.copy(), size.copy()
+    best, made = np.full((n, width), NONE), np.full((n, width), -1, np.int32)
     if width > 1:
         rows, cols = np.nonzero(ids[:, 1:] >= 0)
         best[rows, cols], made[rows, cols] = ranked(rows, cols)
-    cols = np.arange(width)
     while len(alive):
         j = best.argmin(1)
         row = np.arange(len(alive))
         go = best[row, j] < NONE
         if not go.all():
-            done[alive[~go]], length[alive[~go]] = ids[~go], size[~go]
+            over = alive[~go]
+            done[over, :ids.shape[1]], length[over] = ids[~go], size[~go]
             ids, at, key, alive, best, made, size, j = (x[go] for x in (ids, at, key, alive, best, made, size, j))
             row = np.arange(len(alive))
             if not len(alive):
                 break
         ids[row, j] = made[row, j]
-        take = np.minimum(cols + (cols > j[:, None]), width - 1)
-        ids, at, best, made = (np.take_along_axis(x, take, 1) for x in (ids, at, best, made))
-        ids[:, -1], best[:, -1] = -1, NONE
+        stay = np.ones(ids.shape, bool)
+        stay[row, j + 1] = False
+        ids, at, best, made = (x[stay].reshape(len(alive), -1) for x in (ids, at, best, made))
         size = size - 1
         best[row, j] = NONE
         more = row[j + 1 < size]
@@ -232,8 +235,9 @@ def encode_texts(v: Vocabulary, texts: pa.Array, variant: np.ndarray, drop: Drop
     size = np.diff(off)
     many = size + (size > 0)
     begin = np.cumsum(many) - many
-    data = np.full(int(many.sum()), 32, np.uint8)
-    data[np.repeat(begin + 1 - off[:-1], size) + np.arange(len(raw))] = raw
+    data, own = np.full(int(many.sum()), 32, np.uint8), np.ones(int(many.sum()), bool)
+    own[begin[size > 0]] = False
+    data[own] = raw
     if not len(data):
         return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
     space = data == 32
@@ -255,25 +259,26 @@ def encode_texts(v: Vocabulary, texts: pa.Array, variant: np.ndarray, drop: Drop
 
 def decode_ids(v: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """The texts of id lists; the space before each is taken off again."""
-    data, off = v.raw
-    size = np.diff(off)[ids]
-    raw = data[words.ranges(off[ids], size)]
-    ends = np.concatenate([[0], np.cumsum(size)])[offsets]
+    taken = v.raw.take(pa.array(ids))
+    raw, off = words.bytes_of(taken)
+    ends = off[offsets]
     keep = np.ones(len(raw), bool)
     keep[ends[:-1][np.diff(ends) > 0]] = False
-    ends = np.concatenate([[0], np.cumsum(keep)])[ends]
+    ends = ends - np.concatenate([[0], np.cumsum(np.diff(ends) > 0)])
     return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw[keep])])
 
 
 def encode_pieces(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE,
-                  seed: int = SEED, carry: list[str] | None = None, out: str = "pieces") -> DataFrame:
+                  seed: int = SEED, carry: list[str] | None = None, out: str = "pieces", check: str | None = None) -> DataFrame:
     """``carry`` columns of ``docs`` (all by default) with ``out``, the piece ids of the whole text.
 
     ``rate`` of the candidate merges are skipped by keyed hash; the key's variant (one of VARIANTS) comes from the id, so equal
-    texts may be cut differently, and always alike under one seed. Null and empty texts have no pieces. Repeated rows get equal
-    pieces; a column named like ``out`` is replaced; an empty table gives no rows.
+    texts may be cut differently, and always alike under one seed. ``check`` names a column that tells whether decoding the ids
+    gave the text back. Null and empty texts have no pieces. Repeated rows get equal pieces; columns named like a result are
+    replaced; an empty table gives no rows.
     """
-    carry = [c for c in (docs.columns if carry is None else carry) if c.lower() != out.lower()]
+    made = [out, *([check] if check else [])]
+    carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in {m.lower() for m in made}]
     (variant,) = fresh(docs, "variant")
     drop = Dropout(rate, seed)
 
@@ -283,12 +288,14 @@ def encode_pieces(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id
             for part, texts in words.shards(batch, text_col, SHARD):
                 ids, offsets = encode_texts(vocabulary, texts, part.column(at).to_numpy(zero_copy_only=False), drop)
                 kept = [part.column(part.schema.get_field_index(c)) for c in carry]
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*kept, lists], names=[*carry, out])
+                kept.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids)))
+                if check:
+                    kept.append(pc.equal(decode_ids(vocabulary, ids, offsets), texts))
+                yield pa.RecordBatch.from_arrays(kept, names=[*carry, *made])
 
     named = docs.withColumn(variant, F.pmod(F.xxhash64(F.lit(seed), field(id_col)), F.lit(VARIANTS)).cast("int"))
     return named.select(*map(field, dict.fromkeys([*carry, text_col, variant]))).mapInArrow(
-        scan, with_fields(docs, carry, f"`{out}` array<int>"))
+        scan, with_fields(docs, carry, f"`{out}` array<int>" + (f", `{check}` boolean" if check else "")))
 
 
 def decode_pieces(coded: DataFrame, vocabulary: Vocabulary, pieces_col: str = "pieces", carry: list[str] | None = None,
@@ -307,18 +314,11 @@ def decode_pieces(coded: DataFrame, vocabulary: Vocabulary, pieces_col: str = "p
     return coded.select(*map(field, dict.fromkeys([*carry, pieces_col]))).mapInArrow(scan, with_fields(coded, carry, f"`{out}` string"))
 
 
-def _print(text: Column) -> Column:
-    return F.struct(F.xxhash64(F.lit(1), text), F.xxhash64(F.lit(2), text))
-
-
 def encode_and_check(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE,
                      seed: int = SEED) -> DataFrame:
-    """(id, n_pieces, pieces, lossless): the encoding, and whether decoding it gives the text back (by two 64-bit hashes)."""
-    named = docs.select(field(id_col), whole(field(text_col)).alias("__text"), _print(whole(field(text_col))).alias("__print"))
-    coded = encode_pieces(named, vocabulary, id_col, "__text", rate, seed, [id_col, "__print"])
-    return decode_pieces(coded, vocabulary).select(
-        field(id_col), F.size("pieces").cast("long").alias("n_pieces"), "pieces",
-        (_print(F.col("decoded")) == F.col("__print")).alias("lossless"))
+    """(id, n_pieces, pieces, lossless): the encoding, and whether decoding it gives the whole text back."""
+    coded = encode_pieces(docs, vocabulary, id_col, text_col, rate, seed, [id_col], "pieces", "lossless")
+    return coded.select(field(id_col), F.size("pieces").cast("long").alias("n_pieces"), "pieces", "lossless")
 
 
 def op9_merge_dropout(spark, sf_dir: str) -> DataFrame:
