@@ -194,11 +194,11 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     found = inside[0]
     for more in inside[1:]:
         found = found.unionByName(more)
-    order = F.array_sort(F.collect_list(F.struct((-F.col("longest_words")).alias("l"), F.col("longest_start").alias("s"),
-                                                 F.col("longest_item").alias("i"))))
+    match = F.struct((-F.col("longest_words")).alias("l"), F.col("longest_start").alias("s"), F.col("longest_item").alias("i"))
+    order = F.min(F.when(F.col("longest_words").isNotNull(), match))
     merged = found.groupBy(row).agg(
         F.max("n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_hit"),
-        F.array_sort(F.flatten(F.collect_list("items"))).alias("items"), order[0].alias("best"))
+        F.array_sort(F.flatten(F.collect_list("items"))).alias("items"), order.alias("best"))
     best = {"longest_words": -F.col("best.l"), "longest_start": F.col("best.s"), "longest_item": F.col("best.i")}
     return numbered.join(merged, row, "left").withColumns(best).select(*map(field, carry), *RESULTS)
 
