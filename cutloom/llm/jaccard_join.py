@@ -7,10 +7,10 @@ Which segments get deletions is chosen per band by the number of keys, as long a
 the SLACK(band) segments that tell least about it (empty ones, then the smallest); twice that many are added to the sum, so the
 guarantee holds whatever two sets leave out.
 
-Only one of several equal sets takes part. In a bucket of equal keys all members are first paired with the least one, then with
-the next one where that did not connect them; what is connected needs no pair any more, so a group of n copies costs about n
-pairs. What is left, pairs of different components in one bucket, is compared last. Pairs that parity sketches prove to be too
-different are left out; all others are verified on whole texts.
+Only one of several equal sets takes part. In a bucket of equal keys each member is first paired with the least one and with the
+one before it; what these pairs connect needs no pair any more, so a group of n copies costs about 2 n pairs. What is left,
+pairs of different components in one bucket, is compared in a second round. Pairs that parity sketches prove to be too different
+are left out; all others are verified on whole texts.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..session import durable
 from . import words
 from .columns import field, fresh
-from .links import components
+from .links import components, joined_components
 from .slots import bit_table, mark
 
 SHINGLE = 4
@@ -126,7 +126,7 @@ def _prints(docs: DataFrame, text_col: str, width: int, ids: str) -> DataFrame:
             for part, texts in words.shards(batch, text_col):
                 sizes, tokens = shingle_sets(texts, width)
                 row = words.row_of(sizes)
-                a = per_row(words.mix(tokens ^ np.uint64(1)), sizes).view(np.int64)
+                a = _node(sizes, tokens)
                 b = per_row(words.mix(tokens ^ np.uint64(2)), sizes).view(np.int64)
                 sketch = [x.tobytes() for x in _parity(tokens, row, len(sizes))]
                 yield pa.RecordBatch.from_arrays(
@@ -194,7 +194,7 @@ def _keys(docs: DataFrame, text_col: str, width: int, percent: int) -> DataFrame
         for batch in batches:
             for _, texts in words.shards(batch, text_col):
                 sizes, tokens = shingle_sets(texts, width)
-                nodes = per_row(words.mix(tokens ^ np.uint64(1)), sizes).view(np.int64)
+                nodes = _node(sizes, tokens)
                 new = np.zeros(len(nodes), bool)
                 for k, node in enumerate(nodes.tolist()):
                     if node not in told:
@@ -210,7 +210,7 @@ def _keys(docs: DataFrame, text_col: str, width: int, percent: int) -> DataFrame
 
 
 def _buckets(keys: DataFrame) -> DataFrame:
-    """(key, leader, node): each further node of a key with the key's least one; one pass over sorted rows."""
+    """(key, leader, before, node): each further node of a key with the key's least one and the one before it, in one pass."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key = last_node = leader = None
@@ -218,19 +218,18 @@ def _buckets(keys: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             key, node = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            before = np.concatenate([[node[0] if last_node is None else last_node], node[:-1]])
             new = np.ones(len(key), bool)
             new[1:] = key[1:] != key[:-1]
-            same = np.zeros(len(key), bool)
-            same[1:] = ~new[1:] & (node[1:] == node[:-1])
-            if last_key is not None and key[0] == last_key:
-                new[0], same[0] = False, node[0] == last_node
+            new[0] = last_key is None or key[0] != last_key
             head = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
             lead = np.where(head >= 0, node[head], leader if leader is not None else 0)
             last_key, last_node, leader = key[-1], node[-1], lead[-1]
-            more = ~new & ~same
-            yield pa.RecordBatch.from_arrays([pa.array(x[more]) for x in (key, lead, node)], names=["key", "leader", "node"])
+            more = ~new & (node != before)
+            yield pa.RecordBatch.from_arrays([pa.array(x[more]) for x in (key, lead, before, node)], names=["key", "leader", "before", "node"])
 
-    return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(scan, "key long, leader long, node long")
+    return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(
+        scan, "key long, leader long, before long, node long")
 
 
 def _near(size_x: np.ndarray, size_y: np.ndarray, sketch_x: np.ndarray, sketch_y: np.ndarray, percent: int) -> np.ndarray:
@@ -248,24 +247,18 @@ def _sketches(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH_BITS // 8)
 
 
-def _beside(members: DataFrame, percent: int) -> DataFrame:
-    """(x, y): in each key, members that follow each other in the order of nodes, if their components differ; one pass."""
+def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) that sizes and sketches do not rule out."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([batch] if last is None else [last, batch])
-            last = batch.slice(batch.num_rows - 1)
-            key, comp, node, size = (rows[c].to_numpy() for c in ("key", "comp", "node", "size"))
-            at = np.flatnonzero((key[1:] == key[:-1]) & (comp[1:] != comp[:-1]))
-            sketch = _sketches(rows["sketch"])
-            at = at[_near(size[at], size[at + 1], sketch[at], sketch[at + 1], percent)]
-            yield _pairs(node[at], node[at + 1])
-
-    return members.repartition("key").sortWithinPartitions("key", "node").select(
-        "key", "comp", "node", "size", "sketch").mapInArrow(scan, "x long, y long")
+            rows = pa.Table.from_batches([batch])
+            size_x, size_y = rows["size_x"].to_numpy(), rows["size_y"].to_numpy()
+            near = _near(size_x, size_y, _sketches(rows["sketch_x"]), _sketches(rows["sketch_y"]), percent)
+            yield batch.select(["x", "y"]).filter(pa.array(near))
+
+    x, y = (nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "xy")
+    return pairs.join(x, "x").join(y, "y").select("x", "y", "size_x", "size_y", "sketch_x", "sketch_y").mapInArrow(scan, "x long, y long")
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
@@ -314,22 +307,28 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str
             for part, left in words.shards(batch, "tx", words.SHARD_BYTES // 2):
                 right = words.text_array(part.column(part.schema.get_field_index("ty")))
                 (n, s), (m, t) = shingle_sets(left, width), shingle_sets(right, width)
-                good = np.zeros(len(n), bool)
+                x, y = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                # of rows that share an id, only the text that the node stands for counts
+                good = (_node(n, s) == x) & (_node(m, t) == y)
                 for k, (a, b) in enumerate(zip(np.cumsum(n), np.cumsum(m))):
                     both = len(np.intersect1d(s[a - n[k]:a], t[b - m[k]:b], assume_unique=True))
-                    good[k] = 100 * both >= percent * (n[k] + m[k] - both)
+                    good[k] &= 100 * both >= percent * (n[k] + m[k] - both)
                 yield part.select(["x", "y"]).filter(pa.array(good))
 
-    wanted = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
-    chosen = durable(wanted.join(nodes.select("node", "doc"), "node"))
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    chosen = durable(nodes.select("node", "doc").join(wanted, "node", "left_semi"))
     own = docs.select(field(ids).alias("doc"), field(text_col).alias("text"))
     own = mark(own, bit_table(chosen, ["doc"]), ["doc"], "wanted").where("wanted").drop("wanted")
-    own = own.dropDuplicates(["doc", "text"])
     texts = durable(chosen.join(own, "doc").select("node", "text"))
     x, y = (texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")) for c in "xy")
     return durable(pairs.join(x, "x").join(y, "y").select("x", "y", "tx", "ty").mapInArrow(test, "x long, y long"))
 
 
+def _node(sizes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """The node of each set: half of its fingerprint."""
+    return per_row(words.mix(tokens ^ np.uint64(1)), sizes).view(np.int64)
+
+
 def _split_members(buckets: DataFrame, linked: DataFrame, nodes: DataFrame) -> DataFrame:
     """(key, node, comp, size, sketch) of the keys whose members are not all in one component."""
 
@@ -359,16 +358,16 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min("id").alias("doc"), F.min("size").alias("size"), F.min("sketch").alias("sketch")).withColumnRenamed("a", "node")
     nodes = durable(nodes.groupBy("node").agg(F.min("doc").alias("doc"), F.min("size").alias("size"), F.min("sketch").alias("sketch")))
     buckets = durable(_buckets(_keys(narrow, "text", width, percent)))
-    stars = durable(buckets.select(F.col("leader").alias("x"), F.col("node").alias("y")).distinct())
-    tested = stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    links = _verified(stars, nodes, narrow, "text", "id", width, percent)
+    ordered = [F.struct(F.least(o, "node").alias("x"), F.greatest(o, "node").alias("y")) for o in ("leader", "before")]
+    first = buckets.select(F.explode(F.array(*ordered)).alias("p")).select("p.*").distinct()
+    first = durable(_possible(first, nodes, percent))
+    links = _verified(first, nodes, narrow, "text", "id", width, percent)
     linked = components(links)
-    for further in (_beside, _across):  # the first joins most of what is similar in one pass, the second misses nothing
-        members = _split_members(buckets, linked, nodes)
-        rest = durable(further(members, percent).distinct().join(tested, ["x", "y"], "left_anti"))
-        links = links.unionByName(_verified(rest, nodes, narrow, "text", "id", width, percent))
-        tested = tested.unionByName(rest)
-        linked = components(links)
+    members = _split_members(buckets, linked, nodes)
+    rest = durable(_across(members, percent).distinct().join(first, ["x", "y"], "left_anti"))
+    if not rest.isEmpty():
+        more = _verified(rest, nodes, narrow, "text", "id", width, percent)
+        linked = joined_components(linked, more)
     roots = durable(nodes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "root", "doc"))
     least = roots.groupBy("root").agg(F.min("doc").alias("component"))
     of_node = roots.join(least, "root").select(F.col("node").alias("a"), "component")
