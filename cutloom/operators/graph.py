@@ -209,14 +209,14 @@ def replace_assets(requests: DataFrame, edges: DataFrame, nodes: DataFrame, asse
     """Rewire consumers from ``source_asset`` to ``replacement_asset``.
 
     Returns (ops, rejects). Ops are (source_asset, consumer, op_idx, op_type, target): update, edge.remove, edge.add.
-    A request is refused when an asset is unknown, both are equal or the media families differ; a consumer when it does
+    A request is refused when an asset is unknown, both are equal or the asset families differ; a consumer when it does
     not hold exactly one reference edge to the source.
     """
-    a = assets.select(F.col("asset_id"), F.col("media_kind"))
-    r = requests.join(a.select(F.col("asset_id").alias("source_asset"), F.col("media_kind").alias("__s")), "source_asset", "left").join(
-        a.select(F.col("asset_id").alias("replacement_asset"), F.col("media_kind").alias("__r")), "replacement_asset", "left")
+    a = assets.select(F.col("asset_id"), F.col("asset_kind"))
+    r = requests.join(a.select(F.col("asset_id").alias("source_asset"), F.col("asset_kind").alias("__s")), "source_asset", "left").join(
+        a.select(F.col("asset_id").alias("replacement_asset"), F.col("asset_kind").alias("__r")), "replacement_asset", "left")
     r = r.withColumn("reason", F.when(F.col("__s").isNull() | F.col("__r").isNull(), "unknown-asset").when(
-        F.col("source_asset") == F.col("replacement_asset"), "same-asset").when(F.col("__s") != F.col("__r"), "different-media"))
+        F.col("source_asset") == F.col("replacement_asset"), "same-asset").when(F.col("__s") != F.col("__r"), "different-kind"))
     refs = edges.where("type = 'references'").groupBy(F.col("src").alias("consumer"), F.col("dst").alias("source_asset")).agg(
         F.count("*").alias("__n"))
     refs = refs.join(nodes.where(F.col("kind").isin(*kinds)).select(F.col("id").alias("consumer")), "consumer", "left_semi")

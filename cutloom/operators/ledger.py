@@ -55,7 +55,7 @@ def keyframe_segments(keyframes: DataFrame, totals: DataFrame, target: float = 8
 
 def derivative_plan(sources: DataFrame, proxy_edge: float = 1280, thumbnails: int = 12) -> DataFrame:
     """Derivatives each source needs: (asset_id, type, width, height, times)."""
-    kind, edge = F.col("media_kind"), F.greatest(F.coalesce("width", F.lit(0.0)), F.coalesce("height", F.lit(0.0)))
+    kind, edge = F.col("asset_kind"), F.greatest(F.coalesce("width", F.lit(0.0)), F.coalesce("height", F.lit(0.0)))
     pw, ph = proxy_size(F.col("width"), F.col("height"), proxy_edge)
     item = lambda t, w, h, n: F.struct(F.lit(t).alias("type"), w.cast("bigint").alias("width"), h.cast("bigint").alias("height"), n.alias("times"))
     none = F.lit(None).cast("bigint")

@@ -9,7 +9,7 @@ from .scan import span_of, span_scan
 
 # Evidence points.
 SAME_HASH, SAME_SIZE, SAME_NAME, SAME_MIME, SAME_DURATION, MINIMUM = 1000, 120, 80, 20, 20, 100
-ATTRS = ["media_kind", "hash", "size", "base", "mime", "duration"]
+ATTRS = ["asset_kind", "hash", "size", "base", "mime", "duration"]
 
 
 def basename(name: Column) -> Column:
@@ -19,8 +19,8 @@ def basename(name: Column) -> Column:
 def pair_score(a: str = "a_", c: str = "c_") -> Column:
     """Score of two prefixed attribute sets; null means rejected."""
     l, r = (lambda n: F.col(a + n)), (lambda n: F.col(c + n))
-    kinds = l("media_kind").isNotNull() & r("media_kind").isNotNull() & (l("media_kind") != r("media_kind")) & ~(
-        (l("media_kind") == "music") & (r("media_kind") == "audio"))
+    kinds = l("asset_kind").isNotNull() & r("asset_kind").isNotNull() & (l("asset_kind") != r("asset_kind")) & ~(
+        (l("asset_kind") == "music") & (r("asset_kind") == "audio"))
     both = l("hash").isNotNull() & r("hash").isNotNull()
     same = lambda n, points: F.when(l(n) == r(n), points).otherwise(0)
     soft = (F.when((l("size") > 0) & (l("size") == r("size")), SAME_SIZE).otherwise(0)
@@ -91,20 +91,20 @@ def best_candidates(assets: DataFrame, candidates: DataFrame) -> DataFrame:
     any_kind = F.lit("*")
     c = keyed(candidates, False).withColumn("hashless", F.col("hash").isNull())
     # a candidate is found under its own kind and under "any"; a candidate without kind is found by everyone
-    c = c.withColumn("kind", F.explode(F.when(F.col("media_kind").isNull(), F.array(any_kind, F.lit("?"))).otherwise(F.array(any_kind, F.col("media_kind")))))
+    c = c.withColumn("kind", F.explode(F.when(F.col("asset_kind").isNull(), F.array(any_kind, F.lit("?"))).otherwise(F.array(any_kind, F.col("asset_kind")))))
     # durations are compared exactly, so they stay part of the folded key where they count
     exact = F.when(F.element_at(F.array(*[F.lit(bool(x[0][3])) for x in _COMBOS]), F.col("combo") + 1), F.col("duration"))
     c = c.withColumn("c_duration", exact).groupBy("combo", "key", "slot", "kind", "hashless", "c_duration").agg(F.min("position").alias("candidate"))
     a = keyed(assets, True)
-    wanted = F.when(F.col("media_kind").isNull(), F.array(any_kind)).when(F.col("media_kind") == "music", F.array(F.lit("music"), F.lit("audio"), F.lit("?"))).otherwise(
-        F.array(F.col("media_kind"), F.lit("?")))
+    wanted = F.when(F.col("asset_kind").isNull(), F.array(any_kind)).when(F.col("asset_kind") == "music", F.array(F.lit("music"), F.lit("audio"), F.lit("?"))).otherwise(
+        F.array(F.col("asset_kind"), F.lit("?")))
     a = a.withColumn("kind", F.explode(wanted)).select("id", "hash", "duration", "combo", "points", "key", "slot", "kind")
     soft = a.join(c, ["combo", "key", "slot", "kind"]).where(
         (F.col("hash").isNull() | F.col("hashless")) & (F.col("c_duration").isNull() | (F.abs(F.col("duration") - F.col("c_duration")) < 0.05)))
     soft = soft.select("id", F.col("points").alias("score"), "candidate")
-    h = candidates.where("hash is not null").groupBy("hash", F.coalesce("media_kind", F.lit("?")).alias("ck")).agg(F.min("position").alias("candidate"))
+    h = candidates.where("hash is not null").groupBy("hash", F.coalesce("asset_kind", F.lit("?")).alias("ck")).agg(F.min("position").alias("candidate"))
     hard = assets.where("hash is not null").join(h, "hash").where(
-        F.col("media_kind").isNull() | (F.col("ck") == "?") | (F.col("ck") == F.col("media_kind")) | ((F.col("media_kind") == "music") & (F.col("ck") == "audio")))
+        F.col("asset_kind").isNull() | (F.col("ck") == "?") | (F.col("ck") == F.col("asset_kind")) | ((F.col("asset_kind") == "music") & (F.col("ck") == "audio")))
     hard = hard.select("id", F.lit(SAME_HASH).alias("score"), "candidate")
     best = soft.unionByName(hard).groupBy("id").agg(F.max(F.struct("score", (-F.col("candidate")).alias("neg"))).alias("b"))
     return best.select("id", (-F.col("b.neg")).alias("candidate"), F.col("b.score").alias("score"))

@@ -65,10 +65,10 @@ def edge_counts(edges: DataFrame, edge_type: str, end: str) -> DataFrame:
     return edges.where(F.col("type") == edge_type).groupBy(F.col(end).alias("id")).agg(F.count("*").alias("n"))
 
 
-def source_range_violations(clips: DataFrame, media: DataFrame) -> DataFrame:
+def source_range_violations(clips: DataFrame, footage: DataFrame) -> DataFrame:
     """Clips whose source range runs past the end of their asset."""
-    m = media.select("asset_id", "media_duration")
-    over = F.col("in_point") + F.col("duration") * F.col("playback_rate") > F.col("media_duration") + EPS
+    m = footage.select("asset_id", "source_duration")
+    over = F.col("in_point") + F.col("duration") * F.col("playback_rate") > F.col("source_duration") + EPS
     return clips.join(m, "asset_id").where(over).select("clip_id", F.lit("source-range").alias("code"))
 
 
@@ -81,12 +81,12 @@ def composition_rules() -> list:
 
 
 def track_rules() -> list:
-    return [("track.media-kind", ~F.coalesce(F.col("media_kind").isin("visual", "audio"), F.lit(False))),
+    return [("track.kind", ~F.coalesce(F.col("asset_kind").isin("visual", "audio"), F.lit(False))),
             ("track.parent", F.coalesce("parents", F.lit(0)) != 1)]
 
 
 def clip_rules() -> list:
-    """Needs the clip joined to its asset (asset_kind, media_duration) and track (track_kind), and edge counts."""
+    """Needs the clip joined to its asset (asset_kind, source_duration) and track (track_kind), and edge counts."""
     c = F.col
     asset, track = c("asset_kind"), c("track_kind")
     wants = F.when(asset.isin("audio", "music"), "audio").otherwise("visual")
@@ -100,7 +100,7 @@ def clip_rules() -> list:
             ("clip.fade-out", c("fade_out").isNotNull() & ~non_negative(c("fade_out"))),
             ("clip.containment", F.coalesce("contained", F.lit(0)) != 1), ("clip.reference", F.coalesce("referenced", F.lit(0)) != 1),
             ("clip.track-kind", asset.isNotNull() & track.isNotNull() & (track != wants)),
-            ("clip.source-range", track.isNotNull() & (asset != "image") & positive(c("media_duration")) & (end > c("media_duration") + EPS))]
+            ("clip.source-range", track.isNotNull() & (asset != "image") & positive(c("source_duration")) & (end > c("source_duration") + EPS))]
 
 
 def layer_rules() -> list:

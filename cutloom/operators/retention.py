@@ -15,10 +15,10 @@ PRESSURE_START, PRESSURE_TARGET, MIN_AGE_MS = 0.9, 0.8, 30 * 24 * 60 * 60 * 1000
 
 
 def source_manifest(assets: DataFrame) -> DataFrame:
-    """One typed row per asset: id, name, media_kind, mime_type, size, hash, duration with the stated defaults."""
-    d = {"media_kind": "unknown", "mime_type": "", "size": 0}
+    """One typed row per asset: id, name, asset_kind, mime_type, size, hash, duration with the stated defaults."""
+    d = {"asset_kind": "unknown", "mime_type": "", "size": 0}
     cols = [F.coalesce(F.col(c), F.lit(d[c])).alias(c) if c in d else F.col(c)
-            for c in ("id", "name", "media_kind", "mime_type", "size", "hash", "duration") if c in assets.columns]
+            for c in ("id", "name", "asset_kind", "mime_type", "size", "hash", "duration") if c in assets.columns]
     return assets.select(*cols)
 
 
@@ -47,7 +47,7 @@ def classify(mime: Column, name: Column, head: Column | None = None) -> Column:
     return out.otherwise("unknown")
 
 
-def media_family(mime: Column) -> Column:
+def asset_family(mime: Column) -> Column:
     m = F.coalesce(mime, F.lit(""))
     return (F.when(m.startswith("image/"), "image").when(m.startswith("video/"), "video").when(m.startswith("audio/"), "audio")
             .when(m.contains("svg"), "vector").otherwise("unknown"))

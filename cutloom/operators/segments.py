@@ -36,7 +36,7 @@ def playlist_lines(texts: DataFrame) -> DataFrame:
 
 
 def playlist_segments(texts: DataFrame) -> DataFrame:
-    """Media segments of playlists: sequence, url, start, duration, title, byte range, map, discontinuity.
+    """Segments of playlists: sequence, url, start, duration, title, byte range, map, discontinuity.
 
     Line state becomes windows over the lines of one playlist: a tag belongs to the next url line, map and key lines carry
     forward, byte ranges without an offset continue the range before them.
@@ -130,7 +130,7 @@ def expand_timeline(runs: DataFrame, key: str, order: Sequence[str], span: Colum
 
 def template_segments(templates: DataFrame, presentation_now: Column | None = None, depth: float = 30.0,
                       unknown_count: int = 12) -> DataFrame:
-    """Fixed-length segments of (key, period_start, period_duration, units, timescale, start_number, media, bandwidth).
+    """Fixed-length segments of (key, period_start, period_duration, units, timescale, start_number, footage, bandwidth).
 
     With a live clock only the window of ``depth`` seconds before it is listed. A period of unknown duration lists
     ``unknown_count`` segments.
@@ -146,7 +146,7 @@ def template_segments(templates: DataFrame, presentation_now: Column | None = No
     x = explode_range(x.withColumn("__first", first.cast("bigint")).withColumn("__n", count.cast("bigint")), F.col("__first"), F.col("__first") + F.col("__n"), "index")
     x = x.withColumn("sequence", F.col("start_number") + F.col("index")).withColumn("time", (F.col("index") * F.col("units")).cast("bigint"))
     return x.withColumn("start", F.col("period_start") + F.col("time") / F.greatest(F.lit(1.0), F.col("timescale"))).withColumn(
-        "url", fill_template(F.col("media"), F.col("key"), F.col("bandwidth"), F.col("sequence"), F.col("time"))).drop("__first", "__n")
+        "url", fill_template(F.col("footage"), F.col("key"), F.col("bandwidth"), F.col("sequence"), F.col("time"))).drop("__first", "__n")
 
 
 def fill_template(text: Column, rep: Column, bandwidth: Column, number: Column, time: Column) -> Column:
@@ -168,12 +168,12 @@ def event_times(events: DataFrame, periods: DataFrame, period: str) -> DataFrame
 
 
 def merge_window(old: DataFrame, new: DataFrame, streams: DataFrame) -> DataFrame:
-    """Upsert segments (stream_id, sequence, partial, url, ..) and drop what is below the media sequence (stream_id, media_sequence)."""
+    """Upsert segments (stream_id, sequence, partial, url, ..) and drop what is below the first sequence (stream_id, first_sequence)."""
     key = ["stream_id", "sequence", "partial", "url"]
     rest = [c for c in old.columns if c not in key]
     both = old.withColumn("__v", F.lit(0)).unionByName(new.withColumn("__v", F.lit(1)))
     latest = both.groupBy(*key).agg(F.max_by(F.struct(*rest), "__v").alias("x")).select(*key, "x.*")
-    return latest.join(streams, "stream_id").where(F.col("sequence") >= F.greatest(F.lit(0), F.col("media_sequence"))).select(*old.columns)
+    return latest.join(streams, "stream_id").where(F.col("sequence") >= F.greatest(F.lit(0), F.col("first_sequence"))).select(*old.columns)
 
 
 def live_edges(segments: DataFrame, streams: DataFrame) -> DataFrame:
@@ -186,12 +186,12 @@ def live_edges(segments: DataFrame, streams: DataFrame) -> DataFrame:
 
 
 def next_requests(segments: DataFrame, cursors: DataFrame, limit: int = 3) -> DataFrame:
-    """Next segments per cursor (stream_id, after_sequence, playhead); pruned map-side."""
+    """Next segments per cursor (stream_id, after_sequence, playhead ..), each cursor ranked for itself; pruned map-side."""
     x = segments.join(cursors, "stream_id")
     after = F.col("after_sequence")
     ok = F.when(after.isNull(), F.col("start") + F.col("duration") > F.col("playhead")).otherwise(
         (F.col("sequence") > after) | (F.col("partial") & (F.col("sequence") >= after)))
-    w = W.partitionBy("stream_id").orderBy("start", F.col("partial").cast("int"), "sequence", "url")
+    w = W.partitionBy(*cursors.columns).orderBy("start", F.col("partial").cast("int"), "sequence", "url")
     return x.where(ok).withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= limit).withColumn("turn", F.col("turn").cast("bigint"))
 
 
@@ -207,9 +207,9 @@ def active_periods(periods: DataFrame, probes: DataFrame, width: float = 3600.0)
 
 
 def expand_references(refs: DataFrame) -> DataFrame:
-    """Media references (root_id, path, ..) of hierarchical indexes, in order.
+    """Leaf references (root_id, path, ..) of hierarchical indexes, in order.
 
-    Refs: index_id, ref_no, child_index (null for media), duration, size. One join per level, to the last one. An index that
+    Refs: index_id, ref_no, child_index (null for a leaf), duration, size. One join per level, to the last one. An index that
     contains itself is never below a root without being met twice on one path: such a path raises.
     """
     from ..session import durable
@@ -217,14 +217,14 @@ def expand_references(refs: DataFrame) -> DataFrame:
     roots = children.join(refs.where("child_index is not null").select(F.col("child_index").alias("index_id")).distinct(), "index_id", "left_anti")
     pad = lambda c: F.lpad(c.cast("string"), 9, "0")
     at = roots.select(F.col("index_id").alias("root_id"), "index_id", F.lit("").alias("path"), F.array("index_id").alias("seen"))
-    media = None
+    footage = None
     while True:
         x = durable(at.join(refs, "index_id").withColumn("path", F.concat("path", pad(F.col("ref_no")), F.lit("/"))))
         leaf = x.where("child_index is null").select("root_id", "path", "duration", "size")
-        media = leaf if media is None else media.unionByName(leaf)
+        footage = leaf if footage is None else footage.unionByName(leaf)
         at = x.where("child_index is not null")
         if at.isEmpty():
-            return media
+            return footage
         if not at.where(F.array_contains("seen", F.col("child_index"))).isEmpty():
             raise ValueError("an index contains itself")
         at = at.select("root_id", F.col("child_index").alias("index_id"), "path", F.array_append("seen", F.col("child_index")).alias("seen"))

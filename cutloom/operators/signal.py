@@ -60,7 +60,7 @@ def block_energy(samples: DataFrame, block: int, step: int, weights: Mapping[int
     w = F.lit(1.0)
     for channel, value in (weights or {}).items():
         w = F.when(F.col("channel") == channel, F.lit(float(value))).otherwise(w)
-    limit = samples.where("channel = 0").groupBy("buffer_id").agg((F.max("i") + 1).alias("len"))
+    limit = samples.groupBy("buffer_id").agg((F.max("i") + 1).alias("len"))
     out = e.groupBy("buffer_id", "block_no").agg(F.sum(w * F.col("sq") / F.greatest(F.lit(1), F.col("n"))).alias("energy"))
     return out.join(limit, "buffer_id").where(F.col("block_no") * step < F.col("len")).drop("len")
 

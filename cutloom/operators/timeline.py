@@ -1,7 +1,7 @@
 """Timeline operators over clip intervals. Edits are tables: every row is one request, judged against its clip.
 
-Clips: clip_id, track_id, asset_id, start, duration, in_point, playback_rate, enabled. Tracks: track_id, media_kind,
-locked, muted, ord. Media: asset_id, media_kind, media_duration. Edit results carry the new values and ``reason``, the
+Clips: clip_id, track_id, asset_id, start, duration, in_point, playback_rate, enabled. Tracks: track_id, asset_kind,
+locked, muted, ord. Footage: asset_id, asset_kind, source_duration. Edit results carry the new values and ``reason``, the
 rule that refused the edit (null when accepted).
 """
 
@@ -31,18 +31,18 @@ def clip_order(clips: DataFrame, width: float = 86400.0) -> DataFrame:
     return span_scan(clips, ["track_id"], ["start", "clip_id"], span_of("start", width), position=("row_number",))
 
 
-def active_at(clips: DataFrame, times: DataFrame, tracks: DataFrame | None = None, media_kind: str | None = None,
+def active_at(clips: DataFrame, times: DataFrame, tracks: DataFrame | None = None, asset_kind: str | None = None,
               width: float = 600.0) -> DataFrame:
-    """(t, clip..) for enabled clips with ``start <= t < end``; a media kind also asks for an unmuted track of it.
+    """(t, clip..) for enabled clips with ``start <= t < end``; an asset kind also asks for an unmuted track of it.
 
     ``times`` is one column ``t``. The time bucket alone is the join key, so a busy track spreads over its buckets.
     """
     c = clips.where(F.coalesce("enabled", F.lit(True))).withColumn("__end", clip_end())
     if tracks is not None:
-        kinds = tracks.select("track_id", F.col("media_kind").alias("track_kind"), "muted", "ord")
+        kinds = tracks.select("track_id", F.col("asset_kind").alias("track_kind"), "muted", "ord")
         c = c.join(kinds, "track_id", "left")
-        if media_kind:
-            c = c.where((F.col("track_kind") == media_kind) & ~F.coalesce("muted", F.lit(False)))
+        if asset_kind:
+            c = c.where((F.col("track_kind") == asset_kind) & ~F.coalesce("muted", F.lit(False)))
     return point_join(times, c, [], "t", "start", "__end", width).drop("__end")
 
 
@@ -94,9 +94,9 @@ def snap(points: DataFrame, probes: DataFrame, tolerance: float = SNAP_TOLERANCE
 
 # --- edits ------------------------------------------------------------------------------------------------------------
 
-def _refs(clips: DataFrame, tracks: DataFrame, media: DataFrame, track_col: str = "track_id") -> DataFrame:
-    t = tracks.select(F.col("track_id").alias("__track"), F.col("media_kind").alias("__tk"), F.col("locked").alias("__locked"))
-    m = media.select(F.col("asset_id").alias("__asset"), F.col("media_kind").alias("__mk"), F.col("media_duration").alias("__md"))
+def _refs(clips: DataFrame, tracks: DataFrame, footage: DataFrame, track_col: str = "track_id") -> DataFrame:
+    t = tracks.select(F.col("track_id").alias("__track"), F.col("asset_kind").alias("__tk"), F.col("locked").alias("__locked"))
+    m = footage.select(F.col("asset_id").alias("__asset"), F.col("asset_kind").alias("__mk"), F.col("source_duration").alias("__md"))
     return clips.join(t, F.col(track_col) == F.col("__track"), "left").join(m, F.col("asset_id") == F.col("__asset"), "left")
 
 
@@ -111,23 +111,23 @@ def _finish(df: DataFrame, keep: list[str], reason: Column, **new: Column) -> Da
     return x.select(*keep, *[F.when(F.col("reason").isNull(), v).alias(n) for n, v in new.items()], "reason")
 
 
-def move(clips: DataFrame, edits: DataFrame, tracks: DataFrame, media: DataFrame) -> DataFrame:
+def move(clips: DataFrame, edits: DataFrame, tracks: DataFrame, footage: DataFrame) -> DataFrame:
     """Edits (clip_id, to_start, to_track): null keeps the value. ``retracked`` tells when containment changes."""
     x = clips.join(edits, "clip_id").withColumn("__to", F.coalesce("to_track", "track_id"))
-    x = _refs(x, tracks, media, "__to")
+    x = _refs(x, tracks, footage, "__to")
     return _finish(x, ["clip_id"], _refusal(), start=F.greatest(F.lit(0.0), F.coalesce("to_start", "start")),
                    track_id=F.col("__to"), retracked=F.col("__to") != F.col("track_id"))
 
 
-def trim(clips: DataFrame, edits: DataFrame, tracks: DataFrame, media: DataFrame) -> DataFrame:
+def trim(clips: DataFrame, edits: DataFrame, tracks: DataFrame, footage: DataFrame) -> DataFrame:
     """Edits (clip_id, edge, time) with edge ``start`` or ``end``."""
-    x = _refs(clips.join(edits, "clip_id"), tracks, media)
+    x = _refs(clips.join(edits, "clip_id"), tracks, footage)
     t, s, d, r = F.col("time"), F.col("start"), F.col("duration"), F.coalesce("playback_rate", F.lit(1.0))
     delta, at_start = t - s, F.col("edge") == "start"
     point = F.coalesce("in_point", F.lit(0.0)) + delta * r
     reason = (_refusal_or(~F.col("edge").isin("start", "end"), "unsupported-edge")
               .when(at_start & ((t < 0) | (t >= s + d - EPS)), "start-after-end")
-              .when(at_start & ((d - delta <= EPS) | (point < 0)), "outside-media")
+              .when(at_start & ((d - delta <= EPS) | (point < 0)), "outside-source")
               .when(~at_start & (t <= s + EPS), "end-before-start"))
     return _finish(x, ["clip_id"], reason, start=F.when(at_start, t).otherwise(s),
                    duration=F.when(at_start, d - delta).otherwise(delta),
@@ -138,9 +138,9 @@ def _refusal_or(condition: Column, code: str) -> Column:
     return _refusal().when(condition, code)
 
 
-def split(clips: DataFrame, edits: DataFrame, tracks: DataFrame, media: DataFrame) -> DataFrame:
+def split(clips: DataFrame, edits: DataFrame, tracks: DataFrame, footage: DataFrame) -> DataFrame:
     """Edits (clip_id, time) give two rows per clip (part 0 and 1) or one refused row."""
-    x = _refs(clips.join(edits, "clip_id"), tracks, media)
+    x = _refs(clips.join(edits, "clip_id"), tracks, footage)
     t, s, e = F.col("time"), F.col("start"), clip_end()
     reason = _refusal_or((t <= s + EPS) | (t >= e - EPS), "outside-clip")
     x = x.withColumn("reason", reason)
@@ -194,7 +194,7 @@ def ripple_insert(clips: DataFrame, inserts: DataFrame, width: float = 86400.0)
     ins = inserts.select("track_id", (F.greatest(F.lit(0.0), F.col("at")) - EPS).alias("__at"), F.lit(0).alias("__rank"),
                          F.col("insert_duration").alias("__add"), F.col("insert_id").alias("__id"))
     old = clips.select("track_id", F.col("start").alias("__at"), F.lit(1).alias("__rank"), F.lit(0.0).alias("__add"),
-                       F.col("clip_id").cast("bigint").alias("__id"))
+                       F.col("clip_id").alias("__id"))
     x = span_scan(ins.unionByName(old), ["track_id"], ["__at", "__rank", "__id"], span_of("__at", width),
                   __shift=("sum_before", F.col("__add")))
     is_new = F.col("__rank") == 0
@@ -203,14 +203,18 @@ def ripple_insert(clips: DataFrame, inserts: DataFrame, width: float = 86400.0)
                     start.alias("start"))
 
 
-def ripple_trim_end(clips: DataFrame, edits: DataFrame, tracks: DataFrame, media: DataFrame) -> DataFrame:
+def ripple_trim_end(clips: DataFrame, edits: DataFrame, tracks: DataFrame, footage: DataFrame) -> DataFrame:
     """One edit per track (clip_id, time): trim the end and move later clips by the same delta.
 
-    Returns every clip of an edited track: (track_id, clip_id, start, duration, reason).
+    Returns every clip of an edited track once: (track_id, clip_id, start, duration, reason). Several edits of a track are
+    refused together, as each would move the clips that the others refer to.
     """
-    x = _refs(clips.join(edits, "clip_id"), tracks, media).withColumn(
+    x = _refs(clips.join(edits, "clip_id"), tracks, footage).withColumn(
         "reason", _refusal_or(F.col("time") <= F.col("start") + EPS, "end-before-start"))
     e = x.select("track_id", F.col("clip_id").alias("__clip"), F.col("time").alias("__t"), clip_end().alias("__old"), "reason")
+    several = F.when(F.count("*") > 1, F.lit("several-edits"))
+    e = e.groupBy("track_id").agg(F.min(F.struct("__clip", "__t", "__old", "reason")).alias("e"), several.alias("__many")).select(
+        "track_id", "e.__clip", "e.__t", "e.__old", F.coalesce("__many", "e.reason").alias("reason"))
     j = clips.join(e, "track_id")
     ok, own = F.col("reason").isNull(), F.col("clip_id") == F.col("__clip")
     later = ok & ~own & (F.col("start") >= F.col("__old") - EPS)
@@ -219,9 +223,9 @@ def ripple_trim_end(clips: DataFrame, edits: DataFrame, tracks: DataFrame, media
     return j.select("track_id", "clip_id", start.alias("start"), dur.alias("duration"), "reason")
 
 
-def slip(clips: DataFrame, edits: DataFrame, media: DataFrame) -> DataFrame:
+def slip(clips: DataFrame, edits: DataFrame, footage: DataFrame) -> DataFrame:
     """Edits (clip_id, delta, to_in): move the source window, keep the timeline place."""
-    m = media.select("asset_id", F.col("media_duration").alias("__md"))
+    m = footage.select("asset_id", F.col("source_duration").alias("__md"))
     x = clips.join(edits, "clip_id").join(m, "asset_id", "left")
     nxt = F.coalesce("to_in", F.coalesce("in_point", F.lit(0.0)) + F.coalesce("delta", F.lit(0.0)))
     need = F.col("duration") * F.coalesce("playback_rate", F.lit(1.0))
@@ -245,10 +249,10 @@ def adjacent(clips: DataFrame, width: float = 86400.0) -> DataFrame:
                                              (F.col("__n.start") - clip_end()).alias("gap"))
 
 
-def roll(clips: DataFrame, edits: DataFrame, tracks: DataFrame, media: DataFrame) -> DataFrame:
+def roll(clips: DataFrame, edits: DataFrame, tracks: DataFrame, footage: DataFrame) -> DataFrame:
     """Edits (left_id, right_id, time): move the shared boundary of two adjacent clips."""
     def side(prefix):
-        x = _refs(clips, tracks, media).withColumn("__ref", _refusal())
+        x = _refs(clips, tracks, footage).withColumn("__ref", _refusal())
         names = ["clip_id", "track_id", "start", "duration", "in_point", "playback_rate", "__mk", "__md", "__ref"]
         return x.select(*[F.col(n).alias(f"{prefix}{n}") for n in names])
 
@@ -271,10 +275,10 @@ def roll(clips: DataFrame, edits: DataFrame, tracks: DataFrame, media: DataFrame
                    right_duration=end_r - t, right_in=in_r)
 
 
-def duplicate(clips: DataFrame, edits: DataFrame, tracks: DataFrame, media: DataFrame) -> DataFrame:
+def duplicate(clips: DataFrame, edits: DataFrame, tracks: DataFrame, footage: DataFrame) -> DataFrame:
     """Edits (clip_id, to_start, to_track): a copy at the end of the clip, or where asked."""
     x = clips.join(edits, "clip_id").withColumn("__to", F.coalesce("to_track", "track_id"))
-    x = _refs(x, tracks, media, "__to")
+    x = _refs(x, tracks, footage, "__to")
     return _finish(x, ["clip_id"], _refusal(), track_id=F.col("__to"),
                    start=F.when(F.col("to_start").isNotNull(), F.greatest(F.lit(0.0), F.col("to_start"))).otherwise(clip_end()), duration=F.col("duration"),
                    in_point=F.col("in_point"), playback_rate=F.col("playback_rate"))
@@ -300,15 +304,15 @@ def merge_time_ranges(ranges: DataFrame, keys: list[str], gap: float = 0.02, wid
 
 
 def apply_edit_list(chunks: DataFrame, edits: DataFrame, width: float = 3600e6) -> DataFrame:
-    """Map media times onto the timeline through edits (track_id, edit_no, segment_us, media_us).
+    """Map footage times onto the timeline through edits (track_id, edit_no, segment_us, source_us).
 
-    ``media_us = -1`` is an empty edit that only shifts; a zero segment is open-ended. A chunk may match several edits.
+    ``source_us = -1`` is an empty edit that only shifts; a zero segment is open-ended. A chunk may match several edits.
     """
     e = span_scan(edits, ["track_id"], ["edit_no"], span_of("edit_no", 1 << 16), __line=("sum_before", F.greatest(F.lit(0), F.col("segment_us"))))
-    e = e.where("media_us >= 0").withColumn("__open", F.col("segment_us") <= 0).withColumn(
-        "__end", F.col("media_us") + F.col("segment_us")).withColumn("__shift", F.col("__line") - F.col("media_us"))
-    closed = point_join(chunks, e.where("not __open"), ["track_id"], "timestamp_us", "media_us", "__end", width)
-    tail = chunks.join(e.where("__open"), "track_id").where(F.col("timestamp_us") >= F.col("media_us"))
+    e = e.where("source_us >= 0").withColumn("__open", F.col("segment_us") <= 0).withColumn(
+        "__end", F.col("source_us") + F.col("segment_us")).withColumn("__shift", F.col("__line") - F.col("source_us"))
+    closed = point_join(chunks, e.where("not __open"), ["track_id"], "timestamp_us", "source_us", "__end", width)
+    tail = chunks.join(e.where("__open"), "track_id").where(F.col("timestamp_us") >= F.col("source_us"))
     hit = closed.unionByName(tail.select(*closed.columns))
     return hit.select(*chunks.columns, "edit_no", F.greatest(F.lit(0), F.col("timestamp_us") + F.col("__shift")).alias("presentation_us"))
 
@@ -334,11 +338,11 @@ def next_start(clips: DataFrame, tracks: DataFrame) -> DataFrame:
         "track_id", F.greatest(F.lit(0.0), F.coalesce("__e", F.lit(0.0))).alias("next_start"))
 
 
-def track_for_media(media: DataFrame, tracks: DataFrame) -> DataFrame:
-    """The first track, by order, that fits each asset's media family."""
-    first = tracks.groupBy(F.col("media_kind").alias("__need")).agg(F.min_by("track_id", F.struct("ord", "track_id")).alias("track_id"))
-    need = F.when(F.col("media_kind").isin("audio", "music"), "audio").otherwise("visual")
-    return media.withColumn("__need", need).join(first, "__need", "left").drop("__need")
+def track_for_asset(footage: DataFrame, tracks: DataFrame) -> DataFrame:
+    """The first track, by order, that fits each asset's asset family."""
+    first = tracks.groupBy(F.col("asset_kind").alias("__need")).agg(F.min_by("track_id", F.struct("ord", "track_id")).alias("track_id"))
+    need = F.when(F.col("asset_kind").isin("audio", "music"), "audio").otherwise("visual")
+    return footage.withColumn("__need", need).join(first, "__need", "left").drop("__need")
 
 
 def render_dependencies(clips: DataFrame, ranges: DataFrame, width: float = 3600.0) -> DataFrame:

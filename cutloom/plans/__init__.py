@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-AREAS = ["search", "chunks", "reports", "timeline", "graph", "oplog", "storage", "media", "streams"]
+AREAS = ["search", "chunks", "reports", "timeline", "graph", "oplog", "storage", "delivery", "streams"]
 
 
 def _load():

@@ -339,9 +339,9 @@ def rng04(t):
     return R.split_requests(laid, req, "source", 65536).select("source", "req_start", "doc_id", "local_start", "local_end")
 
 
-@query("rng05_compact", """select source_id, idx, off as old_off, (sum(len) over (partition by source_id order by idx)-len)::bigint as new_off from v_ranges where len>=320""")
+@query("rng05_compact", """select source_id, idx, off as old_off, (sum(len) over (partition by source_id order by idx)-len)::bigint as new_off from v_ranges""")
 def rng05(t):
-    return R.compact_window(t.v_ranges.where("len >= 320"), "source_id", ["idx"], "len", span_of("idx", 1 << 20)).select(
+    return R.compact_window(t.v_ranges, "source_id", ["idx"], "len", span_of("idx", 1 << 20)).select(
         "source_id", "idx", F.col("off").alias("old_off"), "new_off")
 
 

@@ -22,7 +22,7 @@ def r6(df, *cols, n=6):
 # --- adaptive streams ---------------------------------------------------------------------------------------------------
 
 def playlists_of(t):
-    """One media playlist per order; its lines are one segment per line item (an order has few)."""
+    """One playlist per order; its lines are one segment per line item (an order has few)."""
     piece = F.concat_ws("\n", F.when(F.col("l_returnflag") == "R", F.lit("#EXT-X-DISCONTINUITY")), F.concat(F.lit("#EXTINF:"), F.col("l_quantity").cast("int"), F.lit(",part "), "l_partkey"),
                         F.concat(F.lit("#EXT-X-BYTERANGE:"), F.col("l_suppkey") + 1, F.when(F.col("l_linenumber") % 3 == 1, F.concat(F.lit("@"), F.col("l_partkey") * 10)).otherwise("")),
                         F.concat(F.lit("seg-"), "l_partkey", F.lit(".ts")))
@@ -86,8 +86,8 @@ def man03(t):
   s as (select *, units/1000.0::double as dur from p)
   select 'r'||p_partkey as key, (5+i)::bigint as sequence, (i*units)::bigint as time, round(ps+i*units/1000.0::double,6) as start, 'm/r'||p_partkey||'/'||lpad((5+i)::varchar,4,'0')||'-'||(i*units)||'-$.m4s' as url from s, lateral (select unnest(generate_series(0, coalesce(ceil(pd/dur),12)::bigint-1)) as i)""")
 def man04(t):
-    p = t.part.where("p_size%6>0").select(F.concat(F.lit("r"), "p_partkey").alias("key"), F.expr("p_size%5*10.0D as period_start"), F.expr("if(p_size%4>0, p_size%7*2.5D, null) as period_duration"),
-                                          F.expr("(p_size%6)*1000 as units"), F.lit(1000.0).alias("timescale"), F.lit(5).alias("start_number"), F.lit("m/$RepresentationID$/$Number%04d$-$Time$-$$.m4s").alias("media"), F.lit(1).alias("bandwidth"))
+    p = t.part.select(F.concat(F.lit("r"), "p_partkey").alias("key"), F.expr("p_size%5*10.0D as period_start"), F.expr("if(p_size%4>0, p_size%7*2.5D, null) as period_duration"),
+                                          F.expr("(p_size%6)*1000 as units"), F.lit(1000.0).alias("timescale"), F.lit(5).alias("start_number"), F.lit("m/$RepresentationID$/$Number%04d$-$Time$-$$.m4s").alias("footage"), F.lit(1).alias("bandwidth"))
     s = S.template_segments(p)
     return s.select("key", F.col("sequence").cast("bigint").alias("sequence"), "time", F.round("start", 6).alias("start"), "url")
 
@@ -95,8 +95,8 @@ def man04(t):
 @query("man04_live_window", """with p as (select p_partkey, (p_size%6)*1000 as units from part where p_size%6>0), s as (select *, units/1000.0::double as dur, greatest(0, 100+p_partkey%50-20) as loc from p),
   w as (select *, floor(greatest(0, loc-30)/dur)::bigint as f, greatest(floor(greatest(0, loc-30)/dur), floor(loc/dur))::bigint as l from s) select 'r'||p_partkey as key, (1+i)::bigint as sequence from w, lateral (select unnest(generate_series(f, l)) as i)""")
 def man04l(t):
-    p = t.part.where("p_size%6>0").select(F.concat(F.lit("r"), "p_partkey").alias("key"), F.lit(20.0).alias("period_start"), F.lit(None).cast("double").alias("period_duration"), F.expr("(p_size%6)*1000 as units"),
-                                          F.lit(1000.0).alias("timescale"), F.lit(1).alias("start_number"), F.lit("$Number$").alias("media"), F.lit(1).alias("bandwidth"), (F.lit(100) + F.col("p_partkey") % 50).alias("now"))
+    p = t.part.select(F.concat(F.lit("r"), "p_partkey").alias("key"), F.lit(20.0).alias("period_start"), F.lit(None).cast("double").alias("period_duration"), F.expr("(p_size%6)*1000 as units"),
+                                          F.lit(1000.0).alias("timescale"), F.lit(1).alias("start_number"), F.lit("$Number$").alias("footage"), F.lit(1).alias("bandwidth"), (F.lit(100) + F.col("p_partkey") % 50).alias("now"))
     return S.template_segments(p, F.col("now")).select("key", F.col("sequence").cast("bigint").alias("sequence"))
 
 
@@ -120,7 +120,7 @@ _WIN = """e as (select user_id as stream_id, event_id%60 as sequence, event_id%3
 
 def merged_of(t):
     old, new = windows_of(t)
-    streams = t.events.select(F.col("user_id").alias("stream_id")).distinct().withColumn("media_sequence", F.col("stream_id") % 20)
+    streams = t.events.select(F.col("user_id").alias("stream_id")).distinct().withColumn("first_sequence", F.col("stream_id") % 20)
     return S.merge_window(old, new, streams)
 
 
@@ -292,9 +292,9 @@ def aud07(t):
     return r6(A.mix(items_of(t), t.v_samples, lengths), "left", "right", n=4)
 
 
-@query("aud08_mix_plan", """select clip_id, asset_id, round(greatest(500000, start)*100)::bigint as start_sample, round(least(900000, start+duration)*100)::bigint as end_sample, round(in_point*100)::bigint as source_in, playback_rate from v_intervals where track_id='error' and start+duration>500000 and start<900000""")
+@query("aud08_mix_plan", """select clip_id, asset_id, round(greatest(500000, start)*100)::bigint as start_sample, round(least(900000, start+duration)*100)::bigint as end_sample, round(in_point*100)::bigint as source_in, playback_rate from v_intervals where start+duration>500000 and start<900000""")
 def aud08(t):
-    return A.mix_plan(t.v_intervals.where("track_id = 'error'"), 500_000.0, 900_000.0, 100)
+    return A.mix_plan(t.v_intervals, 500_000.0, 900_000.0, 100)
 
 
 @query("aud09_mix_at", """with c as (select *, start+duration*(clip_id%11)/10.0::double as t, (clip_id%200-110)::double as gain_db, (clip_id%5-2)/2.0::double as pan, clip_id%7*3.0::double as fi, clip_id%4*5.0::double as fo from v_intervals),
@@ -370,16 +370,16 @@ def job02(t):
 
 
 def sources_of(t):
-    return t.v_media.withColumn("duration", F.col("media_duration"))
+    return t.v_footage.withColumn("duration", F.col("source_duration"))
 
 
-@query("job03_derivatives", """select asset_id, 'thumbnail' as type, 320::bigint as width, case when media_kind='video' then 12::bigint else 1 end as times from v_media where media_kind in ('video','image') union all
-  select asset_id, 'proxy-video', greatest(1, round(width*1280/greatest(width,height)))::bigint, null from v_media where media_kind='video' and greatest(width,height)>1280 union all select asset_id, 'waveform', 1024, null from v_media where media_kind in ('audio','video')""")
+@query("job03_derivatives", """select asset_id, 'thumbnail' as type, 320::bigint as width, case when asset_kind='video' then 12::bigint else 1 end as times from v_footage where asset_kind in ('video','image') union all
+  select asset_id, 'proxy-video', greatest(1, round(width*1280/greatest(width,height)))::bigint, null from v_footage where asset_kind='video' and greatest(width,height)>1280 union all select asset_id, 'waveform', 1024, null from v_footage where asset_kind in ('audio','video')""")
 def job03(t):
     return J.derivative_plan(sources_of(t)).select("asset_id", "type", "width", "times")
 
 
-@query("job03_thumbnail_times", "select asset_id, i as slot, round(media_duration*i/11,6) as time from v_media, (select unnest(generate_series(0,11)) as i)")
+@query("job03_thumbnail_times", "select asset_id, i as slot, round(source_duration*i/11,6) as time from v_footage, (select unnest(generate_series(0,11)) as i)")
 def job03t(t):
     return r6(J.thumbnail_times(sources_of(t)), "time")
 

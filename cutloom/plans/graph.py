@@ -143,11 +143,11 @@ _REQ14 = "req as (select 'P'||p_partkey as source_asset, 'P'||(p_partkey*7%200)
 
 def rewire_of(t):
     req = t.part.select(F.concat(F.lit("P"), "p_partkey").alias("source_asset"), F.concat(F.lit("P"), F.col("p_partkey") * 7 % 200).alias("replacement_asset"))
-    assets = t.part.select(F.concat(F.lit("P"), "p_partkey").alias("asset_id"), F.col("p_type").alias("media_kind"))
+    assets = t.part.select(F.concat(F.lit("P"), "p_partkey").alias("asset_id"), F.col("p_type").alias("asset_kind"))
     return G.replace_assets(req, t.v_edges, t.v_nodes, assets)
 
 
-_G14 = f"""{_REQ14}, j as (select r.*, case when source_asset=replacement_asset then 'same-asset' when p.p_type<>r.sk then 'different-media' end as reason from req r join part p on 'P'||p.p_partkey=r.replacement_asset),
+_G14 = f"""{_REQ14}, j as (select r.*, case when source_asset=replacement_asset then 'same-asset' when p.p_type<>r.sk then 'different-kind' end as reason from req r join part p on 'P'||p.p_partkey=r.replacement_asset),
   refs as (select src as consumer, dst, count(*) as n from v_edges where type='references' group by all),
   good as (select j.source_asset, j.replacement_asset, consumer, n from j join refs on refs.dst=j.source_asset where reason is null)"""
 
@@ -291,14 +291,14 @@ def dq01(t):
     return Q.structure_violations(n, e, "R99")
 
 
-@query("dq02_clip", """with c as (select v.*, m.media_kind as asset_kind, m.media_duration, k.media_kind as track_kind, (clip_id%300-150)::double as gain_db, (clip_id%5-2)::double/1.5 as pan, (clip_id%4-1)::double as fade_in, clip_id%3 as contained, 1+(clip_id%13=0)::int as referenced from v_intervals v left join v_media m using (asset_id) left join v_tracks k on k.track_id=v.track_id and k.track_id<>'signup')
+@query("dq02_clip", """with c as (select v.*, m.asset_kind as asset_kind, m.source_duration, k.asset_kind as track_kind, (clip_id%300-150)::double as gain_db, (clip_id%5-2)::double/1.5 as pan, (clip_id%4-1)::double as fade_in, clip_id%3 as contained, 1+(clip_id%13=0)::int as referenced from v_intervals v left join v_footage m using (asset_id) left join v_tracks k on k.track_id=v.track_id and k.track_id<>'signup')
   select clip_id::varchar as id, unnest(list_filter([case when asset_kind is null then 'clip.asset' end, case when track_kind is null then 'clip.track' end, case when start-1000<0 then 'clip.start' end, case when gain_db not between -96 and 24 then 'clip.gain-db' end,
    case when pan not between -1 and 1 then 'clip.pan' end, case when fade_in<0 then 'clip.fade-in' end, case when contained<>1 then 'clip.containment' end, case when referenced<>1 then 'clip.reference' end,
    case when asset_kind is not null and track_kind is not null and track_kind<>(case when asset_kind='audio' then 'audio' else 'visual' end) then 'clip.track-kind' end,
-   case when track_kind is not null and asset_kind<>'image' and in_point+duration*playback_rate>media_duration+0.001 then 'clip.source-range' end], lambda x: x is not null)) as code from c""")
+   case when track_kind is not null and asset_kind<>'image' and in_point+duration*playback_rate>source_duration+0.001 then 'clip.source-range' end], lambda x: x is not null)) as code from c""")
 def dq02c(t):
-    m = t.v_media.select("asset_id", F.col("media_kind").alias("asset_kind"), "media_duration")
-    k = t.v_tracks.where("track_id <> 'signup'").select("track_id", F.col("media_kind").alias("track_kind"))
+    m = t.v_footage.select("asset_id", F.col("asset_kind").alias("asset_kind"), "source_duration")
+    k = t.v_tracks.where("track_id <> 'signup'").select("track_id", F.col("asset_kind").alias("track_kind"))
     c = t.v_intervals.withColumn("start", F.col("start") - 1000).join(m, "asset_id", "left").join(k, "track_id", "left")
     c = c.selectExpr("*", "cast(clip_id%300-150 as double) as gain_db", "(clip_id%5-2)/1.5D as pan", "cast(clip_id%4-1 as double) as fade_in",
                      "cast(null as double) as fade_out", "clip_id%3 as contained", "1+int(clip_id%13=0) as referenced")
@@ -312,12 +312,12 @@ def dq02k(t):
 
 
 @query("dq02_track", f"""with {_FAULT}, tr as (select 'C'||c_custkey as id, case when c_mktsegment='BUILDING' then 'audio' when c_mktsegment='MACHINERY' then 'haptic' else 'visual' end as mk from customer), p as (select dst, count(*) as n from fe join fn on fn.id=fe.src and fn.kind='composition' where fe.type='contains' and fe.src<>'N4' group by 1)
-  select id, 'track.media-kind' as code from tr where mk='haptic' union all select id, 'track.parent' from tr left join p on p.dst=tr.id where coalesce(n,0)<>1""")
+  select id, 'track.kind' as code from tr where mk='haptic' union all select id, 'track.parent' from tr left join p on p.dst=tr.id where coalesce(n,0)<>1""")
 def dq02t(t):
     n, e = faulty(t)
     comps = n.where("kind='composition'").select(F.col("id").alias("src"))
     parents = e.where("type='contains' and src<>'N4'").join(comps, "src").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("parents"))
-    tr = t.customer.select(F.concat(F.lit("C"), "c_custkey").alias("id"), F.expr("case when c_mktsegment='BUILDING' then 'audio' when c_mktsegment='MACHINERY' then 'haptic' else 'visual' end as media_kind"))
+    tr = t.customer.select(F.concat(F.lit("C"), "c_custkey").alias("id"), F.expr("case when c_mktsegment='BUILDING' then 'audio' when c_mktsegment='MACHINERY' then 'haptic' else 'visual' end as asset_kind"))
     return Q.apply_rules(tr.join(parents, "id", "left"), "id", Q.track_rules())
 
 

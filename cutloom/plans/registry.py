@@ -51,13 +51,13 @@ VIEW_SQL = {
     "v_runs": f"""select event_id as run_id, event_type as kind, 'env'||(user_id%5) as environment,
         case when event_id%13=0 then 'skipped' when event_type='error' then 'failed' else 'passed' end as status,
         {_REL} as at_us, value as index_ms, value/(1+event_id%9) as read_amplification from events""",
-    "v_stages": """select user_id as variant, event_id//5 as media_key,
+    "v_stages": """select user_id as variant, event_id//5 as source_key,
         case event_id%5 when 1 then 'submitted' when 2 then 'decoded' when 3 then 'output' else 'source' end as stage,
         cast(epoch_us(ts) as double)/1000 as at_ms, event_id from events""",
-    "v_tracks": """select distinct event_type as track_id, case when event_type='error' then 'audio' else 'visual' end as media_kind,
+    "v_tracks": """select distinct event_type as track_id, case when event_type='error' then 'audio' else 'visual' end as asset_kind,
         event_type='view' as locked, event_type='click' as muted, ascii(event_type) as ord from events""",
-    "v_media": """select p_partkey as asset_id, p_retailprice/10 as media_duration,
-        case when p_size%6=0 then 'image' when p_size%6 in (1,2) then 'audio' else 'video' end as media_kind,
+    "v_footage": """select p_partkey as asset_id, p_retailprice/10 as source_duration,
+        case when p_size%6=0 then 'image' when p_size%6 in (1,2) then 'audio' else 'video' end as asset_kind,
         cast(p_size*97 as double) as width, cast(p_size*53 as double) as height from part""",
     "v_effects": """select l_orderkey as target_id, l_linenumber as ord,
         l_partkey*10000000 + cast(round(l_extendedprice*10) as bigint)%10000000 as effect_id,

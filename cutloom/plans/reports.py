@@ -152,14 +152,14 @@ def dq07(t):
 
 # --- latency ----------------------------------------------------------------------------------------------------------
 
-_REC = """x as (select media_key%200 as k, stage, at_ms, event_id, coalesce(sum(case when stage='output' then 1 else 0 end) over (partition by media_key%200 order by at_ms, event_id rows between unbounded preceding and 1 preceding),0)::bigint as record from v_stages),
+_REC = """x as (select source_key%200 as k, stage, at_ms, event_id, coalesce(sum(case when stage='output' then 1 else 0 end) over (partition by source_key%200 order by at_ms, event_id rows between unbounded preceding and 1 preceding),0)::bigint as record from v_stages),
   rec as (select k, record, min(at_ms) filter (stage='source') as source_at, max(at_ms) filter (stage='submitted') as submitted_at, max(at_ms) filter (stage='decoded') as decoded_at, max(at_ms) filter (stage='output') as output_at from x group by all),
   dur as (select k, record, round(submitted_at-source_at,3) as source_to_submit_ms, round(decoded_at-submitted_at,3) as submit_to_decode_ms, round(output_at-decoded_at,3) as decode_to_output_ms, round(output_at-source_at,3) as source_to_output_ms from rec where output_at is not null)"""
 STAGES = ["source_to_submit_ms", "submit_to_decode_ms", "decode_to_output_ms", "source_to_output_ms"]
 
 
 def records_of(t):
-    s = t.v_stages.withColumn("k", F.col("media_key") % 200)
+    s = t.v_stages.withColumn("k", F.col("source_key") % 200)
     return L.correlate(s, ["k"], "at_ms", "event_id", span_of("at_ms", 86400e3))
 
 

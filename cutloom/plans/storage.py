@@ -26,9 +26,9 @@ def src02(t):
     return edges.select("src", "dst", "type", F.variant_get("props", "$.copies", "bigint").alias("copies"))
 
 
-@query("src03_manifest", "select 'P'||p_partkey as id, p_name as name, coalesce(case when p_size%7>0 then p_type end,'unknown') as media_kind, p_brand as mime_type, coalesce(case when p_size%5>0 then p_size end,0) as size from part")
+@query("src03_manifest", "select 'P'||p_partkey as id, p_name as name, coalesce(case when p_size%7>0 then p_type end,'unknown') as asset_kind, p_brand as mime_type, coalesce(case when p_size%5>0 then p_size end,0) as size from part")
 def src03(t):
-    a = t.part.select(F.concat(F.lit("P"), "p_partkey").alias("id"), F.col("p_name").alias("name"), F.expr("if(p_size%7>0, p_type, null) as media_kind"),
+    a = t.part.select(F.concat(F.lit("P"), "p_partkey").alias("id"), F.col("p_name").alias("name"), F.expr("if(p_size%7>0, p_type, null) as asset_kind"),
                       F.col("p_brand").alias("mime_type"), F.expr("if(p_size%5>0, p_size, null) as size"))
     return R.source_manifest(a)
 
@@ -172,7 +172,7 @@ def cache03v(t):
 def matching_of(t):
     d = t.documents
     base = lambda name: M.basename(name)
-    attrs = [F.lit("text").alias("media_kind")]
+    attrs = [F.lit("text").alias("asset_kind")]
     a = d.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("position"), *attrs, F.when(F.col("doc_id") % 3 > 0, F.sha2("text", 256)).alias("hash"),
                  F.col("n_chars").alias("size"), base(F.concat(F.lit("dir/"), "source", F.lit("-"), F.expr("doc_id div 100"), F.lit(".txt"))).alias("base"), F.col("lang").alias("mime"), F.lit(None).cast("double").alias("duration"))
     c = d.select((F.col("doc_id") + 1_000_000).alias("id"), (-F.col("doc_id")).alias("position"), *attrs, F.when(F.col("doc_id") % 4 > 0, F.sha2("text", 256)).alias("hash"),

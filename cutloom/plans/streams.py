@@ -28,13 +28,13 @@ def str01(t):
 def str02(t):
     e = events_of(t).select(F.col("user_id").alias("stream_id"), (F.col("event_id") % 60).alias("sequence"), (F.col("event_id") % 3 == 0).alias("partial"), F.concat(F.lit("u"), F.col("event_id") % 4).alias("url"),
                             (F.col("event_id") % 60 * 4).cast("double").alias("start"), F.lit(4.0).alias("duration"), F.col("event_id").alias("version"))
-    streams = t.events.select(F.col("user_id").alias("stream_id")).distinct().withColumn("media_sequence", F.col("stream_id") % 20)
+    streams = t.events.select(F.col("user_id").alias("stream_id")).distinct().withColumn("first_sequence", F.col("stream_id") % 20)
     folder = K.new_folder(t.spark, "str02")
     K.keep_windows(e, streams, f"{folder}/store", f"{folder}/checkpoint", 8).awaitTermination()
     return K.read_store(t.spark, f"{folder}/store", K.SEGMENT_SCHEMA).select("stream_id", "sequence", "partial", "url", "version")
 
 
-@query("str03_correlate", """with x as (select media_key%200 as k, stage, at_ms, event_id, coalesce(sum(case when stage='output' then 1 else 0 end) over (partition by media_key%200 order by at_ms, event_id rows between unbounded preceding and 1 preceding),0)::bigint as record from v_stages),
+@query("str03_correlate", """with x as (select source_key%200 as k, stage, at_ms, event_id, coalesce(sum(case when stage='output' then 1 else 0 end) over (partition by source_key%200 order by at_ms, event_id rows between unbounded preceding and 1 preceding),0)::bigint as record from v_stages),
   rec as (select k, record, min(at_ms) filter (stage='source') as source_at, max(at_ms) filter (stage='submitted') as submitted_at, max(at_ms) filter (stage='decoded') as decoded_at, max(at_ms) filter (stage='output') as output_at from x group by all) select * from rec where output_at is not null""")
 def str03(t):
     e = events_of(t).selectExpr("(event_id div 5)%200 as k", "case event_id%5 when 1 then 'submitted' when 2 then 'decoded' when 3 then 'output' else 'source' end as stage",

@@ -17,9 +17,9 @@ def r6(df, *cols):
     return df
 
 
-_CR = """cr as (select c.*, t.media_kind as tk, t.locked, m.media_kind as mk, m.media_duration as md,
-  case when t.track_id is null then 'unknown-track' when (case when m.media_kind in ('audio','music') then 'audio' else 'visual' end)<>t.media_kind then 'incompatible-track'
-   when t.locked then 'locked-track' end as ref from v_intervals c left join v_tracks t using (track_id) left join v_media m using (asset_id))"""
+_CR = """cr as (select c.*, t.asset_kind as tk, t.locked, m.asset_kind as mk, m.source_duration as md,
+  case when t.track_id is null then 'unknown-track' when (case when m.asset_kind in ('audio','music') then 'audio' else 'visual' end)<>t.asset_kind then 'incompatible-track'
+   when t.locked then 'locked-track' end as ref from v_intervals c left join v_tracks t using (track_id) left join v_footage m using (asset_id))"""
 
 
 @query("tl01_duration", "select track_id, round(greatest(0::double, max(start+duration)),6) as duration from v_intervals group by 1")
@@ -51,7 +51,7 @@ def tl02(t):
 
 
 @query("tl02_active_visual", f"""with {_GRID} select frame, c.clip_id, k.ord from g join v_intervals c on c.enabled and c.start<=g.t and g.t<c.start+c.duration
-  join v_tracks k on k.track_id=c.track_id where k.media_kind='visual' and not k.muted""")
+  join v_tracks k on k.track_id=c.track_id where k.asset_kind='visual' and not k.muted""")
 def tl02v(t):
     a = T.active_at(t.v_intervals, grid_of(t).select("t", "frame"), t.v_tracks, "visual")
     return a.select("frame", "clip_id", "ord")
@@ -94,18 +94,18 @@ def tl06(t):
 
 
 @query("tl07_move", """with e as (select c.*, greatest(0, start+(clip_id%5-2)*3600) as ns, case clip_id%3 when 0 then 'purchase' when 1 then 'error' else track_id end as nt from v_intervals c),
-  j as (select e.*, case when (case when m.media_kind='audio' then 'audio' else 'visual' end)<>t.media_kind then 'incompatible-track' when t.locked then 'locked-track' end as reason
-    from e left join v_tracks t on t.track_id=e.nt left join v_media m using (asset_id))
+  j as (select e.*, case when (case when m.asset_kind='audio' then 'audio' else 'visual' end)<>t.asset_kind then 'incompatible-track' when t.locked then 'locked-track' end as reason
+    from e left join v_tracks t on t.track_id=e.nt left join v_footage m using (asset_id))
   select clip_id, case when reason is null then round(ns,6) end as start, case when reason is null then nt end as track_id, case when reason is null then nt<>track_id end as retracked, reason from j""")
 def tl07(t):
     to = F.expr("case clip_id%3 when 0 then 'purchase' when 1 then 'error' end")
     e = t.v_intervals.select("clip_id", (F.col("start") + (F.col("clip_id") % 5 - 2) * 3600).alias("to_start"), to.alias("to_track"))
-    return r6(T.move(t.v_intervals, e, t.v_tracks, t.v_media), "start")
+    return r6(T.move(t.v_intervals, e, t.v_tracks, t.v_footage), "start")
 
 
 @query("tl08_trim", f"""with {_CR}, e as (select *, case when clip_id%2=0 then 'start' else 'end' end as edge, start+(clip_id%9-2)*12.0::double as tm from cr),
   j as (select *, coalesce(ref, case when edge='start' and (tm<0 or tm>=start+duration-0.001) then 'start-after-end'
-     when edge='start' and (duration-(tm-start)<=0.001 or in_point+(tm-start)*playback_rate<0) then 'outside-media'
+     when edge='start' and (duration-(tm-start)<=0.001 or in_point+(tm-start)*playback_rate<0) then 'outside-source'
      when edge='end' and tm<=start+0.001 then 'end-before-start' end) as reason from e)
   select clip_id, case when reason is null then round(case when edge='start' then tm else start end,6) end as start,
     case when reason is null then round(case when edge='start' then duration-(tm-start) else tm-start end,6) end as duration,
@@ -113,7 +113,7 @@ def tl07(t):
 def tl08(t):
     e = t.v_intervals.select("clip_id", F.expr("case when clip_id%2=0 then 'start' else 'end' end").alias("edge"),
                              (F.col("start") + (F.col("clip_id") % 9 - 2) * F.lit(12.0)).alias("time"))
-    return r6(T.trim(t.v_intervals, e, t.v_tracks, t.v_media), "start", "duration", "in_point")
+    return r6(T.trim(t.v_intervals, e, t.v_tracks, t.v_footage), "start", "duration", "in_point")
 
 
 @query("tl09_split", f"""with {_CR}, e as (select *, start+(clip_id%9)*9.0::double as tm from cr), j as (select *, coalesce(ref, case when tm<=start+0.001 or tm>=start+duration-0.001 then 'outside-clip' end) as reason from e)
@@ -121,7 +121,7 @@ def tl08(t):
   union all select clip_id, 1, round(tm,6), round(start+duration-tm,6), round(in_point+(tm-start)*playback_rate,6), reason from j where reason is null""")
 def tl09(t):
     e = t.v_intervals.select("clip_id", (F.col("start") + (F.col("clip_id") % 9) * F.lit(9.0)).alias("time"))
-    return r6(T.split(t.v_intervals, e, t.v_tracks, t.v_media), "start", "duration", "in_point")
+    return r6(T.split(t.v_intervals, e, t.v_tracks, t.v_footage), "start", "duration", "in_point")
 
 
 @query("tl10_blade", f"""with {_GRID}, h as (select clip_id, start as tq from v_intervals union all select c.clip_id, g.t from v_intervals c join v_tracks k using (track_id) join g on g.t>c.start+0.001 and g.t<c.start+c.duration-0.001 where not k.locked),
@@ -157,15 +157,15 @@ def tl12(t):
 def tl13(t):
     pick = t.v_intervals.groupBy("track_id").agg(F.max(F.struct("duration", "clip_id", "start")).alias("m"))
     e = pick.select(F.col("m.clip_id").alias("clip_id"), (F.col("m.start") + F.col("m.duration") / 2).alias("time"))
-    return r6(T.ripple_trim_end(t.v_intervals, e, t.v_tracks, t.v_media), "start", "duration")
+    return r6(T.ripple_trim_end(t.v_intervals, e, t.v_tracks, t.v_footage), "start", "duration")
 
 
-@query("tl14_slip", """with j as (select c.*, in_point+(clip_id%7-2)*15.0::double as nx, m.media_duration as md from v_intervals c left join v_media m using (asset_id)),
+@query("tl14_slip", """with j as (select c.*, in_point+(clip_id%7-2)*15.0::double as nx, m.source_duration as md from v_intervals c left join v_footage m using (asset_id)),
   k as (select *, case when nx<0 then 'before-source-start' when nx+duration*playback_rate>md+0.001 then 'exceeds-source' end as reason from j)
   select clip_id, case when reason is null then round(nx,6) end as in_point, reason from k""")
 def tl14(t):
     e = t.v_intervals.select("clip_id", ((F.col("clip_id") % 7 - 2) * F.lit(15.0)).alias("delta"), F.lit(None).cast("double").alias("to_in"))
-    return r6(T.slip(t.v_intervals, e, t.v_media), "in_point")
+    return r6(T.slip(t.v_intervals, e, t.v_footage), "in_point")
 
 
 @query("tl15_rate", """select clip_id, case when clip_id%4>0 then (clip_id%4)::double/2 end as playback_rate, case when clip_id%4>0 then round(duration*playback_rate/((clip_id%4)::double/2),6) end as duration,
@@ -186,7 +186,7 @@ def tl16(t):
     c = t.v_packed
     pairs = T.adjacent(c).join(c.select(F.col("clip_id").alias("right_id"), F.col("start").alias("s")), "right_id")
     e = pairs.select("left_id", "right_id", (F.col("s") + (F.col("left_id") % 9 - 4) * F.lit(5.0)).alias("time"))
-    out = T.roll(c, e, t.v_tracks, t.v_media)
+    out = T.roll(c, e, t.v_tracks, t.v_footage)
     for n in ("left_duration", "right_start", "right_duration", "right_in"):
         out = out.withColumn(n, F.round(n, 4))
     return out
@@ -197,7 +197,7 @@ def tl16(t):
 def tl17(t):
     e = t.v_intervals.select("clip_id", F.expr("case when clip_id%2=1 then start-100000 end").alias("to_start"),
                              F.lit(None).cast("string").alias("to_track"))
-    return r6(T.duplicate(t.v_intervals, e, t.v_tracks, t.v_media), "start")
+    return r6(T.duplicate(t.v_intervals, e, t.v_tracks, t.v_footage), "start")
 
 
 @query("tl18_schedule", """select clip_id, round(greatest(0,start-1000000),6) as delay, round(in_point+greatest(0,1000000-start)*playback_rate,6) as source_offset,
@@ -214,14 +214,14 @@ def tl19(t):
     return r6(T.merge_time_ranges(r, ["track_id"], 60.0), "start", "end").select("track_id", "start", F.col("end").alias("fin"), "ranges")
 
 
-_EDITS = "(values (1, 3600000000::bigint, -1::bigint), (2, 600000000000, 86400000000), (3, 0, 1900000000000)) e(edit_no, seg, media)"
+_EDITS = "(values (1, 3600000000::bigint, -1::bigint), (2, 600000000000, 86400000000), (3, 0, 1900000000000)) e(edit_no, seg, footage)"
 
 
-@query("tl20_edit_list", f"""with e as (select edit_no, seg, media, sum(greatest(0,seg)) over (order by edit_no)-greatest(0,seg) as line from {_EDITS})
-  select c.track_id, c.sequence, e.edit_no, greatest(0, c.timestamp_us+line-media)::bigint as presentation_us from v_chunks c join e on media>=0 and c.timestamp_us>=media and (seg<=0 or c.timestamp_us<media+seg)""")
+@query("tl20_edit_list", f"""with e as (select edit_no, seg, footage, sum(greatest(0,seg)) over (order by edit_no)-greatest(0,seg) as line from {_EDITS})
+  select c.track_id, c.sequence, e.edit_no, greatest(0, c.timestamp_us+line-footage)::bigint as presentation_us from v_chunks c join e on footage>=0 and c.timestamp_us>=footage and (seg<=0 or c.timestamp_us<footage+seg)""")
 def tl20(t):
     edits = t.events.select(F.col("user_id").alias("track_id")).distinct().select("track_id", F.explode(F.array(*[
-        F.struct(F.lit(n).alias("edit_no"), F.lit(s).cast("bigint").alias("segment_us"), F.lit(m).cast("bigint").alias("media_us"))
+        F.struct(F.lit(n).alias("edit_no"), F.lit(s).cast("bigint").alias("segment_us"), F.lit(m).cast("bigint").alias("source_us"))
         for n, s, m in ((1, 3600 * 10**6, -1), (2, 600000 * 10**6, 86400 * 10**6), (3, 0, 1900000 * 10**6))])).alias("e")).select("track_id", "e.*")
     return T.apply_edit_list(t.v_chunks, edits, 86400e6).select("track_id", "sequence", "edit_no", "presentation_us")
 
@@ -334,7 +334,7 @@ _TR = f"""case when t<start+in_duration then 'in' when t>start+duration-out_dura
 
 
 @query("ev01_frame_plan", f"""with {_GRID}, {_AP}, cx as ({_CLIPX}),
-  act as (select g.t, cx.*, k.ord, case when k.media_kind='audio' then 'audio' else 'clip' end as kind from g join cx on cx.enabled and cx.start<=g.t and g.t<cx.start+cx.duration join v_tracks k using (track_id) where not k.muted),
+  act as (select g.t, cx.*, k.ord, case when k.asset_kind='audio' then 'audio' else 'clip' end as kind from g join cx on cx.enabled and cx.start<=g.t and g.t<cx.start+cx.duration join v_tracks k using (track_id) where not k.muted),
   probes as (select t as tq, clip_id, node, p as property from act, (select unnest(['x','opacity']) as p)),
   {_at_sql('ap', 'probes', ['node', 'property'])},
   wide as (select tq as t, clip_id, max(v) filter (property='x') as x, max(v) filter (property='opacity') as opacity from at_ group by all),
@@ -381,11 +381,11 @@ def ev05(t):
 
 @query("ev06_scale", """select asset_id, round(least(1::double, 1600/greatest(width,1), 900/greatest(height,1), sqrt(1500000/(width*height))),6) as scale,
   greatest(1, round(width*least(1::double,1280/greatest(width,height)))::bigint) as proxy_width, greatest(1, round(height*least(1::double,1280/greatest(width,height)))::bigint) as proxy_height,
-  case when greatest(width,height)>1920 then '1080p' else 'original' end as tier from v_media where width>0""")
+  case when greatest(width,height)>1920 then '1080p' else 'original' end as tier from v_footage where width>0""")
 def ev06(t):
     w, h = F.col("width"), F.col("height")
     pw, ph = E.proxy_size(w, h)
-    return t.v_media.where("width > 0").select("asset_id", F.round(E.preview_scale(w, h), 6).alias("scale"), pw.alias("proxy_width"), ph.alias("proxy_height"),
+    return t.v_footage.where("width > 0").select("asset_id", F.round(E.preview_scale(w, h), 6).alias("scale"), pw.alias("proxy_width"), ph.alias("proxy_height"),
                                                E.proxy_tier(w, h).alias("tier"))
 
 
@@ -417,12 +417,12 @@ def gr19(t):
     return r6(T.next_start(t.v_intervals, t.v_tracks), "next_start")
 
 
-@query("gr19_track_for_asset", """select asset_id, case when media_kind in ('audio','music') then (select arg_min(track_id, ord) from v_tracks where media_kind='audio') else (select arg_min(track_id, ord) from v_tracks where media_kind='visual') end as track_id from v_media""")
+@query("gr19_track_for_asset", """select asset_id, case when asset_kind in ('audio','music') then (select arg_min(track_id, ord) from v_tracks where asset_kind='audio') else (select arg_min(track_id, ord) from v_tracks where asset_kind='visual') end as track_id from v_footage""")
 def gr19t(t):
-    return T.track_for_media(t.v_media, t.v_tracks).select("asset_id", "track_id")
+    return T.track_for_asset(t.v_footage, t.v_tracks).select("asset_id", "track_id")
 
 
-@query("dq05_source_range", """select clip_id, case when in_point+duration*playback_rate>media_duration+0.001 then 'source-range' end as code from v_intervals c join v_media m using (asset_id) where in_point+duration*playback_rate>media_duration+0.001""")
+@query("dq05_source_range", """select clip_id, case when in_point+duration*playback_rate>source_duration+0.001 then 'source-range' end as code from v_intervals c join v_footage m using (asset_id) where in_point+duration*playback_rate>source_duration+0.001""")
 def dq05(t):
     from ..operators.quality import source_range_violations
-    return source_range_violations(t.v_intervals, t.v_media)
+    return source_range_violations(t.v_intervals, t.v_footage)

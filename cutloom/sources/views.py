@@ -92,7 +92,7 @@ def runs(t: Tables) -> DataFrame:
 
 def stages(t: Tables) -> DataFrame:
     return t.events.selectExpr(
-        "user_id as variant", "event_id div 5 as media_key",
+        "user_id as variant", "event_id div 5 as source_key",
         "case event_id%5 when 1 then 'submitted' when 2 then 'decoded' when 3 then 'output' else 'source' end as stage",
         f"cast({micros('ts')} as double)/1000 as at_ms", "event_id")
 
@@ -108,14 +108,14 @@ def assets(t: Tables) -> DataFrame:
 
 def tracks(t: Tables) -> DataFrame:
     return t.events.select(F.col("event_type").alias("track_id")).distinct().selectExpr(
-        "track_id", "case when track_id='error' then 'audio' else 'visual' end as media_kind", "track_id='view' as locked",
+        "track_id", "case when track_id='error' then 'audio' else 'visual' end as asset_kind", "track_id='view' as locked",
         "track_id='click' as muted", "ascii(track_id) as ord")
 
 
-def media(t: Tables) -> DataFrame:
+def footage(t: Tables) -> DataFrame:
     return t.part.selectExpr(
-        "p_partkey as asset_id", "p_retailprice/10 as media_duration",
-        "case when p_size%6=0 then 'image' when p_size%6 in (1,2) then 'audio' else 'video' end as media_kind",
+        "p_partkey as asset_id", "p_retailprice/10 as source_duration",
+        "case when p_size%6=0 then 'image' when p_size%6 in (1,2) then 'audio' else 'video' end as asset_kind",
         "cast(p_size*97 as double) as width", "cast(p_size*53 as double) as height")
 
 

@@ -24,7 +24,7 @@ def suppress_duplicates(stream: DataFrame, keys: Sequence[str], time: str, withi
 def request_key(init, sequence, partial, url, offset=None, length=None):
     """Text key of a segment request: kind, sequence, part flag, url and byte range."""
     spans = F.lit("") if offset is None else F.when(offset.isNotNull(), F.concat_ws(":", offset, length)).otherwise("")
-    return F.concat_ws("|", F.when(init, "init").otherwise("media"), F.coalesce(sequence.cast("string"), F.lit("")),
+    return F.concat_ws("|", F.when(init, "init").otherwise("segment"), F.coalesce(sequence.cast("string"), F.lit("")),
                        F.when(partial, "p").otherwise("s"), F.coalesce(url, F.lit("")), spans)
 
 

@@ -87,7 +87,7 @@ SEGMENT_SCHEMA = "stream_id bigint, sequence bigint, partial boolean, url string
 
 
 def keep_windows(segments: DataFrame, streams: DataFrame, path: str, checkpoint: str, buckets: int = 64):
-    """Keep the sliding segment window of every stream: upsert by (sequence, part, url), drop below the media sequence."""
+    """Keep the sliding segment window of every stream: upsert by (sequence, part, url), drop below the first sequence."""
     def sink(batch, batch_id):
         key = ["stream_id", "sequence", "partial", "url"]
 

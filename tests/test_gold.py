@@ -106,7 +106,7 @@ def test_transport(spark):
 def test_time_ranges_and_edit_list(spark):
     r = spark.createDataFrame([("t", 0.0, 1.0), ("t", 1.01, 2.0), ("t", 5.0, 6.0)], "k string, start double, end double")
     assert rows(T.merge_time_ranges(r, ["k"]), "start", "end") == [(0.0, 2.0), (5.0, 6.0)]
-    edits = spark.createDataFrame([(1, 1, 2_000_000, -1), (1, 2, 2_000_000, 1_000_000)], "track_id int, edit_no int, segment_us bigint, media_us bigint")
+    edits = spark.createDataFrame([(1, 1, 2_000_000, -1), (1, 2, 2_000_000, 1_000_000)], "track_id int, edit_no int, segment_us bigint, source_us bigint")
     out = T.apply_edit_list(seconds(spark, set(), 5), edits)
     assert rows(out, "presentation_us", "timestamp_us") == [(2_000_000, 1_000_000), (3_000_000, 2_000_000)]
 
@@ -212,11 +212,11 @@ def test_timeline_edits(spark):
     pts = T.snap_points(two)
     pr = spark.createDataFrame([("v", 1, 5.88, None)], "track_id string, probe_id int, probe double, exclude int")
     assert T.snap(pts, pr).first()["time"] == 6.0
-    tracks = spark.createDataFrame([("v", "visual", False, False, 0)], "track_id string, media_kind string, locked boolean, muted boolean, ord int")
-    media = spark.createDataFrame([(1, "video", 100.0)], "asset_id int, media_kind string, media_duration double")
-    t = T.trim(two, spark.createDataFrame([(1, "end", 5.0)], "clip_id int, edge string, time double"), tracks, media).first()
+    tracks = spark.createDataFrame([("v", "visual", False, False, 0)], "track_id string, asset_kind string, locked boolean, muted boolean, ord int")
+    footage = spark.createDataFrame([(1, "video", 100.0)], "asset_id int, asset_kind string, source_duration double")
+    t = T.trim(two, spark.createDataFrame([(1, "end", 5.0)], "clip_id int, edge string, time double"), tracks, footage).first()
     assert t["duration"] == 5.0 and t["reason"] is None
-    assert T.slip(two, spark.createDataFrame([(1, 2.0, None)], "clip_id int, delta double, to_in double"), media).first()["in_point"] == 2.0
+    assert T.slip(two, spark.createDataFrame([(1, 2.0, None)], "clip_id int, delta double, to_in double"), footage).first()["in_point"] == 2.0
     assert T.set_rate(clips(spark, (1, 0, 8, 0, 1)), spark.createDataFrame([(1, 2.0)], "clip_id int, rate double")).first()["duration"] == 4.0
 
 
@@ -396,3 +396,26 @@ def test_batches_of_one_project_are_judged_apart(spark):
     ops = spark.createDataFrame([(1, 1, 0, "node.update", 1, 0, "x", 0, 21, 7), (1, 1, 0, "node.update", 1, 0, "y", 0, 22, 8)], schema + ", batch_id int")
     batches = spark.createDataFrame([(7, 1, 1, 1, 1, 11), (8, 1, 1, 1, 1, 11)], "batch_id int, project_id int, base_revision int, log_revision int, fork_seq int, fork_tx int")
     assert rows(CF.rebase_status(batches, log, ops), "batch_id", "status") == [(7, "conflict"), (8, "rebase-safe")]
+
+
+def test_cursors_of_a_stream_are_ranked_apart(spark):
+    seg = spark.createDataFrame([(1, k, False, f"u{k}", float(k), 1.0) for k in range(4)], "stream_id int, sequence long, partial boolean, url string, start double, duration double")
+    cur = spark.createDataFrame([(1, 0, 0.0), (1, 1, 0.0)], "stream_id int, after_sequence long, playhead double")
+    assert rows(SG.next_requests(seg, cur, 2), "after_sequence", "sequence") == [(0, 1), (0, 2), (1, 2), (1, 3)]
+
+
+def test_energy_without_a_first_channel(spark):
+    s = spark.createDataFrame([(1, 1, k, 0.5) for k in range(100)], "buffer_id int, channel int, i long, v double")
+    assert A.block_energy(s, 20, 10).count() > 0
+
+
+def test_several_ripple_trims_of_a_track_are_refused(spark):
+    clips = spark.createDataFrame([("a", "t", 0.0, 10.0, 0.0, 1.0, True, 1), ("b", "t", 10.0, 10.0, 0.0, 1.0, True, 1)],
+                                  "clip_id string, track_id string, start double, duration double, in_point double, playback_rate double, enabled boolean, asset_id int")
+    tracks = spark.createDataFrame([("t", "visual", False, False, 1)], "track_id string, asset_kind string, locked boolean, muted boolean, ord int")
+    footage = spark.createDataFrame([(1, "video", 100.0)], "asset_id int, asset_kind string, source_duration double")
+    edit = lambda *e: T.ripple_trim_end(clips, spark.createDataFrame(list(e), "clip_id string, time double"), tracks, footage)
+    assert rows(edit(("a", 5.0)), "clip_id", "start", "duration") == [("a", 0.0, 5.0), ("b", 5.0, 10.0)]
+    assert rows(edit(("a", 5.0), ("b", 15.0)), "clip_id", "start", "reason") == [("a", 0.0, "several-edits"), ("b", 10.0, "several-edits")]
+    ins = spark.createDataFrame([("t", "n", 5.0, 2.0)], "track_id string, insert_id string, at double, insert_duration double")
+    assert {r.clip_id for r in T.ripple_insert(clips, ins, 100.0).collect()} == {"a", "b", None}

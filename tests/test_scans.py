@@ -146,7 +146,7 @@ def test_matching_equals_serving_one_by_one(spark):
     make = lambda n, base: [(base + i, i, "video", (f"h{rng.randint(0, 9)}" if rng.random() < .5 else None), 10_000 * (base // 1000) + i if rng.random() < .3 else rng.randint(1, 6) * 100,
                              f"f{rng.randint(0, 5)}", "m", None) for i in range(n)]
     assets, cands = make(50, 1000), make(40, 2000)
-    schema = "id int, position int, media_kind string, hash string, size int, base string, mime string, duration double"
+    schema = "id int, position int, asset_kind string, hash string, size int, base string, mime string, duration double"
     got = {r["id"]: r["candidate_id"] for r in M.match(spark.createDataFrame(assets, schema), spark.createDataFrame(cands, schema), 16).collect()}
 
     def score(a, c):
