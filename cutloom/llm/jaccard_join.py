@@ -15,6 +15,7 @@ are left out; all others are verified on whole texts.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -32,7 +33,7 @@ from .slots import bit_table, mark
 
 SHINGLE = 4
 PERCENT = 85
-TOKENS_EXACT, TOKENS_DELETED = 4.0, 5.0  # the least mean size of a segment of either kind
+TOKENS_EXACT, TOKENS_DELETED = 2.5, 4.0  # the least mean size of a segment of either kind
 SKETCH_BITS = 512
 
 
@@ -69,18 +70,24 @@ def bands(largest: int, percent: int) -> tuple[Band, ...]:
 
 
 def _allot(most: int, low: int) -> tuple[int, int, int]:
-    """(exact, deleted, slack): fewest keys among the allotments that keep segments selective, else the most selective."""
-    slack = round(0.03 * most)
-    need = most + 1 + 2 * slack
+    """(exact, deleted, slack): fewest keys among the allotments that keep segments selective, else the most selective.
+
+    The slack is the number of exact segments that a set of ``low`` tokens is expected to leave empty.
+    """
     best = None
-    for deleted in range(need // 2 + 1 + need % 2):
-        exact = max(0, need - 2 * deleted)
-        mean = low / (exact + deleted)
+    for deleted in range((most + 1) // 2 + 2):
+        slack = -1
+        while True:
+            slack += 1
+            exact = max(0, most + 1 + 2 * slack - 2 * deleted)
+            mean = low / max(1, exact + deleted)
+            if exact * math.exp(-mean) <= slack or mean < TOKENS_EXACT:
+                break
         good = mean >= (TOKENS_DELETED if deleted else TOKENS_EXACT)
-        cost = (not good, exact + deleted * (1 + mean) if good else -mean)
-        if exact >= slack and (best is None or cost < best[0]):
-            best = (cost, exact, deleted)
-    return best[1], best[2], slack
+        cost = (not good, exact - slack + deleted * (1 + mean) if good else -mean)
+        if exact >= slack and exact + deleted and (best is None or cost < best[0]):
+            best = (cost, exact, deleted, slack)
+    return best[1:]
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +199,7 @@ def _keys(docs: DataFrame, text_col: str, width: int, percent: int) -> DataFrame
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()
         for batch in batches:
-            for _, texts in words.shards(batch, text_col):
+            for _, texts in words.shards(batch, text_col, words.SHARD_BYTES // 4):
                 sizes, tokens = shingle_sets(texts, width)
                 nodes = _node(sizes, tokens)
                 new = np.zeros(len(nodes), bool)
