@@ -15,7 +15,7 @@ _POSTINGS = """
   toks as (select id, kind, name, unnest(regexp_extract_all(lower(name), '[\\p{L}\\p{N}]+')) as term, 10 as weight, 'name' as source from v_docs
     union all select id, kind, name, unnest(regexp_extract_all(lower(kind), '[\\p{L}\\p{N}]+')), 4, 'kind' from v_docs
     union all select id, kind, name, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')), 4, 'props:text' from v_docs),
-  postings as (select id, kind, name, term, cast(max(weight) as bigint) as weight,
+  postings as materialized (select id, kind, name, term, cast(max(weight) as bigint) as weight,
     string_agg(distinct source, ',' order by source) as sources from toks group by all)"""
 
 _QUERIES = "queries(query, qt) as (values ('q1','src3 the'),('q2','of the and'),('q3','src7'),('q4','rc1'),('q5','para el en'))"
