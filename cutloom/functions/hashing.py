@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F, types as T
 
 # FNV-1a parameters.
+GRID_BYTES = 1 << 24
 FNV64_OFFSET, FNV64_PRIME = 0xCBF29CE484222325, 0x100000001B3
 FNV32_OFFSET, FNV32_PRIME = 0x811C9DC5, 0x01000193
 
@@ -50,25 +51,29 @@ def canonical_json(s: pd.Series) -> pd.Series:
 
 
 def fnv64_texts(texts: list[str]) -> list[str]:
-    """Checksums of many texts at once: each UTF-16 unit feeds its low byte, then its high byte."""
+    """Checksums of many texts at once: each UTF-16 unit feeds its low byte, then its high byte.
+
+    Texts go side by side in order of length, as many as fit ``GRID_BYTES``: one long text widens no other's row.
+    """
     raw = [np.frombuffer(t.encode("utf-16-le", "surrogatepass"), dtype=np.uint8) for t in texts]
     order = sorted(range(len(raw)), key=lambda i: -len(raw[i]))
-    h = np.full(len(raw), FNV64_OFFSET, dtype=np.uint64)
-    if raw:
-        width = len(raw[order[0]])
-        grid = np.zeros((len(raw), width), dtype=np.uint64)
-        lengths = np.array([len(raw[i]) for i in order])
-        for row, i in enumerate(order):
-            grid[row, :len(raw[i])] = raw[i]
-        prime = np.uint64(FNV64_PRIME)
-        live = len(order)
+    out = [""] * len(raw)
+    start = 0
+    while start < len(order):
+        width = len(raw[order[start]])
+        block = order[start:start + max(1, GRID_BYTES // max(1, width))]
+        grid = np.zeros((width, len(block)), dtype=np.uint8)
+        for col, i in enumerate(block):
+            grid[:len(raw[i]), col] = raw[i]
+        h = np.full(len(block), FNV64_OFFSET, dtype=np.uint64)
+        lengths, live = [len(raw[i]) for i in block], len(block)
         for pos in range(width):
             while live and lengths[live - 1] <= pos:
                 live -= 1
-            h[:live] = (h[:live] ^ grid[:live, pos]) * prime
-    out = [""] * len(raw)
-    for row, i in enumerate(order):
-        out[i] = f"{int(h[row]):016x}"
+            h[:live] = (h[:live] ^ grid[pos, :live]) * np.uint64(FNV64_PRIME)
+        for col, i in enumerate(block):
+            out[i] = f"{int(h[col]):016x}"
+        start += len(block)
     return out
 
 

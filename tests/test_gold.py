@@ -419,3 +419,14 @@ def test_several_ripple_trims_of_a_track_are_refused(spark):
     assert rows(edit(("a", 5.0), ("b", 15.0)), "clip_id", "start", "reason") == [("a", 0.0, "several-edits"), ("b", 10.0, "several-edits")]
     ins = spark.createDataFrame([("t", "n", 5.0, 2.0)], "track_id string, insert_id string, at double, insert_duration double")
     assert {r.clip_id for r in T.ripple_insert(clips, ins, 100.0).collect()} == {"a", "b", None}
+
+
+def test_checksum_of_one_long_text_among_short_ones():
+    texts = ["a", "x" * 1_000_000, "", "bc"] + ["q"] * 1000
+    got = H.fnv64_texts(texts)
+    assert [got[0], got[2], got[3]] == [H.fnv64_texts([t])[0] for t in ("a", "", "bc")] and len(set(got[4:])) == 1
+
+
+def test_depth_of_nonces_is_not_capped(spark):
+    many = spark.range(20_000).select(F.col("id").cast("string").alias("nonce"), F.lit(5).alias("consumed_at"))
+    assert TR.retain_nonces(many, 10).count() == 20_000
