@@ -203,8 +203,8 @@ def _likely(s: Column, model: SpanModel) -> Column:
 def personal_spans(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> tuple[DataFrame, SpanModel]:
     """(``carry`` columns with base and spans, the model): arrays of (kind number, start, end), ordered; ends are exclusive.
 
-    base are the matches of the strict patterns that pass their checks; spans adds candidates that the classifier accepts and
-    that no base span of their kind overlaps. Null and empty texts have none; repeated rows get equal spans; columns of ``docs``
+    base are the matches of the strict patterns that pass their checks; spans adds candidates that the classifier accepts, that
+    failed no check and that no base span of their kind overlaps. Null and empty texts have none; repeated rows get equal spans; columns of ``docs``
     named like a result are replaced; an empty table gives no rows and a model without odds.
     """
     carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in ("base", "spans")]
@@ -216,7 +216,7 @@ def personal_spans(docs: DataFrame, text_col: str = "text", carry: list[str] | N
 
     spans = F.coalesce(F.col("spans"), F.array().cast(found.schema["spans"].dataType))
     base = F.filter(spans, lambda s: s["base"])
-    free = F.filter(spans, lambda s: ~s["base"] & _likely(s, model) & ~F.exists(
+    free = F.filter(spans, lambda s: ~s["base"] & (s["pattern"] >= 0) & _likely(s, model) & ~F.exists(
         base, lambda b: (b["kind"] == s["kind"]) & (b["start"] < s["end"]) & (s["start"] < b["end"])))
     ordered = lambda a: F.array_sort(F.transform(a, narrow))
     return found.select(*map(field, carry), ordered(base).alias("base"),
