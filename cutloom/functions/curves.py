@@ -26,11 +26,6 @@ def db_to_gain(db: Column, floor: float = MIN_DB) -> Column:
     return F.when(db <= floor, F.lit(0.0)).otherwise(F.pow(F.lit(10.0), db / 20))
 
 
-def gain_to_db(gain: Column) -> Column:
-    safe = F.when(gain > 0, gain)
-    return F.coalesce(F.greatest(F.lit(MIN_DB), 20 * F.log10(safe)), F.lit(MIN_DB))
-
-
 def pan_gains(pan: Column) -> tuple[Column, Column]:
     angle = (clamp(pan, -1.0, 1.0) + 1) * (math.pi / 4)
     return F.cos(angle), F.sin(angle)

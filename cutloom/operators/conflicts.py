@@ -120,14 +120,6 @@ def conflict_model(pairs: DataFrame, local: DataFrame, remote: DataFrame, names:
     return x.withColumn("row_id", F.concat(F.col("l_seq"), F.lit(":"), F.col("l_op_idx"), F.lit("|"), F.col("r_seq"), F.lit(":"), F.col("r_op_idx")))
 
 
-def missing_entries(pairs: DataFrame, local: DataFrame, remote: DataFrame) -> DataFrame:
-    """Conflict coordinates that do not exist in the log or the batch."""
-    l = local.select("project_id", F.col("seq").alias("l_seq"), F.col("op_idx").alias("l_op_idx"))
-    r = remote.select("project_id", F.col("seq").alias("r_seq"), F.col("op_idx").alias("r_op_idx"))
-    return pairs.join(l, ["project_id", "l_seq", "l_op_idx"], "left_anti").withColumn("side", F.lit("local")).unionByName(
-        pairs.join(r, ["project_id", "r_seq", "r_op_idx"], "left_anti").withColumn("side", F.lit("remote")))
-
-
 def decision_groups(model: DataFrame) -> DataFrame:
     """One group per remote operation: number of rows, first row id and an order-free fingerprint of its row ids."""
     h = F.conv(F.substring(F.sha2("row_id", 256), 1, 15), 16, 10).cast("bigint")

@@ -128,11 +128,6 @@ def replay_ledger(events: DataFrame, keys: list[str], order: list[str], span: Co
     return machine_scan(events, keys, order, span, states, step, ["event"], "status string, attempts bigint, legal boolean")
 
 
-def latest_state(replayed: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    last = F.max_by(F.struct("status", "attempts"), F.struct(*order))
-    return replayed.groupBy(*keys).agg(last.alias("s"), F.count(F.when(~F.col("legal"), 1)).alias("illegal")).select(*keys, "s.*", "illegal")
-
-
 def artifact_manifest(chunks: DataFrame) -> DataFrame:
     """Chunks of complete jobs (order by job_id, idx to read them back)."""
     done = job_status(chunks).where("status = 'complete'").select("job_id")

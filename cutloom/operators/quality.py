@@ -61,10 +61,6 @@ def parent_violations(children: DataFrame, edges: DataFrame, nodes: DataFrame, p
     return children.select("id").join(n, "id", "left").where(F.coalesce("parents", F.lit(0)) != 1).select("id", F.lit(code).alias("code"))
 
 
-def edge_counts(edges: DataFrame, edge_type: str, end: str) -> DataFrame:
-    return edges.where(F.col("type") == edge_type).groupBy(F.col(end).alias("id")).agg(F.count("*").alias("n"))
-
-
 def source_range_violations(clips: DataFrame, footage: DataFrame) -> DataFrame:
     """Clips whose source range runs past the end of their asset."""
     m = footage.select("asset_id", "source_duration")

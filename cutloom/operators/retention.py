@@ -47,12 +47,6 @@ def classify(mime: Column, name: Column, head: Column | None = None) -> Column:
     return out.otherwise("unknown")
 
 
-def asset_family(mime: Column) -> Column:
-    m = F.coalesce(mime, F.lit(""))
-    return (F.when(m.startswith("image/"), "image").when(m.startswith("video/"), "video").when(m.startswith("audio/"), "audio")
-            .when(m.contains("svg"), "vector").otherwise("unknown"))
-
-
 def blob_fingerprint(content: Column, size: Column, kind: Column, edge: int = 1 << 20) -> Column:
     """SHA-256 over ``size:type:``, the first and the last ``edge`` bytes (which overlap in small content)."""
     header = F.concat(size.cast("string"), F.lit(":"), F.coalesce(kind, F.lit("")), F.lit(":")).cast("binary")

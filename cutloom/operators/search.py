@@ -98,12 +98,6 @@ def relation_emissions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         "weight", F.lit(RELATION_WEIGHT).cast("bigint")).withColumn("source", F.lit("relationships"))
 
 
-def merge_emissions(frames: Sequence[DataFrame]) -> DataFrame:
-    """One posting per (id, term) out of several emission frames (id, term, weight, source)."""
-    return union_all(frames).groupBy("id", "term").agg(
-        F.max("weight").alias("weight"), F.sort_array(F.collect_set("source")).alias("sources"))
-
-
 def normalize_query(text: str) -> str:
     if len(text) > MAX_QUERY_CHARS:
         raise ValueError(f"query exceeds {MAX_QUERY_CHARS} characters")

@@ -356,6 +356,3 @@ def render_dependencies(clips: DataFrame, ranges: DataFrame, width: float = 3600
 
 def source_times(active: DataFrame) -> DataFrame:
     return active.withColumn("source_time", source_time(F.col("t"), F.col("start"), F.col("in_point"), F.col("playback_rate")))
-
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("clamp", "annotations")]

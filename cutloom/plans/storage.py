@@ -8,21 +8,27 @@ from ..functions import hashing as H
 from ..operators import matching as M, retention as R
 from ..operators.scan import span_of
 from ..sources import files as FS, graph_files as GF
+from ..streaming.stores import new_folder
 from .registry import query
 
 
+def saved_projects(t):
+    """The graph written to project files in the shared folder, and what a reader finds there."""
+    folder = new_folder(t.spark, "projects")
+    GF.write_projects(GF.graph_documents(t.v_nodes, t.v_edges), folder)
+    return GF.read_projects(t.spark, folder, one_per_file=False)
+
+
 @query("src01_graph_round_trip", "select id, kind, name from v_nodes")
 def src01(t):
-    """Nodes to project documents of bounded size and back."""
-    docs = GF.graph_documents(t.v_nodes, t.v_edges)
-    nodes, _, _ = GF.parse_documents(docs)
+    """Nodes to project files of bounded documents and back."""
+    nodes, _, _ = GF.parse_documents(saved_projects(t))
     return nodes.select("id", "kind", "name")
 
 
 @query("src02_graph_edges", "select src, dst, type, count(*) as copies from v_edges group by all")
 def src02(t):
-    docs = GF.graph_documents(t.v_nodes, t.v_edges)
-    _, edges, _ = GF.parse_documents(docs)
+    _, edges, _ = GF.parse_documents(saved_projects(t))
     return edges.select("src", "dst", "type", F.variant_get("props", "$.copies", "bigint").alias("copies"))
 
 

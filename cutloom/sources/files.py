@@ -16,8 +16,3 @@ def classify_files(spark: SparkSession, path: str) -> DataFrame:
     f = file_table(spark, path)
     name = F.element_at(F.split("path", "/"), -1)
     return f.select(name.alias("name"), F.col("length").alias("bytes"), classify(F.lit(None).cast("string"), name, F.col("content")).alias("container"))
-
-
-def fingerprint_files(spark: SparkSession, path: str, kind: str = "") -> DataFrame:
-    f = file_table(spark, path)
-    return f.select("path", "length", blob_fingerprint(F.col("content"), F.col("length"), F.lit(kind)).alias("fingerprint"))

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 CURRENT_VERSION = 2  # fixed value
 
 
-def read_projects(spark: SparkSession, path: str) -> DataFrame:
-    """Raw documents (path, body) with one JSON project per file."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
+def read_projects(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Raw documents (path, body): JSON projects, one per file or one per line."""
+    return spark.read.text(path, wholetext=one_per_file).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
 
 
 def parse_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -67,4 +67,5 @@ def graph_documents(nodes: DataFrame, edges: DataFrame, per_document: int = 5000
 
 
 def write_projects(docs: DataFrame, path: str) -> None:
+    """Documents one per line; JSON escapes line ends, so a body never holds one."""
     docs.select(F.col("body").alias("value")).write.mode("errorifexists").text(path)

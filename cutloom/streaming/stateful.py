@@ -21,13 +21,6 @@ def suppress_duplicates(stream: DataFrame, keys: Sequence[str], time: str, withi
     return stream.withWatermark(time, within).dropDuplicatesWithinWatermark(list(keys))
 
 
-def request_key(init, sequence, partial, url, offset=None, length=None):
-    """Text key of a segment request: kind, sequence, part flag, url and byte range."""
-    spans = F.lit("") if offset is None else F.when(offset.isNotNull(), F.concat_ws(":", offset, length)).otherwise("")
-    return F.concat_ws("|", F.when(init, "init").otherwise("segment"), F.coalesce(sequence.cast("string"), F.lit("")),
-                       F.when(partial, "p").otherwise("s"), F.coalesce(url, F.lit("")), spans)
-
-
 def ordered_state(stream: DataFrame, keys: Sequence[str], order: Sequence[str], start: tuple, state: str,
                   step: Callable[[tuple, tuple], tuple], columns: Sequence[str], out: str, emit: Sequence[str]) -> DataFrame:
     """Run ``step(state, values) -> (state, outputs or None)`` over each key's rows in ``order``.
