@@ -39,7 +39,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         {"keep_id": field(id_col), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
     shared = marked.where(field(shared_)).withColumn(full, F.sha2(norm, 256))
     key = [size, head, full]
-    groups = shared.groupBy(*key).agg(F.min(field(id_col)).alias("keep_id"), F.count("*").alias("group_size"))
+    # one row per group, written: the join then deals both sides out itself, and Spark can split a hot group's rows
+    groups = durable(shared.groupBy(*key).agg(F.min(field(id_col)).alias("keep_id"), F.count("*").alias("group_size")))
     joined = shared.join(groups, key).withColumn("kept", field(id_col).eqNullSafe(F.col("keep_id")))
     names = [*docs.columns, "keep_id", "group_size", "kept"]
     return alone.select(*map(field, names)).unionByName(joined.select(*map(field, names)))
