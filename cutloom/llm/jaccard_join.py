@@ -199,7 +199,7 @@ def _keys(docs: DataFrame, text_col: str, width: int, percent: int) -> DataFrame
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()
         for batch in batches:
-            for _, texts in words.shards(batch, text_col, words.SHARD_BYTES // 4):
+            for _, texts in words.shards(batch, text_col):
                 sizes, tokens = shingle_sets(texts, width)
                 nodes = _node(sizes, tokens)
                 new = np.zeros(len(nodes), bool)
@@ -311,7 +311,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, left in words.shards(batch, "tx", words.SHARD_BYTES // 2):
+            for part, left in words.shards(batch, "tx"):
                 right = words.text_array(part.column(part.schema.get_field_index("ty")))
                 (n, s), (m, t) = shingle_sets(left, width), shingle_sets(right, width)
                 x, y = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))

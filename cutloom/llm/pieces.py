@@ -29,8 +29,8 @@ LONG = 48  # symbols; longer words use the heap
 SPACE = "▁"
 SHIFT = np.uint64(22)
 NONE = np.int32((1 << 31) - 1)
-CELLS = 1 << 20  # symbols encoded side by side
-SHARD = 8 << 20  # bytes of text whose distinct words are encoded together
+CELLS = 1 << 19  # symbols encoded side by side
+SHARD = 4 << 20  # bytes of text whose distinct words are encoded together
 
 
 @dataclass

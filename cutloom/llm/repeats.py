@@ -83,7 +83,7 @@ def _suffixes(docs: DataFrame, context: bool) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in words.shards(batch, "text", words.SHARD_BYTES // 2):
+            for part, texts in words.shards(batch, "text"):
                 w = words.Words(texts, words.BY_SPACE)
                 h = w.hashes()
                 text, at, key = kept_suffixes(w.counts, h)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE_BYTES = b" \t\n\x0b\f\r"
 BY_SPACE = np.ones(256, bool)
@@ -17,7 +18,7 @@ ALNUM[ord("0"):ord("9") + 1] = ALNUM[ord("A"):ord("Z") + 1] = ALNUM[ord("a"):ord
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 3 << 20
 FIELD = pa.large_string()
 
 
@@ -37,12 +38,13 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def shards(batch: pa.RecordBatch, text_col: str, limit: int = SHARD_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Slices of ``batch`` of about ``limit`` bytes of text, one row at least, with their texts."""
-    texts = text_array(batch.column(batch.schema.get_field_index(text_col)))
-    _, off = bytes_of(texts)
+    column = batch.column(batch.schema.get_field_index(text_col))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
-    while start < len(texts):
-        stop = max(start + 1, int(np.searchsorted(off, off[start] + limit, "right")) - 1)
-        yield batch.slice(start, stop - start), texts.slice(start, stop - start)
+    while start < len(ends):
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + limit, "right")))
+        yield batch.slice(start, stop - start), text_array(column.slice(start, stop - start))
         start = stop
 
 
