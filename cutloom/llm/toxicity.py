@@ -20,7 +20,7 @@ from . import words
 from .columns import field, fresh, with_fields
 from .labelled import training_sample
 
-SAMPLE_ROWS = 4000  # labelled rows that the chain is fitted on
+SAMPLE_ROWS = 3000  # labelled rows that the chain is fitted on
 FEATURES = 2048  # per category, the most telling ones
 PARTS = 3
 LEAST_TEXTS = 3  # texts of the sample that hold a feature, words of one text by several endings counted
