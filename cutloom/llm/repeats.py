@@ -6,7 +6,11 @@ whose first WIDTH words occur in one document only are dropped by counts; the ot
 partitions, and each is compared with the nearest ones of other documents before and after it. A match is extended to the left
 and to the right; one that reaches the least length is reported, and overlapping matches of a document are joined.
 
-Words are compared by hash, the first WIDTH by 64 bits, those of the extensions by 32 bits each.
+The order follows the words to the right first, so a third document may share a passage that neither neighbour shares. The
+passages of LEAST words around a suffix that its neighbours leave open are therefore looked up among those around all suffixes
+of the same key, by hash: each passage of LEAST words that another document holds is found, whatever lies between the two.
+
+Words are compared by hash, the first WIDTH by 64 bits, those of the extensions by 32 bits each; open passages by 64 bits.
 """
 
 from __future__ import annotations
@@ -119,20 +123,45 @@ def _agree(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     return np.minimum(np.cumprod(a == b, axis=1).sum(1), most)
 
 
-def _matches(rows: pa.Table, open_end: bool) -> tuple[pa.Table, int]:
-    """Matches of sorted suffixes with the nearest ones of other documents, and how many rows they settle.
+def _around(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The words to the left and to the right of each suffix, nearest first."""
+    return tuple(np.frombuffer(b"".join(rows[c].to_pylist()), np.uint32).reshape(rows.num_rows, SIDE) for c in ("left", "right"))
+
+
+def _fits(n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
+    """Which passages of LEAST words lie within so many words: a row per suffix, a column per number of words to its left."""
+    s = np.arange(SIDE + 1)
+    return (s <= n_left[:, None]) & (SIDE - s <= n_right[:, None])
+
 
-    The last document's rows wait for what comes after them, unless ``open_end`` says that nothing does.
+def _passage_hashes(key: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashes of the passages of LEAST words around each suffix, in the columns of _fits."""
+    sides = []
+    for words_ in (left, right):
+        h = np.zeros((len(key), SIDE + 1), np.uint64)
+        for k in range(SIDE):
+            h[:, k + 1] = words.mix(h[:, k] * BASE + words_[:, k] + np.uint64(1))
+        sides.append(h)
+    near = words.mix(sides[0] * BASE + sides[1][:, ::-1] + np.arange(SIDE + 1).astype(np.uint64))
+    return words.mix(near ^ key.view(np.uint64)[:, None]).view(np.int64)
+
+
+def _matches(rows: pa.Table, open_end: bool) -> tuple[pa.Table, int, np.ndarray]:
+    """Matches of sorted suffixes with the nearest ones of other documents, how many rows they settle, and the passages left open.
+
+    The last document's rows wait for what comes after them, unless ``open_end`` says that nothing does. Open passages are bits
+    in the order of _fits.
     """
     n = rows.num_rows
     key, at, n_left, n_right = (rows[c].to_numpy() for c in ("key", "at", "n_left", "n_right"))
-    left, right = (np.frombuffer(b"".join(rows[c].to_pylist()), np.uint32).reshape(n, SIDE) for c in ("left", "right"))
+    left, right = _around(rows)
     code = rows["doc"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
     new = np.concatenate([[True], code[1:] != code[:-1]])
     first = np.flatnonzero(new)
     block = np.cumsum(new) - 1
     settled = n if open_end else int(first[-1])
-    best, span = np.zeros(n, np.int64), np.zeros((n, 3), np.int64)  # start, end, partner
+    best, span = np.zeros(n, np.int64), np.stack([at, at, np.zeros(n, np.int64)], 1)  # start, end, partner
+    open_ = _fits(n_left, n_right)
     for other in (first[block] - 1, np.append(first[1:], n)[block]):
         ok = np.flatnonzero((other >= 0) & (other < n))
         ok = ok[key[ok] == key[other[ok]]]
@@ -140,26 +169,36 @@ def _matches(rows: pa.Table, open_end: bool) -> tuple[pa.Table, int]:
         l = _agree(left[ok], left[o], np.minimum(n_left[ok], n_left[o]))
         r = _agree(right[ok], right[o], np.minimum(n_right[ok], n_right[o]))
         total = l + r + WIDTH
-        more = (total >= LEAST) & (total > best[ok])
+        good = total >= LEAST
+        open_[ok] &= ~_fits(l, r)
+        span[ok[good], 0] = np.minimum(span[ok, 0], at[ok] - l)[good]
+        span[ok[good], 1] = np.maximum(span[ok, 1], at[ok] + WIDTH + r)[good]
+        more = good & (total > best[ok])
         best[ok[more]] = total[more]
-        span[ok[more]] = np.stack([at[ok] - l, at[ok] + WIDTH + r, o], 1)[more]
+        span[ok[more], 2] = o[more]
     hit = np.flatnonzero(best)
     out = pa.table({"doc": rows["doc"].take(pa.array(hit)), "first": span[hit, 0], "last": span[hit, 1],
                     "other": rows["doc"].take(pa.array(span[hit, 2]))})
-    return out, settled
+    return out, settled, open_ @ (1 << np.arange(SIDE + 1))
 
 
 EDGE = ("key", "at", "n_left", "n_right", "left", "right")
 
 
 def _neighbours(suffixes: DataFrame) -> DataFrame:
-    """Rows (doc, first, last, other) of matches, and, with ``part`` set, the suffixes at the borders of partitions."""
+    """Rows (doc, first, last, other) of matches; with ``part`` set, the suffixes at the borders of partitions; with ``open`` set,
+    those whose neighbours leave passages open."""
     kind = suffixes.schema["doc"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         held: pa.Table | None = None  # the row before the open block, and the open block
         place = 0
+        known = 0  # rows of held that were told before
+
+        def left_open(rows: pa.Table, bits: np.ndarray, stop: int) -> pa.RecordBatch:
+            some = known + np.flatnonzero(bits[known:stop])
+            return shaped(rows.take(pa.array(some)).append_column("open", pa.array(bits[some], pa.int32())))
 
         def edges(rows: pa.Table) -> pa.RecordBatch:
             nonlocal place
@@ -182,18 +221,23 @@ def _neighbours(suffixes: DataFrame) -> DataFrame:
             if not told:
                 yield edges(first_block(held))
                 told = True
-            found, settled = _matches(held, False)
+            found, settled, bits = _matches(held, False)
             yield shaped(found)
-            held = held.slice(max(0, settled - 1))
+            yield left_open(held, bits, settled)
+            if settled:
+                held, known = held.slice(settled - 1), 1
         if held is not None:
             if not told:
                 yield edges(first_block(held))
-            yield shaped(_matches(held, True)[0])
+            found, settled, bits = _matches(held, True)
+            yield shaped(found)
+            yield left_open(held, bits, settled)
             back = first_block(held.take(pa.array(np.arange(held.num_rows)[::-1])))
             yield edges(back.take(pa.array(np.arange(back.num_rows)[::-1])))
 
     columns = {"doc": None, "first": pa.int64(), "last": pa.int64(), "other": None, "part": pa.int32(), "i": pa.int64(), "key": pa.int64(),
-               "at": pa.int64(), "n_left": pa.int32(), "n_right": pa.int32(), "left": pa.binary(), "right": pa.binary()}
+               "at": pa.int64(), "n_left": pa.int32(), "n_right": pa.int32(), "left": pa.binary(), "right": pa.binary(),
+               "open": pa.int32()}
 
     def shaped(rows: pa.Table) -> pa.RecordBatch:
         kind_ = rows["doc"].type
@@ -201,7 +245,37 @@ def _neighbours(suffixes: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.concat_arrays(x.chunks) for x in full], names=list(columns))
 
     return suffixes.mapInArrow(scan, f"doc {kind}, first long, last long, other {kind}, part int, i long, key long, at long, "
-                                     "n_left int, n_right int, left binary, right binary")
+                                     "n_left int, n_right int, left binary, right binary, open int")
+
+
+def _passages(suffixes: DataFrame, only_open: bool) -> DataFrame:
+    """(passage, doc, first): the hashes of all passages of LEAST words around suffixes, or of those left open."""
+    kind = suffixes.schema["doc"].dataType.simpleString()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1 << 13):
+                rows = batch.slice(start, 1 << 13)
+                key, at, n_left, n_right = (rows[c].to_numpy() for c in ("key", "at", "n_left", "n_right"))
+                wanted = _fits(n_left, n_right)
+                if only_open:
+                    wanted &= (rows["open"].to_numpy()[:, None] >> np.arange(SIDE + 1) & 1).astype(bool)
+                row, s = np.nonzero(wanted)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_passage_hashes(key, *_around(rows))[row, s]), rows["doc"].take(pa.array(row)), pa.array(at[row] - s)],
+                    names=["passage", "doc", "first"])
+
+    return suffixes.mapInArrow(scan, f"passage long, doc {kind}, first long")
+
+
+def _held_elsewhere(open_: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """Matches (doc, first, last, other) of the passages left open that any other document holds."""
+    near = mark(suffixes, bit_table(open_.select("key"), ["key"], TABLE_WORDS), ["key"], "near", TABLE_WORDS).where("near").drop("near")
+    holders = durable(_passages(near, False).groupBy("passage").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b"))
+    table = bit_table(holders.select("passage"), ["passage"], TABLE_WORDS)
+    told = mark(_passages(open_, True), table, ["passage"], "told", TABLE_WORDS).where("told").drop("told")
+    return told.join(holders, "passage").select(
+        "doc", "first", (F.col("first") + LEAST).alias("last"), F.when(F.col("a").eqNullSafe(F.col("doc")), F.col("b")).otherwise(F.col("a")).alias("other"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,10 +290,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     table = bit_table(keys.where("a <> b").select("key"), ["key"], TABLE_WORDS)
     shared = mark(_suffixes(narrow, True), table, ["key"], "shared", TABLE_WORDS).where("shared").drop("shared")
     order = ["key", "right", "left", "doc", "at"]
-    found = durable(_neighbours(durable(shared).repartitionByRange(*order).sortWithinPartitions(*order)))
+    shared = durable(shared)
+    found = durable(_neighbours(shared.repartitionByRange(*order).sortWithinPartitions(*order)))
     edges = found.where("part is not null").repartition(1).sortWithinPartitions("part", "i").select("doc", *EDGE)
-    matches = found.where("part is null").select("doc", "first", "last", "other").unionByName(
-        _neighbours(edges).where("part is null").select("doc", "first", "last", "other"))
+    matches = found.where("last is not null").select("doc", "first", "last", "other").unionByName(
+        _neighbours(edges).where("last is not null").select("doc", "first", "last", "other"))
+    open_ = found.where("open is not null").select("doc", *EDGE, "open")
+    matches = matches.unionByName(_held_elsewhere(open_, shared))
     by_doc = Window.partitionBy("doc").orderBy("first", "last")
     fresh_ = F.coalesce(F.col("first") > F.max("last").over(by_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     joined = matches.distinct().withColumn("new", fresh_.cast("int")).withColumn("n", F.sum("new").over(by_doc))

@@ -48,6 +48,27 @@ def test_repeats_of_a_hot_passage_over_many_partitions(spark):
     assert got == brute.repeated_words(texts, repeats.LEAST)
 
 
+def test_repeats_that_end_in_a_hot_sentence(spark):
+    """Two documents share a passage whose last or first words many others hold, so that they are no neighbours in sorted order."""
+    for seed, before, after in ((5, 12, 0), (6, 0, 12), (7, 6, 6)):
+        r = random.Random(seed)
+        word = lambda: f"w{r.randrange(10 ** 6)}"
+        some = lambda n: [word() for _ in range(n)]
+        sentence = some(40)
+        texts = {k: some(30) + sentence + some(30) for k in range(200)}
+        for pair in range(30):
+            passage = some(before) + sentence + some(after)
+            texts |= {1000 + 10 * pair + k: some(30) + passage + some(30) for k in range(2)}
+        texts = {k: " ".join(t) for k, t in texts.items()}
+        docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+        got = {}
+        for x in repeats.repeated_passages(docs).collect():
+            assert x.other // 10 == x.id // 10 and x.other != x.id
+            got.setdefault(x.id, set()).update(range(x.start_word, x.end_word))
+        want = brute.repeated_words(texts, repeats.LEAST)
+        assert len(want) == 60 and got == want
+
+
 def test_pages(spark, folder):
     pages = spark.read.parquet(f"{folder}/pages.parquet").collect()
     got = {r.page_id: r for r in QUERIES["op4_page_differencing"](spark, folder).collect()}
