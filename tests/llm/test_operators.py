@@ -87,6 +87,17 @@ def test_differencing_of_unmarked_pages(spark):
     assert got == {k: f"text {k} one\n\ntext {k} two" for k in range(40)}
 
 
+def test_differencing_of_pages_that_differ_in_the_query(spark):
+    frame = lambda body: f"<div>Our site</div><div>Buy now</div>{body}<div>All rights reserved</div>"
+    want = {k: f"text {k}" for k in range(40)} | {100 + k: "text 7" for k in range(30)} | {200: "one", 201: "two", 300: "in", 301: "left", 302: "right"}
+    url = lambda k: "http://one.example/same" if k in (200, 201) else f"http://h.example/index.php?id={k if k < 100 else 7:03d}"
+    rows = [(k, url(k), frame(f"<p>{t}</p>")) for k, t in want.items() if k < 300]  # 100 to 129 are copies of 7
+    rows += [(300, "http://m.example/b", "<article><p>in</p></article>"), (301, "http://m.example/a", frame("<p>left</p>")),
+             (302, "http://m.example/c", frame("<p>right</p>"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    assert {r.page_id: r.main_text for r in page_text.main_text(pages).collect()} == want
+
+
 def test_personal_data(spark, folder):
     texts = texts_of(spark, folder)
     more = {-1: "mail a@b.c@d.e.f x_y@q.r a@b.cx_y@d.e 1.2.3.4.5.6.7.8.9 001.002.3.255 1.2.3.256 +1 (2) 345-678-9\x01 4111-1111 1111 1111 é 4111  1111 \U0001F600 a.@b.c",
