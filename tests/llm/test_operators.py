@@ -98,6 +98,17 @@ def test_differencing_of_pages_that_differ_in_the_query(spark):
     assert {r.page_id: r.main_text for r in page_text.main_text(pages).collect()} == want
 
 
+def test_articles_keep_what_names_like_a_menu():
+    page = """<div class="nav-bar">menu</div><article class="post"><header class="post-header"><h1 class="banner">Title</h1></header>
+      <section id="social-history"><h2 id="related-work" class="related">Work</h2><p>One <span id="Search_methods">way</span>.</p></section>
+      <figure class="widget"><img src="a.png"><figcaption class="share">Caption</figcaption></figure>
+      <p>As <math><semantics><mrow><mi>a</mi><mo>=</mo><mn>2</mn></mrow><annotation>a = 2 in TeX</annotation></semantics></math> says</p>
+      <p data-role="share" class="ad-hoc comment-free">Hoc</p><div class="box share">Tell</div><span class=ad>Buy</span><div role="search">Find</div>
+      <nav>Next</nav><aside>See</aside><footer>End</footer></article><div id="site-footer">foot</div>"""
+    want = ["Title", "Work", "One way.", "Caption", "As a=2 says", "Hoc"]
+    assert [t for t, inside in page_text.blocks_of(page) if inside] == want and all(inside for _, inside in page_text.blocks_of(page))
+
+
 def test_personal_data(spark, folder):
     texts = texts_of(spark, folder)
     more = {-1: "mail a@b.c@d.e.f x_y@q.r a@b.cx_y@d.e 1.2.3.4.5.6.7.8.9 001.002.3.255 1.2.3.256 +1 (2) 345-678-9\x01 4111-1111 1111 1111 é 4111  1111 \U0001F600 a.@b.c",
