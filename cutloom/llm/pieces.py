@@ -1,9 +1,11 @@
 """SentencePiece encoding by merges with seeded merge-dropout, and its lossless decoding.
 
 A word (a run of spaces and what follows it) is encoded by an agenda of candidate merges, best rank first, then leftmost. A
-candidate is skipped if the keyed hash of (seed, variant, word, place, left piece, right piece) falls below the dropout rate, so
-a seed always gives the same segmentation and another seed another one. All distinct words of a shard go through the agenda side
-by side in numpy; very long words have a heap of their own, with the same result. With a rate of 0 this is the plain encoding.
+candidate is skipped if the keyed hash of (seed, document id, the word's place in the text, word, place, left piece, right piece)
+falls below the dropout rate, so a seed always gives the same segmentation and another seed another one, and each occurrence of a
+word is cut by itself. All distinct words of a shard go through the plain agenda once, side by side in numpy; occurrences that
+skip one of the candidates met there go through their own agenda. Very long words have a heap of their own, with the same result.
+With a rate of 0 this is the plain encoding.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from . import words
 from .columns import field, fresh, with_fields
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-RATE, SEED, VARIANTS = 0.1, 1, 4
+RATE, SEED = 0.1, 1
 LONG = 48  # symbols; longer words use the heap
 SPACE = "▁"
 SHIFT = np.uint64(22)
@@ -90,7 +92,7 @@ class Dropout:
     seed: int
 
     def skips(self, word: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Whether each candidate is skipped; ``word`` are hashes of the word and its variant."""
+        """Whether each candidate is skipped; ``word`` are hashes of the word and its occurrence."""
         if not self.rate:
             return np.zeros(len(word), bool)
         h = words.mix(word + words.mix(place.astype(np.uint64) + np.uint64(self.seed * 0x9E3779B9 & (1 << 63) - 1)))
@@ -98,6 +100,25 @@ class Dropout:
         return (h >> np.uint64(11)).astype(np.float64) < self.rate * (1 << 53)
 
 
+class Candidates:
+    """Stands in for Dropout: skips nothing and notes the candidates of each word."""
+
+    rate = 0.0
+
+    def __init__(self):
+        self.met: list[tuple[np.ndarray, ...]] = []
+
+    def skips(self, word: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        self.met.append((word.astype(np.int64), *(x.astype(np.int32) for x in (place, left, right))))
+        return np.zeros(len(word), bool)
+
+    def by_word(self, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(offsets, [place, left, right]) of the candidates of words 0 to n - 1."""
+        word, *rest = (np.concatenate(x) for x in zip(*self.met)) if self.met else [np.zeros(0, np.int64)] * 4
+        by = np.argsort(word, kind="stable")
+        return np.concatenate([[0], np.cumsum(np.bincount(word, minlength=n))]), [x[by] for x in rest]
+
+
 def _look_up(v: Vocabulary, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys, ranks, merged = v.merges
     key = left.astype(np.int64) << np.int64(SHIFT) | right
@@ -182,28 +203,29 @@ def _by_heap(v: Vocabulary, symbols: np.ndarray, word: np.uint64, drop: Dropout)
     return [x for x in ids if x >= 0]
 
 
-def _encode_words(v: Vocabulary, vocabulary: list[str], code: np.ndarray, variant: np.ndarray, drop: Dropout):
-    """(ids, offsets) of the words ``vocabulary[code]`` in the given variants."""
+def _encode_words(v: Vocabulary, vocabulary: list[str], code: np.ndarray, key: np.ndarray, drop: Dropout | Candidates):
+    """(ids, offsets) of the words ``vocabulary[code]``, whose occurrences have the given keys."""
+    if not len(code):
+        return np.zeros(0, np.int32), np.zeros(1, np.int64)
     flat = np.frombuffer("".join(vocabulary).encode("utf-32-le"), np.uint32).astype(np.int64)
     size = np.array([len(w) for w in vocabulary], np.int64)
     first = np.cumsum(size) - size
-    base = words.mix(pd.util.hash_array(np.array(vocabulary, dtype=object), categorize=False))
-    key = words.mix(base[code] + variant.astype(np.uint64))
     symbols = v.symbols[flat]
     length = size[code]
     order = np.argsort(length, kind="stable")
+    sizes = length[order]
     spots, values = [], []
     start = 0
     while start < len(order):
-        if length[order[start]] > LONG:
+        if sizes[start] > LONG:
             k = order[start]
             got = np.array(_by_heap(v, symbols[first[code[k]]:first[code[k]] + length[k]], key[k], drop), np.int64)
             spots.append(np.full(len(got), k))
             values.append(got)
             start += 1
             continue
-        stop = start + 1 + max(1, CELLS // max(1, int(length[order[start]])))
-        stop = min(stop, int(np.searchsorted(length[order], min(LONG, int(length[order[start]]) + 2), "right")))
+        stop = start + 1 + max(1, CELLS // max(1, int(sizes[start])))
+        stop = min(stop, int(np.searchsorted(sizes, min(LONG, int(sizes[start]) + 2), "right")))
         block = order[start:stop]
         width = int(length[block[-1]])
         cells = first[code[block]][:, None] + np.arange(width)
@@ -229,8 +251,26 @@ def _encode_words(v: Vocabulary, vocabulary: list[str], code: np.ndarray, varian
     return value.astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(spot, minlength=len(code)))])
 
 
-def encode_texts(v: Vocabulary, texts: pa.Array, variant: np.ndarray, drop: Dropout) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, offsets) of whole texts. A space is put before a text that is not empty, as the model asks for."""
+def _skipping(offsets: np.ndarray, candidates: list[np.ndarray], code: np.ndarray, key: np.ndarray, drop: Dropout) -> np.ndarray:
+    """The occurrences that skip a candidate which the plain agenda of their word met; all others are cut as without dropout."""
+    many = np.diff(offsets)[code]
+    ends = np.cumsum(many)
+    out, start = [], 0
+    while start < len(code):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + CELLS, "right")))
+        n = many[start:stop]
+        entry = words.ranges(offsets[code[start:stop]], n)
+        gone = drop.skips(np.repeat(key[start:stop], n), *(x[entry] for x in candidates))
+        out.append(np.unique(words.row_of(n)[gone]) + start)
+        start = stop
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def encode_texts(v: Vocabulary, texts: pa.Array, document: np.ndarray, drop: Dropout) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets) of whole texts. A space is put before a text that is not empty, as the model asks for.
+
+    ``document`` has a number of each text's document, which keys its skips.
+    """
     raw, off = words.bytes_of(texts)
     size = np.diff(off)
     many = size + (size > 0)
@@ -250,10 +290,20 @@ def encode_texts(v: Vocabulary, texts: pa.Array, variant: np.ndarray, drop: Drop
     code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     row = np.searchsorted(begin[size > 0], starts, "right") - 1
     row = np.flatnonzero(size > 0)[row]
-    pairs, which = np.unique(code * VARIANTS + variant[row], return_inverse=True)
-    ids, offsets = _encode_words(v, coded.dictionary.to_pylist(), pairs // VARIANTS, pairs % VARIANTS, drop)
-    length = np.diff(offsets)[which]
-    out = ids[words.ranges(offsets[which], length)]
+    vocabulary = coded.dictionary.to_pylist()
+    met = Candidates()
+    every_word = np.arange(len(vocabulary))
+    ids, offsets = _encode_words(v, vocabulary, every_word, every_word.astype(np.uint64), met)
+    begins, length = offsets[code], np.diff(offsets)[code]
+    if drop.rate:
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        base = words.mix(pd.util.hash_array(np.array(vocabulary, dtype=object), categorize=False))
+        key = words.mix(base[code] + words.mix(words.mix(document.astype(np.int64).view(np.uint64))[row] + nth.astype(np.uint64)))
+        again = _skipping(*met.by_word(len(vocabulary)), code, key, drop)
+        more, offsets = _encode_words(v, vocabulary, code[again], key[again], drop)
+        begins[again], length[again] = len(ids) + offsets[:-1], np.diff(offsets)
+        ids = np.concatenate([ids, more])
+    out = ids[words.ranges(begins, length)]
     return out, np.concatenate([[0], np.cumsum(np.bincount(row, weights=length, minlength=len(texts)).astype(np.int64))])
 
 
@@ -272,19 +322,19 @@ def encode_pieces(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id
                   seed: int = SEED, carry: list[str] | None = None, out: str = "pieces", check: str | None = None) -> DataFrame:
     """``carry`` columns of ``docs`` (all by default) with ``out``, the piece ids of the whole text.
 
-    ``rate`` of the candidate merges are skipped by keyed hash; the key's variant (one of VARIANTS) comes from the id, so equal
-    texts may be cut differently, and always alike under one seed. ``check`` names a column that tells whether decoding the ids
+    ``rate`` of the candidate merges are skipped by keyed hash; the key has the id and the word's place in the text, so each
+    occurrence of a word may be cut differently, and always alike under one seed. Rows with a null id have one key. ``check`` names a column that tells whether decoding the ids
     gave the text back. Null and empty texts have no pieces. Repeated rows get equal pieces; columns named like a result are
     replaced; an empty table gives no rows.
     """
     made = [out, *([check] if check else [])]
     carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in {m.lower() for m in made}]
-    (variant,) = fresh(docs, "variant")
+    (document,) = fresh(docs, "document")
     drop = Dropout(rate, seed)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(variant)
+            at = batch.schema.get_field_index(document)
             for part, texts in words.shards(batch, text_col, SHARD):
                 ids, offsets = encode_texts(vocabulary, texts, part.column(at).to_numpy(zero_copy_only=False), drop)
                 kept = [part.column(part.schema.get_field_index(c)) for c in carry]
@@ -293,8 +343,8 @@ def encode_pieces(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id
                     kept.append(pc.equal(decode_ids(vocabulary, ids, offsets), texts))
                 yield pa.RecordBatch.from_arrays(kept, names=[*carry, *made])
 
-    named = docs.withColumn(variant, F.pmod(F.xxhash64(F.lit(seed), field(id_col)), F.lit(VARIANTS)).cast("int"))
-    return named.select(*map(field, dict.fromkeys([*carry, text_col, variant]))).mapInArrow(
+    named = docs.withColumn(document, F.xxhash64(F.lit(seed), field(id_col)))
+    return named.select(*map(field, dict.fromkeys([*carry, text_col, document]))).mapInArrow(
         scan, with_fields(docs, carry, f"`{out}` array<int>" + (f", `{check}` boolean" if check else "")))
 
 

@@ -164,6 +164,32 @@ def test_pieces_equal_the_library_without_dropout(spark, folder):
     assert all(model.decode(one[i]) == (r.text or "") for i, r in plain.items() if "▁" not in (r.text or ""))
 
 
+def test_each_occurrence_of_a_word_is_cut_by_itself():
+    import numpy as np
+    import pyarrow as pa
+
+    from cutloom.llm import words
+    v, drop = pieces.load_vocabulary(), pieces.Dropout(0.1, 1)
+    texts = words.text_array(pa.array([" ".join(["international"] * 400)] * 2))
+    ids, offsets = pieces.encode_texts(v, texts, np.array([11, 12]), drop)
+    cut = []
+    for a, b in zip(offsets, offsets[1:]):
+        starts = [k for k in range(a, b) if v.pieces[ids[k]].startswith(pieces.SPACE)]
+        cut.append([tuple(ids[i:j]) for i, j in zip(starts, [*starts[1:], b])])
+    assert all(len(c) == 400 and len(set(c)) > 20 for c in cut) and cut[0] != cut[1]
+    plain = max(set(cut[0]), key=cut[0].count)
+    assert plain == tuple(pieces.encode_texts(v, words.text_array(pa.array(["international"])), np.zeros(1, int), pieces.Dropout(0, 1))[0])
+    # what is not rerun is what its own agenda gives too
+    vocabulary = [" international", " of", " understanding"]
+    code, key = np.arange(3000) % 3, words.mix(np.arange(3000).astype(np.uint64))
+    met = pieces.Candidates()
+    ids, off = pieces._encode_words(v, vocabulary, np.arange(3), np.arange(3).astype(np.uint64), met)
+    again = set(pieces._skipping(*met.by_word(3), code, key, drop).tolist())
+    mine, at = pieces._encode_words(v, vocabulary, code, key, drop)
+    assert 0 < len(again) < 3000
+    assert all(k in again or np.array_equal(mine[at[k]:at[k + 1]], ids[off[c]:off[c + 1]]) for k, c in enumerate(code))
+
+
 def test_long_words_give_the_same_by_heap(monkeypatch):
     import numpy as np
     import pyarrow as pa
