@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .columns import field, whole
+from .columns import before_each, field, let, whole
 
 KINDS = ("email", "ip", "card", "phone")
 OPEN, CLOSE, NEUTRAL = "\x01", "\x02", "\x03"
@@ -60,23 +60,31 @@ def marked(text: Column, pattern: str, kind: str) -> Column:
 
 
 def _found(text: Column, number: int, strict: bool, probe: str, pattern: str) -> Column:
-    """array<struct<kind, strict, start, end, match, before, after>>: matches from left to right, places in code points."""
+    """array<struct<kind, strict, start, end, match, before, after>>: matches from left to right, places in code points.
+
+    The marked text is cut before each match; where a match starts is the sum of the lengths before it.
+    """
     kind = KINDS[number]
-    parts = F.split(marked(text, pattern, kind if strict else ""), OPEN, -1)
     unit = "struct<kind:int,strict:boolean,start:bigint,end:bigint,match:string,before:string,after:string>"
     none = F.array().cast(f"array<{unit}>")
+    rest = lambda part: F.substring_index(part, CLOSE, -1)
+    rest_of = lambda part, i: F.when((i > 0) & (F.length(rest(part)) == 0), F.lit(" ")).otherwise(F.right(rest(part), F.lit(BEFORE)))
+
+    def spans(parts: Column, starts: Column) -> Column:
+        def span(part: Column, i: Column) -> Column:
+            match = F.substring_index(part, CLOSE, 1)
+            return F.struct(F.lit(number).alias("kind"), F.lit(strict).alias("strict"), F.get(starts, i + 1).alias("start"),
+                            (F.get(starts, i + 1) + F.length(match)).alias("end"), match.alias("match"), rest_of(F.get(parts, i), i).alias("before"),
+                            F.substring(rest(part), 1, 1).alias("after"))
+        return F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), span).cast(f"array<{unit}>")
+
+    def cut(parts: Column) -> Column:
+        sizes = F.transform(parts, lambda p, i: (F.length(p) - F.when(i > 0, 1).otherwise(0)).cast("bigint"))  # without its mark
+        starts = before_each(sizes, F.lit(0), lambda a, b: a + b)
+        return F.when(F.size(parts) > 1, let(starts, lambda at: spans(parts, at))).otherwise(none)
 
-    def step(acc: Column, part: Column) -> Column:
-        match, rest = F.substring_index(part, CLOSE, 1), F.substring_index(part, CLOSE, -1)
-        span = F.struct(F.lit(number).alias("kind"), F.lit(strict).alias("strict"), acc["at"].alias("start"),
-                        (acc["at"] + F.length(match)).alias("end"), match.alias("match"), acc["tail"].alias("before"),
-                        F.substring(rest, 1, 1).alias("after"))
-        tail = F.when(F.length(rest) > 0, F.right(rest, F.lit(BEFORE))).otherwise(F.lit(" "))
-        return F.struct((acc["at"] + F.length(part) - 1).alias("at"), tail.alias("tail"), F.concat(acc["out"], F.array(span)).cast(f"array<{unit}>").alias("out"))
-
-    first = F.struct(F.length(parts[0]).cast("bigint").alias("at"), F.right(parts[0], F.lit(BEFORE)).alias("tail"), none.alias("out"))
-    return F.when(F.rlike(text, F.lit(probe)), F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), first, step,
-                                                           lambda acc: acc["out"])).otherwise(none)
+    parts = F.split(marked(text, pattern, kind if strict else ""), OPEN, -1)
+    return F.when(F.rlike(text, F.lit(probe)), let(parts, cut)).otherwise(none)
 
 
 def _luhn(digits: Column) -> Column:
@@ -211,16 +219,33 @@ def personal_spans(docs: DataFrame, text_col: str = "text", carry: list[str] | N
     found = durable(candidates(docs, text_col, carry))
     model = learn_spans(found)
 
-    def narrow(s: Column) -> Column:
-        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
-
     spans = F.coalesce(F.col("spans"), F.array().cast(found.schema["spans"].dataType))
-    base = F.filter(spans, lambda s: s["base"])
-    free = F.filter(spans, lambda s: ~s["base"] & (s["pattern"] >= 0) & _likely(s, model) & ~F.exists(
-        base, lambda b: (b["kind"] == s["kind"]) & (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    ordered = lambda a: F.array_sort(F.transform(a, narrow))
-    return found.select(*map(field, carry), ordered(base).alias("base"),
-                        F.array_distinct(ordered(F.concat(base, free))).alias("spans")), model
+    return found.select(*map(field, carry), _narrow(F.filter(spans, lambda s: s["base"])).alias("base"),
+                        let(F.array_sort(spans), lambda v: _narrow(_accepted(v, model))).alias("spans")), model
+
+
+def _narrow(spans: Column) -> Column:
+    """(kind, start, end) of each span, ordered, none twice."""
+    told = F.array_sort(F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
+    return let(told, lambda a: F.filter(a, lambda s, i: (i == 0) | (s != F.get(a, i - 1))))
+
+
+def _accepted(spans: Column, model: SpanModel) -> Column:
+    """Of spans ordered by kind and start the base ones and the likely ones that no base span of their kind overlaps.
+
+    A base span overlaps if one that starts earlier ends behind the start, or one that starts later starts before the end.
+    """
+    lines = F.lit(1 << 40)  # each kind has a number line of its own
+    on = lambda s, end: s["kind"].cast("bigint") * lines + s[end]
+    never = F.lit((1 << 62) - 1)
+    ends = before_each(F.transform(spans, lambda s: F.when(s["base"], on(s, "end")).otherwise(F.lit(0).cast("bigint"))), F.lit(0), F.greatest)
+    starts = F.reverse(before_each(F.transform(F.reverse(spans), lambda s: F.when(s["base"], on(s, "start")).otherwise(never)), never, F.least))
+
+    def picked(end: Column, start: Column) -> Column:
+        return F.filter(spans, lambda s, i: s["base"] | ((s["pattern"] >= 0) & (F.get(end, i) <= on(s, "start")) & (
+            F.get(start, i) >= on(s, "end")) & _likely(s, model)))
+
+    return let(ends, lambda e: let(starts, lambda st: picked(e, st)))
 
 
 def _listed(spans: Column) -> Column:
@@ -228,9 +253,12 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
+def _count(spans: str, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def op5_weak_supervision(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found, _ = personal_spans(docs, carry=["doc_id"])
-    return found.select(
-        "doc_id", *(F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)),
-        F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *(_count("base", k).alias(f"n_{name}") for k, name in enumerate(KINDS)),
+                        F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .columns import SPACES, field, fresh, whole
+from .columns import SPACES, field, fresh, let, whole
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -61,11 +61,6 @@ BASE = (0, 1)
 POLICIES = (Policy("base", BASE), Policy("v1", tuple(r.bit for r in RULES), strict=BASE))
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, also where it is used inside lambdas."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _repeated(words: Column, width: int) -> Column:
     """Words that lie in a run of ``width`` words found twice or more.
 
@@ -79,7 +74,7 @@ def _repeated(words: Column, width: int) -> Column:
 
     def places(w: Column) -> Column:
         ordered = F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-        return _let(ordered, lambda o: F.sort_array(F.transform(F.filter(o, lambda p, k: (  # an equal one before or behind it
+        return let(ordered, lambda o: F.sort_array(F.transform(F.filter(o, lambda p, k: (  # an equal one before or behind it
             F.get(o, k - 1)["x"] == p["x"]) | (F.get(o, k + 1)["x"] == p["x"])), lambda p: p["i"])))
 
     def covered(at: Column) -> Column:
@@ -87,7 +82,7 @@ def _repeated(words: Column, width: int) -> Column:
         return F.aggregate(at, first, lambda a, i: F.struct(
             (a["n"] + i + width - F.greatest(i, a["end"])).cast("bigint").alias("n"), (i + width).alias("end")), lambda a: a["n"])
 
-    return _let(F.transform(words, lambda x: F.xxhash64(x)), lambda h: _let(windows(h), lambda w: F.when(
+    return let(F.transform(words, lambda x: F.xxhash64(x)), lambda h: let(windows(h), lambda w: F.when(
         F.size(F.array_distinct(w)) < F.size(w), covered(places(w))).otherwise(F.lit(0).cast("bigint"))))
 
 
@@ -110,7 +105,7 @@ def measured(text: Column) -> Column:
             number(F.size(F.filter(ls, lambda x: bare(x).rlike("^[*•\\-]")))).alias("n_bullet_lines"),
             number(F.size(F.filter(ls, lambda x: bare(x).rlike("(?:\\.\\.\\.|…)$")))).alias("n_open_lines"))
 
-    return _let(words, lambda w: _let(lines, lambda ls: told(w, ls)))
+    return let(words, lambda w: let(lines, lambda ls: told(w, ls)))
 
 
 def failed_bits(rules: Sequence[Rule]) -> Column:

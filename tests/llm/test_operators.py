@@ -1,8 +1,10 @@
 """Each query against DuckDB, a brute-force version, an exact round trip or held-out labels."""
 
+import hashlib
 import html as entities
 import random
 import re
+import time
 
 import pytest
 import sentencepiece
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cutloom.llm import byte_cnn, jaccard_join, page_text, personal_data, pieces, repeats, toxicity
+from cutloom.llm.columns import before_each
 from cutloom.llm.queries import ORACLES, QUERIES
 from tests.llm import brute
 from tests.llm.compare import compare
@@ -121,6 +124,51 @@ def test_personal_data(spark, folder):
     assert model.trust["email", "pattern"] > 0.5
 
 
+def test_personal_data_columns():
+    """Every column of the query on a larger table; counts of a kind are never places of a span."""
+    from tests.harness import session
+    spark, folder = session(), "/root/testdata/sf0.01"
+    texts, wrong = texts_of(spark, folder), []
+    for r in QUERIES["op5_weak_supervision"](spark, folder).collect():
+        want = brute.base_spans(texts[r.doc_id])
+        counts = [sum(x.startswith(f"{k}:") for x in want) for k, _ in brute.BASE]
+        if [r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256] != [*counts, hashlib.sha256(",".join(want).encode()).hexdigest()]:
+            wrong.append(r.doc_id)
+        assert set(want) <= set(filter(None, r.spans.split(",")))
+    assert not wrong
+
+
+def test_very_many_spans_in_one_text(spark):
+    text = " ".join(f"user{k}@host{k % 7}.example.com call 212-555-{k % 10000:04d}" for k in range(100_000))
+    start = time.time()
+    r = personal_data.personal_spans(spark.createDataFrame([(1, text)], "doc_id long, text string"))[0].first()
+    want = [(0, m.start(), m.end()) for m in re.finditer(brute.BASE[0][1], text)]
+    assert [tuple(x) for x in r.base] == want and set(want) <= {tuple(x) for x in r.spans} and len(r.spans) == len({tuple(x) for x in r.spans})
+    assert time.time() - start < 90
+
+
+def test_accepted_spans_overlap_no_base_span(spark):
+    r = random.Random(2)
+    texts = [[(r.randrange(3), a, a + r.randrange(1, 9), r.random() < .5, 0, 0, 0, 0, 0) for a in (r.randrange(60) for _ in range(r.randrange(12)))]
+             for _ in range(60)]
+    names = "kind int, start long, end long, base boolean, pattern int, gazetteer int, context int, size int, edge int"
+    df = spark.createDataFrame(list(enumerate(texts)), f"k int, s array<struct<{names.replace(' ', ':').replace(',:', ',')}>>")
+    likely = personal_data.SpanModel({"0": 1.0, "1": 1.0, "2": -1.0}, {})
+    for row in df.select("k", personal_data._narrow(personal_data._accepted(F.array_sort("s"), likely)).alias("x")).collect():
+        rows = texts[row.k]
+        base = [x for x in rows if x[3]]
+        free = [x for x in rows if not x[3] and x[0] < 2 and not any(b[0] == x[0] and b[1] < x[2] and x[1] < b[2] for b in base)]
+        assert [tuple(x) for x in row.x] == sorted({x[:3] for x in base + free})
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 17, 100])
+def test_before_each(spark, n):
+    values = [(7 * k * k) % 11 for k in range(n)]
+    df = spark.createDataFrame([(values,)], "v array<long>")
+    got = df.select(before_each(F.col("v"), F.lit(0), lambda a, b: a + b).alias("s"), before_each(F.col("v"), F.lit(-1), F.greatest).alias("m")).first()
+    assert got.s == [sum(values[:k]) for k in range(n)] and got.m == [max([-1, *values[:k]]) for k in range(n)]
+
+
 def test_looser_patterns_add_spans(spark):
     told = ["call me on 555-123-4567 today", "phone: (212) 555-1234", "card 378282246310005 ok", "contact john at example dot com"] * 30
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(told)], "doc_id long, text string")
