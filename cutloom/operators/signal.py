@@ -48,6 +48,7 @@ def normalize_peak(samples: DataFrame, target: float = 0.98) -> DataFrame:
 def block_energy(samples: DataFrame, block: int, step: int, weights: Mapping[int, float] | None = None) -> DataFrame:
     """(buffer_id, block_no, energy): weighted mean square of overlapping blocks; a block may run past the end.
 
+    Blocks start within the first channel (the lowest one a buffer has), whatever the length of the others.
     Squares fold first into cells of gcd(block, step) samples; only cells are copied to the blocks that cover them.
     """
     cell = math.gcd(block, step)
@@ -60,7 +61,8 @@ def block_energy(samples: DataFrame, block: int, step: int, weights: Mapping[int
     w = F.lit(1.0)
     for channel, value in (weights or {}).items():
         w = F.when(F.col("channel") == channel, F.lit(float(value))).otherwise(w)
-    limit = samples.groupBy("buffer_id").agg((F.max("i") + 1).alias("len"))
+    first_channel = F.max(F.struct((-F.col("channel")).alias("c"), F.col("i").alias("i")))
+    limit = samples.groupBy("buffer_id").agg((first_channel["i"] + 1).alias("len"))
     out = e.groupBy("buffer_id", "block_no").agg(F.sum(w * F.col("sq") / F.greatest(F.lit(1), F.col("n"))).alias("energy"))
     return out.join(limit, "buffer_id").where(F.col("block_no") * step < F.col("len")).drop("len")
 

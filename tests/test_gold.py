@@ -430,3 +430,10 @@ def test_checksum_of_one_long_text_among_short_ones():
 def test_depth_of_nonces_is_not_capped(spark):
     many = spark.range(20_000).select(F.col("id").cast("string").alias("nonce"), F.lit(5).alias("consumed_at"))
     assert TR.retain_nonces(many, 10).count() == 20_000
+
+
+def test_energy_blocks_start_within_the_first_channel(spark):
+    s = spark.createDataFrame([(1, 0, k, 1.0) for k in range(15)] + [(1, 1, k, 1.0) for k in range(40)], "buffer_id int, channel int, i long, v double")
+    assert {r.block_no: r.energy for r in A.block_energy(s, 20, 10).collect()} == {0: 2.0, 1: 2.0}
+    lone = s.where("channel = 1")
+    assert {r.block_no for r in A.block_energy(lone, 20, 10).collect()} == {0, 1, 2, 3}
