@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import oplog as O
 from ..sources.tables import EPOCH_US
-from ..streaming import stateful as S, stores as K
+from ..streaming import processors as P, stateful as S, stores as K
 from ..streaming.sources import events_stream
 from .registry import query
 
@@ -43,6 +43,30 @@ def str03(t):
     return out.where("not evicted").drop("evicted")
 
 
+_TRACK = """epoch_ms(ts) as ms, user_id as session, 'm'||((event_id*7)%9) as key, case event_type when 'view' then 'source' when 'signup' then 'source' when 'click' then 'submitted' when 'error' then 'decoded' else 'output' end as stage from events"""
+
+
+@query("str03_tracker", f"""with recursive e as (select *, row_number() over (partition by session order by event_id) as n from (select event_id, epoch_us(ts)/1000.0::double as at_ms, {_TRACK})),
+  s as (select session, 0::bigint as n, 0::bigint as records, 0::bigint as evicted, []::struct(key varchar, record bigint, src double, sub double, decd double, ms bigint)[] as held,
+      null::struct(key varchar, record bigint, src double, sub double, decd double, ms bigint) as gone, null::varchar as reason, null::double as output_at from e group by 1
+    union all select session, n, case when was is null then records+1 else records end, evicted+case when stage<>'output' and len(now_)>4 then 1 else 0 end,
+      case when stage='output' then rest when len(now_)>4 then now_[2:] else now_ end, case when stage='output' then coalesce(was, {{'key': key, 'record': records, 'src': null, 'sub': null, 'decd': null, 'ms': null}}) when len(now_)>4 then now_[1] end,
+      case when stage='output' then 'output' when len(now_)>4 then 'cap' end, case when stage='output' then at_ms end
+    from (select *, case when was is null then held||[r] else list_transform(held, lambda x: case when x.key=key then r else x end) end as now_ from
+      (select *, {{'key': key, 'record': coalesce(was.record, records), 'src': case when stage='source' then coalesce(was.src, at_ms) else was.src end, 'sub': case when stage='submitted' then at_ms else was.sub end,
+                  'decd': case when stage='decoded' then at_ms else was.decd end, 'ms': ms}} as r from
+        (select e.*, s.records, s.evicted, s.held, list_filter(s.held, lambda x: x.key=e.key)[1] as was, list_filter(s.held, lambda x: x.key<>e.key) as rest from s join e on e.session=s.session and e.n=s.n+1)))),
+  w as (select max(ms)-600000 as at from e), z as (select session, arg_max(held, n) as held, arg_max(evicted, n) as evicted from s group by 1),
+  a as (select session, evicted, held, list_filter(held, lambda x: x.ms+86400000<=w.at) as old from z, w)
+  select session, gone.key as key, gone.record as record, reason, gone.src as source_at, gone.sub as submitted_at, gone.decd as decoded_at, output_at, evicted, len(held) as open from s where reason is not null
+  union all select session, old[i].key, old[i].record, 'age', old[i].src, old[i].sub, old[i].decd, null, evicted+i, len(held)-i from a, unnest(range(1, len(old)+1)) as u(i)""")
+def str03t(t):
+    e = events_of(t).selectExpr("user_id as session", "concat('m', (event_id*7)%9) as key", "event_id", "at", "cast(unix_micros(at) as double)/1000 as at_ms",
+                                "case event_type when 'view' then 'source' when 'signup' then 'source' when 'click' then 'submitted' when 'error' then 'decoded' else 'output' end as stage")
+    out = K.run_to_table(P.track_stages(e, ["session"], ["event_id"], time="at", cap=4, keep="1 days", idle="2 days"), "str03t")
+    return out.drop("late")
+
+
 _DL = "d as (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as n, greatest(1, value*100000*8/greatest(0.001, event_id%7*0.25::double)) as bps from events)"
 
 
@@ -50,8 +74,8 @@ _DL = "d as (select user_id, event_id, row_number() over (partition by user_id o
   union all select d.user_id, d.event_id, d.n, e.fast+(d.bps-e.fast)*(1-pow(0.5::double,1/3.0::double)), e.slow+(d.bps-e.slow)*(1-pow(0.5::double,1/10.0::double)) from e join d on d.user_id=e.user_id and d.n=e.n+1)
   select event_id, round(least(fast,slow)/1e6::double,4) as estimate_mbps, false as late from e""")
 def str04(t):
-    d = events_of(t).select("user_id", "event_id", F.expr(f"{_US} as at_us"), (F.col("value") * 100000).alias("bytes"), (F.col("event_id") % 7 * 0.25).alias("seconds"))
-    out = K.run_to_table(S.throughput(d, "user_id", ["at_us", "event_id"], ["event_id"], initial=4e6), "str04")
+    d = events_of(t).select("user_id", "event_id", F.expr(f"{_US} as at_us"), (F.col("value") * 100000).alias("bytes"), (F.col("event_id") % 7 * 0.25).alias("seconds"), "at")
+    out = K.run_to_table(S.throughput(d, "user_id", ["at_us", "event_id"], ["event_id"], initial=4e6, time="at"), "str04")
     return out.select("event_id", F.round(F.col("estimate") / 1e6, 4).alias("estimate_mbps"), "late")
 
 
@@ -60,23 +84,32 @@ def str04(t):
   m as (select *, case when result='success' then 0 when result='failure' then case when consecutive>=3 then at_+40000000 else 0 end end as mark from d)
   select event_id, consecutive::bigint as consecutive, coalesce(last_value(mark ignore nulls) over w,0)::bigint as until from m window w as (partition by backend_id order by at_, event_id)""")
 def str05(t):
-    a = events_of(t).selectExpr("user_id as backend_id", "event_id", "unix_micros(at) div 1000 as at_ms", "case when event_id%7<4 then 'failure' when event_type='view' then 'success' else 'unsupported' end as result").withColumn("at", F.col("at_ms"))
-    out = K.run_to_table(S.quarantine(a, ["at_ms", "event_id"], ["event_id"], 3, 40_000_000), "str05")
+    a = events_of(t).selectExpr("user_id as backend_id", "event_id", "unix_micros(at) div 1000 as at_ms", "case when event_id%7<4 then 'failure' when event_type='view' then 'success' else 'unsupported' end as result", "at as event_time").withColumn("at", F.col("at_ms"))
+    out = K.run_to_table(S.quarantine(a, ["at_ms", "event_id"], ["event_id"], 3, 40_000_000, "event_time"), "str05")
     return out.select("event_id", "consecutive", "until")
 
 
-@query("str05_job_states", "select count(*) as events from events")
+@query("str05_job_states", """with recursive e as (select user_id as chunk, event_id, row_number() over (partition by user_id order by event_id) as n,
+    case event_type when 'view' then 'claim' when 'signup' then 'claim' when 'purchase' then 'complete' when 'error' then 'fail' else 'release' end as event from events),
+  s as (select chunk, 0::bigint as n, null::bigint as event_id, 'pending' as status, 0::bigint as attempts, true as legal from e group by 1
+    union all select e.chunk, e.n, e.event_id,
+      case when event='claim' and (s.status='pending' or (s.status='failed' and s.attempts<3)) then 'running' when s.status<>'running' or event='claim' then s.status
+           when event='complete' then 'complete' when event='fail' then case when s.attempts<3 then 'pending' else 'failed' end else 'pending' end,
+      case when event='claim' and (s.status='pending' or (s.status='failed' and s.attempts<3)) then s.attempts+1 when event='release' and s.status='running' then greatest(0, s.attempts-1) else s.attempts end,
+      case when event='claim' then s.status='pending' or (s.status='failed' and s.attempts<3) else s.status='running' end
+    from s join e on e.chunk=s.chunk and e.n=s.n+1)
+  select event_id, chunk, status, attempts, legal, false as late from s where n>0""")
 def str05j(t):
-    e = events_of(t).select(F.col("user_id").alias("chunk"), "event_id", F.expr("case event_type when 'view' then 'claim' when 'signup' then 'claim' when 'purchase' then 'complete' when 'error' then 'fail' else 'release' end as event"))
-    out = K.run_to_table(S.job_states(e, ["chunk"], ["event_id"], ["event_id"]), "str05j")
-    return out.agg(F.count("*").alias("events"))
+    e = events_of(t).select(F.col("user_id").alias("chunk"), "event_id", "at", F.expr("case event_type when 'view' then 'claim' when 'signup' then 'claim' when 'purchase' then 'complete' when 'error' then 'fail' else 'release' end as event"))
+    out = K.run_to_table(S.job_states(e, ["chunk"], ["event_id"], ["event_id"], time="at"), "str05j")
+    return out.select("event_id", "chunk", "status", "attempts", "legal", "late")
 
 
 @query("str06_transport", """with p as (select user_id as pid, event_id, event_id%16 as counter, (event_id*104729*4099)%8589934592 as raw from events), x as (select *, lag(counter) over w as pc, raw-lag(raw) over w as d from p window w as (partition by pid order by event_id)),
   e as (select *, sum(case when d<-4294967296 then 1 when d>4294967296 then -1 else 0 end) over (partition by pid order by event_id) as epoch from x) select event_id, case when pc is not null and counter<>(pc+1)%16 then (pc+1)%16 end as expected, (raw+epoch*8589934592)::bigint as unwrapped from e""")
 def str06(t):
-    p = events_of(t).selectExpr("user_id as pid", "event_id", "event_id%16 as counter", "(event_id*104729*4099)%8589934592 as raw", "true as has_payload", "false as discontinuity")
-    out = K.run_to_table(S.transport(p, "pid", ["event_id"], ["event_id"]), "str06")
+    p = events_of(t).selectExpr("user_id as pid", "event_id", "event_id%16 as counter", "(event_id*104729*4099)%8589934592 as raw", "true as has_payload", "false as discontinuity", "at")
+    out = K.run_to_table(S.transport(p, "pid", ["event_id"], ["event_id"], "at"), "str06")
     return out.select("event_id", "expected", "unwrapped")
 
 
@@ -91,10 +124,20 @@ def str07(t):
     return O.replay_nodes(K.read_store(t.spark, f"{folder}/store", K.OPS_SCHEMA))
 
 
-@query("str08_live_index", "select user_id as track_id, event_id, (epoch_us(ts)-epoch_us(timestamp '2024-01-01'))/1e6 as time, event_type='purchase' as is_key from events")
+_LIVE = """user_id as track_id, case event_type when 'purchase' then 'through' when 'error' then 'one' else 'chunk' end as kind, event_id//450*1000+(event_id*13)%5*250 as "offset", 100+(event_id%2)*100 as size from events"""
+
+
+@query("str08_live_index", f"""with recursive e as (select *, row_number() over (partition by track_id order by event_id) as n, {{'o': "offset", 'e': "offset"+size}} as c from (select event_id, {_LIVE})),
+  s as (select track_id, 0::bigint as n, null::bigint as event_id, []::struct(o bigint, e bigint)[] as held, false as is_new, 0::bigint as acked, 0::bigint as total, 0::bigint as acked_total, 0::bigint as cursor, 0::bigint as safe from e group by 1
+    union all select track_id, n, event_id, now_, is_new, len(held)-len(now_)+is_new::bigint, total+is_new::bigint, acked_total+len(held)-len(now_)+is_new::bigint, cur, case when kind='chunk' then safe else greatest(safe, least(coalesce(list_min(list_transform(now_, lambda x: x.o)), cur), cur)) end
+    from (select *, case when is_new then greatest(cursor, c.e) else cursor end as cur, case when is_new then held||[c] when kind='one' then list_filter(held, lambda x: x<>c) when kind='through' then list_filter(held, lambda x: x.e>c.o) else held end as now_ from
+      (select e.*, s.held, s.total, s.acked_total, s.cursor, s.safe, e.kind='chunk' and e.c.e>s.safe and not list_contains(s.held, e.c) as is_new from s join e on e.track_id=s.track_id and e.n=s.n+1)))
+  select track_id, event_id, is_new, acked, len(held) as pending, total, acked_total, safe from s where n>0""")
 def str08(t):
-    c = events_of(t).select(F.col("user_id").alias("track_id"), "event_id", F.expr(f"({_US})/1e6 as time"), (F.col("event_type") == "purchase").alias("is_key"))
-    return K.run_to_table(c, "str08")
+    e = events_of(t).selectExpr("user_id as track_id", "event_id", "at", "case event_type when 'purchase' then 'through' when 'error' then 'one' else 'chunk' end as kind",
+                                "event_id div 450*1000+(event_id*13)%5*250 as offset", "100+(event_id%2)*100 as size")
+    out = K.run_to_table(P.live_index(e, ["track_id"], ["event_id"], ["event_id"], time="at", idle="30 days", range_bytes=4000), "str08")
+    return out.drop("late")
 
 
 _DIST = "list_sort(list(ms))[(ceil((count(*)-1)*{p}))::int+1]"

@@ -13,7 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from .processors import Machine, duration_ms
+
 WATERMARK = "10 minutes"
+IDLE = "30 days"
 
 
 def suppress_duplicates(stream: DataFrame, keys: Sequence[str], time: str, within: str = "24 hours") -> DataFrame:
@@ -22,41 +25,19 @@ def suppress_duplicates(stream: DataFrame, keys: Sequence[str], time: str, withi
 
 
 def ordered_state(stream: DataFrame, keys: Sequence[str], order: Sequence[str], start: tuple, state: str,
-                  step: Callable[[tuple, tuple], tuple], columns: Sequence[str], out: str, emit: Sequence[str]) -> DataFrame:
+                  step: Callable[[tuple, tuple], tuple], columns: Sequence[str], out: str, emit: Sequence[str], time: str | None = None,
+                  idle: str = IDLE) -> DataFrame:
     """Run ``step(state, values) -> (state, outputs or None)`` over each key's rows in ``order``.
 
     Order columns are integers; the last position is part of the state, so rows behind it are late. Output rows are the
-    keys, the ``emit`` columns, ``late`` and the outputs. One key's rows of one micro-batch are in memory at a time: bound
-    the batch with maxFilesPerTrigger / maxBytesPerTrigger.
+    keys, the ``emit`` columns, ``late`` and the outputs. With a ``time`` column the state of a key is forgotten once the watermark is
+    ``idle`` past its last row; a key that comes back then starts anew. Without one, states stay.
     """
-    keys, order, columns, emit = list(keys), list(order), list(columns), list(emit)
-    types = dict(stream.dtypes)
-    names = [p.split()[0] for p in out.split(",")]
-    out_schema = ", ".join([*[f"`{c}` {types[c]}" for c in (*keys, *emit)], "late boolean", out])
-    state_schema = ", ".join([*[f"__at{i} bigint" for i in range(len(order))], state])
-
-    def run(key, frames, held):
-        value = tuple(held.get) if held.exists else (*[None] * len(order), *start)
-        at, own = value[:len(order)], value[len(order):]
-        pdf = pd.concat(list(frames), ignore_index=True).sort_values(order, kind="stable")
-        rows = []
-        for position, passed, values in zip(zip(*[pdf[c] for c in order]), zip(*[pdf[c] for c in emit]) if emit else [()] * len(pdf),
-                                            zip(*[pdf[c] for c in columns])):
-            if at[0] is not None and tuple(position) <= tuple(at):
-                rows.append((*key, *passed, True, *[None] * len(names)))
-                continue
-            own, produced = step(own, values)
-            at = tuple(int(p) for p in position)
-            if produced is not None:
-                rows.append((*key, *passed, False, *produced))
-        held.update((*at, *own))
-        yield pd.DataFrame(rows, columns=[*keys, *emit, "late", *names])
-
-    return stream.groupBy(*keys).applyInPandasWithState(run, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+    return Machine(keys, order, columns, emit, out, start, state, step, time, duration_ms(idle)).run(stream, WATERMARK)
 
 
 def throughput(downloads: DataFrame, session: str, order: Sequence[str], emit: Sequence[str], fast_half_life: float = 3.0,
-               slow_half_life: float = 10.0, initial: float = 5_000_000.0) -> DataFrame:
+               slow_half_life: float = 10.0, initial: float = 5_000_000.0, time: str | None = None, idle: str = IDLE) -> DataFrame:
     """Moving averages of the bit rate per session."""
     a, b = 1 - math.pow(0.5, 1 / fast_half_life), 1 - math.pow(0.5, 1 / slow_half_life)
 
@@ -67,10 +48,11 @@ def throughput(downloads: DataFrame, session: str, order: Sequence[str], emit: S
         return (fast, slow), (fast, slow, min(fast, slow))
 
     return ordered_state(downloads, [session], order, (float(initial), float(initial)), "fast double, slow double", step,
-                         ["bytes", "seconds"], "fast_bps double, slow_bps double, estimate double", emit)
+                         ["bytes", "seconds"], "fast_bps double, slow_bps double, estimate double", emit, time, idle)
 
 
-def quarantine(attempts: DataFrame, order: Sequence[str], emit: Sequence[str], threshold: int = 3, cooldown_ms: int = 30_000) -> DataFrame:
+def quarantine(attempts: DataFrame, order: Sequence[str], emit: Sequence[str], threshold: int = 3, cooldown_ms: int = 30_000,
+               time: str | None = None, idle: str = IDLE) -> DataFrame:
     """Consecutive failures, end of quarantine and whether the attempt was allowed, per backend."""
     def step(state, values):
         count, until = state
@@ -84,10 +66,11 @@ def quarantine(attempts: DataFrame, order: Sequence[str], emit: Sequence[str], t
         return (count, until), (count, until, bool(allowed))
 
     return ordered_state(attempts, ["backend_id"], order, (0, 0), "count bigint, until bigint", step, ["result", "at"],
-                         "consecutive bigint, until bigint, allowed boolean", emit)
+                         "consecutive bigint, until bigint, allowed boolean", emit, time, idle)
 
 
-def job_states(events: DataFrame, keys: Sequence[str], order: Sequence[str], emit: Sequence[str], max_attempts: int = 3) -> DataFrame:
+def job_states(events: DataFrame, keys: Sequence[str], order: Sequence[str], emit: Sequence[str], max_attempts: int = 3,
+               time: str | None = None, idle: str = IDLE) -> DataFrame:
     """Chunk status after each claim / complete / fail / release event."""
     def step(state, values):
         status, attempts = state
@@ -105,10 +88,10 @@ def job_states(events: DataFrame, keys: Sequence[str], order: Sequence[str], emi
         return (status, attempts), (status, attempts, legal)
 
     return ordered_state(events, keys, order, ("pending", 0), "status string, attempts bigint", step, ["event"],
-                         "status string, attempts bigint, legal boolean", emit)
+                         "status string, attempts bigint, legal boolean", emit, time, idle)
 
 
-def transport(packets: DataFrame, pid: str, order: Sequence[str], emit: Sequence[str]) -> DataFrame:
+def transport(packets: DataFrame, pid: str, order: Sequence[str], emit: Sequence[str], time: str | None = None, idle: str = IDLE) -> DataFrame:
     """Continuity errors and unwrapped clock per pid; a discontinuity row resets both.
 
     Columns used: counter, raw, has_payload, discontinuity. ``expected`` is null when the counter followed on.
@@ -131,13 +114,14 @@ def transport(packets: DataFrame, pid: str, order: Sequence[str], emit: Sequence
         return (last, int(raw), epoch), (expected, int(raw) + epoch * wrap)
 
     return ordered_state(packets, [pid], order, (-1, -1, 0), "last bigint, raw bigint, epoch bigint", step,
-                         ["counter", "raw", "has_payload", "discontinuity"], "expected bigint, unwrapped bigint", emit)
+                         ["counter", "raw", "has_payload", "discontinuity"], "expected bigint, unwrapped bigint", emit, time, idle)
 
 
 def correlate(stages: DataFrame, keys: Sequence[str], at: str, tie: str, time: str, watermark: str = WATERMARK,
               keep_ms: int = 600_000) -> DataFrame:
     """Closed stage records per key; open records are evicted (``evicted = true``) once the watermark is ``keep_ms`` past
-    their last event, so state does not grow with keys that never finish.
+    their last event, so state does not grow with keys that never finish. The next record of an evicted key has the next number, unless
+    the key stays away for ``keep_ms`` more. ``processors.track_stages`` also bounds how many are open.
     """
     keys = list(keys)
     types = dict(stages.dtypes)
@@ -148,8 +132,12 @@ def correlate(stages: DataFrame, keys: Sequence[str], at: str, tie: str, time: s
     def run(key, frames, held):
         record, *seen = held.get if held.exists else (0, None, None, None)
         if held.hasTimedOut:
-            held.remove()
-            yield pd.DataFrame([(*key, record, *seen, None, True)], columns=names)
+            if any(s is not None for s in seen):  # the number outlives the record, for as long again
+                held.update((record + 1, None, None, None))
+                held.setTimeoutTimestamp(held.getCurrentWatermarkMs() + keep_ms)
+                yield pd.DataFrame([(*key, record, *seen, None, True)], columns=names)
+            else:
+                held.remove()
             return
         pdf = pd.concat(list(frames), ignore_index=True).sort_values([at, tie], kind="stable")
         rows, last = [], 0.0
@@ -163,8 +151,7 @@ def correlate(stages: DataFrame, keys: Sequence[str], at: str, tie: str, time: s
             elif stage in fields:
                 seen[fields.index(stage)] = float(moment)
         held.update((record, *seen))
-        if any(s is not None for s in seen):
-            held.setTimeoutTimestamp(max(int(last) + keep_ms, held.getCurrentWatermarkMs() + 1))
+        held.setTimeoutTimestamp(max(int(last) + keep_ms, held.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=names)
 
     state = "record bigint, source_at double, submitted_at double, decoded_at double"

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.segments import merge_window
 from ..session import checkpoint_dir
+from .processors import keyed_store
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -102,8 +103,9 @@ def keep_windows(segments: DataFrame, streams: DataFrame, path: str, checkpoint:
 
 def append_rows(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """Append a stream to Parquet exactly once; the checkpoint is the record of what was consumed."""
-    return stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True).start()
+    with keyed_store(stream.sparkSession):
+        return stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(
+            availableNow=True).start()
 
 
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
