@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import SPACES, field, fresh, whole, with_fields
+from ..session import durable
+from .columns import field, fresh, whole, with_fields
 from .words import SPACE_BYTES, bytes_of, mix, ranges, row_of, shards
 
 SYMBOLS = "#$%&*|"
@@ -238,7 +239,7 @@ def filter_audit(docs: DataFrame, labels: DataFrame, part_col: str = "source", i
     bits = F.lit(0)
     for k, condition in enumerate(filters.values()):
         bits = bits + F.when(F.expr(condition), F.lit(1 << k)).otherwise(F.lit(0))
-    rows = rows.select("id", "part", "digest", bits.alias("failed"))
+    rows = durable(rows.select("id", "part", "digest", bits.alias("failed")))  # read twice below; the texts are read once
     if copies:
         rows = later_copies(rows, "id", "digest", "copy").withColumn(
             "failed", F.col("failed") + F.when(F.col("copy"), F.lit(1 << len(filters))).otherwise(F.lit(0)))
