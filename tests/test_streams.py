@@ -229,7 +229,8 @@ def test_a_record_number_outlives_an_eviction(spark, tmp_path):
     for n, (sec, stage) in enumerate([(0, "source"), (1, "source"), (2, "decoded")]):
         put(spark, [(1, stage, (10 ** 9 + sec) * 1000.0, n, sec), (2, "other", 1e12, n, sec + 30)], schema, str(tmp_path / "in"))
     make = lambda s: S.correlate(s, ["k"], "at_ms", "n", "at", "1 seconds", 100_000)
-    put(spark, [(2, "other", 1e12, 8, 150)], schema, str(tmp_path / "in"))  # the first record is too old now
+    for n, sec in ((7, 150), (8, 155)):  # the first record is too old now
+        put(spark, [(2, "other", 1e12, n, sec)], schema, str(tmp_path / "in"))
     put(spark, [(1, "source", (10 ** 9 + 200) * 1e3, 9, 200), (2, "other", 1e12, 9, 200)], schema, str(tmp_path / "in"))
     put(spark, [(1, "output", (10 ** 9 + 201) * 1e3, 10, 201), (2, "other", 1e12, 10, 201)], schema, str(tmp_path / "in"))
     got, _ = follow(spark, make, schema, tmp_path)
