@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
-from ..operators import conflicts as C, graph as G, oplog as O, trust as T
+from ..operators import conflicts as C, graph as G, invariants as I, oplog as O, trust as T
 from ..operators.scan import span_of, span_scan
+from ..session import durable
 from ..sources.tables import micros
 from .registry import query
 
@@ -130,22 +131,75 @@ def lg10(t):
     return O.tail(t.v_ops, after, 5).select("project_id", "seq", "tx_id")
 
 
-@query("lg11_preflight", f"""with {_EDGE_OPS},
-  ex as (select o.project_id, o.seq, w.ent, arg_max(n.op_type, n.seq) as ty from eo o, lateral (values (o.entity_id), (o.other_id)) w(ent) join eo n on n.project_id=o.project_id and n.entity_id=w.ent and n.seq<o.seq and n.op_type in ('node.add','node.remove') group by all),
+_PREFLIGHT = """ex as (select o.project_id, o.seq, w.ent, arg_max(n.op_type, n.seq) as ty from eo o, lateral (values (o.entity_id), (o.other_id)) w(ent) join eo n on n.project_id=o.project_id and n.entity_id=w.ent and n.seq<o.seq and n.op_type in ('node.add','node.remove') group by all),
   pe as (select o.project_id, o.seq, arg_max(p.op_type, p.seq) as ty, max(p.seq) as at_, arg_max(p.entity_id, p.seq) as src, arg_max(p.other_id, p.seq) as dst from eo o join eo p on p.project_id=o.project_id and p.edge_id=o.edge_id and p.seq<o.seq and p.op_type in ('edge.add','edge.remove') where o.op_type='edge.add' group by all),
   live as (select project_id, seq from pe where ty='edge.add' and not exists (select 1 from eo r where r.project_id=pe.project_id and r.op_type='node.remove' and r.entity_id in (pe.src, pe.dst) and r.seq>pe.at_ and r.seq<pe.seq)),
   b as (select o.project_id, o.seq, case when o.op_type='node.paint' then 'schema' else 'apply' end as phase,
     case when o.op_type='node.paint' then 'unsupported-operation' when o.op_type='node.add' and a.ty='node.add' then 'already-exists' when o.op_type='node.update' and a.ty is distinct from 'node.add' then 'unknown-node'
       when o.op_type='node.remove' and o.entity_id=3 then 'project-root' when o.op_type='edge.add' and live.seq is not null then 'edge-exists'
       when o.op_type='edge.add' and (a.ty is distinct from 'node.add' or z.ty is distinct from 'node.add') then 'unknown-node' end as code
-    from eo o left join ex a on a.project_id=o.project_id and a.seq=o.seq and a.ent=o.entity_id left join ex z on z.project_id=o.project_id and z.seq=o.seq and z.ent=o.other_id left join live on live.project_id=o.project_id and live.seq=o.seq)
-  select project_id, seq, phase, code from b where code is not null qualify row_number() over (partition by project_id order by phase desc, seq)=1""")
+    from eo o left join ex a on a.project_id=o.project_id and a.seq=o.seq and a.ent=o.entity_id left join ex z on z.project_id=o.project_id and z.seq=o.seq and z.ent=o.other_id left join live on live.project_id=o.project_id and live.seq=o.seq),
+  f as (select project_id, seq, phase, code from b where code is not null qualify row_number() over (partition by project_id order by phase desc, seq)=1)"""
+
+
+@query("lg11_preflight", f"with {_EDGE_OPS}, {_PREFLIGHT} select * from f")
 def lg11(t):
     ops = edge_ops_of(t)
     roots = ops.select("project_id").distinct().withColumn("entity_id", F.lit(3).cast("bigint"))
     return O.first_failures(ops, seq_span(), 1 << 20, roots)
 
 
+_GROWN = """gt as (select *, case when event_type='signup' then case event_id%8 when 0 then 'composition' when 1 then 'track' when 2 then 'clip' when 3 then 'clip' when 4 then 'object' when 5 then 'composition' when 6 then 'track' else 'project' end end as kind from events),
+  gl as (select *, {prev}(case when kind in ('composition','project') then event_id end) as home, {prev}(case when kind in ('track','object') then event_id end) as child, {prev}(case when kind='clip' then event_id end) as clip, {prev}(case when kind='composition' then event_id end) as comp,
+    {prev}(case when event_type in ('view','click') then event_id end) as edge from gt),
+  eo as (select user_id as project_id, event_id as seq, kind, case when event_type='signup' then 'node.add' when event_type in ('view','click') then 'edge.add' when event_type='error' then 'node.update' when event_id%4=0 then 'edge.remove' when event_id%9=1 then 'node.remove' else 'node.update' end as op_type,
+    case when event_type='signup' then event_id when event_type in ('view','click') then home when event_type='error' then clip when event_id%4=0 then 0 when event_id%9=1 then child else comp end as entity_id, child as other_id,
+    case when event_type='purchase' and event_id%4=0 then edge else event_id end as edge_id, case when event_type='error' then case event_id%4 when 0 then 'start' when 1 then 'duration' when 2 then 'pan' else 'inPoint' end when event_type='purchase' then case event_id%2 when 0 then 'fps' else 'duration' end else case kind when 'composition' then 'fps' else 'start' end end as prop,
+    case when event_id%5=0 then -0.5::double else 0.5::double end as value from gl)"""
+_GROWN_FIT = "entity_id is not null and (op_type<>'edge.add' or other_id is not null) and (op_type<>'edge.remove' or edge_id is not null)"
+
+
+def grown_ops(t):
+    """Logs of projects that add nodes, put them into each other and change them; most apply, and many leave a rule broken."""
+    e = t.events.withColumn("kind", F.expr("case when event_type='signup' then case event_id%8 when 0 then 'composition' when 1 then 'track' when 2 then 'clip' when 3 then 'clip' when 4 then 'object' when 5 then 'composition' when 6 then 'track' else 'project' end end"))
+    last = lambda sql: ("prev", F.expr(f"case when {sql} then event_id end"))
+    x = span_scan(e, ["user_id"], ["event_id"], span_of("event_id", 1 << 20), home=last("kind in ('composition','project')"), child=last("kind in ('track','object')"),
+                  clip=last("kind='clip'"), comp=last("kind='composition'"), edge=last("event_type in ('view','click')"))
+    return x.selectExpr("user_id as project_id", "event_id as seq", "kind", """case when event_type='signup' then 'node.add' when event_type in ('view','click') then 'edge.add' when event_type='error' then 'node.update' when event_id%4=0 then 'edge.remove' when event_id%9=1 then 'node.remove' else 'node.update' end as op_type""",
+        "case when event_type='signup' then event_id when event_type in ('view','click') then home when event_type='error' then clip when event_id%4=0 then 0 when event_id%9=1 then child else comp end as entity_id", "child as other_id",
+        "case when event_type='purchase' and event_id%4=0 then edge else event_id end as edge_id",
+        "case when event_type='error' then case event_id%4 when 0 then 'start' when 1 then 'duration' when 2 then 'pan' else 'inPoint' end when event_type='purchase' then case event_id%2 when 0 then 'fps' else 'duration' end else case kind when 'composition' then 'fps' else 'start' end end as prop",
+        "case when event_id%5=0 then -0.5D else 0.5D end as value").where(_GROWN_FIT)
+
+
+_PREV = "last_value({x} ignore nulls) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding)"
+
+
+def _grown_sql():
+    import re
+    return re.sub(r"\{prev\}\((case when [^()]*(?:\([^()]*\)[^()]*)* end)\)", lambda m: _PREV.format(x=m[1]), _GROWN)
+
+
+@query("lg11_invariants", f"""with {_grown_sql().replace("eo as (", "eo0 as (")}, eo as (select * from eo0 where {_GROWN_FIT}), {_PREFLIGHT},
+  nl as (select a.project_id, a.entity_id, a.kind, a.seq as born, (select min(r.seq) from eo r where r.project_id=a.project_id and r.entity_id=a.entity_id and r.op_type='node.remove' and r.seq>a.seq) as dead from eo a where op_type='node.add'),
+  el as (select a.project_id, a.entity_id as src, a.other_id as dst, a.seq as opened, (select min(r.seq) from eo r where r.project_id=a.project_id and r.seq>a.seq and ((r.op_type='edge.remove' and r.edge_id=a.edge_id) or (r.op_type='node.remove' and r.entity_id in (a.entity_id, a.other_id)))) as closed from eo a where op_type='edge.add'),
+  ek as (select el.*, p.kind from el left join nl p on p.project_id=el.project_id and p.entity_id=el.src and p.born<el.opened and (p.dead is null or p.dead>el.opened)),
+  tick as (select nl.*, o.seq from nl join eo o on o.project_id=nl.project_id and o.seq>=nl.born and (nl.dead is null or o.seq<nl.dead)),
+  pr as (select t.project_id, t.entity_id, t.kind, t.dead, t.seq, count(e.opened) as n, count(case when e.kind='composition' then 1 end) as c, count(case when e.kind in ('project','object') then 1 end) as po
+    from tick t left join ek e on e.project_id=t.project_id and e.dst=t.entity_id and e.opened<=t.seq and (e.closed is null or e.closed>t.seq) where t.kind in ('track','object') group by all),
+  vr(kind, prop, code, lo, hi, strict, dflt) as (values ('composition','fps','composition.fps',0.0,1e9,true,null), ('composition','duration','composition.duration',0.0,1e9,false,null), ('clip','start','clip.start',0.0,1e9,false,null), ('clip','duration','clip.duration',0.0,1e9,true,null),
+    ('clip','inPoint','clip.in-point',0.0,1e9,false,0.0), ('clip','playbackRate','clip.playback-rate',0.0,1e9,true,1.0), ('clip','gainDb','clip.gain-db',-96.0,24.0,false,0.0), ('clip','pan','clip.pan',-1.0,1.0,false,0.0), ('clip','fadeIn','clip.fade-in',0.0,1e9,false,0.0), ('clip','fadeOut','clip.fade-out',0.0,1e9,false,0.0)),
+  va as (select t.project_id, t.entity_id, t.dead, t.seq, r.code, r.lo, r.hi, r.strict, coalesce(arg_max(w.value, w.seq), max(r.dflt)) as v from tick t join vr r on r.kind=t.kind left join eo w on w.project_id=t.project_id and w.entity_id=t.entity_id and w.op_type in ('node.add','node.update') and w.prop=r.prop and w.seq>=t.born and w.seq<=t.seq group by all),
+  fl as (select project_id, entity_id, dead, seq, code, v is null or v<lo or v>hi or (strict and v<=lo) as bad from va
+    union all select project_id, entity_id, dead, seq, case kind when 'track' then 'track.parent' else 'object.parent' end, case kind when 'track' then c<>1 else n<>1 or po<>1 end from pr),
+  en as (select project_id, entity_id, code, max(case when bad and not was then seq end) as since from (select *, coalesce(lag(bad) over (partition by project_id, entity_id, code order by seq), false) as was from fl where dead is null) group by all having arg_max(bad, seq)),
+  iv as (select project_id, since as seq, 'invariants' as phase, code from en where project_id not in (select project_id from f) qualify row_number() over (partition by project_id order by since, code)=1)
+  select * from f union all select * from iv""")
+def lg11i(t):
+    """Schema, apply and invariants phases together: of every log the op to blame."""
+    return I.preflight(durable(grown_ops(t)), seq_span(), 1 << 20)
+
+
 @query("lg12_review", """with x as (select *, sum(case when op_type in ('node.add','node.remove') then 1 else 0 end) over (partition by project_id, entity_id order by seq) as life from v_ops),
   y as (select *, lag(value) over (partition by project_id, entity_id, prop, life order by seq) as before from x where op_type in ('node.add','node.update')) select project_id, seq, entity_id, prop, before, value as after from y where op_type='node.update'""")
 def lg12(t):
