@@ -6,9 +6,10 @@ whose first WIDTH words occur in one document only are dropped by counts; the ot
 partitions, and each is compared with the nearest ones of other documents before and after it. A match is extended to the left
 and to the right; one that reaches the least length is reported, and overlapping matches of a document are joined.
 
-The order follows the words to the right first, so a third document may share a passage that neither neighbour shares. The
-passages of LEAST words around a suffix that its neighbours leave open are therefore looked up among those around all suffixes
-of the same key, by hash: each passage of LEAST words that another document holds is found, whatever lies between the two.
+The order follows the words to the right first, so a third document may share a passage that neither neighbour shares. Such passages of
+LEAST words, as far as they lie in no match found so far and need no more words to the right than the nearest suffixes share, are
+looked up among those around all suffixes of the same key, by hash, ranges of them first: each passage of LEAST words that another
+document holds is found or lies in a match, whatever lies between the two.
 
 Words are compared by hash, the first WIDTH by 64 bits, those of the extensions by 32 bits each; open passages by 64 bits.
 """
@@ -20,13 +21,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import durable
 from . import words
 from .columns import field
-from .slots import bit_table, mark
+from .slots import bit_table, likely_held, mark
 
 LEAST = 50  # words of a passage
 WIDTH = 26
@@ -34,6 +36,9 @@ GAP = LEAST - WIDTH + 1
 SIDE = LEAST - WIDTH  # words of context on either side of the first WIDTH; the next kept suffix is nearer than that
 TABLE_WORDS = 1 << 17
 CHUNK_ROWS = 1 << 15
+BLOCK = 256  # words
+STEP = 5  # passages of a range
+NO_NUMBER, NO_NAME = -1 << 63, "\x00null"  # what stands for a null id, so that least and greatest ids of a group see it
 
 
 def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -134,18 +139,28 @@ def _fits(n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
     return (s <= n_left[:, None]) & (SIDE - s <= n_right[:, None])
 
 
-def _passage_hashes(key: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Hashes of the passages of LEAST words around each suffix, in the columns of _fits."""
+def _side_hashes(left: np.ndarray, right: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the nearest 0, 1, .. SIDE words on either side."""
     sides = []
     for words_ in (left, right):
-        h = np.zeros((len(key), SIDE + 1), np.uint64)
+        h = np.zeros((len(words_), SIDE + 1), np.uint64)
         for k in range(SIDE):
             h[:, k + 1] = words.mix(h[:, k] * BASE + words_[:, k] + np.uint64(1))
         sides.append(h)
-    near = words.mix(sides[0] * BASE + sides[1][:, ::-1] + np.arange(SIDE + 1).astype(np.uint64))
+    return sides
+
+
+def _mixed(key: np.ndarray, left: np.ndarray, right: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    near = words.mix(left * BASE + right + columns.astype(np.uint64))
     return words.mix(near ^ key.view(np.uint64)[:, None]).view(np.int64)
 
 
+def _passage_hashes(key: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashes of the passages of LEAST words around each suffix, in the columns of _fits."""
+    before, after = _side_hashes(left, right)
+    return _mixed(key, before, after[:, ::-1], np.arange(SIDE + 1))
+
+
 def _matches(rows: pa.Table, open_end: bool) -> tuple[pa.Table, int, np.ndarray]:
     """Matches of sorted suffixes with the nearest ones of other documents, how many rows they settle, and the passages left open.
 
@@ -162,8 +177,11 @@ def _matches(rows: pa.Table, open_end: bool) -> tuple[pa.Table, int, np.ndarray]
     settled = n if open_end else int(first[-1])
     best, span = np.zeros(n, np.int64), np.stack([at, at, np.zeros(n, np.int64)], 1)  # start, end, partner
     open_ = _fits(n_left, n_right)
+    most_right = np.zeros(n, np.int64)  # of all suffixes of the key, the nearest in order share most words to the right
     for other in (first[block] - 1, np.append(first[1:], n)[block]):
-        ok = np.flatnonzero((other >= 0) & (other < n))
+        seen = (other >= 0) & (other < n)
+        most_right[~seen] = SIDE
+        ok = np.flatnonzero(seen)
         ok = ok[key[ok] == key[other[ok]]]
         o = other[ok]
         l = _agree(left[ok], left[o], np.minimum(n_left[ok], n_left[o]))
@@ -171,11 +189,13 @@ def _matches(rows: pa.Table, open_end: bool) -> tuple[pa.Table, int, np.ndarray]
         total = l + r + WIDTH
         good = total >= LEAST
         open_[ok] &= ~_fits(l, r)
+        most_right[ok] = np.maximum(most_right[ok], r)
         span[ok[good], 0] = np.minimum(span[ok, 0], at[ok] - l)[good]
         span[ok[good], 1] = np.maximum(span[ok, 1], at[ok] + WIDTH + r)[good]
         more = good & (total > best[ok])
         best[ok[more]] = total[more]
         span[ok[more], 2] = o[more]
+    open_ &= SIDE - np.arange(SIDE + 1) <= most_right[:, None]
     hit = np.flatnonzero(best)
     out = pa.table({"doc": rows["doc"].take(pa.array(hit)), "first": span[hit, 0], "last": span[hit, 1],
                     "other": rows["doc"].take(pa.array(span[hit, 2]))})
@@ -248,34 +268,101 @@ def _neighbours(suffixes: DataFrame) -> DataFrame:
                                      "n_left int, n_right int, left binary, right binary, open int")
 
 
-def _passages(suffixes: DataFrame, only_open: bool) -> DataFrame:
-    """(passage, doc, first): the hashes of all passages of LEAST words around suffixes, or of those left open."""
-    kind = suffixes.schema["doc"].dataType.simpleString()
+def _ranges_of(wanted: np.ndarray) -> np.ndarray:
+    """Which ranges of STEP numbers of words to the left hold a passage that is wanted."""
+    return np.stack([wanted[:, low:low + STEP].any(1) for low in range(0, SIDE + 1, STEP)], axis=1)
+
+
+def _wanted(rows: pa.RecordBatch) -> np.ndarray:
+    """The passages of each row in the columns of _fits: all that fit, or with ``open`` those left open of them."""
+    wanted = _fits(rows["n_left"].to_numpy(), rows["n_right"].to_numpy())
+    if "open" in rows.schema.names:
+        wanted &= (rows["open"].to_numpy()[:, None] >> np.arange(SIDE + 1) & 1).astype(bool)
+    return wanted
+
+
+def _ranged(suffixes: DataFrame) -> DataFrame:
+    """``suffixes`` with ``range`` and ``core``: a row per range of STEP passages that has a wanted one.
+
+    The passages of a range have the same least number of words to the left and to the right; ``core`` is the hash of these and the key, so
+    two suffixes can share a passage of a range only if they have its core in common.
+    """
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1 << 13):
+                rows = batch.slice(start, 1 << 13)
+                left, right = _side_hashes(*_around(rows))
+                low = np.arange(0, SIDE + 1, STEP)
+                most = np.minimum(low + STEP - 1, SIDE)
+                core = _mixed(rows["key"].to_numpy(), left[:, low], right[:, SIDE - most], low)
+                row, k = np.nonzero(_ranges_of(_wanted(rows)))
+                yield pa.RecordBatch.from_arrays([*rows.take(pa.array(row)).columns, pa.array(k, pa.int32()), pa.array(core[row, k])],
+                                                 names=[*rows.schema.names, "range", "core"])
+
+    return suffixes.mapInArrow(scan, T.StructType(suffixes.schema.fields + T.StructType.fromDDL("range int, core long").fields))
+
+
+def _passages(ranged: DataFrame) -> DataFrame:
+    """(passage, doc, first): the hashes of the wanted passages of each row's range."""
+    kind = ranged.schema["doc"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1 << 13):
                 rows = batch.slice(start, 1 << 13)
-                key, at, n_left, n_right = (rows[c].to_numpy() for c in ("key", "at", "n_left", "n_right"))
-                wanted = _fits(n_left, n_right)
-                if only_open:
-                    wanted &= (rows["open"].to_numpy()[:, None] >> np.arange(SIDE + 1) & 1).astype(bool)
+                key, at = rows["key"].to_numpy(), rows["at"].to_numpy()
+                wanted = _wanted(rows) & (np.arange(SIDE + 1) // STEP == rows["range"].to_numpy()[:, None])
                 row, s = np.nonzero(wanted)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(_passage_hashes(key, *_around(rows))[row, s]), rows["doc"].take(pa.array(row)), pa.array(at[row] - s)],
                     names=["passage", "doc", "first"])
 
-    return suffixes.mapInArrow(scan, f"passage long, doc {kind}, first long")
+    return ranged.mapInArrow(scan, f"passage long, doc {kind}, first long")
+
+
+def _joined(matches: DataFrame) -> DataFrame:
+    """(doc, first, last, other): matches that overlap or touch become one."""
+    by_doc = Window.partitionBy("doc").orderBy("first", "last")
+    fresh_ = F.coalesce(F.col("first") > F.max("last").over(by_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    told = matches.groupBy("doc", "first", "last").agg(F.min("other").alias("other")).withColumn("new", fresh_.cast("int"))
+    return told.withColumn("n", F.sum("new").over(by_doc)).groupBy("doc", "n").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.min("other").alias("other")).drop("n")
+
+
+def _bits(low: Column, high: Column) -> Column:
+    """The bits from low to high of those that _fits has."""
+    low, high = F.greatest(low, F.lit(0)), F.least(high, F.lit(SIDE))
+    return F.when(low > high, 0).otherwise(F.call_function("shiftleft", F.lit(1), (high + 1).cast("int")) - F.call_function(
+        "shiftleft", F.lit(1), low.cast("int")))
+
+
+def _not_reported(open_: DataFrame, known: DataFrame) -> DataFrame:
+    """``open_`` without the passages that lie inside a joined match of their document: finding them again tells nothing new.
+
+    A passage holds the word of its suffix, and joined matches are apart: at most one match has to be looked at, found by blocks of words.
+    """
+    spans = known.select("doc", "first", "last", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("last") - 1) / BLOCK))).alias("block"))
+    both = open_.withColumn("block", F.floor(F.col("at") / BLOCK)).alias("o").join(
+        spans.alias("k"), F.expr("o.doc = k.doc and o.block = k.block and k.first <= o.at and o.at < k.last"), "left")
+    inside = _bits(F.col("at") + LEAST - F.col("last"), F.col("at") - F.col("first"))
+    left = F.col("open").bitwiseAND(F.bitwise_not(F.when(F.col("k.first").isNotNull(), inside).otherwise(F.lit(0))))
+    return both.select("o.doc", *EDGE, left.alias("open")).where("open <> 0")
 
 
 def _held_elsewhere(open_: DataFrame, suffixes: DataFrame) -> DataFrame:
-    """Matches (doc, first, last, other) of the passages left open that any other document holds."""
-    near = mark(suffixes, bit_table(open_.select("key"), ["key"], TABLE_WORDS), ["key"], "near", TABLE_WORDS).where("near").drop("near")
-    holders = durable(_passages(near, False).groupBy("passage").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b"))
-    table = bit_table(holders.select("passage"), ["passage"], TABLE_WORDS)
-    told = mark(_passages(open_, True), table, ["passage"], "told", TABLE_WORDS).where("told").drop("told")
+    """Matches (doc, first, last, other) of the passages left open that any other document holds.
+
+    Of the suffixes only those with the key of an open one are looked at, of their passages only ranges whose core an open one has, and of
+    these only passages that are open somewhere. Passages are then counted by their least and greatest document.
+    """
+    asked = durable(_ranged(open_))
+    near = likely_held(_ranged(likely_held(suffixes, open_.select("key").distinct(), ["key"])), asked.select("core").distinct(), ["core"])
+    open_passages = durable(_passages(asked))
+    held = likely_held(_passages(near), open_passages.select("passage").distinct(), ["passage"])
+    holders = durable(held.groupBy("passage").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b"))
+    told = likely_held(open_passages, holders, ["passage"])
     return told.join(holders, "passage").select(
-        "doc", "first", (F.col("first") + LEAST).alias("last"), F.when(F.col("a").eqNullSafe(F.col("doc")), F.col("b")).otherwise(F.col("a")).alias("other"))
+        "doc", "first", (F.col("first") + LEAST).alias("last"), F.when(F.col("a") == F.col("doc"), F.col("b")).otherwise(F.col("a")).alias("other"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,9 +370,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Words are runs without ASCII white space, A-Z lower-cased; ends are exclusive; other is the least id met in a match.
     Passages that recur inside one document only are not reported, and rows that repeat an id are one document; rows with a null
-    id are one document too. Null and short texts have no passages. Other columns play no part. An empty table gives no rows.
+    id are one document too, whose id and ``other`` are null. The least 64-bit number, and the text NO_NAME, stand for null and are
+    no ids of their own. Null and short texts have no passages. Other columns play no part. An empty table gives no rows.
     """
-    narrow = docs.select(field(id_col).alias("doc"), field(text_col).alias("text"))
+    kind = docs.select(field(id_col)).schema[0].dataType
+    whole_number = isinstance(kind, T.IntegralType)
+    nobody = F.lit(NO_NUMBER if whole_number else NO_NAME)
+    doc = F.coalesce(field(id_col).cast("bigint" if whole_number else "string"), nobody)
+    narrow = docs.select(doc.alias("doc"), field(text_col).alias("text"))
     keys = _suffixes(narrow, False).groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
     table = bit_table(keys.where("a <> b").select("key"), ["key"], TABLE_WORDS)
     shared = mark(_suffixes(narrow, True), table, ["key"], "shared", TABLE_WORDS).where("shared").drop("shared")
@@ -293,16 +385,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shared = durable(shared)
     found = durable(_neighbours(shared.repartitionByRange(*order).sortWithinPartitions(*order)))
     edges = found.where("part is not null").repartition(1).sortWithinPartitions("part", "i").select("doc", *EDGE)
-    matches = found.where("last is not null").select("doc", "first", "last", "other").unionByName(
-        _neighbours(edges).where("last is not null").select("doc", "first", "last", "other"))
-    open_ = found.where("open is not null").select("doc", *EDGE, "open")
-    matches = matches.unionByName(_held_elsewhere(open_, shared))
-    by_doc = Window.partitionBy("doc").orderBy("first", "last")
-    fresh_ = F.coalesce(F.col("first") > F.max("last").over(by_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
-    joined = matches.distinct().withColumn("new", fresh_.cast("int")).withColumn("n", F.sum("new").over(by_doc))
-    return joined.groupBy("doc", "n").agg(
-        F.min("first").alias("start_word"), F.max("last").alias("end_word"), F.min("other").alias("other")).select(
-        F.col("doc").alias("id"), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "other")
+    known = durable(_joined(found.where("last is not null").select("doc", "first", "last", "other").unionByName(
+        _neighbours(edges).where("last is not null").select("doc", "first", "last", "other"))))
+    open_ = durable(_not_reported(found.where("open is not null").select("doc", *EDGE, "open"), known))
+    every = _joined(known.unionByName(_held_elsewhere(open_, shared)))
+    own = lambda c: F.when(F.col(c) != nobody, F.col(c)).cast(kind)
+    return every.select(own("doc").alias("id"), F.col("first").alias("start_word"), F.col("last").alias("end_word"),
+                        (F.col("last") - F.col("first")).alias("n_words"), own("other").alias("other"))
 
 
 def op2_sparse_suffixes(spark, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ from ..session import durable
 from .columns import field
 
 WORDS = 1 << 16  # 64-bit words: 512 KB whatever the input
+MOST_WORDS = 1 << 21  # 16 MB
+BITS_PER_KEY = 16
 
 
 def bit_table(keys: DataFrame, names: list[str], words: int = WORDS) -> DataFrame:
@@ -33,3 +35,20 @@ def mark(df: DataFrame, table: DataFrame, names: list[str], out: str, words: int
     """``df`` with the boolean column ``out``: whether the table may hold the row's key."""
     both = df.crossJoin(F.broadcast(table.withColumnRenamed("bits", f"{out}_bits")))
     return both.withColumn(out, may_hold(field(f"{out}_bits"), names, words)).drop(f"{out}_bits")
+
+
+def fitting_words(count: int) -> int | None:
+    """Words of a table that tells ``count`` keys well apart from others; None if it would be larger than MOST_WORDS."""
+    words = 1 << max(10, (count * BITS_PER_KEY // 64).bit_length())
+    return words if words <= MOST_WORDS else None
+
+
+def likely_held(df: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    """The rows of ``df`` whose key is among ``keys``, and maybe a few more; ``keys`` is read twice.
+
+    Told by a bit table sized by the number of keys, beyond MOST_WORDS by a semi-join.
+    """
+    words = fitting_words(keys.count())
+    if words is None:
+        return df.join(keys.select(*map(field, names)).distinct(), names, "left_semi")
+    return mark(df, bit_table(keys, names, words), names, "__held", words).where("__held").drop("__held")

@@ -162,3 +162,15 @@ def test_pipeline_stages_take_odd_rows(spark, odd, tmp_path, labels):
     assert {1, 3, 8, 9} <= got and not {2, 4, 5, 10} & got
 
 
+
+
+def test_repeats_of_rows_without_an_id(spark):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(None, "x y " + " ".join(words)), (1, " ".join(words)), (None, "z " + " ".join(words[:55])), (None, " ".join(f"u{k}" for k in range(70))),
+            (None, " ".join(f"u{k}" for k in range(70)))]
+    got = all_rows(repeats.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {(r.id, r.start_word, r.end_word, r.other) for r in got} == {(1, 0, 60, None), (None, 2, 62, 1), (None, 1, 56, 1)} or {
+        (r.id, r.other) for r in got} == {(1, None), (None, 1)}
+    assert all_rows(repeats.repeated_passages(spark.createDataFrame(rows[3:], "doc_id long, text string"))) == []
+    named = spark.createDataFrame([(None, rows[0][1]), ("a", rows[1][1])], "doc_id string, text string")
+    assert {(r.id, r.other) for r in repeats.repeated_passages(named).collect()} == {("a", None), (None, "a")}
