@@ -8,8 +8,8 @@ the SLACK(band) segments that tell least about it (empty ones, then the smallest
 guarantee holds whatever two sets leave out.
 
 Only one of several equal sets takes part. In a bucket of equal keys each member is first paired with the least one and with the
-one before it; what these pairs connect needs no pair any more, so a group of n copies costs about 2 n pairs. What is left,
-pairs of different components in one bucket, is compared in a second round. Pairs that parity sketches prove to be too different
+one before it. Of a set's pairs that with most keys in common is verified first; what such pairs connect needs no pair any more, so a
+group of n copies costs about n of them. Then come the other pairs of different components, at last those that no bucket paired. Pairs that parity sketches prove to be too different
 are left out; all others are verified on whole texts.
 """
 
@@ -29,7 +29,7 @@ from ..session import durable
 from . import words
 from .columns import field, fresh
 from .links import components, joined_components
-from .slots import bit_table, mark
+from .slots import bit_table, likely_held, mark
 
 SHINGLE = 4
 PERCENT = 85
@@ -126,7 +126,7 @@ def _parity(tokens: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _prints(docs: DataFrame, text_col: str, width: int, ids: str) -> DataFrame:
-    """(id, size, a, b, sketch): size, 128-bit fingerprint and parity sketch of each text's set."""
+    """(id, text_hash, size, a, b, sketch): size, 128-bit fingerprint and parity sketch of each text's set."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,11 +137,12 @@ def _prints(docs: DataFrame, text_col: str, width: int, ids: str) -> DataFrame:
                 b = per_row(words.mix(tokens ^ np.uint64(2)), sizes).view(np.int64)
                 sketch = [x.tobytes() for x in _parity(tokens, row, len(sizes))]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(a), pa.array(b), pa.array(sketch, pa.binary())],
-                    names=["id", "size", "a", "b", "sketch"])
+                    [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(a), pa.array(b), pa.array(sketch, pa.binary())],
+                    names=["id", "text_hash", "size", "a", "b", "sketch"])
 
     kind = docs.schema[ids].dataType.simpleString()
-    return docs.select(field(ids), field(text_col)).mapInArrow(scan, f"id {kind}, size long, a long, b long, sketch binary")
+    return docs.select(field(ids), F.xxhash64(field(text_col)), field(text_col)).mapInArrow(
+        scan, f"id {kind}, text_hash long, size long, a long, b long, sketch binary")
 
 
 def segment_keys(sizes: np.ndarray, tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -255,17 +256,25 @@ def _sketches(column) -> np.ndarray:
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) that sizes and sketches do not rule out."""
+    """The pairs (x, y, n) that sizes and sketches do not rule out."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             size_x, size_y = rows["size_x"].to_numpy(), rows["size_y"].to_numpy()
             near = _near(size_x, size_y, _sketches(rows["sketch_x"]), _sketches(rows["sketch_y"]), percent)
-            yield batch.select(["x", "y"]).filter(pa.array(near))
+            yield batch.select(["x", "y", "n"]).filter(pa.array(near))
 
     x, y = (nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "xy")
-    return pairs.join(x, "x").join(y, "y").select("x", "y", "size_x", "size_y", "sketch_x", "sketch_y").mapInArrow(scan, "x long, y long")
+    return pairs.join(x, "x").join(y, "y").select("x", "y", "n", "size_x", "size_y", "sketch_x", "sketch_y").mapInArrow(
+        scan, "x long, y long, n long")
+
+
+def _apart(pairs: DataFrame, linked: DataFrame) -> DataFrame:
+    """The pairs (x, y) that lie in different components."""
+    for c in "xy":
+        pairs = pairs.join(linked.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left")
+    return pairs.where("coalesce(rx, x) <> coalesce(ry, y)").select("x", "y")
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
@@ -315,7 +324,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str
                 right = words.text_array(part.column(part.schema.get_field_index("ty")))
                 (n, s), (m, t) = shingle_sets(left, width), shingle_sets(right, width)
                 x, y = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                # of rows that share an id, only the text that the node stands for counts
+                # only the text that the node stands for counts
                 good = (_node(n, s) == x) & (_node(m, t) == y)
                 for k, (a, b) in enumerate(zip(np.cumsum(n), np.cumsum(m))):
                     both = len(np.intersect1d(s[a - n[k]:a], t[b - m[k]:b], assume_unique=True))
@@ -323,10 +332,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str
                 yield part.select(["x", "y"]).filter(pa.array(good))
 
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-    chosen = durable(nodes.select("node", "doc").join(wanted, "node", "left_semi"))
-    own = docs.select(field(ids).alias("doc"), field(text_col).alias("text"))
-    own = mark(own, bit_table(chosen, ["doc"]), ["doc"], "wanted").where("wanted").drop("wanted")
-    texts = durable(chosen.join(own, "doc").select("node", "text"))
+    chosen = durable(nodes.select("node", "doc", "text_hash").join(wanted, "node", "left_semi"))
+    own = docs.select(field(ids).alias("doc"), F.xxhash64(field(text_col)).alias("text_hash"), field(text_col).alias("text"))
+    own = likely_held(own, chosen, ["doc", "text_hash"])
+    nameless = own.where("doc is null").dropDuplicates(["text_hash"])  # a set that only rows without an id hold
+    met = own.where("doc is not null").join(chosen, ["doc", "text_hash"]).unionByName(
+        nameless.drop("doc").join(chosen.where("doc is null"), "text_hash"))
+    texts = durable(met.select("node", "text"))
     x, y = (texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")) for c in "xy")
     return durable(pairs.join(x, "x").join(y, "y").select("x", "y", "tx", "ty").mapInArrow(test, "x long, y long"))
 
@@ -356,22 +368,27 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are runs without ASCII white space, A-Z lower-cased; a shingle is ``width`` words, or all words of a shorter text.
     component_id is the least id that links lead to, the own one included; null and empty texts have no shingles and keep their
-    own id. Rows that repeat an id, and rows with null ids, take part like others; a class of null ids only has a null class.
+    own id. Rows that repeat an id, and rows with null ids, take part like others; a class of null ids only has a null class. Two sets
+    with one 64-bit node (half of a 128-bit fingerprint) would count as one.
     Other columns play no part. An empty table gives no rows.
     """
     narrow = docs.select(field(id_col).alias("id"), field(text_col).alias("text"))
     prints = durable(_prints(narrow, "text", width, "id"))
-    nodes = prints.where("size > 0").groupBy("a", "b").agg(
-        F.min("id").alias("doc"), F.min("size").alias("size"), F.min("sketch").alias("sketch")).withColumnRenamed("a", "node")
-    nodes = durable(nodes.groupBy("node").agg(F.min("doc").alias("doc"), F.min("size").alias("size"), F.min("sketch").alias("sketch")))
+    stands = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "text_hash", "size", "sketch")).alias("s")  # one row for each set
+    nodes = durable(prints.where("size > 0").groupBy(F.col("a").alias("node")).agg(stands).select(
+        "node", F.col("s.id").alias("doc"), "s.text_hash", "s.size", "s.sketch"))
     buckets = durable(_buckets(_keys(narrow, "text", width, percent)))
     ordered = [F.struct(F.least(o, "node").alias("x"), F.greatest(o, "node").alias("y")) for o in ("leader", "before")]
-    first = buckets.select(F.explode(F.array(*ordered)).alias("p")).select("p.*").distinct()
-    first = durable(_possible(first, nodes, percent))
-    links = _verified(first, nodes, narrow, "text", "id", width, percent)
-    linked = components(links)
+    counted = buckets.select(F.explode(F.array_distinct(F.array(*ordered))).alias("p")).groupBy("p.x", "p.y").agg(F.count("*").alias("n"))
+    first = durable(_possible(counted, nodes, percent))
+    # the partner with most keys in common first: what these pairs connect needs no other pair, and no text a second time
+    best = first.groupBy("y").agg(F.max(F.struct("n", "x")).alias("b")).select(F.col("b.x").alias("x"), "y")
+    linked = durable(components(_verified(best, nodes, narrow, "text", "id", width, percent)))
+    apart = durable(_apart(first.select("x", "y").join(best, ["x", "y"], "left_anti"), linked))
+    if not apart.isEmpty():
+        linked = durable(joined_components(linked, _verified(apart, nodes, narrow, "text", "id", width, percent)))
     members = _split_members(buckets, linked, nodes)
-    rest = durable(_across(members, percent).distinct().join(first, ["x", "y"], "left_anti"))
+    rest = durable(_across(members, percent).distinct().join(first.select("x", "y"), ["x", "y"], "left_anti"))
     if not rest.isEmpty():
         more = _verified(rest, nodes, narrow, "text", "id", width, percent)
         linked = joined_components(linked, more)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,9 +49,10 @@ def fitting_words(count: int) -> int | None:
 def likely_held(df: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
     """The rows of ``df`` whose key is among ``keys``, and maybe a few more; ``keys`` is read twice.
 
-    Told by a bit table sized by the number of keys, beyond MOST_WORDS by a semi-join.
+    Told by a bit table sized by the number of keys, beyond MOST_WORDS by a semi-join. A null is equal to a null.
     """
     words = fitting_words(keys.count())
     if words is None:
-        return df.join(keys.select(*map(field, names)).distinct(), names, "left_semi")
+        held = keys.select(*(field(n).alias(f"__k{i}") for i, n in enumerate(names))).distinct()
+        return df.join(held, reduce(and_, (field(n).eqNullSafe(F.col(f"__k{i}")) for i, n in enumerate(names))), "left_semi")
     return mark(df, bit_table(keys, names, words), names, "__held", words).where("__held").drop("__held")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from cutloom.llm import (byte_cnn, decontaminate, exact_dedup, jaccard_join, line_runs, page_text, personal_data, pieces, repeats,
+from cutloom.llm import (byte_cnn, decontaminate, exact_dedup, jaccard_join, line_runs, page_text, personal_data, pieces, repeats, slots,
                          toxicity)
 from cutloom.llm.labelled import training_sample
 from tests.llm.conftest import LONG, ODD
@@ -174,3 +174,26 @@ def test_repeats_of_rows_without_an_id(spark):
     assert all_rows(repeats.repeated_passages(spark.createDataFrame(rows[3:], "doc_id long, text string"))) == []
     named = spark.createDataFrame([(None, rows[0][1]), ("a", rows[1][1])], "doc_id string, text string")
     assert {(r.id, r.other) for r in repeats.repeated_passages(named).collect()} == {("a", None), (None, "a")}
+
+
+def test_similar_rows_without_an_id(spark):
+    words = [f"w{k}" for k in range(100)]
+    near = [" ".join(words[:k] + ["other"] + words[k + 1:]) for k in (0, 50, 99)]
+    text = " ".join(words)
+    for rows, want in (([(None, near[0]), (None, near[2]), (1, text)], {(None, 1), (1, 1)}), ([(None, near[0]), (5, near[2])], {(None, 5), (5, 5)}),
+                       ([(None, near[0]), (None, near[2]), (None, near[0])], {(None, None)}), ([(None, "a b"), (2, "c d")], {(None, None), (2, 2)})):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = jaccard_join.similar_classes(df, percent=80).collect()
+        assert len(got) == len(rows) and {(r.id, r.component_id) for r in got} == want
+    kept = jaccard_join.one_of_each(spark.createDataFrame([(None, near[0]), (5, near[2]), (6, text)], "doc_id long, text string"), percent=80).collect()
+    assert sorted(r.doc_id or -1 for r in kept) == [-1, 5]
+
+
+def test_keys_beyond_the_largest_table(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "a"), (None, "b"), (2, None), (3, "c")], "k long, s string")
+    keys = rows.where("k is null or k = 2").unionByName(rows.where("k = 2"))
+    told = slots.likely_held(rows, keys, ["k", "s"]).collect()
+    monkeypatch.setattr(slots, "MOST_WORDS", 1)
+    exact = slots.likely_held(rows, keys, ["k", "s"]).collect()
+    assert {(r.k, r.s) for r in exact} == {(None, "b"), (2, None)} <= {(r.k, r.s) for r in told} and len(exact) == 2
+    assert slots.fitting_words(10 ** 9) is None and slots.likely_held(rows, keys.limit(0), ["k"]).count() == 0
