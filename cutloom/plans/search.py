@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions.text import tokens
-from ..operators import privacy, search as S, vectors as V
+from ..operators import lexindex as L, privacy, search as S, vectors as V
+from ..session import durable
+from ..streaming.stores import new_folder
 from .registry import query
 
 FIELDS = [S.Field("name", 10, "name"), S.Field("kind", 4, "kind"), S.Field("text", 4, "props:text")]
@@ -56,6 +58,73 @@ def lex02r(t):
     return S.relation_emissions(t.v_nodes, t.v_edges)
 
 
+_GRAPH_TOKS = r"""
+  n as (select id, kind, case when id in ('N1','N2') or (kind='asset' and right(id,1)='{renamed}') then name||' renamed' else name end as name from v_nodes union all select object_id, 'object', name from v_objects),
+  e as (select src, dst, type, null as role from v_edges union all select object_id, 'P'||substr(object_id,2), 'relates-to', 'shown in' from v_objects),
+  o as (select *, {{'main color': string_split(name,' ')[1], 'size class': tags[2]}} as semantics from v_objects),
+  w as (select id, unnest(regexp_extract_all(lower(name), '[\p{{L}}\p{{N}}]+')) as term, 10 as weight, 'name' as source from n
+    union select id, unnest(regexp_extract_all(lower(kind), '[\p{{L}}\p{{N}}]+')), 4, 'kind' from n
+    union select object_id, unnest(regexp_extract_all(lower(object_type), '[\p{{L}}\p{{N}}]+')), 8, 'object:type' from o
+    union select object_id, unnest(regexp_extract_all(lower(semantic_id), '[\p{{L}}\p{{N}}]+')), 6, 'object:semanticId' from o
+    union select object_id, unnest(regexp_extract_all(lower(array_to_string(tags,' ')), '[\p{{L}}\p{{N}}]+')), 7, 'object:tags' from o
+    union select object_id, unnest(['main','color','size','class']), 4, 'object:semantics:key' from o
+    union select object_id, unnest(regexp_extract_all(lower(string_split(name,' ')[1]), '[\p{{L}}\p{{N}}]+')), 5, 'object:semantics:main color' from o
+    union select object_id, unnest(regexp_extract_all(lower(tags[2]), '[\p{{L}}\p{{N}}]+')), 5, 'object:semantics:size class' from o
+    union select id, unnest(regexp_extract_all(lower(x), '[\p{{L}}\p{{N}}]+')), 3, 'relationships' from (
+      select src as id, type as x from e union select dst, type from e union select src, role from e union select dst, role from e
+      union select src, name from e join n on n.id=dst union select src, kind from e join n on n.id=dst union select dst, name from e join n on n.id=src union select dst, kind from e join n on n.id=src)),
+  gp as (select id, term, max(weight)::bigint as weight, string_agg(distinct source, ',' order by source) as sources from w where id in (select id from n) group by all)"""
+
+
+def graph_of(t):
+    """The graph with objects that show parts; objects have nested semantics."""
+    o = t.v_objects.select(F.col("object_id").alias("id"), F.lit("object").alias("kind"), "name", "object_type", "semantic_id", "tags", F.create_map(
+        F.lit("main color"), F.split("name", " ")[0], F.lit("size class"), F.col("tags")[1]).alias("semantics"))
+    nodes = t.v_nodes.unionByName(o, allowMissingColumns=True)
+    shown = t.v_objects.select(F.col("object_id").alias("src"), F.concat(F.lit("P"), F.expr("substring(object_id, 2)")).alias("dst"),
+                               F.lit("relates-to").alias("type"), F.lit("shown in").alias("role"))
+    return nodes, t.v_edges.unionByName(shown, allowMissingColumns=True)
+
+
+def renamed(nodes, digit):
+    return nodes.withColumn("name", F.when(F.expr(f"id in ('N1', 'N2') or (kind = 'asset' and right(id, 1) = '{digit}')"), F.concat("name", F.lit(" renamed"))).otherwise(F.col("name")))
+
+
+@query("lex02_index", f"with {_GRAPH_TOKS.format(renamed='-').replace(chr(39) + 'N1' + chr(39) + ',' + chr(39) + 'N2' + chr(39), chr(39) * 2)} select * from gp")
+def lex02i(t):
+    """The stored index, read back: own, nested and relation terms in one."""
+    nodes, edges = graph_of(t)
+    index = L.StoredIndex(t.spark, new_folder(t.spark, "lex02"), 8)
+    index.add(L.graph_postings(nodes, edges), nodes)
+    return index.rows().select("id", "term", "weight", F.array_join("sources", ",").alias("sources"))
+
+
+@query("lex02_index_update", f"with {_GRAPH_TOKS.format(renamed='7')} select * from gp where term in ('renamed','red','lemon','argentina','composition','contains')")
+def lex02u(t):
+    """Names change: only the documents named and those next to them are indexed anew; a lookup reads the buckets of its terms."""
+    nodes, edges = (durable(x) for x in graph_of(t))
+    index = L.StoredIndex(t.spark, new_folder(t.spark, "lex02u"), 8)
+    index.add(L.graph_postings(nodes, edges), nodes)
+    index.update(renamed(nodes, "7"), edges, nodes.where("id in ('N1', 'N2') or (kind = 'asset' and right(id, 1) = '7')"))
+    return index.rows(["renamed", "red", "lemon", "argentina", "composition", "contains"]).select(
+        "id", "term", "weight", F.array_join("sources", ",").alias("sources"))
+
+
+@query("lex02_relation_search", f"""with {_GRAPH_TOKS.format(renamed='-').replace(chr(39) + 'N1' + chr(39) + ',' + chr(39) + 'N2' + chr(39), chr(39) * 2)},
+  q(query, term, qt) as (values ('r1','argentina','argentina track'), ('r1','track','argentina track'), ('r2','shown','shown size3'), ('r2','size3','shown size3'), ('r3','canada','canada')),
+  h as (select query, any_value(qt) as qt, id, sum(weight) as pts, count(*) as n from q join gp using (term) group by query, id), k as (select query, count(*) as k from q group by 1),
+  s as (select query, h.id, n.kind, n.name, (pts+case when lower(name)=qt then 20 when contains(lower(name), qt) then 8 else 0 end+case when h.n=k.k and k.k>1 then 4 else 0 end)::bigint as score from h join k using (query) join n on n.id=h.id)
+  select query, id, score, row_number() over (partition by query order by score desc, name, id) as rank from s qualify rank<=20""")
+def lex02s(t):
+    """Nodes found by what they are linked to, through the stored index."""
+    nodes, edges = graph_of(t)
+    index = L.StoredIndex(t.spark, new_folder(t.spark, "lex02s"), 8)
+    index.add(L.graph_postings(nodes, edges), nodes)
+    queries = {"r1": "argentina track", "r2": "shown size3", "r3": "canada"}
+    rows = index.rows(sorted({x for q in queries.values() for x in S.query_terms(q)}))
+    return S.top_k(S.score(t.spark, rows, nodes, queries), 20).select("query", "id", "score", "rank")
+
+
 @query("lex03_score", f"with {_SCORED} select query, id, score, matched from scored where score>=1")
 def lex03(t):
     only = sorted({x for text in QUERIES.values() for x in S.query_terms(text)})
@@ -76,7 +145,11 @@ def lex04k(t):
     return S.search(t.v_docs, FIELDS, QUERIES, 10, kinds=["de", "fr"]).select("query", "id", "score", "rank")
 
 
-@query("lex04_evidence", f"""with {_SCORED} select r.query, r.id, p.term, unnest(string_split(p.sources, ',')) as source
+# of the postings only query terms are needed: nothing else is aggregated
+_FEW = _SCORED.replace("from toks group by all", "from toks where term in (select unnest(string_split(qt,' ')) from queries) group by all").replace(f", {_QUERIES}", "")
+
+
+@query("lex04_evidence", f"""with {_QUERIES}, {_FEW} select r.query, r.id, p.term, unnest(string_split(p.sources, ',')) as source
   from ranked r join qterms q on q.query=r.query join postings p on p.id=r.id and p.term=q.term where r.rank<=20""")
 def lex04e(t):
     only = sorted({x for text in QUERIES.values() for x in S.query_terms(text)})
