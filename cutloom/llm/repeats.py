@@ -28,13 +28,12 @@ from pyspark.sql import types as T
 from ..session import durable
 from . import words
 from .columns import field
-from .slots import bit_table, likely_held, mark
+from .slots import likely_held
 
 LEAST = 50  # words of a passage
 WIDTH = 26
 GAP = LEAST - WIDTH + 1
 SIDE = LEAST - WIDTH  # words of context on either side of the first WIDTH; the next kept suffix is nearer than that
-TABLE_WORDS = 1 << 17
 CHUNK_ROWS = 1 << 15
 BLOCK = 256  # words
 STEP = 5  # passages of a range
@@ -321,10 +320,10 @@ def _passages(ranged: DataFrame) -> DataFrame:
 
 
 def _joined(matches: DataFrame) -> DataFrame:
-    """(doc, first, last, other): matches that overlap or touch become one."""
+    """(doc, first, last, other): matches that overlap or touch become one. Dealt out by document once."""
     by_doc = Window.partitionBy("doc").orderBy("first", "last")
     fresh_ = F.coalesce(F.col("first") > F.max("last").over(by_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
-    told = matches.groupBy("doc", "first", "last").agg(F.min("other").alias("other")).withColumn("new", fresh_.cast("int"))
+    told = matches.repartition("doc").groupBy("doc", "first", "last").agg(F.min("other").alias("other")).withColumn("new", fresh_.cast("int"))
     return told.withColumn("n", F.sum("new").over(by_doc)).groupBy("doc", "n").agg(
         F.min("first").alias("first"), F.max("last").alias("last"), F.min("other").alias("other")).drop("n")
 
@@ -337,16 +336,17 @@ def _bits(low: Column, high: Column) -> Column:
 
 
 def _not_reported(open_: DataFrame, known: DataFrame) -> DataFrame:
-    """``open_`` without the passages that lie inside a joined match of their document: finding them again tells nothing new.
+    """The rows of ``open_``, and maybe a few more, with a passage outside the joined matches of their document: finding the others again
+    tells nothing new.
 
     A passage holds the word of its suffix, and joined matches are apart: at most one match has to be looked at, found by blocks of words.
     """
     spans = known.select("doc", "first", "last", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("last") - 1) / BLOCK))).alias("block"))
-    both = open_.withColumn("block", F.floor(F.col("at") / BLOCK)).alias("o").join(
-        spans.alias("k"), F.expr("o.doc = k.doc and o.block = k.block and k.first <= o.at and o.at < k.last"), "left")
-    inside = _bits(F.col("at") + LEAST - F.col("last"), F.col("at") - F.col("first"))
-    left = F.col("open").bitwiseAND(F.bitwise_not(F.when(F.col("k.first").isNotNull(), inside).otherwise(F.lit(0))))
-    return both.select("o.doc", *EDGE, left.alias("open")).where("open <> 0")
+    narrow = open_.select("doc", "at", "open", F.floor(F.col("at") / BLOCK).alias("block"))
+    both = narrow.alias("o").join(spans.alias("k"), F.expr("o.doc = k.doc and o.block = k.block and k.first <= o.at and o.at < k.last"), "left")
+    inside = F.when(F.col("k.first").isNotNull(), _bits(F.col("at") + LEAST - F.col("last"), F.col("at") - F.col("first"))).otherwise(F.lit(0))
+    left = both.where(F.col("open").bitwiseAND(F.bitwise_not(inside)) != 0).select("o.doc", "at")
+    return likely_held(open_, durable(left), ["doc", "at"])
 
 
 def _held_elsewhere(open_: DataFrame, suffixes: DataFrame) -> DataFrame:
@@ -356,9 +356,9 @@ def _held_elsewhere(open_: DataFrame, suffixes: DataFrame) -> DataFrame:
     these only passages that are open somewhere. Passages are then counted by their least and greatest document.
     """
     asked = durable(_ranged(open_))
-    near = likely_held(_ranged(likely_held(suffixes, open_.select("key").distinct(), ["key"])), asked.select("core").distinct(), ["core"])
+    near = likely_held(_ranged(likely_held(suffixes, open_, ["key"])), asked, ["core"])
     open_passages = durable(_passages(asked))
-    held = likely_held(_passages(near), open_passages.select("passage").distinct(), ["passage"])
+    held = likely_held(_passages(near), open_passages, ["passage"])
     holders = durable(held.groupBy("passage").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b"))
     told = likely_held(open_passages, holders, ["passage"])
     return told.join(holders, "passage").select(
@@ -379,10 +379,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     doc = F.coalesce(field(id_col).cast("bigint" if whole_number else "string"), nobody)
     narrow = docs.select(doc.alias("doc"), field(text_col).alias("text"))
     keys = _suffixes(narrow, False).groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
-    table = bit_table(keys.where("a <> b").select("key"), ["key"], TABLE_WORDS)
-    shared = mark(_suffixes(narrow, True), table, ["key"], "shared", TABLE_WORDS).where("shared").drop("shared")
     order = ["key", "right", "left", "doc", "at"]
-    shared = durable(shared)
+    shared = durable(likely_held(_suffixes(narrow, True), durable(keys.where("a <> b").select("key")), ["key"]))
     found = durable(_neighbours(shared.repartitionByRange(*order).sortWithinPartitions(*order)))
     edges = found.where("part is not null").repartition(1).sortWithinPartitions("part", "i").select("doc", *EDGE)
     known = durable(_joined(found.where("last is not null").select("doc", "first", "last", "other").unionByName(

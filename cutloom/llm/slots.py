@@ -47,11 +47,12 @@ def fitting_words(count: int) -> int | None:
 
 
 def likely_held(df: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
-    """The rows of ``df`` whose key is among ``keys``, and maybe a few more; ``keys`` is read twice.
+    """The rows of ``df`` whose key is among ``keys``, and maybe a few more; ``keys`` is read twice, repeated ones do no harm.
 
-    Told by a bit table sized by the number of keys, beyond MOST_WORDS by a semi-join. A null is equal to a null.
+    Told by a bit table sized by about how many keys differ, beyond MOST_WORDS by a semi-join. A null is equal to a null.
     """
-    words = fitting_words(keys.count())
+    few = keys.agg(F.approx_count_distinct(F.xxhash64(*map(field, names)), 0.03)).first()[0]
+    words = fitting_words(few)
     if words is None:
         held = keys.select(*(field(n).alias(f"__k{i}") for i, n in enumerate(names))).distinct()
         return df.join(held, reduce(and_, (field(n).eqNullSafe(F.col(f"__k{i}")) for i, n in enumerate(names))), "left_semi")
