@@ -124,6 +124,17 @@ def str07(t):
     return O.replay_nodes(K.read_store(t.spark, f"{folder}/store", K.OPS_SCHEMA))
 
 
+@query("str07_edges", """with o as (select user_id as project_id, event_id as seq, event_id%20 as entity_id, (event_id%20+event_id%7)%20 as other_id, event_id%30 as edge_id, case when event_type='signup' then 'node.add' when event_type='error' and event_id%3=0 then 'node.remove' when event_type='click' then 'edge.remove' when event_type='view' then 'node.update' else 'edge.add' end as op_type from events),
+  l as (select project_id, edge_id, max(seq) as seq, arg_max(op_type, seq) as ty, arg_max(entity_id, seq) as src, arg_max(other_id, seq) as dst from o where op_type in ('edge.add','edge.remove') group by all)
+  select project_id, edge_id, src, dst from l where ty='edge.add' and not exists (select 1 from o r where r.project_id=l.project_id and r.op_type='node.remove' and r.entity_id in (l.src, l.dst) and r.seq>l.seq)""")
+def str07e(t):
+    ops = events_of(t).selectExpr("user_id as project_id", "event_id%20 as entity_id", "(event_id%20+event_id%7)%20 as other_id", "event_id%30 as edge_id", "event_id as seq", "case when event_type='signup' then 'node.add' when event_type='error' and event_id%3=0 then 'node.remove' when event_type='click' then 'edge.remove' when event_type='view' then 'node.update' else 'edge.add' end as op_type",
+                                  "concat('p', event_id%4) as prop", "value")
+    folder = K.new_folder(t.spark, "str07e")
+    K.materialise_changes(ops, f"{folder}/store", f"{folder}/checkpoint", 8).awaitTermination()
+    return O.replay_edges(K.read_store(t.spark, f"{folder}/store", K.OPS_SCHEMA))
+
+
 _LIVE = """user_id as track_id, case event_type when 'purchase' then 'through' when 'error' then 'one' else 'chunk' end as kind, event_id//450*1000+(event_id*13)%5*250 as "offset", 100+(event_id%2)*100 as size from events"""
 
 

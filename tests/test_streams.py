@@ -235,3 +235,23 @@ def test_a_record_number_outlives_an_eviction(spark, tmp_path):
     put(spark, [(1, "output", (10 ** 9 + 201) * 1e3, 10, 201), (2, "other", 1e12, 10, 201)], schema, str(tmp_path / "in"))
     got, _ = follow(spark, make, schema, tmp_path)
     assert sorted((x["record"], x["evicted"]) for x in got if x["k"] == 1) == [(0, True), (1, False)]
+
+
+def test_edges_of_the_change_log_store(spark, tmp_path):
+    """Edges die with their ends though the ends come back; over 20 batches the store holds two versions of a bucket at most."""
+    r, schema, every = random.Random(5), "project_id bigint, entity_id bigint, other_id bigint, edge_id bigint, seq bigint, op_type string, prop string, value double", []
+    for batch in range(20):
+        rows = []
+        for _ in range(15):
+            kind = r.choice(["node.add", "node.remove", "node.update", "edge.add", "edge.add", "edge.remove"])
+            rows.append((r.randrange(2), r.randrange(6), r.randrange(6), r.randrange(8), len(every) + len(rows), kind, r.choice("xy"), r.random()))
+        every += rows
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    K.materialise_changes(stream, str(tmp_path / "store"), str(tmp_path / "c"), 3).awaitTermination()
+    state, whole = K.read_store(spark, str(tmp_path / "store"), K.OPS_SCHEMA), spark.createDataFrame(every, schema)
+    for replay in (O.replay_edges, O.replay_nodes):
+        assert sorted(map(tuple, replay(state).collect())) == sorted(map(tuple, replay(whole).collect()))
+    assert replay(whole).count() and O.replay_edges(whole).count()
+    for bucket in (tmp_path / "store").glob("bucket=*"):
+        assert 1 <= len(list(bucket.glob("batch=*"))) <= 2
