@@ -38,15 +38,3 @@ def replay_with(log: DataFrame, keys: Sequence[str], order: Sequence[str], start
         return state, tuple(state)
 
     return ordered_fold(log, keys, order, start, step, columns, out)
-
-
-def read_files(spark: SparkSession, path: str, reader: Callable[[str, bytes], Iterator[tuple]], schema: str) -> DataFrame:
-    """Rows made by a user reader from every file under ``path``; one file is in memory at a time."""
-    names = [p.split()[0] for p in schema.split(",")]
-
-    def run(frames):
-        for pdf in frames:
-            for file, content in zip(pdf["path"], pdf["content"]):
-                yield pd.DataFrame(list(reader(file, content)), columns=names)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)

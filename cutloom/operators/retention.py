@@ -54,6 +54,12 @@ def blob_fingerprint(content: Column, size: Column, kind: Column, edge: int = 1
     return F.sha2(F.concat(header, F.substring(content, 1, edge), content.substr(tail_start, F.lit(edge))), 256)
 
 
+def ends_fingerprint(head: Column, tail: Column, size: Column, kind: Column) -> Column:
+    """The same of content whose first and last bytes were read apart."""
+    header = F.concat(size.cast("string"), F.lit(":"), F.coalesce(kind, F.lit("")), F.lit(":")).cast("binary")
+    return F.sha2(F.concat(header, head, tail), 256)
+
+
 def verify_artifacts(declared: DataFrame, stored: DataFrame, max_bytes: int) -> DataFrame:
     """Declared (key, integrity) against stored (key, content): status per key.
 

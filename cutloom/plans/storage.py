@@ -49,10 +49,62 @@ def src04(t):
     return c.select("page_id", R.classify(F.col("mime"), F.col("name"), F.col("head")).alias("container"))
 
 
-@query("src04_classify_files")
+def _whole(group):
+    return "".join(group["html"]).encode()
+
+
+def _indexed(group):
+    """A small container: magic, number of chunks, an index of (id, offset, size), then the chunks."""
+    import struct
+    bodies = [h.encode() for h in group["html"]]
+    at, index = 8 + 24 * len(bodies), b""
+    for page_id, body in zip(group["page_id"], bodies):
+        index += struct.pack("<qqq", page_id, at, len(body))
+        at += len(body)
+    return b"CLX1" + struct.pack("<I", len(bodies)) + index + b"".join(bodies)
+
+
+def _chunks_of(source):
+    """Chunk rows of such a file; the chunks themselves are never read."""
+    import struct
+    magic, n = struct.unpack("<4sI", source.read(0, 8))
+    if magic != b"CLX1":
+        raise ValueError("not an indexed file")
+    index = source.read(8, 24 * n)
+    for k in range(n):
+        page_id, offset, size = struct.unpack_from("<qqq", index, 24 * k)
+        yield k, page_id, offset, size
+
+
+_FILE = "(page_id//20)||case (page_id//20)%5 when 0 then '.webm' when 1 then '.MOV' when 2 then '.m4s' when 3 then '.ogv' else '.bin' end"
+
+
+def corpus_of(t, content):
+    """The pages as files of 20, written by the tasks into the shared folder."""
+    folder = new_folder(t.spark, "corpus")
+    name = F.expr("concat(page_id div 20, case (page_id div 20)%5 when 0 then '.webm' when 1 then '.MOV' when 2 then '.m4s' when 3 then '.ogv' else '.bin' end)")
+    FS.write_files(t.pages.select("page_id", "html", name.alias("file")), folder, "file", ["page_id"], content)
+    return folder
+
+
+@query("src04_classify_files", f"""select {_FILE} as name, sum(strlen(html))::bigint as bytes, case (page_id//20)%5 when 0 then 'webm' when 1 then 'mov' when 2 then 'mp4' when 3 then 'ogg' else 'unknown' end as container from pages group by page_id//20""")
 def src04f(t):
-    """Every file of the dataset folder, by name and leading bytes."""
-    return FS.classify_files(t.spark, t.folder)
+    """Files by name and leading bytes; nothing else of them is read."""
+    return FS.classify_files(t.spark, corpus_of(t, _whole))
+
+
+@query("src05_fingerprint_files", f"""with f as (select {_FILE} as name, string_agg(html, '' order by page_id) as body from pages group by page_id//20)
+  select name, strlen(body)::bigint as bytes, sha256(encode(strlen(body)||':text/html:')||encode(body)[1:1000]||encode(body)[greatest(strlen(body)-1000,0)+1:strlen(body)]) as fingerprint from f""")
+def src05f(t):
+    return FS.fingerprint_files(t.spark, corpus_of(t, _whole), "text/html", 1000)
+
+
+@query("udf04_demux", f"""with p as (select page_id, {_FILE} as name, strlen(html) as n, row_number() over w-1 as k, count(*) over (partition by page_id//20) as c, coalesce(sum(strlen(html)) over (partition by page_id//20 order by page_id rows between unbounded preceding and 1 preceding),0) as before, sum(strlen(html)) over (partition by page_id//20) as total from pages window w as (partition by page_id//20 order by page_id))
+  select name, k::int as k, page_id, (8+24*c+before)::bigint as "offset", n::bigint as size, (8+24*c+total)::bigint as source_bytes, (8+24*c)::bigint as bytes_read from p""")
+def udf04(t):
+    """Chunk rows by a user reader that reads the index of each file and no chunk."""
+    rows = FS.demux_files(t.spark, corpus_of(t, _indexed), _chunks_of, "k int, page_id bigint, offset bigint, size bigint")
+    return rows.select(F.element_at(F.split("path", "/"), -1).alias("name"), "k", "page_id", "offset", "size", "source_bytes", "bytes_read")
 
 
 @query("src05_fingerprint", "select page_id, sha256(encode(strlen(html)||':text/html:')||encode(html)[1:1000]||encode(html)[greatest(strlen(html)-1000,0)+1:strlen(html)]) as fingerprint from pages")
