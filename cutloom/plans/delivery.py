@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ledger as J, retention, segments as S, signal as A
+from ..operators import ledger as J, playlists as PL, retention, segments as S, signal as A
 from ..operators.curves import normalize_curve
-from ..operators.scan import span_of
+from ..operators.scan import span_of, span_scan
 from .registry import query
 
 LINE = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
@@ -48,6 +48,60 @@ def man01v(t):
     return S.playlist_variants(texts)
 
 
+def keyed_playlists_of(t):
+    """One playlist per order with keys that change, gaps, date-times and parts."""
+    piece = F.concat_ws("\n", F.expr("case when l_linenumber%3=1 then case when l_suppkey%4=0 then '#EXT-X-KEY:METHOD=NONE' else concat('#EXT-X-KEY:METHOD=AES-128,URI=\"k', l_suppkey%5, ',x\",IV=0x', l_partkey) end end"),
+                        F.expr("case when l_partkey%4=0 then concat('#EXT-X-PROGRAM-DATE-TIME:2024-01-01T00:00:', l_linenumber) end"), F.expr("case when l_returnflag='A' then '#EXT-X-GAP' end"),
+                        F.expr("concat('#EXT-X-PART:DURATION=', l_linenumber, '.5,URI=\"p', l_partkey, '\"', case when l_linestatus='F' then ',INDEPENDENT=YES' else ',GAP=YES' end)"),
+                        F.concat(F.lit("#EXTINF:"), F.col("l_quantity").cast("int"), F.lit(",t")), F.concat(F.lit("seg-"), "l_partkey"))
+    body = F.transform(F.array_sort(F.collect_list(F.struct(*LINE, piece.alias("piece")))), lambda x: x["piece"])
+    p = t.lineitem.groupBy("l_orderkey").agg(F.array_join(body, "\n").alias("body"))
+    return p.select(F.col("l_orderkey").alias("playlist_id"), F.concat(F.lit("#EXTM3U\n#EXT-X-VERSION:9\n#EXT-X-MEDIA-SEQUENCE:"), F.col("l_orderkey") % 100, F.lit("\n#EXT-X-TARGETDURATION:50\n"), "body",
+                                                                     F.when(F.col("l_orderkey") % 2 == 0, F.lit("\n#EXT-X-ENDLIST")).otherwise("")).alias("text"))
+
+
+_KEYED = f"""s as (select *, row_number() over w - 1 as n, case when l_linenumber%3=1 then l_suppkey end as ks, case when l_linenumber%3=1 then l_partkey end as kp from lineitem window w as {_LW}),
+  c as (select *, last_value(ks ignore nulls) over (partition by l_orderkey order by n) as k, last_value(kp ignore nulls) over (partition by l_orderkey order by n) as p from s)"""
+
+
+@query("man01_keys", f"""with {_KEYED} select l_orderkey as playlist_id, l_orderkey%100+n as sequence, 'seg-'||l_partkey as url, cast(l_quantity as int)::double as duration, case when k is not null then case when k%4=0 then 'NONE' else 'AES-128' end end as key_method, case when k%4<>0 then 'k'||(k%5)||',x' end as key_uri,
+  case when k%4<>0 then '0x'||p end as key_iv, case when k is not null then 'identity' end as key_format, case when l_partkey%4=0 then '2024-01-01T00:00:'||l_linenumber end as date_time, l_returnflag='A' as gap from c""")
+def man01k(t):
+    return PL.playlist_media(keyed_playlists_of(t))
+
+
+@query("man01_parts", f"""with {_KEYED} select l_orderkey as playlist_id, l_orderkey%100+n as sequence, n as part_no, 'p'||l_partkey as url, coalesce(sum(l_linenumber+0.5::double) over (partition by l_orderkey order by n rows between unbounded preceding and 1 preceding),0::double) as start, l_linenumber+0.5::double as duration, l_linestatus='F' as independent, l_linestatus<>'F' as gap from c""")
+def man01p(t):
+    return PL.playlist_parts(keyed_playlists_of(t))
+
+
+@query("man01_headers", "select distinct l_orderkey as playlist_id, 9 as version, (l_orderkey%100)::bigint as media_sequence, 0::bigint as skipped, 50::double as target_duration, l_orderkey%2=0 as end_list from lineitem")
+def man01h(t):
+    return PL.playlist_headers(keyed_playlists_of(t)).select("playlist_id", "version", "media_sequence", "skipped", "target_duration", "end_list")
+
+
+@query("man01_renditions", """select n_regionkey as playlist_id, case when n_nationkey%3=0 then 'SUBTITLES' else 'AUDIO' end as type, 'g'||(n_nationkey%2) as group_id, n_name||', main' as name, case when n_nationkey%4<>0 then lower(left(n_name,2)) end as language, n_nationkey%5=0 as is_default, n_nationkey%2=0 as autoselect, false as forced,
+  case when n_nationkey%3<>0 then '2' end as channels, 'r'||n_nationkey||'.m3u8' as uri from nation""")
+def man01r(t):
+    line = F.expr("""concat('#EXT-X-MEDIA:TYPE=', case when n_nationkey%3=0 then 'SUBTITLES' else 'AUDIO' end, ',GROUP-ID="g', n_nationkey%2, '",NAME="', n_name, ', main"', case when n_nationkey%4<>0 then concat(',LANGUAGE="', lower(left(n_name,2)), '"') else '' end,
+      ',DEFAULT=', case when n_nationkey%5=0 then 'YES' else 'NO' end, case when n_nationkey%2=0 then ',AUTOSELECT=yes' else '' end, case when n_nationkey%3<>0 then ',CHANNELS="2"' else '' end, ',URI="r', n_nationkey, '.m3u8"')""")
+    texts = t.nation.groupBy(F.col("n_regionkey").alias("playlist_id")).agg(F.concat(F.lit("#EXTM3U\n"), F.array_join(F.collect_list(line), "\n")).alias("text"))
+    return PL.playlist_renditions(texts).drop("line_no")
+
+
+@query("man01_delta", """with v as (select user_id as stream_id, event_id, event_type, row_number() over (partition by user_id order by event_id)-1 as v from events), d as (select stream_id, v from v where event_type<>'error'),
+  l as (select stream_id, v, unnest(range(v+case when v%2=1 then 3 else 0 end, v+6)) as sequence from d), m as (select stream_id, v, unnest(range(v, v+3)) as sequence from d where v%2=1),
+  a as (select m.stream_id, m.v, m.sequence, max(l.v) as f from m left join l on l.stream_id=m.stream_id and l.sequence=m.sequence and l.v<m.v group by all)
+  select stream_id, v as version_no, sequence, 'u'||sequence||'-v'||v as url, (sequence%7)::double as duration, null::bigint as filled_from from l
+  union all select stream_id, v, sequence, case when f is not null then 'u'||sequence||'-v'||f end, case when f is not null then (sequence%7)::double end, f from a""")
+def man01d(t):
+    """Versions of live playlists, every other one a delta update; some never arrived."""
+    v = span_scan(t.events, ["user_id"], ["event_id"], span_of("event_id", 1 << 20), __v=("row_number",)).where("event_type <> 'error'").selectExpr("event_id as playlist_id", "user_id as stream_id", "__v-1 as version_no")
+    texts = v.selectExpr("playlist_id", """concat('#EXTM3U\\n#EXT-X-MEDIA-SEQUENCE:', version_no, case when version_no%2=1 then '\\n#EXT-X-SKIP:SKIPPED-SEGMENTS=3' else '' end, '\\n',
+      array_join(transform(sequence(version_no + case when version_no%2=1 then 3 else 0 end, version_no+5), s -> concat('#EXTINF:', s%7, ',\\nu', s, '-v', version_no)), '\\n')) as text""")
+    return PL.fill_deltas(PL.playlist_media(texts), PL.playlist_headers(texts), v)
+
+
 @query("man01_iso_durations", "select p_partkey, (p_size%3)*86400.0::double+(p_size%24)*3600+(p_partkey%60)*60+(p_partkey%10)*0.5::double as seconds from part")
 def man01i(t):
     text = F.concat(F.lit("P"), F.col("p_size") % 3, F.lit("DT"), F.col("p_size") % 24, F.lit("H"), F.col("p_partkey") % 60, F.lit("M"), F.format_string("%.1f", F.col("p_partkey") % 10 * 0.5), F.lit("S"))
