@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator, Sequence
 
@@ -113,15 +114,13 @@ def embed(texts: DataFrame, model: Callable[[list[str]], Sequence[Sequence[float
 
 
 def hash_model(dimensions: int = 16) -> Callable[[list[str]], list[list[float]]]:
-    """A deterministic stand-in model: signed term hashing, unit length."""
-    import zlib
-
+    """A deterministic stand-in model: signed term hashing (the first 32 bits of the MD5 of a term), unit length."""
     def model(texts):
         out = []
         for text in texts:
             v = np.zeros(dimensions)
             for term in text.split():
-                h = zlib.crc32(term.encode())
+                h = int(hashlib.md5(term.encode(), usedforsecurity=False).hexdigest()[:8], 16)
                 v[h % dimensions] += 1.0 if h & 1024 else -1.0
             n = math.sqrt(float((v * v).sum()))
             out.append(list(v / n) if n else list(v))

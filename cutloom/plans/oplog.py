@@ -45,10 +45,10 @@ def lg01(t):
 
 
 _UNITS = "list_reduce(list_prepend({0}::uhugeint, list_transform(string_split(props,''), lambda c: ascii(c)::uhugeint)), lambda h, b: (xor(h,b)*{1}::uhugeint) % {2}::uhugeint)"
-_U64, _U32 = _UNITS.format(14695981039346656037, 1099511628211, 1 << 64), _UNITS.format(2166136261, 16777619, 1 << 32)
+_U64, U32 = _UNITS.format(14695981039346656037, 1099511628211, 1 << 64), _UNITS.format(2166136261, 16777619, 1 << 32)
 
 
-@query("lg01_variants", f"select event_id, lpad(lower(hex(({_U64})::ubigint)),16,'0') as units, lpad(lower(hex(({_U32})::ubigint)),8,'0') as short from (select event_id, replace(props, ' ', '') as props from events)")
+@query("lg01_variants", f"select event_id, lpad(lower(hex(({_U64})::ubigint)),16,'0') as units, lpad(lower(hex(({U32})::ubigint)),8,'0') as short from (select event_id, replace(props, ' ', '') as props from events)")
 def lg01v(t):
     c = H.canonical_json("props")
     return t.events.select("event_id", H.fnv64_units(c).alias("units"), H.fnv32(c).alias("short"))

@@ -214,12 +214,20 @@ def vec02k(t):
         "query", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("vec03_embed")
+_EMBED = """{name}_w as (select {id}, unnest(string_split_regex(trim(text, ' '||chr(10)), '[ \n]+')) as term from {texts}),
+  {name}_v as (select {id}, (('0x'||md5(term)[1:8])::bigint)%16 as pos, sum(case when (('0x'||md5(term)[1:8])::bigint//1024)%2=1 then 1.0::double else -1.0::double end) as x from {name}_w group by all),
+  {name}_n as (select {id}, sqrt(sum(x*x)) as n from {name}_v group by all)"""
+_DOC_TEXT = f"""{_POSTINGS}, tb as (select id, string_agg(term, ' ' order by term) as body from (select id, term from postings) group by id),
+  dt as (select d.id, d.kind, d.name, d.name||chr(10)||d.kind||chr(10)||coalesce(body,'') as text from v_docs d left join tb using (id))"""
+
+
+@query("vec03_embed", f"""with {_DOC_TEXT}, {_EMBED.format(name='e', id='id', texts='dt')}, p as (select id, pos, case when n>0 then x/n else 0 end as x from e_v join e_n using (id))
+  select d.id, d.kind, 16::bigint as dims, round(sum(x*x),6) as norm, round(coalesce(sum(x) filter (pos=0),0),6) as first, round(coalesce(sum(x) filter (pos=15),0),6) as last from v_docs d join p using (id) group by all""")
 def vec03(t):
     p = S.build_postings(t.v_docs, FIELDS)
     out = V.embed(V.document_text(t.v_docs, p), V.hash_model(16))
-    return out.select("id", "kind", F.size("vector").cast("bigint").alias("dims"),
-                      F.round(V.dot(F.col("vector"), F.col("vector")), 6).alias("norm"))
+    return out.select("id", "kind", F.size("vector").cast("bigint").alias("dims"), F.round(V.dot(F.col("vector"), F.col("vector")), 6).alias("norm"),
+                      F.round(F.col("vector")[0], 6).alias("first"), F.round(F.col("vector")[15], 6).alias("last"))
 
 
 @query("vec03_text", f"""with {_POSTINGS}, tt as (select id, string_agg(term, ' ' order by term) as body from
@@ -265,7 +273,10 @@ def vec05(t):
     return V.vector_violations(index_of(t))
 
 
-@query("vec06_query_embedding")
+@query("vec06_query_embedding", f"""with {_DOC_TEXT}, {_EMBED.format(name='e', id='id', texts='dt')}, kt as (select kind, term from (select kind, term, row_number() over (partition by kind order by count(*) desc, term) as rn from postings group by kind, term) where rn<=8),
+  qt as (select kind, string_agg(term, ' ' order by term) as text from kt group by 1), {_EMBED.format(name='q', id='kind', texts='qt')},
+  s as (select q.kind as query, e.id, round(sum(q.x*e.x)/(any_value(qn.n)*any_value(en.n)), 6) as score from q_v q join e_v e using (pos) join e_n en on en.id=e.id join q_n qn on qn.kind=q.kind group by q.kind, e.id)
+  select query, s.id, score, row_number() over (partition by query order by score desc, d.name, s.id) as rank from s join v_docs d on d.id=s.id qualify rank<=10""")
 def vec06(t):
     """Documents of each language searched with the language's own embedded text, same model as the index."""
     p = S.build_postings(t.v_docs, FIELDS)

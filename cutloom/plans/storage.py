@@ -9,6 +9,7 @@ from ..operators import matching as M, retention as R
 from ..operators.scan import span_of
 from ..sources import files as FS, graph_files as GF
 from ..streaming.stores import new_folder
+from .oplog import U32
 from .registry import query
 
 
@@ -201,7 +202,7 @@ def cache01(t):
                     R.source_key(F.col("event_id") % 2000, F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("h"), "event_id")), F.col("event_id") % 4096, F.col("event_type")).alias("source_key"))
 
 
-@query("cache01_derivative_keys")
+@query("cache01_derivative_keys", f"""select event_id, 'derived:'||(event_id%2000)||':'||event_type||':'||lpad(lower(hex(({U32})::ubigint)),8,'0') as key from (select event_id, event_type, replace(props, ' ', '') as props from events)""")
 def cache01d(t):
     from ..operators.ledger import derivative_key
     return t.events.select("event_id", derivative_key(F.col("event_id") % 2000, F.col("event_type"), F.col("props")).alias("key"))
