@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import hashing as H
+from ..functions import hashing as H, udf as U
 from ..operators import matching as M, retention as R
 from ..operators.scan import span_of
 from ..sources import files as FS, graph_files as GF
@@ -100,6 +100,25 @@ def src05f(t):
     return FS.fingerprint_files(t.spark, corpus_of(t, _whole), "text/html", 1000)
 
 
+def _sizes(texts):
+    return [len(x) if len(x) % 3 else ValueError("refused") for x in texts]
+
+
+def _down(texts):
+    raise ConnectionError("down")
+
+
+@query("udf01_invoke", """with p as (select doc_id, text, case doc_id%4 when 0 then ['sizes','marks'] when 1 then ['down','sizes','marks'] when 2 then ['gone','down'] else ['marks'] end as plan from documents),
+  r as (select doc_id, case when list_contains(plan,'sizes') and length(text)%3<>0 then 'sizes' when list_contains(plan,'marks') then 'marks' end as backend_id, plan, text from p)
+  select doc_id, backend_id, case backend_id when 'sizes' then length(text) when 'marks' then -1 end::bigint as result, case when backend_id is null then len(plan) else list_position(plan, backend_id) end::int as attempts, case when backend_id is null then 'down' end as error from r""")
+def udf01(t):
+    """User models called in batches, with fallback row by row along each request's plan."""
+    plan = F.expr("case doc_id%4 when 0 then array('sizes','marks') when 1 then array('down','sizes','marks') when 2 then array('gone','down') else array('marks') end")
+    models = {"sizes": _sizes, "down": _down, "marks": lambda texts: [-1] * len(texts)}
+    out = U.invoke_models(t.documents.select("doc_id", "text", plan.alias("plan")), "plan", "text", models, "bigint")
+    return out.select("doc_id", "backend_id", "result", F.size("attempts").alias("attempts"), "error")
+
+
 @query("udf04_demux", f"""with p as (select page_id, {_FILE} as name, strlen(html) as n, row_number() over w-1 as k, count(*) over (partition by page_id//20) as c, coalesce(sum(strlen(html)) over (partition by page_id//20 order by page_id rows between unbounded preceding and 1 preceding),0) as before, sum(strlen(html)) over (partition by page_id//20) as total from pages window w as (partition by page_id//20 order by page_id))
   select name, k::int as k, page_id, (8+24*c+before)::bigint as "offset", n::bigint as size, (8+24*c+total)::bigint as source_bytes, (8+24*c)::bigint as bytes_read from p""")
 def udf04(t):
