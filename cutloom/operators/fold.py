@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import durable
 from .scan import SPAN, span_of, span_scan
 
 
@@ -193,3 +194,55 @@ def machine_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], span:
 
     return ordered_fold(base.join(entry, [*keys, SPAN]), [*keys, SPAN], order, lambda: None, replay,
                         ["__entry", *columns], out).drop(SPAN, "__entry")
+
+
+def chain_marks(rows: DataFrame, keys: Sequence[str], at: str, succ: str, span: Callable[[Column], Column]) -> DataFrame:
+    """The rows of a chain per key: (keys.., at) of those reached from each key's first row by following ``succ``.
+
+    Rows are told by ``at``, unique inside a key; ``succ`` is the ``at`` of a later row of the key, or null at the end. ``span`` cuts ``at``
+    into spans of a bounded number of rows. Inside a span each row learns where it leaves the span; only rows that are entered from another
+    span take part in what follows, where pointers are doubled: 2 ** k spans lie behind the marked rows after k rounds. The spans that the chain
+    enters are then walked from their one entry. No task holds more than a span, whatever a key holds.
+    """
+    keys = list(keys)
+    types = dict(rows.dtypes)
+    ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    x = rows.select(*keys, F.col(at).alias("__p"), F.col(succ).alias("__n"), span(F.col(at)).alias(SPAN), span(F.col(succ)).alias("__ns"))
+
+    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__p")
+        place, after = pdf["__p"].tolist(), pdf["__n"].tolist()
+        inside = (pdf["__ns"] == pdf[SPAN]).tolist()
+        exits: dict = {}
+        for p, n, stay in zip(reversed(place), reversed(after), reversed(inside)):
+            exits[p] = exits.get(n) if stay else None if n != n else n  # a pointer behind the last row is the end
+        return pdf.assign(__exit=pd.Series([exits[p] for p in place], dtype=object, index=pdf.index))[[*keys, "__p", "__exit"]]
+
+    exits = durable(x.groupBy(*keys, SPAN).applyInPandas(leave, f"{ddl}, __p {types[at]}, __exit {types[at]}"))
+    heads = x.groupBy(*keys).agg(F.min("__p").alias("__p"))
+    entered = exits.where("__exit is not null").select(*keys, F.col("__exit").alias("__p")).distinct().unionByName(heads).distinct()
+    jump = durable(exits.join(entered, [*keys, "__p"], "left_semi").where("__exit is not null").select(*keys, "__p", F.col("__exit").alias("__to")))
+    marked, size = durable(heads), -1
+    while (now := marked.count()) != size:
+        size = now
+        further = marked.join(jump, [*keys, "__p"]).select(*keys, F.col("__to").alias("__p"))
+        marked = durable(marked.unionByName(further).distinct())
+        more = jump.select(*keys, F.col("__p").alias("__to"), F.col("__to").alias("__far"))
+        jump = durable(jump.join(more, [*keys, "__to"]).select(*keys, "__p", F.col("__far").alias("__to")))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        entries = pdf.loc[pdf["__in"], "__p"]
+        after = dict(zip(pdf["__p"].tolist(), pdf["__n"].tolist()))
+        found, p = [], entries.min() if len(entries) else None
+        while p in after:
+            found.append(p)
+            p = after[p]
+        out = pd.DataFrame({"__p": found})
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out[[*keys, "__p"]]
+
+    there = marked.withColumn("__in", F.lit(True))  # one row of a span at most
+    used = marked.select(*keys, span(F.col("__p")).alias(SPAN)).distinct()
+    told = x.join(used, [*keys, SPAN], "left_semi").join(there, [*keys, "__p"], "left").withColumn("__in", F.coalesce("__in", F.lit(False)))
+    return told.groupBy(*keys, SPAN).applyInPandas(walk, f"{ddl}, __p {types[at]}").select(*keys, F.col("__p").alias(at))

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.hashing import canonical_json, fnv32
 from ..session import durable
 from .evaluation import explode_range, proxy_size
-from .fold import machine_scan, ordered_fold
+from .fold import chain_marks, machine_scan
+from .scan import asof, span_of, span_scan
 
 OPS_STATES = ("pending", "running", "complete", "failed")
 
@@ -26,20 +27,21 @@ def job_plan(ranges: DataFrame, chunk_frames: int = 120) -> DataFrame:
                     a.alias("frame_start"), b.alias("frame_end"), (b - a).alias("frame_count"), (a / fps).alias("time_start"), (b / fps).alias("time_end"))
 
 
-def keyframe_segments(keyframes: DataFrame, totals: DataFrame, target: float = 8.0) -> DataFrame:
+def keyframe_segments(keyframes: DataFrame, totals: DataFrame, target: float = 8.0, span_width: float = 1e6) -> DataFrame:
     """(asset_id, index, start, end): cut at the first keyframe at or after each target, or at the target itself at the end.
 
-    Only keyframes can move a cut, so only they pass the fold; the tail after the last cut is plain arithmetic.
+    Only keyframes can move a cut: each one points at the keyframe that would follow it as a cut, an as-of join, and the cuts are the chain of
+    pointers from the beginning. The tail after the last cut is plain arithmetic. Pick ``span_width`` so that the busiest asset has about 1e5
+    keyframes in it.
     """
     target = max(0.25, target)
-    k = keyframes.join(totals, "asset_id").where((F.col("time") > 0) & (F.col("time") < F.col("total"))).select("asset_id", "time").distinct()
-
-    def step(state, values):
-        last = 0.0 if state is None else state
-        cut = values[0] >= last + target - 0.001
-        return (values[0] if cut else last), (bool(cut),)
-
-    cuts = ordered_fold(k, ["asset_id"], ["time"], lambda: None, step, ["time"], "cut boolean").where("cut").select("asset_id", F.col("time").alias("start"))
+    k = keyframes.join(totals, "asset_id").where((F.col("time") > 0) & (F.col("time") < F.col("total"))).select(
+        "asset_id", F.col("time").cast("double").alias("time")).distinct()
+    nodes = durable(k.unionByName(totals.where("total > 0").select("asset_id", F.lit(0.0).alias("time"))))
+    probes = nodes.withColumn("__want", F.col("time") + target - 0.001)
+    follow = asof(k, probes, ["asset_id"], "time", "__want", [], "time", span_width).select("asset_id", "time", F.col("right.time").alias("__succ"))
+    cuts = durable(chain_marks(follow, ["asset_id"], "time", "__succ", lambda c: span_of(c, span_width)).where("time > 0").select(
+        "asset_id", F.col("time").alias("start")))
     last = cuts.groupBy("asset_id").agg(F.max("start").alias("__l"))
     t = totals.where("total > 0").join(last, "asset_id", "left").withColumn("__l", F.coalesce("__l", F.lit(0.0)))
     # fixed steps strictly before the end, from the last keyframe cut on
@@ -48,7 +50,6 @@ def keyframe_segments(keyframes: DataFrame, totals: DataFrame, target: float = 8
         "asset_id", (F.col("__l") + F.col("__i") * target).alias("start"))
     heads = totals.where("total > 0").select("asset_id", F.lit(0.0).alias("start"))
     starts = heads.unionByName(cuts).unionByName(tail)
-    from .scan import span_of, span_scan
     x = span_scan(starts, ["asset_id"], ["start"], span_of("start", 1e6), __next=("lead", F.col("start")), index=("row_number",))
     return x.join(totals, "asset_id").select("asset_id", (F.col("index") - 1).alias("index"), "start", F.coalesce("__next", F.col("total")).alias("end"))
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .fold import ordered_fold
+from ..session import durable
+from .fold import chain_marks
 from .intervals import explode_range, overlap_join
-from .scan import islands, span_of
+from .scan import islands, span_of, span_scan
 
 
 def _islands(ranges: DataFrame, gap: int, width: float) -> DataFrame:
@@ -32,24 +34,39 @@ def assign_holders(ranges: DataFrame, gap: int = 0, width: float = 1 << 24) -> D
 def merge_ranges_bounded(ranges: DataFrame, gap: int, max_length: int, width: float = 1 << 24) -> DataFrame:
     """``merge_ranges`` with a length limit, greedy in offset order.
 
-    A gap wider than ``gap`` always starts a new range, so only rows inside one island depend on each other: the fold
-    is keyed by (source, island), not by source.
+    Each range learns which one would start the next group if it started one itself: that hangs only on ranges that start within the limit
+    behind it, so spans of ``width`` with that much of the next ones are enough. The groups are the chain of these pointers inside each island;
+    an island is cut into spans too and is no single task. One range always fits, however long.
     """
     x = _islands(ranges, gap, width)
-
-    def step(state, values):
-        off, end = values
-        if state is not None:
-            head, reach, n = state
-            far = max(reach, end)
-            if off <= reach + gap and far - head <= max_length:
-                return (head, far, n), (n,)
-            n += 1
-        else:
-            n = 0
-        return (off, end, n), (n,)
-
-    g = ordered_fold(x, ["source_id", "island"], ["off", "idx"], lambda: None, step, ["off", "__end"], "part bigint")
+    x = durable(span_scan(x, ["source_id", "island"], ["off", "idx"], span_of("off", width), at=("row_number",)).select(
+        "source_id", "island", "off", "idx", "__end", "at"))
+    block = F.floor(F.col("off") / F.lit(float(width))).cast("bigint")
+    first = F.floor((F.col("off") - max_length) / F.lit(float(width))).cast("bigint")
+    seen = x.withColumn("__own", block).withColumn("__block", F.explode(F.sequence(F.least(first, block), block)))
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at")
+        off, end, at = (pdf[c].tolist() for c in ("off", "__end", "at"))
+        own = (pdf["__own"] == pdf["__block"]).tolist()
+        succ = []
+        for i in range(len(off)):
+            if not own[i]:
+                break
+            reach, j = end[i], i + 1
+            while j < len(off) and off[j] <= reach + gap and max(reach, end[j]) - off[i] <= max_length:
+                reach, j = max(reach, end[j]), j + 1
+            succ.append(at[i] + j - i)  # maybe one behind the last of the island
+        out = pdf.iloc[:len(succ)][["source_id", "island", "at"]].copy()
+        out["succ"] = succ
+        return out
+
+    kind = dict(x.dtypes)
+    told = seen.groupBy("source_id", "island", "__block").applyInPandas(follow, f"source_id {kind['source_id']}, island {kind['island']}, at bigint, succ bigint")
+    rows_per_span = 1 << 16
+    starts = chain_marks(told, ["source_id", "island"], "at", "succ", lambda c: span_of(c, rows_per_span)).withColumn("head", F.col("at"))
+    marked = x.join(starts, ["source_id", "island", "at"], "left")
+    g = span_scan(marked, ["source_id", "island"], ["at"], span_of("at", rows_per_span), part=("upto", F.col("head")))
     return g.groupBy("source_id", "island", "part").agg(
         F.min("off").alias("m_off"), (F.max("__end") - F.min("off")).alias("m_len"), F.count("*").alias("members"))
 

@@ -174,3 +174,23 @@ def test_overlaps_equal_nested_loop(spark):
     got = {(r["first"], r["second"]) for r in T.overlaps(clips, 7.0).collect()}
     want = {(a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and (a[3], a[0]) < (b[3], b[0]) and b[3] < a[3] + a[4] - 0.001}
     assert got == want
+
+
+def test_groups_with_a_limit_over_many_spans(spark):
+    """One island over many spans, against serving ranges one by one."""
+    import random
+
+    from cutloom.operators import ranges as R
+    r = random.Random(6)
+    rows = [("s", k, off, r.randrange(0, 60)) for k, off in enumerate(sorted(r.randrange(3000) for _ in range(400)))]
+    df = spark.createDataFrame(rows, "source_id string, idx long, off long, len long")
+    for gap, limit in ((5, 70), (0, 30), (20, 500)):
+        want = []
+        for _, _, off, size in sorted((x for x in rows if x[3] > 0), key=lambda x: (x[2], x[1])):
+            end = off + size
+            if want and off <= want[-1][1] + gap and max(want[-1][1], end) - want[-1][0] <= limit:
+                want[-1] = (want[-1][0], max(want[-1][1], end), want[-1][2] + 1)
+            else:
+                want.append((off, end, 1))
+        got = R.merge_ranges_bounded(df, gap, limit, 64).collect()
+        assert sorted((x.m_off, x.m_off + x.m_len, x.members) for x in got) == sorted(want)
