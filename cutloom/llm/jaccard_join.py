@@ -348,15 +348,16 @@ def _node(sizes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return per_row(words.mix(tokens ^ np.uint64(1)), sizes).view(np.int64)
 
 
-def _split_members(buckets: DataFrame, linked: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, node, comp, size, sketch) of the keys whose members are not all in one component."""
+def _split_members(buckets: DataFrame, pairs: DataFrame, linked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, node, comp, size, sketch) of the keys whose members are not all in one component.
 
-    def named(side: str) -> DataFrame:
-        return linked.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-
-    split = buckets.join(named("leader"), "leader", "left").join(named("node"), "node", "left").where(
-        "coalesce(leader_root, leader) <> coalesce(node_root, node)").select("key").distinct()
-    rows = durable(buckets.join(split, "key", "left_semi"))
+    ``pairs`` holds each leader and node that share a bucket once, so components are looked up for these and not for every bucket; the
+    buckets themselves are told apart by tables of keys and not shuffled.
+    """
+    apart = durable(_apart(pairs.select("x", "y"), linked))
+    some = likely_held(buckets.select("key", F.col("leader").alias("x"), F.col("node").alias("y")), apart, ["x", "y"])
+    split = durable(some.join(apart, ["x", "y"], "left_semi").select("key").distinct())
+    rows = durable(likely_held(buckets, split, ["key"]).join(split, "key", "left_semi"))
     members = rows.select("key", "node").unionByName(rows.select("key", F.col("leader").alias("node"))).distinct()
     return members.join(linked, "node", "left").withColumn("comp", F.coalesce("root", "node")).join(
         nodes.select("node", "size", "sketch"), "node")
@@ -379,7 +380,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "node", F.col("s.id").alias("doc"), "s.text_hash", "s.size", "s.sketch"))
     buckets = durable(_buckets(_keys(narrow, "text", width, percent)))
     ordered = [F.struct(F.least(o, "node").alias("x"), F.greatest(o, "node").alias("y")) for o in ("leader", "before")]
-    counted = buckets.select(F.explode(F.array_distinct(F.array(*ordered))).alias("p")).groupBy("p.x", "p.y").agg(F.count("*").alias("n"))
+    counted = durable(buckets.select(F.explode(F.array_distinct(F.array(*ordered))).alias("p")).groupBy("p.x", "p.y").agg(F.count("*").alias("n")))
     first = durable(_possible(counted, nodes, percent))
     # the partner with most keys in common first: what these pairs connect needs no other pair, and no text a second time
     best = first.groupBy("y").agg(F.max(F.struct("n", "x")).alias("b")).select(F.col("b.x").alias("x"), "y")
@@ -387,7 +388,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = durable(_apart(first.select("x", "y").join(best, ["x", "y"], "left_anti"), linked))
     if not apart.isEmpty():
         linked = durable(joined_components(linked, _verified(apart, nodes, narrow, "text", "id", width, percent)))
-    members = _split_members(buckets, linked, nodes)
+    members = _split_members(buckets, counted, linked, nodes)
     rest = durable(_across(members, percent).distinct().join(first.select("x", "y"), ["x", "y"], "left_anti"))
     if not rest.isEmpty():
         more = _verified(rest, nodes, narrow, "text", "id", width, percent)
