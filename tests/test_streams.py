@@ -100,8 +100,13 @@ def put(spark, rows, schema, path):
 def follow(spark, make, schema, tmp_path):
     """Runs ``make(stream)`` over the files of tmp_path/in one by one; (rows, state rows after each batch)."""
     stream = spark.readStream.schema(schema + ", at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = K.append_rows(make(stream), str(tmp_path / "o"), str(tmp_path / "c"))
-    q.awaitTermination()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")  # few keys, many batches
+    try:
+        q = K.append_rows(make(stream), str(tmp_path / "o"), str(tmp_path / "c"))
+        q.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     sizes = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
     return [r.asDict() for r in spark.read.parquet(str(tmp_path / "o")).collect()], sizes
 
