@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(app: str = "cutloom", master: str | None = None, **conf: str) -> SparkSession:
     """A UTC, AQE-enabled session. Partition counts are left to AQE unless given."""
@@ -44,9 +46,15 @@ def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` once into the shared checkpoint folder and read it back.
 
     Cuts the lineage, survives the loss of executors, computes the input once (an eager checkpoint runs it twice) and
-    gives the optimizer true sizes for the next join.
+    gives the optimizer true sizes for the next join. The shuffle files of the write are removed when it is done: nobody
+    reads them again, and on a long job they would pile up until the driver collects garbage.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    kept = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, kept)
     return spark.read.schema(df.schema).parquet(path)
