@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,7 @@ SHINGLE = 4
 PERCENT = 85
 TOKENS_EXACT, TOKENS_DELETED = 2.5, 4.0  # the least mean size of a segment of either kind
 SKETCH_BITS = 512
+ROUNDS = 2  # bands are indexed in so many rounds, one after the other, so that only one round's keys lie on disk
 
 
 @dataclass(frozen=True)
@@ -145,15 +146,15 @@ def _prints(docs: DataFrame, text_col: str, width: int, ids: str) -> DataFrame:
         scan, f"id {kind}, text_hash long, size long, a long, b long, sketch binary")
 
 
-def segment_keys(sizes: np.ndarray, tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of all keys of the given sets, as the bands ask for them."""
+def segment_keys(sizes: np.ndarray, tokens: np.ndarray, percent: int, turn: int = 0, rounds: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of all keys of the given sets, as the bands ask for them; of every ``rounds`` bands the one numbered ``turn``."""
     plan = bands(int(sizes.max(initial=1)), percent)
     lows = np.array([b.low for b in plan])
     own = np.searchsorted(lows, sizes, "right") - 1
     out_rows, out_keys = [], []
     for shift in (0, 1):  # the own band, and the one below for smaller partners
         number = own - shift
-        rows = np.flatnonzero((sizes > 0) & (number >= 0))
+        rows = np.flatnonzero((sizes > 0) & (number >= 0) & (number % rounds == turn))
         limit = np.array([b.high * 100 // percent for b in plan])
         most = np.array([differ(b.high + b.high * 100 // percent, percent) for b in plan])
         rows = rows[(sizes[rows] <= limit[number[rows]]) & (most[number[rows]] > 0)]
@@ -194,8 +195,8 @@ def segment_keys(sizes: np.ndarray, tokens: np.ndarray, percent: int) -> tuple[n
     return np.concatenate(out_rows), np.concatenate(out_keys)
 
 
-def _keys(docs: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
-    """(key, node): the segment keys of each distinct set, once per task."""
+def _keys(docs: DataFrame, text_col: str, width: int, percent: int, turn: int) -> DataFrame:
+    """(key, node): the segment keys that each distinct set has in the bands of a round, once per task."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()
@@ -209,7 +210,7 @@ def _keys(docs: DataFrame, text_col: str, width: int, percent: int) -> DataFrame
                         told.add(node)
                         new[k] = True
                 tokens, sizes, nodes = tokens[np.repeat(new, sizes)], sizes[new], nodes[new]
-                row, key = segment_keys(sizes, tokens, percent)
+                row, key = segment_keys(sizes, tokens, percent, turn, ROUNDS)
                 for k in range(0, len(row), 1 << 16):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(key[k:k + (1 << 16)].view(np.int64)), pa.array(nodes[row[k:k + (1 << 16)]])], names=["key", "node"])
@@ -378,7 +379,8 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stands = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "text_hash", "size", "sketch")).alias("s")  # one row for each set
     nodes = durable(prints.where("size > 0").groupBy(F.col("a").alias("node")).agg(stands).select(
         "node", F.col("s.id").alias("doc"), "s.text_hash", "s.size", "s.sketch"))
-    buckets = durable(_buckets(_keys(narrow, "text", width, percent)))
+    # a key belongs to one band, so no bucket spans two rounds
+    buckets = reduce(DataFrame.unionByName, [durable(_buckets(_keys(narrow, "text", width, percent, turn))) for turn in range(ROUNDS)])
     ordered = [F.struct(F.least(o, "node").alias("x"), F.greatest(o, "node").alias("y")) for o in ("leader", "before")]
     counted = durable(buckets.select(F.explode(F.array_distinct(F.array(*ordered))).alias("p")).groupBy("p.x", "p.y").agg(F.count("*").alias("n")))
     first = durable(_possible(counted, nodes, percent))
