@@ -8,7 +8,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
 
 
 def build_session(app: str = "cutloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -47,14 +50,17 @@ def durable(df: DataFrame) -> DataFrame:
 
     Cuts the lineage, survives the loss of executors, computes the input once (an eager checkpoint runs it twice) and
     gives the optimizer true sizes for the next join. The shuffle files of the write are removed when it is done: nobody
-    reads them again, and on a long job they would pile up until the driver collects garbage.
+    reads them again, and on a long job they would pile up until the driver collects garbage. Arrow batches of the write
+    hold 8 MB at most, or one row, since rows may be whole texts and Spark and Python both hold a batch of each task.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    kept = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    before = {name: spark.conf.get(name) for name in WHILE_WRITING}
     try:
+        for name, value in WHILE_WRITING.items():
+            spark.conf.set(name, value)
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, kept)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return spark.read.schema(df.schema).parquet(path)
