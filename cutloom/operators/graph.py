@@ -303,8 +303,8 @@ def bulk_insert(requests: DataFrame, nodes: DataFrame, parent_kinds: Sequence[st
 
 
 def detection_violations(objects: DataFrame, relations: DataFrame, nodes: DataFrame, max_objects: int = 1024,
-                         max_relations: int = 4096) -> DataFrame:
-    """(batch_id, item, code): field, target and size rules of detection batches.
+                         max_relations: int | None = 4096) -> DataFrame:
+    """(batch_id, item, code): field, target and size rules of detection batches; ``None`` states no limit on relations.
 
     Objects: batch_id, object_id, name, object_type, semantic_id; relations: batch_id, object_id, role, target_id, target_semantic_id.
     """
@@ -321,5 +321,8 @@ def detection_violations(objects: DataFrame, relations: DataFrame, nodes: DataFr
             .otherwise("target-required"))
     rel = r.select("batch_id", F.col("object_id").cast("string").alias("item"), code.alias("code")).where("code is not null")
     many_o = objects.groupBy("batch_id").count().where(F.col("count") > max_objects).select("batch_id", F.lit("*").alias("item"), F.lit("too-many-objects").alias("code"))
+    found = rows.unionByName(rel).unionByName(many_o)
+    if max_relations is None:
+        return found
     many_r = relations.groupBy("batch_id").count().where(F.col("count") > max_relations).select("batch_id", F.lit("*").alias("item"), F.lit("too-many-relations").alias("code"))
-    return rows.unionByName(rel).unionByName(many_o).unionByName(many_r)
+    return found.unionByName(many_r)

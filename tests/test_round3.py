@@ -34,3 +34,8 @@ def test_clip_rules_of_clips_without_duration(equal):
 
 def test_merged_ranges_keep_empty_ones(equal):
     equal("tl19_merge", events="select * replace (if(event_id%7=0, 0, value) as value) from {old}")
+
+
+def test_no_limit_on_relations(equal):
+    equal("gr21_detections", documents="select d.* replace (doc_id + 1000000*i as doc_id, 'one' as source) from {old} d, range(200) r(i)",
+          labels="select l.* replace (doc_id + 1000000*i as doc_id) from {old} l, range(200) r(i)")
