@@ -44,11 +44,13 @@ def span_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], span: Co
             inputs[name] = f"__in_{name}"
             base = base.withColumn(inputs[name], expr[0])
     wl = W.partitionBy(*keys, SPAN).orderBy(*order)
-    past, upto, future = (wl.rowsBetween(W.unboundedPreceding, -1), wl.rowsBetween(W.unboundedPreceding, 0),
-                          wl.rowsBetween(1, W.unboundedFollowing))
+    past, upto = wl.rowsBetween(W.unboundedPreceding, -1), wl.rowsBetween(W.unboundedPreceding, 0)
+    # what comes after is read from the other end: a frame with an open end starts anew at every row, quadratic in the span
+    future = W.partitionBy(*keys, SPAN).orderBy(*[F.desc(c) for c in order]).rowsBetween(W.unboundedPreceding, -1)
     pos = F.struct(*order)
     wk = W.partitionBy(*keys).orderBy(SPAN)
-    kpast, kfuture = wk.rowsBetween(W.unboundedPreceding, -1), wk.rowsBetween(1, W.unboundedFollowing)
+    kpast = wk.rowsBetween(W.unboundedPreceding, -1)
+    kfuture = W.partitionBy(*keys).orderBy(F.desc(SPAN)).rowsBetween(W.unboundedPreceding, -1)
     local, summary, carried, final = {}, {}, {}, {}
     for name, (kind, *_) in outs.items():
         lo, su, ca = f"__l_{name}", f"__s_{name}", f"__c_{name}"
@@ -72,9 +74,9 @@ def span_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], span: Co
             carried[ca] = F.last(su, True).over(kpast)
             final[name] = F.coalesce(lo, ca)
         elif kind == "next":
-            local[lo] = F.first(x, True).over(future)
+            local[lo] = F.last(x, True).over(future)
             summary[su] = F.min_by(x, F.when(x.isNotNull(), pos))
-            carried[ca] = F.first(su, True).over(kfuture)
+            carried[ca] = F.last(su, True).over(kfuture)
             final[name] = F.coalesce(lo, ca)
         elif kind in ("sum", "sum_before"):
             local[lo] = F.sum(x).over(upto if kind == "sum" else past)

@@ -1,10 +1,13 @@
 """Queries on hand-made tables where they once differed from their SQL, and shared steps that once grew too fast."""
 
 import os
+import time
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from cutloom.operators.scan import span_of, span_scan
 from tests.harness import compare, duck
 
 SMALL = "/root/testdata/sf0.001"
@@ -39,3 +42,12 @@ def test_merged_ranges_keep_empty_ones(equal):
 def test_no_limit_on_relations(equal):
     equal("gr21_detections", documents="select d.* replace (doc_id + 1000000*i as doc_id, 'one' as source) from {old} d, range(200) r(i)",
           labels="select l.* replace (doc_id + 1000000*i as doc_id) from {old} l, range(200) r(i)")
+
+
+def test_next_value_is_read_in_linear_time(spark):
+    """One span of 60,000 rows, nothing but nulls ahead: quadratic in the span it takes minutes."""
+    rows = spark.range(0, 60_000, 1, 1).select(F.lit("k").alias("k"), "id", F.when(F.col("id") == 59_999, F.col("id")).alias("v"))
+    start = time.time()
+    out = span_scan(rows, ["k"], ["id"], span_of("id", 1 << 20), nxt=("next", F.col("v")))
+    assert out.where("nxt = 59999").count() == 59_999
+    assert time.time() - start < 30
