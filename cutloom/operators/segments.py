@@ -291,6 +291,6 @@ def fidelity(frames: DataFrame, session: str, order: Sequence[str], span: Column
     budget = 1000 / max(1.0, fps) * utilization
     quality = clamp(F.lit(budget) / F.greatest(F.lit(0.1), F.col("render_ms")), 0.2, 2.0) * clamp(1 - F.col("stale_pressure"), 0.25, 1.0)
     x = x.withColumn("__q", quality)
-    return x.withColumn("temporal", clamp(F.floor(max_temporal * F.col("__q")).cast("int"), 1, max_temporal)).withColumn(
+    return x.withColumn("temporal", clamp(F.floor(F.round(max_temporal * F.col("__q"), 9)).cast("int"), 1, max_temporal)).withColumn(
         "vector", clamp(F.round(max_vector * F.sqrt("__q")).cast("int"), 1, max_vector)).withColumn(
         "scale", clamp(F.sqrt(F.greatest(F.lit(0.05), F.col("__q"))), min_scale, 1.0)).drop("__q", "__n")
