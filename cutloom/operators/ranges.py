@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import durable
-from .fold import chain_marks
+from .fold import chain_marks, grouped
 from .intervals import explode_range, overlap_join
 from .scan import islands, span_of, span_scan
 
@@ -36,39 +37,44 @@ def merge_ranges_bounded(ranges: DataFrame, gap: int, max_length: int, width: fl
 
     Each range learns which one would start the next group if it started one itself: that hangs only on ranges that start within the limit
     behind it, so spans of ``width`` with that much of the next ones are enough. The groups are the chain of these pointers inside each island;
-    an island is cut into spans too and is no single task. One range always fits, however long.
+    an island is cut into spans too and is no single task. One range always fits, however long. Islands that fit as a whole are one group.
     """
     x = _islands(ranges, gap, width)
+    island = ["source_id", "island"]
+    told = durable(x.groupBy(*island).agg(
+        F.min("off").alias("m_off"), (F.max("__end") - F.min("off")).alias("m_len"), F.count("*").alias("members")))
+    fits = (F.col("m_len") <= max_length) | (F.col("members") == 1)
+    whole = told.where(fits).withColumn("part", F.lit(1).cast("bigint"))
+    x = x.join(told.where(~fits).select(*island), island, "left_semi")
     x = durable(span_scan(x, ["source_id", "island"], ["off", "idx"], span_of("off", width), at=("row_number",)).select(
         "source_id", "island", "off", "idx", "__end", "at"))
     block = F.floor(F.col("off") / F.lit(float(width))).cast("bigint")
     first = F.floor((F.col("off") - max_length) / F.lit(float(width))).cast("bigint")
     seen = x.withColumn("__own", block).withColumn("__block", F.explode(F.sequence(F.least(first, block), block)))
 
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at")
+    def follow(pdf: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
         off, end, at = (pdf[c].tolist() for c in ("off", "__end", "at"))
-        own = (pdf["__own"] == pdf["__block"]).tolist()
+        own = (pdf["__own"] == pdf["__block"]).to_numpy()
         succ = []
-        for i in range(len(off)):
-            if not own[i]:
-                break
-            reach, j = end[i], i + 1
-            while j < len(off) and off[j] <= reach + gap and max(reach, end[j]) - off[i] <= max_length:
-                reach, j = max(reach, end[j]), j + 1
-            succ.append(at[i] + j - i)  # maybe one behind the last of the island
-        out = pdf.iloc[:len(succ)][["source_id", "island", "at"]].copy()
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            for i in range(lo, lo + int(own[lo:hi].sum())):  # own rows come first
+                reach, j = end[i], i + 1
+                while j < hi and off[j] <= reach + gap and max(reach, end[j]) - off[i] <= max_length:
+                    reach, j = max(reach, end[j]), j + 1
+                succ.append(at[i] + j - i)  # maybe one behind the last of the island
+        out = pdf.loc[own, ["source_id", "island", "at"]].copy()
         out["succ"] = succ
         return out
 
     kind = dict(x.dtypes)
-    told = seen.groupBy("source_id", "island", "__block").applyInPandas(follow, f"source_id {kind['source_id']}, island {kind['island']}, at bigint, succ bigint")
+    follows = grouped(seen, ["source_id", "island", "__block"], ["at"], follow, f"source_id {kind['source_id']}, island {kind['island']}, at bigint, succ bigint")
     rows_per_span = 1 << 16
-    starts = chain_marks(told, ["source_id", "island"], "at", "succ", lambda c: span_of(c, rows_per_span)).withColumn("head", F.col("at"))
+    starts = chain_marks(follows, ["source_id", "island"], "at", "succ", lambda c: span_of(c, rows_per_span)).withColumn("head", F.col("at"))
     marked = x.join(starts, ["source_id", "island", "at"], "left")
     g = span_scan(marked, ["source_id", "island"], ["at"], span_of("at", rows_per_span), part=("upto", F.col("head")))
-    return g.groupBy("source_id", "island", "part").agg(
+    cut = g.groupBy("source_id", "island", "part").agg(
         F.min("off").alias("m_off"), (F.max("__end") - F.min("off")).alias("m_len"), F.count("*").alias("members"))
+    return cut.unionByName(whole)
 
 
 def page_slices(ranges: DataFrame, page_size: int) -> DataFrame:

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from cutloom.operators.ranges import merge_ranges_bounded
 from cutloom.operators.scan import span_of, span_scan
 from tests.harness import compare, duck
 
@@ -57,3 +58,12 @@ def test_fidelity_of_frames_on_a_level(equal):
     """26.88 ms at a pressure of 0.16: a quality of exactly 6 of 8, a bit less in floating point."""
     equal("abr04_fidelity", events="""select * exclude (n) replace (if(n = 1, 10, 94.4)::double as value, if(n = 1, 'error', 'view') as event_type)
         from (select *, row_number() over (partition by user_id order by event_id) as n from {old})""")
+
+
+def test_many_islands_are_cut_in_batches(spark):
+    """20,000 islands of three ranges, of which two fit a group; a Python call for each island takes minutes."""
+    rows = spark.range(0, 60_000, 1, 4).selectExpr("id div 3 % 100 as source_id", "id as idx", "id div 300 * 100000 + id % 3 * 900 as off", "900L as len")
+    start = time.time()
+    got = merge_ranges_bounded(rows, 100, 2000).groupBy("m_len", "members").count().collect()
+    assert sorted(map(tuple, got)) == [(900, 1, 20_000), (1800, 2, 20_000)]
+    assert time.time() - start < 60
