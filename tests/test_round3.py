@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from cutloom.operators.fold import greedy_groups
 from cutloom.operators.ranges import merge_ranges_bounded
 from cutloom.operators.scan import span_of, span_scan
 from tests.harness import compare, duck
@@ -67,3 +68,12 @@ def test_many_islands_are_cut_in_batches(spark):
     got = merge_ranges_bounded(rows, 100, 2000).groupBy("m_len", "members").count().collect()
     assert sorted(map(tuple, got)) == [(900, 1, 20_000), (1800, 2, 20_000)]
     assert time.time() - start < 60
+
+
+def test_many_keys_are_grouped_in_batches(spark):
+    """20,000 keys of three rows, two to a group; two Python calls for each key take minutes."""
+    rows = spark.range(0, 60_000, 1, 4).selectExpr("id div 3 as k", "id", "10 as size", "id % 3 as a", "id % 3 + 1 as e")
+    start = time.time()
+    got = greedy_groups(rows, ["k"], ["id"], span_of("id", 1 << 20), "size", "a", "e", 20, 100, 8).groupBy("row", "head").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 0, 20_000), (1, 0, 20_000), (2, 2, 20_000)]
+    assert time.time() - start < 60
