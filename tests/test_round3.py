@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from cutloom.operators.fold import greedy_groups
+from cutloom.operators.lexindex import StoredIndex
 from cutloom.operators.ranges import merge_ranges_bounded
 from cutloom.operators.scan import span_of, span_scan
+from cutloom.operators.search import relation_emissions
 from tests.harness import compare, duck
 
 SMALL = "/root/testdata/sf0.001"
@@ -77,3 +79,33 @@ def test_many_keys_are_grouped_in_batches(spark):
     got = greedy_groups(rows, ["k"], ["id"], span_of("id", 1 << 20), "size", "a", "e", 20, 100, 8).groupBy("row", "head").count().collect()
     assert sorted(map(tuple, got)) == [(0, 0, 20_000), (1, 0, 20_000), (2, 2, 20_000)]
     assert time.time() - start < 60
+
+
+def _steps(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_bucket_of_the_index_is_written_in_parts(spark, tmp_path):
+    index = StoredIndex(spark, str(tmp_path / "index"), 1)
+    rows = spark.range(60_000).selectExpr("sha2(cast(id as string), 256) as id", "'k' as kind", "sha2(cast(id as string), 512) as name",
+                                          "sha2(cast(-id as string), 256) as term", "id as weight", "array('name') as sources")
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    try:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+        index.add(rows.repartition(16), rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    files = [f for f in os.listdir(tmp_path / "index/rows/generation=0/bucket=0") if f.endswith(".parquet")]
+    assert len(files) > 4
+    assert index.rows().count() == 60_000
+
+
+def test_relation_words_are_cut_once_per_node(spark):
+    """Names of the other ends are not kept distinct as texts per node and cut there, which is once per edge."""
+    nodes = spark.createDataFrame([("a", "clip", "Red Fox"), ("b", "asset", None)], "id string, kind string, name string")
+    edges = spark.createDataFrame([("a", "b", "shown in"), ("a", "gone", "contains")], "src string, dst string, type string")
+    found = relation_emissions(nodes, edges)
+    assert sorted((r.id, r.term) for r in found.collect()) == sorted(
+        [("a", "shown"), ("a", "in"), ("a", "contains"), ("a", "asset"), ("b", "shown"), ("b", "in"), ("b", "red"), ("b", "fox"), ("b", "clip"), ("gone", "contains"), ("gone", "red"),
+         ("gone", "fox"), ("gone", "clip")])
+    assert "__words" in _steps(found)
