@@ -1,6 +1,6 @@
 """What else playlists say: keys, date-times and gaps of segments, parts, renditions, headers, and delta updates.
 
-A text is one row and its lines stay together: one exchange by playlist, then windows over its lines.
+A text is one row: its lines are cut into blocks of one segment inside the row, then windows run over segments or parts of a playlist.
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .scan import asof
-from .segments import attributes, playlist_lines
+from .segments import attributes, last_of, playlist_blocks, playlist_lines, tag_values, tagged
 
 # Tags.
 INF, KEY, GAP, DATE_TIME, SKIP, PART = "#EXTINF", "#EXT-X-KEY", "#EXT-X-GAP", "#EXT-X-PROGRAM-DATE-TIME", "#EXT-X-SKIP", "#EXT-X-PART"
@@ -27,21 +27,19 @@ def _number(text: Column) -> Column:
     return F.trim(text).try_cast("double")
 
 
-def _tagged(texts: DataFrame) -> DataFrame:
-    """Lines with ``tag`` and ``value`` (null for urls), ``no`` (segments before the line) and ``sequence`` (of the segment it belongs to)."""
-    x = playlist_lines(texts)
-    is_tag = F.col("line").startswith("#")
-    x = x.withColumn("tag", F.when(is_tag, F.regexp_extract("line", r"^(#[^:]+)", 1))).withColumn(
-        "value", F.when(is_tag, F.regexp_replace("line", r"^#[^:]+:?", "")))
-    w = W.partitionBy("playlist_id").orderBy("line_no")
-    segment = is_tag == F.lit(False)
-    x = x.withColumn("segment", segment & ~F.coalesce(F.lag("tag").over(w) == STREAM, F.lit(False)))
-    before, upto = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(W.unboundedPreceding, 0)
-    x = x.withColumn("no", F.coalesce(F.sum(F.col("segment").cast("bigint")).over(before), F.lit(0)))
-    first = F.coalesce(F.last(F.when(F.col("tag") == SEQUENCE, F.col("value").try_cast("bigint")), True).over(upto), F.lit(0))
-    skipped = F.greatest(F.lit(0), F.coalesce(_of(attributes(F.col("value")), "SKIPPED-SEGMENTS").try_cast("bigint"), F.lit(0)))
-    skipped = F.coalesce(F.last(F.when(F.col("tag") == SKIP, skipped), True).over(upto), F.lit(0))
-    return x.withColumn("sequence", first + skipped + F.col("no"))
+def _sequences(lines: Column | str) -> Column:
+    """The last media sequence in lines that is a number."""
+    return last_of(F.filter(F.transform(tag_values(lines, SEQUENCE), lambda v: v.try_cast("bigint")), lambda v: v.isNotNull()))
+
+
+def _skips(lines: Column | str) -> Column:
+    """The segments that the last skip line stands for; null without such a line."""
+    value = last_of(tag_values(lines, SKIP))
+    return F.when(value.isNotNull(), F.greatest(F.lit(0), F.coalesce(_of(attributes(value), "SKIPPED-SEGMENTS").try_cast("bigint"), F.lit(0))))
+
+
+def _seconds(inf: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.coalesce(_number(F.regexp_extract(inf, r"^([^,]*)", 1)), F.lit(0.0)))
 
 
 def playlist_media(texts: DataFrame) -> DataFrame:
@@ -50,17 +48,17 @@ def playlist_media(texts: DataFrame) -> DataFrame:
     A key holds from its line on, date-time and gap lines belong to the next segment. Segments that a skip line stands for are not listed
     and count in the sequence of those after it; ``fill_deltas`` gives them back.
     """
-    x = _tagged(texts)
-    w = W.partitionBy("playlist_id").orderBy("line_no")
-    own = W.partitionBy("playlist_id", "no").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    x = x.withColumn("__key", F.last(F.when(F.col("tag") == KEY, attributes(F.col("value"))), True).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    x = x.withColumn("__inf", F.last(F.when(F.col("tag") == INF, F.col("value")), True).over(own)).withColumn(
-        "date_time", F.last(F.when(F.col("tag") == DATE_TIME, F.col("value")), True).over(own)).withColumn(
-        "gap", F.coalesce(F.max(F.col("tag") == GAP).over(own), F.lit(False)))
+    own = lambda name: last_of(tag_values("lines", name))
+    x = playlist_blocks(texts).where("segment").select(
+        "playlist_id", "no", last_of(F.col("lines")).alias("url"), _seconds(own(INF)).alias("duration"), own(KEY).alias("key"), own(DATE_TIME).alias("date_time"),
+        F.exists("lines", lambda l: tagged(l, GAP)).alias("gap"), _sequences("lines").alias("first"), _skips("lines").alias("skipped"))
+    upto = W.partitionBy("playlist_id").orderBy("no").rowsBetween(W.unboundedPreceding, 0)
+    carried = lambda c: F.last(c, True).over(upto)
+    x = x.withColumn("sequence", F.coalesce(carried("first"), F.lit(0)) + F.coalesce(carried("skipped"), F.lit(0)) + F.col("no"))
+    x = x.withColumn("__key", attributes(carried("key")))
     held = F.col("__key").isNotNull()
-    duration = F.greatest(F.lit(0.0), F.coalesce(_number(F.regexp_extract("__inf", r"^([^,]*)", 1)), F.lit(0.0)))
-    return x.where("segment").select(
-        "playlist_id", "sequence", F.col("line").alias("url"), duration.alias("duration"),
+    return x.select(
+        "playlist_id", "sequence", "url", "duration",
         F.when(held, F.coalesce(_of("__key", "METHOD"), F.lit("NONE"))).alias("key_method"), _of("__key", "URI").alias("key_uri"),
         _of("__key", "IV").alias("key_iv"), F.when(held, F.coalesce(_of("__key", "KEYFORMAT"), F.lit("identity"))).alias("key_format"), "date_time", "gap")
 
@@ -70,18 +68,23 @@ def playlist_parts(texts: DataFrame) -> DataFrame:
 
     The first part starts where the segments before it end, every other one where the part before it ends.
     """
-    x = _tagged(texts)
-    w = W.partitionBy("playlist_id").orderBy("line_no")
-    own = W.partitionBy("playlist_id", "no").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    before = w.rowsBetween(W.unboundedPreceding, -1)
-    inf = F.last(F.when(F.col("tag") == INF, F.col("value")), True).over(own)
-    x = x.withColumn("__d", F.when(F.col("segment"), F.greatest(F.lit(0.0), F.coalesce(_number(F.regexp_extract(inf, r"^([^,]*)", 1)), F.lit(0.0)))))
-    x = x.withColumn("__end", F.coalesce(F.sum("__d").over(before), F.lit(0.0)))
-    p = x.where(F.col("tag") == PART).withColumn("a", attributes(F.col("value")))
-    p = p.withColumn("duration", F.coalesce(_number(_of("a", "DURATION")), F.lit(0.0)))
-    start = F.first("__end").over(w.rowsBetween(W.unboundedPreceding, 0)) + F.coalesce(F.sum("duration").over(before), F.lit(0.0))
-    return p.select("playlist_id", "sequence", (F.row_number().over(w) - 1).cast("bigint").alias("part_no"), _of("a", "URI").alias("url"), start.alias("start"),
-                    "duration", _yes("a", "INDEPENDENT").alias("independent"), _yes("a", "GAP").alias("gap"))
+    before = lambda i: F.slice("lines", 1, i + 1)
+    # a part sees sequence and skip lines of its block only if they come before it
+    sets = F.exists("lines", lambda l: tagged(l, SEQUENCE) | tagged(l, SKIP))
+    part = lambda l, i: F.when(tagged(l, PART), F.struct(
+        F.regexp_replace(l, r"^#[^:]+:?", "").alias("value"), F.when(F.col("sets"), _sequences(before(i))).alias("first"), F.when(F.col("sets"), _skips(before(i))).alias("skipped")))
+    x = playlist_blocks(texts).withColumn("sets", sets).select(
+        "playlist_id", "no", F.filter(F.transform("lines", part), lambda p: p.isNotNull()).alias("parts"), _sequences("lines").alias("first"), _skips("lines").alias("skipped"),
+        F.when(F.col("segment"), _seconds(last_of(tag_values("lines", INF)))).alias("__d"))
+    past = W.partitionBy("playlist_id").orderBy("no").rowsBetween(W.unboundedPreceding, -1)
+    x = x.select("playlist_id", "no", "parts", F.last("first", True).over(past).alias("first"), F.last("skipped", True).over(past).alias("skipped"),
+                 F.coalesce(F.sum("__d").over(past), F.lit(0.0)).alias("__end"))
+    p = x.select("playlist_id", "no", "first", "skipped", "__end", F.posexplode("parts").alias("at", "p")).withColumn("a", attributes(F.col("p.value")))
+    p = p.select("playlist_id", "no", "at", "__end", (F.coalesce("p.first", "first", F.lit(0)) + F.coalesce("p.skipped", "skipped", F.lit(0)) + F.col("no")).alias("sequence"),
+                 _of("a", "URI").alias("url"), F.coalesce(_number(_of("a", "DURATION")), F.lit(0.0)).alias("duration"), _yes("a", "INDEPENDENT").alias("independent"), _yes("a", "GAP").alias("gap"))
+    w = W.partitionBy("playlist_id").orderBy("no", "at")
+    start = F.first("__end").over(w.rowsBetween(W.unboundedPreceding, 0)) + F.coalesce(F.sum("duration").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    return p.select("playlist_id", "sequence", (F.row_number().over(w) - 1).cast("bigint").alias("part_no"), "url", start.alias("start"), "duration", "independent", "gap")
 
 
 def playlist_renditions(texts: DataFrame) -> DataFrame:

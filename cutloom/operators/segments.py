@@ -28,56 +28,87 @@ def attributes(value: Column) -> Column:
     return F.map_from_entries(F.transform(pairs, entry))
 
 
+def _lines(text: str = "text") -> Column:
+    return F.filter(F.transform(F.split(F.regexp_replace(text, "^﻿", ""), r"\r?\n"), lambda l: F.trim(l)), lambda l: l != "")
+
+
+def _playlists(texts: DataFrame) -> DataFrame:
+    return texts.where(F.ltrim(F.regexp_replace("text", "^﻿", "")).startswith("#EXTM3U"))
+
+
 def playlist_lines(texts: DataFrame) -> DataFrame:
     """(playlist_id, line_no, line): one text is one row already, so its lines are bounded by that row."""
-    lines = F.filter(F.transform(F.split(F.regexp_replace("text", "^﻿", ""), r"\r?\n"), lambda l: F.trim(l)), lambda l: l != "")
-    return texts.where(F.ltrim(F.regexp_replace("text", "^﻿", "")).startswith("#EXTM3U")).select(
-        "playlist_id", F.posexplode(lines).alias("line_no", "line"))
+    return _playlists(texts).select("playlist_id", F.posexplode(_lines()).alias("line_no", "line"))
+
+
+def tagged(line: Column, name: str) -> Column:
+    return (line == name) | line.startswith(name + ":")
+
+
+def tag_values(lines: Column | str, name: str) -> Column:
+    """Values of the lines with a tag, in order."""
+    return F.transform(F.filter(lines, lambda l: tagged(l, name)), lambda l: F.regexp_replace(l, r"^#[^:]+:?", ""))
+
+
+def last_of(values: Column) -> Column:
+    return F.try_element_at(values, F.lit(-1))
+
+
+def playlist_blocks(texts: DataFrame) -> DataFrame:
+    """(playlist_id, no, lines, segment): the lines up to and with each segment url, cut inside the row of the text.
+
+    ``no`` is the number of segments before; lines after the last url are a block that is no segment. A stream url follows its own tag line
+    and is no segment. What is read from lines is read per block, so that later windows sort a narrow row per segment, not every line.
+    """
+    def cut(lines: Column, ends: Column) -> Column:
+        start = lambda k: F.when(k == 0, 0).otherwise(F.get(ends, k - 1) + 1)
+        block = lambda at, size, segment: F.struct(F.slice(lines, at + 1, size).alias("lines"), F.lit(segment).alias("segment"))
+        urls = F.transform(ends, lambda e, k: block(start(k), e - start(k) + 1, True))
+        return F.concat(urls, F.array(block(start(F.size(ends)), F.size(lines), False)))
+
+    def blocks(lines: Column) -> Column:
+        stream = lambda i: (i > 0) & tagged(F.get(lines, i - 1), "#EXT-X-STREAM-INF")
+        every = F.transform(lines, lambda l, i: F.when(~l.startswith("#") & ~stream(i), i))
+        return _bind(F.filter(every, lambda i: i.isNotNull()), lambda ends: cut(lines, ends))
+
+    x = _playlists(texts).select("playlist_id", _bind(_lines(), blocks).alias("blocks"))
+    return x.select("playlist_id", F.posexplode("blocks").alias("no", "b")).select("playlist_id", F.col("no").cast("bigint").alias("no"), "b.lines", "b.segment")
+
+
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once for a row, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def playlist_segments(texts: DataFrame) -> DataFrame:
     """Segments of playlists: sequence, url, start, duration, title, byte range, map, discontinuity.
 
-    Line state becomes windows over the lines of one playlist: a tag belongs to the next url line, map and key lines carry
-    forward, byte ranges without an offset continue the range before them.
+    A tag belongs to the next url line and is read from its block; map lines carry forward and byte ranges without an offset continue the
+    range before them, by windows over the segments of one playlist.
     """
-    x = playlist_lines(texts)
-    tag = F.regexp_extract("line", r"^(#[^:]+)", 1)
-    value = F.regexp_replace("line", r"^#[^:]+:?", "")
-    x = x.withColumn("tag", F.when(F.col("line").startswith("#"), tag)).withColumn("value", F.when(F.col("line").startswith("#"), value))
-    w = W.partitionBy("playlist_id").orderBy("line_no")
-    before = w.rowsBetween(W.unboundedPreceding, -1)
-    is_url = F.col("tag").isNull()
-    # a stream url follows its own tag line and is no segment
-    x = x.withColumn("__stream", F.lag("tag").over(w) == "#EXT-X-STREAM-INF")
-    seg = is_url & ~F.coalesce("__stream", F.lit(False))
-    x = x.withColumn("__seg", seg.cast("int")).withColumn("__no", F.coalesce(F.sum("__seg").over(before), F.lit(0)))
-    # everything between two segment urls belongs to the later one
-    group = W.partitionBy("playlist_id", "__no").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    pick = lambda name: F.last(F.when(F.col("tag") == name, F.col("value")), True).over(group)
-    carry = lambda name: F.last(F.when(F.col("tag") == name, F.col("value")), True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    x = x.withColumn("inf", pick("#EXTINF")).withColumn("range", pick("#EXT-X-BYTERANGE")).withColumn("map", carry("#EXT-X-MAP")).withColumn(
-        "disc", F.max((F.col("tag") == "#EXT-X-DISCONTINUITY").cast("int")).over(group)).withColumn(
-        "first", F.coalesce(carry("#EXT-X-MEDIA-SEQUENCE").cast("bigint"), F.lit(0)))
-    s = x.where("__seg = 1")
-    ws = W.partitionBy("playlist_id").orderBy("line_no")
+    own = lambda name: last_of(tag_values("lines", name))
+    s = playlist_blocks(texts).where("segment").select(
+        "playlist_id", "no", last_of(F.col("lines")).alias("line"), own("#EXTINF").alias("inf"), own("#EXT-X-BYTERANGE").alias("range"),
+        own("#EXT-X-MAP").alias("map"), own("#EXT-X-MEDIA-SEQUENCE").alias("first"),
+        F.when(F.exists("lines", lambda l: l.startswith("#")), F.exists("lines", lambda l: tagged(l, "#EXT-X-DISCONTINUITY"))).alias("disc"))
+    ws = W.partitionBy("playlist_id").orderBy("no")
+    past, upto = ws.rowsBetween(W.unboundedPreceding, -1), ws.rowsBetween(W.unboundedPreceding, 0)
     duration = F.greatest(F.lit(0.0), F.coalesce(F.regexp_extract("inf", r"^([0-9.]+)", 1).cast("double"), F.lit(0.0)))
     length = F.regexp_extract("range", r"^(\d+)", 1)
     offset = F.regexp_extract("range", r"@(\d+)", 1)
     s = s.withColumn("duration", duration).withColumn("length", F.when(length != "", length.cast("bigint"))).withColumn(
         "explicit", F.when(offset != "", offset.cast("bigint")))
     # offsets: last explicit one plus the lengths since then
-    past = ws.rowsBetween(W.unboundedPreceding, -1)
-    s = s.withColumn("__cum", F.coalesce(F.sum("length").over(past), F.lit(0)))
-    base = F.last(F.when(F.col("explicit").isNotNull(), F.struct(F.col("explicit").alias("o"), F.col("__cum").alias("c"))), True).over(
-        ws.rowsBetween(W.unboundedPreceding, 0))
+    s = s.withColumn("__cum", F.coalesce(F.sum("length").over(past), F.lit(0))).withColumn("map", F.last("map", True).over(upto)).withColumn(
+        "first", F.coalesce(F.last("first", True).over(upto).cast("bigint"), F.lit(0)))
+    base = F.last(F.when(F.col("explicit").isNotNull(), F.struct(F.col("explicit").alias("o"), F.col("__cum").alias("c"))), True).over(upto)
     s = s.withColumn("__base", base)
     return s.select(
-        "playlist_id", (F.col("first") + F.col("__no")).alias("sequence"), F.col("line").alias("url"),
+        "playlist_id", (F.col("first") + F.col("no")).alias("sequence"), F.col("line").alias("url"),
         F.coalesce(F.sum("duration").over(past), F.lit(0.0)).alias("start"), "duration",
         F.regexp_extract("inf", r"^[^,]*,(.*)$", 1).alias("title"),
         F.when(F.col("length").isNotNull(), F.coalesce(F.col("__base.o") + F.col("__cum") - F.col("__base.c"), F.col("__cum"))).alias("range_offset"),
-        F.col("length").alias("range_length"), attributes(F.col("map"))["URI"].alias("map_uri"), (F.col("disc") == 1).alias("discontinuity"))
+        F.col("length").alias("range_length"), attributes(F.col("map"))["URI"].alias("map_uri"), F.col("disc").alias("discontinuity"))
 
 
 def playlist_variants(texts: DataFrame) -> DataFrame:

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from cutloom.operators.fold import greedy_groups
 from cutloom.operators.lexindex import StoredIndex
+from cutloom.operators.playlists import playlist_media, playlist_parts
 from cutloom.operators.ranges import merge_ranges_bounded
 from cutloom.operators.scan import span_of, span_scan
 from cutloom.operators.search import relation_emissions
+from cutloom.operators.segments import playlist_segments
 from tests.harness import compare, duck
 
 SMALL = "/root/testdata/sf0.001"
@@ -109,3 +111,15 @@ def test_relation_words_are_cut_once_per_node(spark):
         [("a", "shown"), ("a", "in"), ("a", "contains"), ("a", "asset"), ("b", "shown"), ("b", "in"), ("b", "red"), ("b", "fox"), ("b", "clip"), ("gone", "contains"), ("gone", "red"),
          ("gone", "fox"), ("gone", "clip")])
     assert "__words" in _steps(found)
+
+
+def test_playlists_sort_segments_not_lines(spark):
+    """Windows run over what is read from a block; before, they ran over every line and its text."""
+    text = "#EXTM3U\n#EXT-X-MEDIA-SEQUENCE:7\n#EXT-X-MAP:URI=\"m\"\n#EXTINF:2,a\ns1\n#EXT-X-STREAM-INF:BANDWIDTH=1\nv1\n#EXT-X-PART:DURATION=1,URI=\"p\"\n#EXTINF:3,b\ns2\n#EXT-X-PART:DURATION=1,URI=\"q\""
+    texts = spark.createDataFrame([("x", text)], "playlist_id string, text string")
+    rows = playlist_segments(texts).orderBy("sequence").collect()
+    assert [(r.sequence, r.url, r.start, r.duration, r.title, r.map_uri) for r in rows] == [(7, "s1", 0.0, 2.0, "a", "m"), (8, "s2", 2.0, 3.0, "b", "m")]
+    parts = playlist_parts(texts).orderBy("part_no").collect()
+    assert [(r.sequence, r.part_no, r.url, r.start) for r in parts] == [(8, 0, "p", 2.0), (9, 1, "q", 3.0)]
+    for made in (playlist_segments, playlist_media, playlist_parts):
+        assert "line_no" not in _steps(made(texts))
