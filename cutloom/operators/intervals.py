@@ -37,6 +37,21 @@ def point_join(points: DataFrame, ranges: DataFrame, keys: Sequence[str], time:
                         else (F.col(start) <= F.col(time)) & (F.col(time) < F.col(end)))
 
 
+def level_join(points: DataFrame, ranges: DataFrame, keys: Sequence[str], time: str, start: str, end: str, width: float) -> DataFrame:
+    """As ``point_join``, for ranges of very different lengths: a range goes to the level whose buckets are as long as it, at most two of them.
+
+    Levels are eight times as wide as the one before, from ``width`` on, and points are looked up on those that hold a range, so rows grow
+    with the logarithm of the longest range, not with its length. The levels, 400 at most, are the only thing broadcast.
+    """
+    wide = F.greatest(F.lit(1.0), (F.col(end) - F.col(start)) / F.lit(float(width)))
+    r = ranges.where(F.col(end) > F.col(start)).withColumn("__level", F.ceil(F.log2(wide) / 3).cast("int"))
+    bucket = lambda c: F.floor(F.col(c) / (F.lit(float(width)) * F.pow(F.lit(8.0), "__level"))).cast("bigint")
+    r = r.withColumn("__bucket", F.explode(F.sequence(bucket(start), bucket(end))))
+    levels = F.broadcast(r.select("__level").distinct())
+    p = points.crossJoin(levels).withColumn("__bucket", bucket(time))
+    return p.join(r, [*keys, "__level", "__bucket"]).where((F.col(start) <= F.col(time)) & (F.col(time) < F.col(end))).drop("__level", "__bucket")
+
+
 def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], l_start: str, l_end: str, r_start: str,
                  r_end: str, width: float, condition: Column) -> DataFrame:
     """Inner join of overlapping ranges; a pair is kept only in the first bucket both sides touch."""

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .evaluation import explode_range
 from .fold import affine_scan, ordered_fold
-from .intervals import point_join
+from .intervals import level_join
 from .scan import asof, span_of, span_scan
 
 
@@ -229,7 +229,7 @@ def next_requests(segments: DataFrame, cursors: DataFrame, limit: int = 3) -> Da
 def active_periods(periods: DataFrame, probes: DataFrame, width: float = 3600.0) -> DataFrame:
     """Probes (stream_id, probe) with the period that covers them, else the last period of the stream."""
     p = periods.withColumn("__end", F.coalesce("end", F.lit(1e300)))
-    closed = point_join(probes, p.where(F.col("end").isNotNull()), ["stream_id"], "probe", "start", "__end", width)
+    closed = level_join(probes, p.where(F.col("end").isNotNull()), ["stream_id"], "probe", "start", "__end", width)
     open_ = probes.join(p.where(F.col("end").isNull()), "stream_id").where(F.col("probe") >= F.col("start"))
     hit = closed.unionByName(open_.select(*closed.columns)).groupBy("stream_id", "probe").agg(F.min("period_index").alias("__hit"))
     last = periods.groupBy("stream_id").agg(F.max("period_index").alias("__last"))

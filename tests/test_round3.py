@@ -13,7 +13,7 @@ from cutloom.operators.playlists import playlist_media, playlist_parts
 from cutloom.operators.ranges import merge_ranges_bounded
 from cutloom.operators.scan import span_of, span_scan
 from cutloom.operators.search import relation_emissions
-from cutloom.operators.segments import playlist_segments
+from cutloom.operators.segments import active_periods, playlist_segments
 from tests.harness import compare, duck
 
 SMALL = "/root/testdata/sf0.001"
@@ -123,3 +123,10 @@ def test_playlists_sort_segments_not_lines(spark):
     assert [(r.sequence, r.part_no, r.url, r.start) for r in parts] == [(8, 0, "p", 2.0), (9, 1, "q", 3.0)]
     for made in (playlist_segments, playlist_media, playlist_parts):
         assert "line_no" not in _steps(made(texts))
+
+
+def test_long_periods_are_not_cut_into_pages(spark):
+    periods = spark.createDataFrame([(1, 0, 0.0, 9e12), (1, 1, 5.0, 20.0), (2, 0, 50.0, 60.0), (2, 1, 60.0, 6e11)], "stream_id long, period_index long, start double, end double")
+    probes = spark.createDataFrame([(1, 7.0), (1, 8e12), (2, 55.0), (2, 60.0), (2, 1.0)], "stream_id long, probe double")
+    found = {(r.stream_id, r.probe): r.period_index for r in active_periods(periods, probes, 10.0).collect()}
+    assert found == {(1, 7.0): 0, (1, 8e12): 0, (2, 55.0): 0, (2, 60.0): 1, (2, 1.0): 1}
