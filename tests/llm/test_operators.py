@@ -101,6 +101,15 @@ def test_differencing_of_pages_that_differ_in_the_query(spark):
     assert {r.page_id: r.main_text for r in page_text.main_text(pages).collect()} == want
 
 
+def test_marked_pages_are_differenced_too(spark, folder):
+    page = lambda k: f"<nav>Home</nav><div>Our site</div><article><h1>Title {k}</h1><p>Shared line</p></article><footer>Page {k}</footer>"
+    pages = spark.createDataFrame([(k, f"http://h.example/{k}", page(k)) for k in range(20)], "page_id long, url string, html string")
+    got = {r.page_id: (r.main_text, r.n_shared, r.n_restored) for r in page_text.main_text(pages).collect()}
+    assert got == {k: (f"Title {k}\n\nShared line", 3, 1) for k in range(20)}
+    given = QUERIES["op4_page_differencing"](spark, folder)
+    assert given.where("n_shared > 0").count() > 0
+
+
 def test_articles_keep_what_names_like_a_menu():
     page = """<div class="nav-bar">menu</div><article class="post"><header class="post-header"><h1 class="banner">Title</h1></header>
       <section id="social-history"><h2 id="related-work" class="related">Work</h2><p>One <span id="Search_methods">way</span>.</p></section>
