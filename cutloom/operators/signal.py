@@ -114,6 +114,17 @@ def with_next(samples: DataFrame) -> DataFrame:
     return span_scan(samples, ["buffer_id", "channel"], ["i"], span_of("i", I_WIDTH), __next=("lead", F.col("v")))
 
 
+MIX_FRAMES = 64  # frames of a piece, samples of a block
+
+
+def _sample_blocks(sources: DataFrame) -> DataFrame:
+    """(buffer_id, channel, __block, __samples): samples with the next ones by their place in a block; null where there is none."""
+    held = with_next(sources).groupBy("buffer_id", F.col("channel").cast("bigint").alias("channel"), F.floor(F.col("i") / MIX_FRAMES).cast("bigint").alias("__block")).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.pmod(F.col("i"), F.lit(MIX_FRAMES)).cast("int").alias("k"), F.struct("v", F.col("__next").alias("next")).alias("s")))).alias("m"))
+    places = F.sequence(F.lit(0), F.lit(MIX_FRAMES - 1))
+    return held.select("buffer_id", "channel", "__block", F.transform(places, lambda k: F.try_element_at("m", k)).alias("__samples"))
+
+
 def mix(items: DataFrame, sources: DataFrame, lengths: DataFrame) -> DataFrame:
     """Stereo mix: (output_id, i, left, right).
 
@@ -124,13 +135,19 @@ def mix(items: DataFrame, sources: DataFrame, lengths: DataFrame) -> DataFrame:
     x = items.join(size, "buffer_id").join(lengths, "output_id")
     available = F.floor((F.greatest("n0", "n1") - F.col("source_start")) / F.col("playback_rate"))
     frames = F.greatest(F.lit(0), F.least(F.col("length") - F.col("dest_start"), F.coalesce(F.col("frames"), available)))
-    x = explode_range(x.withColumn("__frames", frames.cast("bigint")), F.lit(0), F.col("__frames"), "f")
+    # pieces of items meet blocks of samples, so what is shuffled grows with items and not with their frames
+    x = explode_range(x.withColumn("__frames", frames.cast("bigint")), F.lit(0), F.ceil(F.col("__frames") / MIX_FRAMES).cast("bigint"), "__piece")
     # one row per output side; a mono source plays on both, a short channel holds its last sample
     side = lambda c, n: F.struct(F.lit(c).alias("side"), (F.lit(c) if c == 0 else F.when(F.col("n1").isNull(), 0).otherwise(1)).cast("bigint").alias("channel"), n.alias("n"))
     x = x.withColumn("__s", F.explode(F.array(side(0, F.col("n0")), side(1, F.coalesce("n1", "n0"))))).select("*", "__s.*")
-    pos = F.greatest(F.lit(0.0), F.least(F.col("n") - 1, F.col("source_start") + F.col("f") * F.col("playback_rate")))
-    x = x.withColumn("__pos", pos).withColumn("i", F.floor("__pos").cast("bigint"))
-    y = x.join(with_next(sources).withColumn("channel", F.col("channel").cast("bigint")), ["buffer_id", "channel", "i"])
+    at = lambda f: F.greatest(F.lit(0.0), F.least(F.col("n") - 1, F.col("source_start") + f * F.col("playback_rate")))
+    block = lambda i: F.floor(i / MIX_FRAMES).cast("bigint")
+    first, last = F.col("__piece") * MIX_FRAMES, F.least(F.col("__frames"), (F.col("__piece") + 1) * MIX_FRAMES) - 1
+    ends = block(at(first)), block(at(last))
+    x = x.withColumn("__block", F.explode(F.sequence(F.least(*ends), F.greatest(*ends)))).join(_sample_blocks(sources), ["buffer_id", "channel", "__block"])
+    x = x.withColumn("f", F.explode(F.sequence(first, last))).withColumn("__pos", at(F.col("f"))).withColumn("i", F.floor("__pos").cast("bigint"))
+    y = x.where(block(F.col("i")) == F.col("__block")).withColumn("__v", F.get("__samples", F.pmod(F.col("i"), F.lit(MIX_FRAMES)).cast("int"))).where("__v is not null").select(
+        "*", F.col("__v.v").alias("v"), F.col("__v.next").alias("__next"))
     part = F.col("__pos") - F.col("i")
     value = F.when(part > 0, F.col("v") * (1 - part) + F.coalesce("__next", "v") * part).otherwise(F.col("v"))
     gain = fade(F.col("f").cast("double"), (F.col("__frames") - F.col("f")).cast("double"), F.col("fade_in"), F.col("fade_out")) * db_to_gain(F.col("gain_db"))

@@ -15,6 +15,7 @@ from cutloom.operators.ranges import merge_ranges_bounded
 from cutloom.operators.scan import span_of, span_scan
 from cutloom.operators.search import relation_emissions
 from cutloom.operators.segments import active_periods, playlist_segments
+from cutloom.operators.signal import mix
 from tests.harness import compare, duck
 
 SMALL = "/root/testdata/sf0.001"
@@ -142,3 +143,17 @@ def test_copies_in_many_folders_are_matched_in_few_rounds(spark):
     got = {r["id"]: (r["candidate_id"], r["score"]) for r in match(spark.createDataFrame(assets, schema), spark.createDataFrame(found, schema)).collect()}
     assert got == {900: (1150, 100)} | {i: (1000 + i + (i >= 150), 140) for i in range(199)}
     assert time.time() - start < 120
+
+
+def test_mix_joins_items_before_their_frames(spark):
+    """The plan spreads an item over its frames above the join with samples; 150 frames cross pieces and blocks, sample 70 is missing."""
+    samples = [("b", c, i, float(i + 1000 * c)) for c in (0, 1) for i in range(300) if i != 70]
+    sources = spark.createDataFrame(samples, "buffer_id string, channel int, i bigint, v double")
+    items = spark.createDataFrame([(1, 1, "b", 5, 10, 150, 1.5, 0.0, -1.0, 0, 0)], """item_id int, output_id int, buffer_id string, dest_start int,
+        source_start int, frames int, playback_rate double, gain_db double, pan double, fade_in int, fade_out int""")
+    out = mix(items, sources, spark.createDataFrame([(1, 1000)], "output_id int, length int"))
+    want = {5 + f: 10 + 1.5 * f for f in range(150) if f != 40}  # position 70 has no sample
+    assert {r["i"]: round(r["left"], 6) for r in out.collect()} == {k: v if v != 69.5 else 70.0 for k, v in want.items()}
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    frames = next(k for k, line in enumerate(plan) if "Generate" in line and "[f#" in line)
+    assert frames < next(k for k, line in enumerate(plan) if "Join" in line)
