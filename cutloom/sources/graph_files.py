@@ -18,8 +18,8 @@ def parse_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     Version 0 is a bare graph, later versions wrap it in an envelope. Newer versions and text that is no project go to
     the reject frame with a reason instead of failing the job.
     """
-    v = F.try_parse_json("body")
-    x = docs.select("path", v.alias("v"))
+    # explode of a one-element array parses a body once; the filters below would be pushed under a plain projection and parse it again
+    x = docs.select("path", F.explode(F.array(F.try_parse_json("body"))).alias("v"))
     bare = F.try_variant_get("v", "$.nodes", "variant").isNotNull()
     version = F.when(bare, F.lit(0)).otherwise(F.try_variant_get("v", "$.fileVersion", "int"))
     graph = F.when(bare, F.col("v")).otherwise(F.try_variant_get("v", "$.graph", "variant"))

@@ -16,6 +16,7 @@ from cutloom.operators.scan import span_of, span_scan
 from cutloom.operators.search import relation_emissions
 from cutloom.operators.segments import active_periods, playlist_segments
 from cutloom.operators.signal import mix
+from cutloom.sources.graph_files import parse_documents
 from tests.harness import compare, duck
 
 SMALL = "/root/testdata/sf0.001"
@@ -157,3 +158,12 @@ def test_mix_joins_items_before_their_frames(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
     frames = next(k for k, line in enumerate(plan) if "Generate" in line and "[f#" in line)
     assert frames < next(k for k, line in enumerate(plan) if "Join" in line)
+
+
+def test_a_project_body_is_parsed_once(spark):
+    body = '{"fileVersion": 2, "graph": {"projectId": "p", "nodes": {"a": {"id": "a", "kind": "clip"}}, "edges": {}}}'
+    docs = spark.createDataFrame([("1", body), ("2", "no json")], "path string, body string").repartition(2)
+    nodes, _, rejects = parse_documents(docs)
+    assert [r.id for r in nodes.collect()] == ["a"] and [(r.path, r.reason) for r in rejects.collect()] == [("2", "not-json")]
+    for frame in (nodes, rejects):
+        assert frame._jdf.queryExecution().optimizedPlan().toString().lower().count("parse_json") + frame._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
