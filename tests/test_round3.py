@@ -1,12 +1,15 @@
 """Queries on hand-made tables where they once differed from their SQL, and shared steps that once grew too fast."""
 
 import os
+import random
 import time
+import unicodedata
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from cutloom.functions.text import nfkc, unstable
 from cutloom.operators.fold import greedy_groups
 from cutloom.operators.lexindex import StoredIndex
 from cutloom.operators.matching import match
@@ -184,3 +187,17 @@ def test_snap_meets_only_neighbours(spark):
     out = snap(snap_points(clips), probes, 30.0)
     assert out.where("snapped and abs(time - probe) < 0.0011 and abs(time - probe) > 0.0006").count() == 59_999  # the first snaps to the origin
     assert time.time() - start < 60
+
+
+def test_only_unstable_texts_are_normalized_in_python(spark):
+    """Accented, Cyrillic and Chinese letters are their own normal form; every character that is not, and every pair, is still normalized."""
+    random.seed(3)
+    marks = ["a\u0301", "\u1100\u1161\u11a8", "\ufb01ne", "x\u00a0y", "\uff21", "\u0915\u093c", "\u212b", "q\u0323\u0307", "\U0001d400", "\u09c7\u09be", "\u2026"]
+    mixed = ["".join(random.choices([chr(c) for c in range(0xA0, 0x3100)], k=4)) for _ in range(5000)]
+    plain = ["déjà vu straße", "Привет мир", "漢字かな", "한글", "naïve 😀", "ascii", None, ""]
+    texts = spark.createDataFrame([(x,) for x in [*marks, *mixed, *plain]], "x string")
+    assert all(r.y == (None if r.x is None else unicodedata.normalize("NFKC", r.x)) for r in texts.select("x", nfkc(F.col("x")).alias("y")).collect())
+    crossing = {r.x for r in texts.where(F.col("x").rlike(unstable())).collect()}
+    assert crossing.isdisjoint(plain) and crossing >= set(marks)
+    plan = texts.select(nfkc(F.col("x")).alias("y"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan
