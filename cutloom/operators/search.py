@@ -72,6 +72,12 @@ def build_postings(docs: DataFrame, fields: Sequence[Field], max_terms: int | No
     return e.select("id", "kind", "name", "e.term", "e.weight", "e.sources")
 
 
+def document_terms(docs: DataFrame, fields: Sequence[Field]) -> DataFrame:
+    """(id, kind, name, terms): the distinct terms of all fields in order; one row is one document, so nothing is shuffled."""
+    terms = F.sort_array(F.array_distinct(F.concat(*_field_terms(fields, None, None))))
+    return docs.select("id", "kind", "name", terms.alias("terms"))
+
+
 def nested_emissions(docs: DataFrame, column: str, weight: int, source: str) -> DataFrame:
     """(id, term, weight, source) of a map column: keys count one less, values carry ``source:key``."""
     kv = docs.select("id", F.explode(column).alias("k", "v"))

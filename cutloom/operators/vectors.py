@@ -7,7 +7,6 @@ import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -15,6 +14,7 @@ from .scan import union_all
 
 RRF_OFFSET = 60  # fixed value: rank fusion constant
 MAX_QUERY_VECTORS = 1024
+EMBED_ROWS, KNOWN_TERMS = 1024, 65_536
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -96,46 +96,59 @@ def fuse(lexical: DataFrame, embedded: DataFrame, k: int, lexical_weight: float
 
 
 def embed(texts: DataFrame, model: Callable[[list[str]], Sequence[Sequence[float]]], batch_size: int = 32) -> DataFrame:
-    """Add ``vector`` from a user model that maps a list of texts to vectors, ``batch_size`` texts a call."""
+    """Add ``vector`` from a user model that maps a list of texts to vectors, ``batch_size`` texts a call.
+
+    Texts are taken out of their Arrow batch for one call at a time; all other columns pass through untouched.
+    """
     out = ", ".join(f"`{n}` {t}" for n, t in texts.dtypes) + ", vector array<double>"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            vectors = []
-            for at in range(0, len(pdf), batch_size):
-                part = list(pdf["text"].iloc[at:at + batch_size])
-                got = [list(map(float, v)) for v in model(part)]
-                if len(got) != len(part):
-                    raise ValueError(f"model must return exactly {len(part)} vectors")
-                vectors += got
-            yield pdf.assign(vector=vectors)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, EMBED_ROWS):
+                block, vectors = batch.slice(start, EMBED_ROWS), []
+                for at in range(0, block.num_rows, batch_size):
+                    part = block.column("text").slice(at, batch_size).to_pylist()
+                    got = [np.fromiter(map(float, v), dtype="float64") for v in model(part)]
+                    if len(got) != len(part):
+                        raise ValueError(f"model must return exactly {len(part)} vectors")
+                    vectors += got
+                yield pa.RecordBatch.from_arrays([*block.columns, pa.array(vectors, type=pa.list_(pa.float64()))], names=[*block.schema.names, "vector"])
 
-    return texts.mapInPandas(run, out)
+    return texts.mapInArrow(run, out)
 
 
 def hash_model(dimensions: int = 16) -> Callable[[list[str]], list[list[float]]]:
     """A deterministic stand-in model: signed term hashing (the first 32 bits of the MD5 of a term), unit length."""
+    known: dict[str, int] = {}  # hashes of terms seen by this task, given up when there are too many
+
+    def hashed(term):
+        if len(known) >= KNOWN_TERMS:
+            known.clear()
+        return known.setdefault(term, int(hashlib.md5(term.encode(), usedforsecurity=False).hexdigest()[:8], 16))
+
     def model(texts):
         out = []
         for text in texts:
-            v = np.zeros(dimensions)
-            for term in text.split():
-                h = int(hashlib.md5(term.encode(), usedforsecurity=False).hexdigest()[:8], 16)
-                v[h % dimensions] += 1.0 if h & 1024 else -1.0
+            h = np.array([hashed(term) if (x := known.get(term)) is None else x for term in text.split()], dtype="int64")
+            v = np.bincount(h % dimensions, np.where(h & 1024, 1.0, -1.0), dimensions)
             n = math.sqrt(float((v * v).sum()))
-            out.append(list(v / n) if n else list(v))
+            out.append(v / n if n else v)
         return out
 
     return model
 
 
 def document_text(docs: DataFrame, postings: DataFrame) -> DataFrame:
-    """Stable text to embed: name, kind and all sorted terms of a document."""
+    """Stable text to embed: name, kind and all sorted terms of a document, from stored postings."""
     # one document's distinct terms: bounded by the document itself
     terms = postings.groupBy("id").agg(F.sort_array(F.collect_set("term")).alias("terms"))
-    d = docs.select("id", "kind", "name").join(terms, "id", "left")
+    return text_of_terms(docs.select("id", "kind", "name").join(terms, "id", "left"))
+
+
+def text_of_terms(documents: DataFrame) -> DataFrame:
+    """The same text of rows that hold their sorted terms (id, kind, name, terms): no join and no shuffle."""
     body = F.array_join(F.coalesce("terms", F.array().cast("array<string>")), " ")
-    return d.select("id", "kind", "name", F.concat_ws("\n", "name", "kind", body).alias("text"))
+    return documents.select("id", "kind", "name", F.concat_ws("\n", "name", "kind", body).alias("text"))
 
 
 def vector_violations(vectors: DataFrame, dimensions: int | None = None) -> DataFrame:

@@ -224,8 +224,7 @@ _DOC_TEXT = f"""{_POSTINGS}, tb as (select id, string_agg(term, ' ' order by ter
 @query("vec03_embed", f"""with {_DOC_TEXT}, {_EMBED.format(name='e', id='id', texts='dt')}, p as (select id, pos, case when n>0 then x/n else 0 end as x from e_v join e_n using (id))
   select d.id, d.kind, 16::bigint as dims, round(sum(x*x),6) as norm, round(coalesce(sum(x) filter (pos=0),0),6) as first, round(coalesce(sum(x) filter (pos=15),0),6) as last from v_docs d join p using (id) group by all""")
 def vec03(t):
-    p = S.build_postings(t.v_docs, FIELDS)
-    out = V.embed(V.document_text(t.v_docs, p), V.hash_model(16))
+    out = V.embed(V.text_of_terms(S.document_terms(t.v_docs, FIELDS)), V.hash_model(16))
     return out.select("id", "kind", F.size("vector").cast("bigint").alias("dims"), F.round(V.dot(F.col("vector"), F.col("vector")), 6).alias("norm"),
                       F.round(F.col("vector")[0], 6).alias("first"), F.round(F.col("vector")[15], 6).alias("last"))
 
@@ -234,7 +233,7 @@ def vec03(t):
   (select id, term from postings) group by id)
   select d.id, d.kind, d.name, d.name||chr(10)||d.kind||chr(10)||coalesce(body,'') as text from v_docs d left join tt using (id)""")
 def vec03t(t):
-    return V.document_text(t.v_docs, S.build_postings(t.v_docs, FIELDS))
+    return V.text_of_terms(S.document_terms(t.v_docs, FIELDS))
 
 
 _HYBRID_Q = {"h1": "src3 the", "h2": "of the and"}
@@ -279,9 +278,9 @@ def vec05(t):
   select query, s.id, score, row_number() over (partition by query order by score desc, d.name, s.id) as rank from s join v_docs d on d.id=s.id qualify rank<=10""")
 def vec06(t):
     """Documents of each language searched with the language's own embedded text, same model as the index."""
-    p = S.build_postings(t.v_docs, FIELDS)
-    index = V.embed(V.document_text(t.v_docs, p), V.hash_model(16))
-    df = p.groupBy("kind", "term").count()
+    d = durable(S.document_terms(t.v_docs, FIELDS))  # texts are cut into terms once, for the index and for the queries
+    index = V.embed(V.text_of_terms(d), V.hash_model(16))
+    df = d.select("kind", F.explode("terms").alias("term")).groupBy("kind", "term").count()
     w = W.partitionBy("kind").orderBy(F.desc("count"), "term")
     top = df.withColumn("rn", F.row_number().over(w)).where("rn <= 8")
     texts = top.groupBy("kind").agg(F.array_join(F.sort_array(F.collect_list("term")), " ").alias("text"))
@@ -296,7 +295,7 @@ def vec06(t):
   select kind, lower(hex(bit_xor(('0x'||left(h,15))::bigint))) as fingerprint, count(*) as docs from h group by kind""")
 def vec07(t):
     """Order-free fingerprint per kind: row digests folded with XOR, so no ordered list of a kind is ever built."""
-    text = V.document_text(t.v_docs, S.build_postings(t.v_docs, FIELDS))
+    text = V.text_of_terms(S.document_terms(t.v_docs, FIELDS))
     h = text.select("kind", F.conv(F.substring(F.sha2(F.concat_ws(":", F.col("id").cast("string"), "text"), 256), 1, 15), 16, 10)
                     .cast("bigint").alias("h"))
     return h.groupBy("kind").agg(F.lower(F.hex(F.bit_xor("h"))).alias("fingerprint"), F.count("*").alias("docs"))

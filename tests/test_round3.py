@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cutloom.functions.text import nfkc, unstable
+from cutloom.operators import search as S, vectors as V
 from cutloom.operators.fold import greedy_groups
 from cutloom.operators.lexindex import StoredIndex
 from cutloom.operators.matching import match
@@ -201,3 +202,16 @@ def test_only_unstable_texts_are_normalized_in_python(spark):
     assert crossing.isdisjoint(plain) and crossing >= set(marks)
     plan = texts.select(nfkc(F.col("x")).alias("y"))._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" in plan
+
+
+def test_documents_are_embedded_without_a_shuffle(spark):
+    """Terms of a document never leave its row, and the model sees 32 texts at a time whatever the batch holds."""
+    docs = spark.createDataFrame([(1, "en", "b a", "c a\nÜ c"), (2, "de", None, None)], "id long, kind string, name string, text string")
+    fields = [S.Field("name", 10, "name"), S.Field("kind", 4, "kind"), S.Field("text", 4, "text")]
+    made = V.text_of_terms(S.document_terms(docs, fields))
+    assert made.collect() == V.document_text(docs, S.build_postings(docs, fields)).orderBy("id").collect()
+    many = spark.range(0, 3000, 1, 1).select("id", F.format_string("t%d", "id").alias("text"))
+    out = V.embed(many, lambda texts: [[float(x[1:]), float(len(texts))] for x in texts])
+    got = {r.id: tuple(r.vector) for r in out.collect()}
+    assert all(got[i] == (i, 32 if i < 2976 else 24) for i in range(3000))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
