@@ -39,12 +39,16 @@ def apply_rules(rows: DataFrame, key: str, rules: Sequence[tuple[str, Column]])
 
 def structure_violations(nodes: DataFrame, edges: DataFrame, root: str | None = None, node_kinds: Sequence[str] = NODE_KINDS,
                          edge_types: Sequence[str] = EDGE_TYPES) -> DataFrame:
-    """Unknown kinds and types, duplicate ids, dangling edges, missing root."""
+    """Unknown kinds and types, duplicate ids, dangling edges, missing root.
+
+    Ids are placed by hash once, for the count and for both ends of edges. They are nearly distinct, so nothing is aggregated before that:
+    a table of all ids of a file split would be the largest thing in memory.
+    """
     bad = nodes.where(~F.coalesce(F.col("kind").isin(*node_kinds), F.lit(False))).select("id", F.lit("node-kind").alias("code"))
-    dup = nodes.groupBy("id").count().where("count > 1").select("id", F.lit("node-duplicate").alias("code"))
+    ids = nodes.select("id").repartition("id")
+    dup = ids.groupBy("id").count().where("count > 1").select("id", F.lit("node-duplicate").alias("code"))
     etype = edges.where(~F.coalesce(F.col("type").isin(*edge_types), F.lit(False))).select(
         F.concat_ws(">", "src", "dst").alias("id"), F.lit("edge-type").alias("code"))
-    ids = nodes.select("id").distinct()
     miss = lambda end: edges.join(ids, F.col(end) == ids["id"], "left_anti").select(
         F.concat_ws(">", "src", "dst").alias("id"), F.lit(f"dangling-{end}").alias("code"))
     out = bad.unionByName(dup).unionByName(etype).unionByName(miss("src")).unionByName(miss("dst"))

@@ -15,6 +15,7 @@ from cutloom.operators.fold import greedy_groups
 from cutloom.operators.lexindex import StoredIndex
 from cutloom.operators.matching import match
 from cutloom.operators.playlists import playlist_media, playlist_parts
+from cutloom.operators.quality import structure_violations
 from cutloom.operators.ranges import merge_ranges_bounded
 from cutloom.operators.scan import span_of, span_scan
 from cutloom.operators.search import relation_emissions
@@ -215,3 +216,13 @@ def test_documents_are_embedded_without_a_shuffle(spark):
     got = {r.id: tuple(r.vector) for r in out.collect()}
     assert all(got[i] == (i, 32 if i < 2976 else 24) for i in range(3000))
     assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ids_are_counted_only_after_they_are_placed(spark):
+    """Ends of edges meet ids as they are, and no table of nearly distinct ids is made before the exchange."""
+    nodes = spark.createDataFrame([("a", "clip"), ("b", "clip"), ("b", "clip"), (None, "clip")], "id string, kind string")
+    edges = spark.createDataFrame([("a", "b", "contains"), ("b", "x", "contains"), ("b", "x", "contains"), (None, "a", "contains")], "src string, dst string, type string")
+    out = structure_violations(nodes, edges)
+    assert sorted((r.id, r.code) for r in out.collect()) == [("a", "dangling-src"), ("b", "node-duplicate"), ("b>x", "dangling-dst"), ("b>x", "dangling-dst")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("Aggregate [id" in line for line in plan) == 1
