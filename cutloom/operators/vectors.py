@@ -29,9 +29,11 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_top_k(index: DataFrame, queries: DataFrame, k: int = 20, minimum: float = -1.0,
-                 kinds: Sequence | None = None) -> DataFrame:
+                 kinds: Sequence | None = None, digits: int | None = None) -> DataFrame:
     """Exact top-k of ``index`` (id, kind, name, vector) for each of ``queries`` (query, vector).
 
+    With ``digits`` scores are rounded before they are ranked: those that agree so far are ordered by name and id.
+
     Query vectors are checked to be few and shipped to the tasks; each Arrow batch is one matrix product and keeps
     only rows that can still be in the top k, so what is shuffled grows with batches * queries * k, not with pairs.
     """
@@ -41,12 +43,13 @@ def vector_top_k(index: DataFrame, queries: DataFrame, k: int = 20, minimum: flo
         # more queries than one block may ship: run hash blocks of about half the limit, each checked again
         blocks = -(-queries.count() // (MAX_QUERY_VECTORS // 2))
         part = F.pmod(F.xxhash64("query"), F.lit(blocks))
-        return union_all([vector_top_k(index, queries.where(part == i), k, minimum, kinds) for i in range(blocks)])
+        return union_all([vector_top_k(index, queries.where(part == i), k, minimum, kinds, digits) for i in range(blocks)])
     if kinds is not None:
         index = index.where(F.col("kind").isin(*kinds))
     names = [r["query"] for r in held]
     q = np.array([r["vector"] for r in held], dtype="float64").reshape(len(held), -1)
     qn = np.sqrt((q * q).sum(axis=1))
+    near = 1e-12 + (0 if digits is None else 10.0 ** -digits)  # what rounds to the same score is no further apart
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,7 +64,7 @@ def vector_top_k(index: DataFrame, queries: DataFrame, k: int = 20, minimum: flo
                 ok = np.flatnonzero(s[:, j] >= minimum)
                 if len(ok) > k:
                     cut = np.partition(s[ok, j], len(ok) - k)[len(ok) - k]
-                    ok = ok[s[ok, j] >= cut - 1e-12]  # ties at the cut stay
+                    ok = ok[s[ok, j] >= cut - near]  # ties at the cut stay
                 keep_rows.append(ok)
                 keep_q.append(np.full(len(ok), j))
             r, c = np.concatenate(keep_rows), np.concatenate(keep_q)
@@ -76,6 +79,7 @@ def vector_top_k(index: DataFrame, queries: DataFrame, k: int = 20, minimum: flo
     schema = (f"query {dict(queries.dtypes)['query']}, id {types['id']}, kind {types['kind']}, name {types['name']}, "
               "score double")
     s = index.select("id", "kind", "name", "vector").mapInArrow(block, schema)
+    s = s if digits is None else s.withColumn("score", F.round("score", digits))
     w = W.partitionBy("query").orderBy(F.desc("score"), "name", "id")
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn(
         "rank", F.col("rank").cast("bigint"))

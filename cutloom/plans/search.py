@@ -285,7 +285,7 @@ def vec06(t):
     top = df.withColumn("rn", F.row_number().over(w)).where("rn <= 8")
     texts = top.groupBy("kind").agg(F.array_join(F.sort_array(F.collect_list("term")), " ").alias("text"))
     qs = V.embed(texts, V.hash_model(16)).select(F.col("kind").alias("query"), "vector")
-    return V.vector_top_k(index, qs, 10).select("query", "id", F.round("score", 6).alias("score"), "rank")
+    return V.vector_top_k(index, qs, 10, digits=6).select("query", "id", "score", "rank")
 
 
 @query("vec07_source_fingerprint", f"""with {_POSTINGS}, tt as (select id, string_agg(term, ' ' order by term) as body from

@@ -1,11 +1,14 @@
 """Queries on hand-made tables where they once differed from their SQL when tables were large, and steps that once took too much disk."""
 
 import os
+import zlib
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from cutloom import plans
+from cutloom.operators import vectors as V
 from cutloom.operators.fold import machine_scan
 from cutloom.operators.scan import span_of
 from tests.harness import compare, duck
@@ -55,3 +58,12 @@ def test_machine_keeps_spans_whole(spark, scattered):
     for r in sorted(got, key=lambda r: r["id"]):
         state[r["k"]] = (state.get(r["k"], 0) + r["id"]) % 3
         assert r["s"] == state[r["k"]], r
+
+
+def test_scores_that_round_to_one_are_ordered_by_name(spark, monkeypatch):
+    monkeypatch.setattr(V, "hash_model", lambda n: lambda texts: [[1.0, 1e-5 * (zlib.crc32(t.encode()) % 7)] for t in texts])
+    got = plans.all_queries()["vec06_query_embedding"](spark, SMALL).collect()
+    first = [r["doc_id"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("source", "doc_id").limit(10).collect()]
+    assert {r["score"] for r in got} == {1.0}
+    for query in {r["query"] for r in got}:
+        assert [r["id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query"] == query] == first
