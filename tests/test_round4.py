@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cutloom import plans
 from cutloom.operators import vectors as V
 from cutloom.operators.fold import machine_scan
+from cutloom.operators.lexindex import graph_postings
 from cutloom.operators.scan import span_of
 from tests.harness import compare, duck
 
@@ -67,3 +68,32 @@ def test_scores_that_round_to_one_are_ordered_by_name(spark, monkeypatch):
     assert {r["score"] for r in got} == {1.0}
     for query in {r["query"] for r in got}:
         assert [r["id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query"] == query] == first
+
+
+@pytest.fixture
+def graph(spark):
+    nodes = spark.createDataFrame([("a", "clip", "Red Fox"), ("b", "asset", None), ("c", "clip", "red")], "id string, kind string, name string")
+    edges = spark.createDataFrame([("a", "b", "shown in", "Fox"), ("a", "gone", "contains", None), ("c", "c", "red", "")],
+                                  "src string, dst string, type string, role string")
+    return nodes, edges
+
+
+ROWS = {("a", "red", 10, "name"), ("a", "fox", 10, "name,relationships"), ("a", "clip", 4, "kind"), ("a", "shown", 3, "relationships"), ("a", "in", 3, "relationships"),
+        ("a", "asset", 3, "relationships"), ("a", "contains", 3, "relationships"), ("b", "asset", 4, "kind"), ("b", "shown", 3, "relationships"),
+        ("b", "in", 3, "relationships"), ("b", "fox", 3, "relationships"), ("b", "red", 3, "relationships"), ("b", "clip", 3, "relationships"),
+        ("c", "red", 10, "name,relationships"), ("c", "clip", 4, "kind,relationships")}
+
+
+def test_index_rows_are_moved_by_node_only(spark, graph, scattered):
+    """Rows of the index, one for each node and term, were shuffled by term, by node and by bucket; short texts are, once."""
+    found = graph_postings(*graph)
+    assert {(r.id, r.term, r.weight, ",".join(r.sources)) for r in found.collect()} == ROWS
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert moved and not any("term#" in line for line in moved), plan
+
+
+@pytest.mark.parametrize("ids", ["a", "bc", "x"])
+def test_index_rows_of_some_nodes(spark, graph, ids):
+    found = graph_postings(*graph, of=spark.createDataFrame([(i,) for i in ids], "id string"))
+    assert {(r.id, r.term, r.weight, ",".join(r.sources)) for r in found.collect()} == {r for r in ROWS if r[0] in ids}
