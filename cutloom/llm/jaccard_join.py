@@ -10,7 +10,8 @@ guarantee holds whatever two sets leave out.
 Only one of several equal sets takes part. In a bucket of equal keys each member is first paired with the least one and with the
 one before it. Of a set's pairs that with most keys in common is verified first; what such pairs connect needs no pair any more, so a
 group of n copies costs about n of them. Then come the other pairs of different components, at last those that no bucket paired. Pairs that parity sketches prove to be too different
-are left out; all others are verified on whole texts.
+are left out, by sketches of one size first, then by some that grow with their sets, as texts are moved to every pair that is left; these
+are verified on whole texts.
 """
 
 from __future__ import annotations
@@ -126,8 +127,24 @@ def _parity(tokens: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(rows, SKETCH_BITS), axis=1)
 
 
+def wide_sketches(sizes: np.ndarray, tokens: np.ndarray) -> list[bytes | None]:
+    """A parity sketch of each set with as many bits as tokens, rounded up to a power of two; none where the fixed size is enough.
+
+    Two sets without a common token differ in about half of the bits then, whatever their size. A sketch is folded to half its size by XOR.
+    """
+    large = sizes > SKETCH_BITS
+    bits = np.where(large, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64), 0)
+    row = words.row_of(sizes)
+    mine = large[row]
+    row, kept = row[mine], tokens[mine]
+    first = np.cumsum(bits) - bits
+    bit = (words.mix(kept ^ np.uint64(0x5BD1E995)) & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(first[row] + bit, minlength=int(bits.sum())) & 1).astype(np.uint8))
+    return [packed[a // 8:(a + n) // 8].tobytes() if n else None for a, n in zip(first.tolist(), bits.tolist())]
+
+
 def _prints(docs: DataFrame, text_col: str, width: int, ids: str) -> DataFrame:
-    """(id, text_hash, size, a, b, sketch): size, 128-bit fingerprint and parity sketch of each text's set."""
+    """(id, text_hash, size, a, b, sketch, wide): size, 128-bit fingerprint and parity sketches of each text's set."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,12 +155,12 @@ def _prints(docs: DataFrame, text_col: str, width: int, ids: str) -> DataFrame:
                 b = per_row(words.mix(tokens ^ np.uint64(2)), sizes).view(np.int64)
                 sketch = [x.tobytes() for x in _parity(tokens, row, len(sizes))]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(a), pa.array(b), pa.array(sketch, pa.binary())],
-                    names=["id", "text_hash", "size", "a", "b", "sketch"])
+                    [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(a), pa.array(b), pa.array(sketch, pa.binary()),
+                     pa.array(wide_sketches(sizes, tokens), pa.binary())], names=["id", "text_hash", "size", "a", "b", "sketch", "wide"])
 
     kind = docs.schema[ids].dataType.simpleString()
     return docs.select(field(ids), F.xxhash64(field(text_col)), field(text_col)).mapInArrow(
-        scan, f"id {kind}, text_hash long, size long, a long, b long, sketch binary")
+        scan, f"id {kind}, text_hash long, size long, a long, b long, sketch binary, wide binary")
 
 
 def segment_keys(sizes: np.ndarray, tokens: np.ndarray, percent: int, turn: int = 0, rounds: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -271,6 +288,37 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         scan, "x long, y long, n long")
 
 
+def _folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches of one size as rows of ``size`` bytes."""
+    rows = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+    while rows.shape[1] > size:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
+def _clear(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) that wide sketches do not rule out; small sets have none, their pairs stay."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            wide_x, wide_y = (rows[c].to_pylist() for c in ("wide_x", "wide_y"))
+            most = (rows["size_x"].fill_null(0).to_numpy() + rows["size_y"].fill_null(0).to_numpy()) * (100 - percent) // (100 + percent)
+            size_x, size_y = (np.array([len(w) if w else 0 for w in side], np.int64) for side in (wide_x, wide_y))
+            keep = np.ones(batch.num_rows, bool)
+            for a, b in set(zip(size_x.tolist(), size_y.tolist())):
+                if a and b:
+                    at, least = np.flatnonzero((size_x == a) & (size_y == b)), min(a, b)
+                    differ_in = np.bitwise_count(_folded([wide_x[k] for k in at], least) ^ _folded([wide_y[k] for k in at], least)).sum(1)
+                    keep[at] = differ_in <= most[at]
+            yield batch.select(["x", "y"]).filter(pa.array(keep))
+
+    x, y = (nodes.where("wide is not null").select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("wide").alias(f"wide_{c}")) for c in "xy")
+    return pairs.select("x", "y").join(x, "x", "left").join(y, "y", "left").select("x", "y", "size_x", "size_y", "wide_x", "wide_y").mapInArrow(
+        scan, "x long, y long")
+
+
 def _apart(pairs: DataFrame, linked: DataFrame) -> DataFrame:
     """The pairs (x, y) that lie in different components."""
     for c in "xy":
@@ -332,6 +380,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str
                     good[k] &= 100 * both >= percent * (n[k] + m[k] - both)
                 yield part.select(["x", "y"]).filter(pa.array(good))
 
+    pairs = durable(_clear(pairs, nodes, percent))
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
     chosen = durable(nodes.select("node", "doc", "text_hash").join(wanted, "node", "left_semi"))
     own = docs.select(field(ids).alias("doc"), F.xxhash64(field(text_col)).alias("text_hash"), field(text_col).alias("text"))
@@ -376,9 +425,9 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     narrow = docs.select(field(id_col).alias("id"), field(text_col).alias("text"))
     prints = durable(_prints(narrow, "text", width, "id"))
-    stands = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "text_hash", "size", "sketch")).alias("s")  # one row for each set
+    stands = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "text_hash", "size", "sketch", "wide")).alias("s")  # one row for each set
     nodes = durable(prints.where("size > 0").groupBy(F.col("a").alias("node")).agg(stands).select(
-        "node", F.col("s.id").alias("doc"), "s.text_hash", "s.size", "s.sketch"))
+        "node", F.col("s.id").alias("doc"), "s.text_hash", "s.size", "s.sketch", "s.wide"))
     # a key belongs to one band, so no bucket spans two rounds
     buckets = reduce(DataFrame.unionByName, [durable(_buckets(_keys(narrow, "text", width, percent, turn))) for turn in range(ROUNDS)])
     ordered = [F.struct(F.least(o, "node").alias("x"), F.greatest(o, "node").alias("y")) for o in ("leader", "before")]
