@@ -14,7 +14,7 @@ def test_large_sets_are_told_apart_without_their_texts(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     prints = jaccard_join._prints(docs, "text", 5, "doc_id").select("size", "sketch", "wide", F.col("id").alias("node"))
     pairs = spark.createDataFrame([(i, j) for i in range(7) for j in range(i + 1, 7)], "x long, y long")
-    near = jaccard_join._possible(pairs.withColumn("n", F.lit(1)), prints, 80).select("x", "y")
+    near = jaccard_join._possible(pairs.withColumn("n", F.lit(1).cast("long")), prints, 80).select("x", "y")
     left = {(r.x, r.y) for r in jaccard_join._clear(near, prints, 80).collect()}
     sets = [{tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
     like = {(i, j) for i in range(7) for j in range(i + 1, 7) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
